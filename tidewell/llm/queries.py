@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, langid, mixing, sharding
+from . import decontaminate, langid, lshforest, mixing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +43,15 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_mixing": op4_mixing,
     "op7_sharding": op7_sharding,
     "op9_language": op9_language,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 SQL: dict[str, str] = {}

@@ -53,8 +53,8 @@ def forget(spark: SparkSession, paths: list[str]) -> None:
             _written.remove(path)
 
 
-def keyed(docs: DataFrame, doc_id: str, *columns: str) -> DataFrame:
-    """``(_key, doc_id, columns...)`` with a unique, stable ``_key`` for each row.
+def keyed(docs: DataFrame, doc_id: str, *columns: str) -> tuple[DataFrame, bool]:
+    """``(_key, doc_id, columns...)`` with a unique, stable ``_key`` for each row; is the key the id?
 
     The id itself serves where it is unique and never null (checked by one narrow
     aggregation); otherwise rows are numbered once and written, so that a re-run
@@ -65,5 +65,5 @@ def keyed(docs: DataFrame, doc_id: str, *columns: str) -> DataFrame:
     if integral:
         twice = rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
         if not twice.limit(1).count():
-            return rows.select(F.col("doc_id").cast("long").alias("_key"), "doc_id", *columns)
-    return written(rows.select(F.monotonically_increasing_id().alias("_key"), "doc_id", *columns), "keyed")
+            return rows.select(F.col("doc_id").cast("long").alias("_key"), "doc_id", *columns), True
+    return written(rows.select(F.monotonically_increasing_id().alias("_key"), "doc_id", *columns), "keyed"), False
