@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, langid, lshforest, mixing, sharding
+from . import decontaminate, langid, lshforest, mixing, pq, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pq.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("doc_id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.references(docs), keep=["doc_id"])
@@ -51,6 +56,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_mixing": op4_mixing,
     "op7_sharding": op7_sharding,
+    "op8_embeddings": op8_embeddings,
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
 }
