@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, langid, lshforest, mixing, pq, sharding
+from . import decontaminate, langid, lshforest, mixing, pii, pq, secretscan, sharding, spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _of_kind(column: str, kind: str) -> Column:
+    return F.size(F.filter(column, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
@@ -23,6 +27,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(_table(spark, sf_dir, "documents"))
+    counts = [_of_kind("findings", r.name) for r in secretscan.RULES]
+    every = spans.joined(F.col("findings"))
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(every, 256).alias("base_sha256"), every.alias("spans"))
+
+
 def margins(docs: DataFrame) -> dict:
     return {"source": docs["source"], "lang": docs["lang"], "topic": mixing.topic_of(docs["text"])}
 
@@ -33,6 +44,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", "lang", F.round("probability", 9).alias("probability"))
 
 
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [_of_kind("base", k) for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("spans")).alias("spans"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents").select("doc_id"))
 
@@ -54,7 +71,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_secrets": op2_secrets,
     "op4_mixing": op4_mixing,
+    "op6_personal": op6_personal,
     "op7_sharding": op7_sharding,
     "op8_embeddings": op8_embeddings,
     "op9_language": op9_language,
