@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, langid, mixing, queries, sharding, storage
+from tidewell.llm import decontaminate, langid, lshforest, mixing, queries, sharding, storage
 from tidewell.session import ship
 
 #: A text that costs over this many bits a character in its best language is in none of them.
@@ -33,6 +33,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("lang_pred") != "und") & (F.col("bits") <= MAX_BITS)).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    _begin(spark)
+    return lshforest.keep_one(docs)
+
+
 def benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark windows are cut from the texts; a document that is mostly benchmark goes."""
     _begin(spark)
@@ -52,6 +58,7 @@ def placement(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", language),
+    ("near_duplicates", near_duplicates),
     ("benchmark_spans", benchmark_spans),
     ("mixture", mixture),
     ("placement", placement),

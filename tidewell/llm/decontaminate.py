@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .automaton import WordAutomaton
+
 WINDOW = 10
 BLOCK_WORDS = 100_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -31,22 +33,23 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-class ItemAutomaton:
+class ItemAutomaton(WordAutomaton):
     """Generalised suffix automaton of word sequences; states also know the items whose window ends there."""
 
     def __init__(self, items: Iterable[tuple[str, list[bytes], bool]], window: int = WINDOW):
         """items: (id, words, whole); pieces of a longer item are not whole and never count as short items."""
-        self.window, self.next, self.link, self.length = window, [{}], [-1], [0]
+        super().__init__()
+        self.window = window
         items = [x for x in items if x[1]]
         ends: dict[int, set[tuple[int, str]]] = {}
         for name, words, whole in items:
             last = 0
             for word in words:
-                last = self._extend(last, word)
+                last = self.extend(last, word)
             if whole and len(words) < window:
                 ends.setdefault(last, set()).add((len(words), name))
         n = len(self.next)
-        order = sorted(range(1, n), key=self.length.__getitem__)
+        order = self.by_length()
         #: The suffix of each state's strings that is one window long, as a state.
         self.base = list(range(n))
         #: (length, item) of the short items that end in each state's strings, shortest first.
@@ -66,34 +69,6 @@ class ItemAutomaton:
         self.items = {v: tuple(sorted(names)) for v, names in found.items()}
         self.least = min([window, *(k for e in ends.values() for k, _ in e)])
 
-    def _extend(self, last: int, word: bytes) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if (q := nxt[last].get(word)) is not None:
-            return q if length[q] == length[last] + 1 else self._split(last, word, q)
-        new = self._state({}, length[last] + 1, 0)
-        p = last
-        while p >= 0 and word not in nxt[p]:
-            nxt[p][word] = new
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][word]
-            link[new] = q if length[q] == length[p] + 1 else self._split(p, word, q)
-        return new
-
-    def _state(self, nxt: dict, length: int, link: int) -> int:
-        self.next.append(nxt)
-        self.length.append(length)
-        self.link.append(link)
-        return len(self.next) - 1
-
-    def _split(self, p: int, word: bytes, q: int) -> int:
-        twin = self._state(dict(self.next[q]), self.length[p] + 1, self.link[q])
-        self.link[q] = twin
-        while p >= 0 and self.next[p].get(word) == q:
-            self.next[p][word] = twin
-            p = self.link[p]
-        return twin
-
     def match(self, words: list[bytes]) -> tuple[int, list[tuple[int, int]], set[str]]:
         """(longest match, merged hit spans, items): one step of the automaton a word."""
         nxt, link, length, window, least = self.next, self.link, self.length, self.window, self.least

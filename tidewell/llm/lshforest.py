@@ -257,3 +257,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return named.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     names = member.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("first"))
     return member.join(names, "component").select("_key", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("_key") == F.col("first")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with all columns, one document of each component: the one with the smallest id."""
+    others = [c for c in docs.columns if c not in (doc_id, text)]
+    rows, _ = keyed(docs, doc_id, text, *others)
+    kept = near_duplicates(rows.select("_key", text), "_key", text, words, percent).filter("kept").select("_key")
+    named = rows.join(kept, "_key", "left_semi").withColumnRenamed("doc_id", doc_id)
+    return named.select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, langid, lshforest, mixing, pii, pq, secretscan, sharding, spans
+from . import decontaminate, langid, lshforest, mixing, pii, pq, secretscan, sharding, spans, substring, suffixarray
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(every, 256).alias("base_sha256"), every.alias("spans"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
+
+
 def margins(docs: DataFrame) -> dict:
     return {"source": docs["source"], "lang": docs["lang"], "topic": mixing.topic_of(docs["text"])}
 
@@ -44,6 +49,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "source", "lang", F.round("probability", 9).alias("probability"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixarray.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", F.size("ranges").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
     counts = [_of_kind("base", k) for k in pii.KINDS[:4]]
@@ -72,7 +82,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
+    "op3_substrings": op3_substrings,
     "op4_mixing": op4_mixing,
+    "op5_suffix_array": op5_suffix_array,
     "op6_personal": op6_personal,
     "op7_sharding": op7_sharding,
     "op8_embeddings": op8_embeddings,
