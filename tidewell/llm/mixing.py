@@ -72,14 +72,13 @@ def rake(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: d
         shares = tempered(start, name, temper) if given is None else given.select(F.col("value").cast("string"), F.col("share").cast("double"))
         wanted.append(written(shares, "targets"))
     fitted = start.withColumn("_w", F.col("_n"))
-    for k in range(rounds):
+    for _ in range(rounds):
         for name, target in zip(names, wanted, strict=True):
             sums = fitted.groupBy(name).agg(F.sum("_w").alias("_s"))
             factor = sums.join(target, F.col(name) == F.col("value"), "left").select(
                 F.col(name), F.when(F.col("_s") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(total) / F.col("_s")).otherwise(0.0).alias("_f"))
-            fitted = fitted.join(factor, name).withColumn("_w", F.col("_w") * F.col("_f")).select(*names, "_n", "_w")
-        if k % 2 or k == rounds - 1:
-            fitted = written(fitted, "fitted")
+            # written each time: the cells stand twice in each step's plan, which would double with every step
+            fitted = written(fitted.join(factor, name).withColumn("_w", F.col("_w") * F.col("_f")).select(*names, "_n", "_w"), "fitted")
     ratio = F.when(F.col("_n") > 0, F.col("_w") / F.col("_n"))
     most = fitted.agg(F.max(ratio)).first()[0] or 1.0
     scale = 1.0 / most if rate is None else rate
