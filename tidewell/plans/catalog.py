@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import detection, relational, timeseries
+
+QUERIES: dict = relational.QUERIES | timeseries.QUERIES | detection.QUERIES
+SQL: dict[str, str] = relational.SQL | timeseries.SQL | detection.SQL
