@@ -116,10 +116,10 @@ def conditional_counts(spark, d):
                                          F.count_if(F.col("o_totalprice") > 250000).alias("large"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 6).alias("finished"))
 
 
-@_query("SELECT o_custkey, min(o_totalprice) AS low, max(o_totalprice) AS high, round(avg(o_totalprice), 5) AS mean, round(stddev_samp(o_totalprice), 5) AS std, arg_min(o_totalprice, o_orderkey) AS first, arg_max(o_totalprice, o_orderkey) AS last FROM orders GROUP BY 1")
+@_query("SELECT o_custkey, min(o_totalprice) AS low, max(o_totalprice) AS high, round(avg(o_totalprice), 5) AS mean, round(stddev_samp(o_totalprice), 3) AS std, arg_min(o_totalprice, o_orderkey) AS first, arg_max(o_totalprice, o_orderkey) AS last FROM orders GROUP BY 1")
 def group_statistics(spark, d):
     v = F.col("o_totalprice")
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 5).alias("mean"), F.round(F.stddev_samp(v), 5).alias("std"), F.min_by(v, "o_orderkey").alias("first"), F.max_by(v, "o_orderkey").alias("last"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 5).alias("mean"), F.round(F.stddev_samp(v), 3).alias("std"), F.min_by(v, "o_orderkey").alias("first"), F.max_by(v, "o_orderkey").alias("last"))
 
 
 @_query("SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), '|') AS segments, bool_or(c_acctbal < 0) AS any_debt, bool_and(c_acctbal > -2000) AS all_sound FROM customer GROUP BY 1")
