@@ -16,7 +16,7 @@ from tidewell.llm import decontaminate, langid, lshforest, mixing, queries, shar
 from tidewell.session import ship
 
 #: A text that costs over this many bits a character in its best language is in none of them.
-MAX_BITS = 6.0
+MAX_BITS = 8.0
 #: Closer to one than the operator's own default: most documents stay.
 TEMPER = 0.9
 
