@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, langid, lshforest, mixing, pii, pq, secretscan, sharding, spans, substring, suffixarray
+from . import decontaminate, langid, lshforest, mixing, oracles, pii, pq, secretscan, sharding, spans, substring, suffixarray
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "longest",
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 
 
@@ -91,4 +91,4 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
