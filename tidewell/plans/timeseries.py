@@ -37,7 +37,7 @@ def _query(sql: str | None = None):
 
 
 _STATS = """round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS median,
-round(coalesce(regr_slope(value, t), 0), 6) AS slope, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last,
+round(CASE WHEN var_pop(t) > 0 THEN regr_slope(value, t) ELSE 0 END, 6) AS slope, arg_min(value, event_id) AS first, arg_max(value, event_id) AS last,
 round(arg_max(value, event_id) - arg_min(value, event_id), 6) AS delta, round(sqrt(avg(value * value)), 6) AS rms"""
 
 
