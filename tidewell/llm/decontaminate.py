@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import WordAutomaton
+from .storage import Shared, written
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -142,7 +143,7 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", w
 _built: dict = {}
 
 
-def _automaton(shared) -> ItemAutomaton:
+def _automaton(shared: Shared) -> ItemAutomaton:
     """The broadcast block's automaton, built once in each Python worker."""
     if shared.id not in _built:
         _built.clear()
@@ -151,22 +152,7 @@ def _automaton(shared) -> ItemAutomaton:
     return _built[shared.id]
 
 
-class _Shared:
-    """A broadcast with a name of its own, so that workers can tell one block from the next."""
-
-    def __init__(self, spark, value):
-        self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = self.broadcast._jbroadcast.id()
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
-
-
-def _scan(shared, kept: int):
+def _scan(shared: Shared, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(shared)
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -188,13 +174,11 @@ def _scan(shared, kept: int):
 def matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``keep`` columns with n_words, longest (match, in words), spans (hit words, merged, end exclusive) and items."""
     spark = docs.sparkSession
-    shared = [_Shared(spark, (window, block)) for block in blocks(benchmark, window=window, block_words=block_words)]
+    shared = [Shared(spark, (window, block)) for block in blocks(benchmark, window=window, block_words=block_words)]
     source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(_FOUND).fields])
     if len(shared) == 1:
         return source.mapInArrow(_scan(shared[0], len(keep)), schema)
-    from .storage import written
-
     numbered = written(source.withColumn("_row", F.monotonically_increasing_id()), "documents").select("_row", *keep, "_text")
     one = T.StructType([T.StructField("_row", T.LongType()), *schema.fields])
     found = None
@@ -253,7 +237,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_c
     at = docs.columns.index(text)
     out = docs
     for block in blocks(benchmark, window=window, block_words=block_words):
-        shared = _Shared(spark, (window, block))
+        shared = Shared(spark, (window, block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared)

@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .decontaminate import _Shared
 from .mixing import draw
+from .storage import Shared
 
 PIECES, PIECE_CHARS, LANGUAGES = 120, 400, 64
 #: Characters parsed side by side, and the length of a segment.
@@ -157,7 +157,7 @@ class Parser:
 _parsers: dict[int, Parser] = {}
 
 
-def _parser(shared: _Shared) -> Parser:
+def _parser(shared: Shared) -> Parser:
     if shared.id not in _parsers:
         _parsers.clear()
         _parsers[shared.id] = Parser(shared.value)
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, learned: dict[str, str], text: str = "text", keep:
     source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     if not learned:
         return source.drop("_text").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits": F.lit(None).cast("double")})
-    shared = _Shared(docs.sparkSession, learned)
+    shared = Shared(docs.sparkSession, learned)
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .decontaminate import _Shared
-from .storage import keyed, written
+from .storage import Shared, keyed, written
 
 COSINE = 0.9
 SAMPLE, LISTS, PROBES, SUBSPACES, CODES = 16384, 4096, 16, 8, 64
@@ -96,7 +95,7 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _place(shared: _Shared, dim: int, probes: int):
+def _place(shared: Shared, dim: int, probes: int):
     def run(batches):
         index = shared.value
         for batch in batches:
@@ -128,7 +127,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[low[far]]
 
 
-def _compare(shared: _Shared, dim: int, cosine: float):
+def _compare(shared: Shared, dim: int, cosine: float):
     def run(key, members: pa.Table, queries: pa.Table) -> pa.Table:
         index, at = shared.value, key[0].as_py()
         left, right, counts, asked = [], [], [], []
@@ -184,7 +183,7 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
         share = min(1.0, SAMPLE / n)
         chosen = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
         sample = [r["v"] for r in classes.filter(chosen).orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()] or [classes.orderBy("v").first()["v"]]
-        index = _Shared(table.sparkSession, Index(np.array(sample, np.float64), min(LISTS, max(1, int(n**0.5)))))
+        index = Shared(table.sparkSession, Index(np.array(sample, np.float64), min(LISTS, max(1, int(n**0.5)))))
         kind = dict(classes.dtypes)["v"]
         placed = classes.mapInArrow(_place(index, dim, probes), f"node bigint, weight bigint, v {kind}, code binary, miss double, probes array<int>")
         placed = written(placed, "placed")

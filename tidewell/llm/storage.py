@@ -67,3 +67,18 @@ def keyed(docs: DataFrame, doc_id: str, *columns: str) -> tuple[DataFrame, bool]
         if not twice.limit(1).count():
             return rows.select(F.col("doc_id").cast("long").alias("_key"), "doc_id", *columns), True
     return written(rows.select(F.monotonically_increasing_id().alias("_key"), "doc_id", *columns), "keyed"), False
+
+
+class Shared:
+    """A broadcast with a name of its own, so that workers can tell one block from the next."""
+
+    def __init__(self, spark, value):
+        self.broadcast = spark.sparkContext.broadcast(value)
+        self.id = self.broadcast._jbroadcast.id()
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+    def __getstate__(self):
+        return {"broadcast": self.broadcast, "id": self.id}
