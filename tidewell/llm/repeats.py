@@ -34,7 +34,7 @@ from . import fingerprints as fp
 from .storage import keyed, written
 
 #: Distinct phrases of one trigger compared in one shard; phrases a shard.
-HOT, SHARD = 2048, 4096
+HOT, SHARD = 512, 1024
 _LOW = np.uint64((1 << 24) - 1)
 #: Window starts cut at once.
 _PIECE = 1 << 22
@@ -147,7 +147,7 @@ def _hashed(kind: Kind):
 def _by_counts(payloads: DataFrame, kind: Kind) -> DataFrame:
     """(a, c, spans) of phrases whose trigger is hot, by counting the hashes of their windows."""
     each = written(payloads.select("a", "c", "weight", "payload").mapInArrow(_hashed(kind), "a bigint, c bigint, weight bigint, h bigint, i int"), "windows")
-    twice = each.groupBy("h").agg(F.sum("weight").alias("t")).filter("t >= 2").select("h")
+    twice = written(each.groupBy("h").agg(F.sum("weight").alias("t")).filter("t >= 2").select("h"), "twice")
     one = F.struct(F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
     return each.filter("weight = 1").join(twice, "h", "left_semi").groupBy("a", "c").agg(F.collect_list(one).alias("spans"))
 
@@ -187,10 +187,11 @@ def remove_repeats(docs: DataFrame, kind: Kind, doc_id: str = "doc_id", text: st
     id_type = dict(rows.dtypes)["doc_id"]
     described = written(rows.mapInArrow(_describe(kind), f"_key bigint, doc_id {id_type}, n bigint, sha string, blocks {_BLOCKS}"), "phrases")
     block = described.select("_key", F.inline("blocks"))
-    twice = block.groupBy("a").count().filter("count >= 2").select("a")
+    # the counts are written, so that the joins below meet two plain shuffles, which can be split where a trigger is hot
+    twice = written(block.groupBy("a").count().filter("count >= 2").select("a"), "triggers")
     shared = written(block.join(twice, "a", "left_semi"), "shared")
     dictionary = written(shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_key", "s")).alias("at"), F.min("m").alias("m")), "dictionary")
-    kinds = dictionary.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds >= 2")
+    kinds = written(dictionary.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds >= 2"), "kinds")
     asked = dictionary.join(kinds, "a")
     shards = max(1, dictionary.count() // SHARD)
     shard = F.when(F.col("kinds") > HOT, F.lit(-1)).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards)))
