@@ -9,10 +9,11 @@ with one trigger, with the symbols their windows cover, is a phrase:
 2. The dictionary holds each distinct remaining phrase with its count. A phrase that
    occurs twice is repeated as a whole, however often it occurs.
 3. Where one trigger has several distinct phrases, they are compared window by window, in
-   shards of the dictionary, by the caller's structure (automaton or suffix array). Triggers
-   with over ``HOT`` distinct phrases, as beside a passage that very many documents
-   share, are compared by counting window hashes instead, which Spark combines map-side
-   and never gathers.
+   shards of the dictionary, by the caller's structure (automaton or suffix array). A trigger
+   with over ``HOT`` distinct phrases, as beside a line that very many documents share,
+   has its phrases cut again by triggers of another order: most of the parts then have a
+   trigger of their own. What is hot after ``LEVELS`` orders is compared by counting window
+   hashes, which Spark combines map-side and never gathers.
 4. The repeated windows of each phrase return to the documents that hold it.
 
 Hashes have 64 bits; two different windows are taken for equal with a chance of about
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from . import fingerprints as fp
 from .storage import keyed, written
 
-#: Distinct phrases of one trigger compared in one shard; phrases a shard.
-HOT, SHARD = 512, 1024
+#: Distinct phrases of one trigger compared in one shard; phrases a shard; orders of triggers.
+HOT, SHARD, LEVELS = 512, 1024, 3
 _LOW = np.uint64((1 << 24) - 1)
 #: Window starts cut at once.
 _PIECE = 1 << 22
@@ -56,13 +57,14 @@ class Kind:
     compare: Callable[[list[bytes], list[int], int], list[np.ndarray]]
 
 
-def phrases(symbols: np.ndarray, window: int, trigger: int) -> tuple[np.ndarray, ...]:
-    """(trigger hash, phrase hash, first window start, number of starts) of each phrase."""
+def phrases(symbols: np.ndarray, window: int, trigger: int, order: int = 0) -> tuple[np.ndarray, ...]:
+    """(trigger hash, phrase hash, first window start, number of starts) of each phrase, by the ``order``-th order of triggers."""
     found = []
     for base in range(0, len(symbols) - window + 1, _PIECE):
         part = symbols[base : base + _PIECE + window - 1]
         sums = fp.prefix(part)
         hashes = fp.windows(sums, trigger)
+        hashes = fp.mix(hashes + np.uint64(order)) if order else hashes
         packed = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
         at = (fp.sliding_minimum(packed, window - trigger + 1) & _LOW).astype(np.int64)
         starts = np.flatnonzero(np.diff(at, prepend=-1))
@@ -105,8 +107,29 @@ def _payloads(kind: Kind):
                 for x in asked:
                     rows.append(x)
                     payload.append(kind.packed(places[x["s"] : x["s"] + x["m"] + kind.window - 1]))
-            columns = [pa.array([x[c] for x in rows], pa.int64()) for c in ("shard", "a", "c", "weight")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(payload, pa.binary())], ["shard", "a", "c", "weight", "payload"])
+            columns = [pa.array([x[c] for x in rows], pa.int64()) for c in ("a", "c", "weight", "kinds")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(payload, pa.binary())], ["a", "c", "weight", "kinds", "payload"])
+
+    return run
+
+
+def _parts(kind: Kind, order: int):
+    """Phrases of hot triggers cut by another order: (whole_a, whole_c, offset) and the part's own (a, c, m, weight, payload)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, made, payload = [], [], []
+            for row, (trigger, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                a, c, s, m = phrases(kind.symbols(text), kind.window, kind.trigger, order)
+                a = fp.mix(a.view(np.uint64) ^ np.uint64(trigger & (1 << 64) - 1)).view(np.int64)
+                places = kind.places(text)
+                of += [row] * len(a)
+                made += zip(a.tolist(), c.tolist(), s.tolist(), m.tolist(), strict=True)
+                payload += [kind.packed(places[i : i + n + kind.window - 1]) for i, n in zip(s.tolist(), m.tolist(), strict=True)]
+            at = pa.array(of, pa.int64())
+            columns = [pa.array([x[i] for x in made], t) for i, t in ((2, pa.int32()), (0, pa.int64()), (1, pa.int64()), (3, pa.int32()))]
+            names = ["whole_a", "whole_c", "offset", "a", "c", "m", "weight", "payload"]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns, batch.column(2).take(at), pa.array(payload, pa.binary())], names)
 
     return run
 
@@ -152,6 +175,33 @@ def _by_counts(payloads: DataFrame, kind: Kind) -> DataFrame:
     return each.filter("weight = 1").join(twice, "h", "left_semi").groupBy("a", "c").agg(F.collect_list(one).alias("spans"))
 
 
+def _whole(dictionary: DataFrame) -> DataFrame:
+    """Phrases that occur twice are repeated from their first to their last window."""
+    return dictionary.filter("n >= 2").select("a", "c", F.array(F.struct(F.lit(0).alias("lo"), F.col("m").alias("hi"))).alias("spans"))
+
+
+def _resolve(payloads: DataFrame, kind: Kind, order: int = 0) -> DataFrame:
+    """(a, c, spans) of the repeated windows of phrases (a, c, weight, kinds, payload) that occur once; kinds >= 2."""
+    shards = max(1, payloads.filter(F.col("kinds") <= HOT).count() // SHARD)
+    cold = payloads.filter(F.col("kinds") <= HOT).withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
+    found = cold.groupBy("shard").applyInArrow(_compared(kind), f"a bigint, c bigint, spans {_SPANS}")
+    hot = payloads.filter(F.col("kinds") > HOT)
+    if not hot.limit(1).count():
+        return found
+    if order + 1 >= LEVELS:
+        return found.unionByName(_by_counts(hot, kind))
+    parts = hot.select("a", "c", "weight", "payload").mapInArrow(_parts(kind, order + 1), "whole_a bigint, whole_c bigint, offset int, a bigint, c bigint, m int, weight bigint, payload binary")
+    parts = written(parts, "parts")
+    dictionary = written(parts.groupBy("a", "c").agg(F.sum("weight").alias("n"), F.min("m").alias("m"), F.first("payload").alias("payload")), "part_dictionary")
+    kinds = written(dictionary.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds >= 2"), "part_kinds")
+    again = dictionary.join(kinds, "a").select("a", "c", F.least("n", F.lit(2)).cast("bigint").alias("weight"), "kinds", "payload")
+    status = written(_whole(dictionary).unionByName(_resolve(written(again, "part_payloads"), kind, order + 1)), "part_repeated")
+    moved = F.transform("spans", lambda x: F.struct((x["lo"] + F.col("offset")).alias("lo"), (x["hi"] + F.col("offset")).alias("hi")))
+    back = parts.filter("weight = 1").select("whole_a", "whole_c", "offset", "a", "c").join(status, ["a", "c"]).select("whole_a", "whole_c", moved.alias("spans"))
+    back = back.groupBy(F.col("whole_a").alias("a"), F.col("whole_c").alias("c")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return found.unionByName(back)
+
+
 def _cut(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,17 +242,11 @@ def remove_repeats(docs: DataFrame, kind: Kind, doc_id: str = "doc_id", text: st
     shared = written(block.join(twice, "a", "left_semi"), "shared")
     dictionary = written(shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_key", "s")).alias("at"), F.min("m").alias("m")), "dictionary")
     kinds = written(dictionary.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds >= 2"), "kinds")
-    asked = dictionary.join(kinds, "a")
-    shards = max(1, dictionary.count() // SHARD)
-    shard = F.when(F.col("kinds") > HOT, F.lit(-1)).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards)))
     weight = F.least("n", F.lit(2)).cast("bigint")
-    asked = asked.select(F.col("at._key").alias("_key"), F.struct(shard.cast("bigint").alias("shard"), F.col("a"), F.col("c"), weight.alias("weight"), F.col("at.s").alias("s"), "m").alias("x"))
-    asked = asked.groupBy("_key").agg(F.collect_list("x").alias("asked"))
-    payloads = rows.select("_key", "text").join(asked, "_key").select("text", "asked").mapInArrow(_payloads(kind), "shard bigint, a bigint, c bigint, weight bigint, payload binary")
-    payloads = written(payloads, "payloads")
-    compared = payloads.filter("shard >= 0").groupBy("shard").applyInArrow(_compared(kind), f"a bigint, c bigint, spans {_SPANS}")
-    whole = dictionary.filter("n >= 2").select("a", "c", F.array(F.struct(F.lit(0).alias("lo"), F.col("m").alias("hi"))).alias("spans"))
-    status = written(whole.unionByName(compared).unionByName(_by_counts(payloads.filter("shard < 0"), kind)), "repeated")
+    one = F.struct("a", "c", weight.alias("weight"), "kinds", F.col("at.s").alias("s"), "m")
+    asked = dictionary.join(kinds, "a").select(F.col("at._key").alias("_key"), one.alias("x")).groupBy("_key").agg(F.collect_list("x").alias("asked"))
+    payloads = rows.select("_key", "text").join(asked, "_key").select("text", "asked").mapInArrow(_payloads(kind), "a bigint, c bigint, weight bigint, kinds bigint, payload binary")
+    status = written(_whole(dictionary).unionByName(_resolve(written(payloads, "payloads"), kind)), "repeated")
     spans = shared.join(status, ["a", "c"]).select("_key", "s", F.explode("spans").alias("x"))
     spans = spans.groupBy("_key").agg(F.collect_list(F.struct((F.col("s") + F.col("x.lo")).alias("lo"), (F.col("s") + F.col("x.hi")).alias("hi"))).alias("spans"))
     cut = rows.select("_key", "text").join(spans, "_key").mapInArrow(_cut(kind), f"_key bigint, n_removed bigint, ranges {_SPANS}, cut_sha string, kept binary")
