@@ -113,3 +113,24 @@ def recompute_audit(saved: DataFrame, recomputed: DataFrame, key: str, columns:
 
 def verdict(counts: Column, complete: int, partial: int) -> Column:
     return F.when(counts >= complete, "COMPLETE").when(counts >= partial, "PARTIAL").otherwise("INCOMPLETE")
+
+
+def class_confusion(rows: DataFrame, truth: str, predicted: str, classes: list[str], unknown: str = "unknown") -> DataFrame:
+    """A row for each true class with a count for each predicted one; names outside ``classes`` count as unknown."""
+    known = lambda c: F.when(F.col(c).isin(classes), F.col(c)).otherwise(unknown)
+    made = rows.select(known(truth).alias("truth"), known(predicted).alias("_p"))
+    return made.groupBy("truth").agg(*[F.count_if(F.col("_p") == c).alias(c) for c in (*classes, unknown)])
+
+
+def summary(rows: DataFrame, by: list[str], value: str, digits: int = 6) -> DataFrame:
+    """Mean, median, extremes and zeros of a value, such as a latency."""
+    v = F.col(value)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(v), digits).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"), F.count_if(v == 0).alias("zeros"))
+
+
+def best_configuration(scores: DataFrame, config: str, order: str, score: str = "score", y: str = "y", percents: tuple[float, ...] = (80, 90, 95)) -> DataFrame:
+    """Of each configuration its best percentile threshold by F1, and of these the best; the first of equals."""
+    cuts = scores.groupBy(config, order).agg(F.percentile(score, F.array(*[F.lit(p / 100) for p in percents])).alias("_t"))
+    cuts = cuts.select(config, order, F.posexplode("_t").alias("_i", "threshold"))
+    counts = scores.select(config, score, y).join(cuts, config).groupBy(config, order, "_i", "threshold").agg(*confusion(F.col(y) == 1, F.col(score) >= F.col("threshold")))
+    return rates(counts).orderBy(F.desc("f1"), order, "_i").limit(1).drop("_i")

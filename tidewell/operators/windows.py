@@ -160,3 +160,21 @@ def trapezoid(i: Column, n: Column) -> Column:
 
 def shifted(df: DataFrame, by: list[str], order: list[str], value: str, rows: int, name: str) -> DataFrame:
     return df.withColumn(name, F.lag(value, rows).over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def tensor(df: DataFrame, t: str, order: str, value: str, width: int, stride: int, length: int | None = None) -> DataFrame:
+    """The values of each window in order, as ``(window_id, steps array)``; a window is bounded by its width."""
+    rows = hopping(df.select(t, order, value), t, width, stride, length)
+    held = rows.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct(t, order, F.col(value).alias("_v")))).alias("_x"))
+    return held.select("window_id", F.col("_x")["_v"].alias("steps"))
+
+
+def best_of_each(df: DataFrame, by: str, key: str, order: list[Column], groups: list[str]) -> DataFrame:
+    """The best row of each group in turn; a key that an earlier group took is out. One small job a group."""
+    taken = None
+    for group in groups:
+        rows = df.filter(F.col(by) == group)
+        rows = rows if taken is None else rows.join(taken.select(key), key, "left_anti")
+        best = rows.orderBy(*order, key).limit(1).select(*df.columns)
+        taken = best if taken is None else taken.unionByName(best)
+    return taken

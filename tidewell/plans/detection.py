@@ -201,6 +201,31 @@ def effect_fold(spark, d):
     return made.select("time_s", "value", "effects", F.round("changed", 6).alias("changed"))
 
 
+@_query(f"WITH {_S}, x AS (SELECT CASE WHEN lang IN ('en', 'fr', 'de') THEN lang ELSE 'unknown' END AS truth, CASE WHEN score > 4000 THEN 'en' WHEN score > 2000 THEN 'fr' WHEN score > 1000 THEN 'de' ELSE 'unknown' END AS p FROM s) SELECT truth, {', '.join(f"count(*) FILTER (p = '{c}') AS {c}" for c in ('en', 'fr', 'de', 'unknown'))} FROM x GROUP BY 1")
+def class_confusion(spark, d):
+    guess = F.when(F.col("score") > 4000, "en").when(F.col("score") > 2000, "fr").when(F.col("score") > 1000, "de").otherwise("none of them")
+    return metrics.class_confusion(_scores(spark, d).withColumn("guess", guess), "lang", "guess", ["en", "fr", "de"])
+
+
+@_query(f"""WITH {_E}, r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i, event_type = 'error' AS y, value >= 80 AS p FROM e),
+g AS (SELECT user_id, count(*) AS n, min(i) FILTER (y) AS onset, min(i) FILTER (y AND p) AS hit FROM r GROUP BY user_id), l AS (SELECT user_id % 5 AS model, coalesce(hit - onset, n - onset) AS latency FROM g WHERE onset IS NOT NULL)
+SELECT model, count(*) AS n, round(avg(latency), 6) AS mean, quantile_cont(latency, 0.5)::DOUBLE AS median, min(latency) AS low, max(latency) AS high, count(*) FILTER (latency = 0) AS zeros FROM l GROUP BY 1""")
+def latency_summary(spark, d):
+    made = windows.detection_latency(_events(spark, d), "user_id", ["t", "event_id"], F.col("event_type") == "error", F.col("value") >= 80)
+    rows = made.select((F.col("user_id") % 5).alias("model"), F.col("latency").cast("long").alias("latency"))
+    return metrics.summary(rows, ["model"], "latency")
+
+
+@_query(f"""WITH {_P}, g AS (SELECT name, y_true AS y, score, CASE name WHEN 'length' THEN 0 WHEN 'commas' THEN 1 ELSE 2 END AS place FROM p),
+c AS (SELECT name, place, q.i, quantile_cont(score, q.p) OVER (PARTITION BY name) AS threshold, score, y FROM g, (VALUES (0, 0.8), (1, 0.9), (2, 0.95)) q(i, p)),
+k AS (SELECT name, place, i, threshold, count(*) FILTER (y = 1 AND score >= threshold) AS tp, count(*) FILTER (y = 0 AND score >= threshold) AS fp, count(*) FILTER (y = 0 AND score < threshold) AS tn, count(*) FILTER (y = 1 AND score < threshold) AS fn FROM c GROUP BY ALL),
+r AS (SELECT name, place, i, tp, fp, tn, fn, round(threshold, 6) AS threshold, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM k) SELECT name, threshold, tp, fp, tn, fn, f1 FROM r ORDER BY f1 DESC, place, i LIMIT 1""".replace("quantile_cont(score, q.p) OVER (PARTITION BY name)", "(SELECT quantile_cont(h.score, [0.8, 0.9, 0.95])[q.i + 1] FROM g h WHERE h.name = g.name)"))
+def best_configuration(spark, d):
+    place = F.when(F.col("name") == "length", 0).when(F.col("name") == "commas", 1).otherwise(2)
+    rows = _predictions(spark, d).select("name", F.col("y_true").alias("y"), "score", place.alias("place"))
+    return metrics.best_configuration(rows, "name", "place").select("name", F.round("threshold", 6).alias("threshold"), "tp", "fp", "tn", "fn", "f1")
+
+
 @_query()
 def pca_reconstruction(spark, d):
     """Reconstruction errors of window features on two components."""

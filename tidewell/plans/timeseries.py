@@ -278,3 +278,16 @@ def topk_signals(spark, d):
     made = long.groupBy("anchor_id", "signal").agg(F.count("*").alias("points"), F.round(F.stddev_samp("v"), 6).alias("std"), F.round(F.max("v") - F.min("v"), 6).alias("spread"))
     rank = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc_nulls_last("std"), "signal"))
     return made.withColumn("rank", rank.cast("long")).filter("rank <= 2")
+
+
+@_query(f"WITH {_W} SELECT window_id, row_number() OVER (PARTITION BY window_id ORDER BY t, event_id) - 1 AS step, value FROM w")
+def sequence_windows(spark, d):
+    made = windows.tensor(_events(spark, d), "t", "event_id", "value", WIDTH, STRIDE)
+    return made.select("window_id", F.posexplode("steps").alias("step", "value")).withColumn("step", F.col("step").cast("long"))
+
+
+@_query(f"""WITH {_E}, a AS (SELECT event_type, user_id, max(value) AS top FROM e GROUP BY ALL), x AS (SELECT * FROM a WHERE event_type = 'error' ORDER BY top DESC, user_id LIMIT 1),
+y AS (SELECT * FROM a WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM x) ORDER BY top DESC, user_id LIMIT 1) SELECT event_type, user_id, top FROM x UNION ALL SELECT event_type, user_id, top FROM y""")
+def presenter_choice(spark, d):
+    tops = _events(spark, d).groupBy("event_type", "user_id").agg(F.max("value").alias("top"))
+    return windows.best_of_each(tops, "event_type", "user_id", [F.desc("top")], ["error", "purchase"])
