@@ -104,6 +104,15 @@ def test_metrics_with_ties_and_one_class(spark):
     assert (empty.precision, empty.recall, empty.f1) == (0.0, 0.0, 0.0)
 
 
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=700), np.full(300, 0.25), [1e6]])
+    df = spark.createDataFrame([(float(v), 7.0, None) for v in x] + [(float("nan"), None, None)], "a double, b double, c double")
+    percents = [0, 1, 37.5, 50, 90, 99.9, 100]
+    got = metrics.exact_percentiles(df, ["a", "b", "c"], percents, bins=16)
+    assert np.allclose(got["a"], np.percentile(x, percents)) and got["b"] == [7.0] * 7 and got["c"] == [None] * 7
+
+
 def test_audit_and_rollup(spark):
     a = spark.createDataFrame([("m", 0.5, 1.0), ("n", 0.2, 1.0)], "k string, f1 double, auc double")
     b = spark.createDataFrame([("m", 0.50001, 0.9), ("o", 0.2, 1.0)], "k string, f1 double, auc double")

@@ -9,14 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import exact_percentiles
+
 MAD_SCALE = 1.4826
 
 
 def robust_parameters(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
-    """(median, MAD) of each feature: two passes, exact."""
-    medians = train.agg(*[F.percentile(f, F.lit(0.5)).alias(f) for f in features]).first()
-    spread = train.agg(*[F.percentile(F.abs(F.col(f) - F.lit(medians[f])), F.lit(0.5)).alias(f) for f in features]).first()
-    return {f: (medians[f], spread[f]) for f in features}
+    """(median, MAD) of each feature, exact, without a task that holds a feature."""
+    medians = {f: m[0] for f, m in exact_percentiles(train, features, [50]).items()}
+    gaps = train.select(*[F.abs(F.col(f) - F.lit(m)).alias(f) for f, m in medians.items()])
+    return {f: (medians[f], s[0]) for f, s in exact_percentiles(gaps, features, [50]).items()}
 
 
 def robust_z(df: DataFrame, parameters: dict[str, tuple[float, float]], name: str = "score") -> DataFrame:

@@ -49,10 +49,63 @@ def at_thresholds(scores: DataFrame, thresholds: DataFrame, score: str = "score"
     return rates(counts)
 
 
+def exact_percentiles(df: DataFrame, columns: list[str], percents: list[float], bins: int = 4096) -> dict[str, list[float | None]]:
+    """Percentiles of each column, linear between ranks; NULL and NaN are left out.
+
+    No task holds a column: a first pass counts equal bins, a second sums the distinct values
+    of those bins that hold a rank asked for. The driver sees counts of bins and the ranked values.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(F.inline(pairs)).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    bounds = {r["f"]: r for r in long.groupBy("f").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).collect()}
+    place = F.lit(0)
+    for f, r in bounds.items():
+        width = (r["high"] - r["low"]) / bins
+        if width > 0:
+            place = F.when(F.col("f") == f, F.least(F.lit(bins - 1), F.floor((F.col("v") - r["low"]) / F.lit(width)))).otherwise(place)
+    binned = long.withColumn("b", place)
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in binned.groupBy("f", "b").count().collect():
+        counts.setdefault(r["f"], []).append((r["b"], r["count"]))
+    wanted, before = {f: sorted({k for p in percents for k in _ranks(p, r["n"])}) for f, r in bounds.items()}, {}
+    for f, cells in counts.items():
+        total = 0
+        for b, n in sorted(cells):
+            if any(total <= k < total + n for k in wanted[f]):
+                before[f, b] = total
+            total += n
+    found: dict[tuple[str, int], float] = {}
+    if before:
+        start = F.element_at(F.create_map(*[F.lit(x) for (f, b), n in before.items() for x in (f"{f}|{b}", n)]), F.concat_ws("|", "f", F.col("b").cast("string")))
+        keep = F.concat_ws("|", "f", F.col("b").cast("string")).isin([f"{f}|{b}" for f, b in before])
+        values = binned.filter(keep).groupBy("f", "b", "v").count()
+        end = F.sum("count").over(Window.partitionBy("f", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + start
+        ranks = F.element_at(F.create_map(*[x for f, ks in wanted.items() for x in (F.lit(f), F.array(*[F.lit(k) for k in ks]))]), F.col("f"))
+        placed = values.withColumn("end", end).select("f", "v", F.explode(F.filter(ranks, lambda k: (k < F.col("end")) & (k >= F.col("end") - F.col("count")))).alias("k"))
+        found = {(r["f"], r["k"]): r["v"] for r in placed.collect()}
+    out = {}
+    for c in columns:
+        n = bounds[c]["n"] if c in bounds else 0
+        out[c] = [None if not n else _between(found, c, p, n) for p in percents]
+    return out
+
+
+def _ranks(percent: float, n: int) -> tuple[int, int]:
+    low = int(percent / 100 * (n - 1))
+    return low, min(n - 1, low + 1)
+
+
+def _between(found: dict, column: str, percent: float, n: int) -> float:
+    low, high = _ranks(percent, n)
+    share = percent / 100 * (n - 1) - low
+    return found[column, low] + (found[column, high] - found[column, low]) * share
+
+
 def percentile_thresholds(scores: DataFrame, score: str, percents: list[float]) -> DataFrame:
     """(percent, threshold): exact percentiles, linear between ranks."""
-    found = scores.agg(F.percentile(score, F.array(*[F.lit(p / 100) for p in percents])).alias("t"))
-    return found.select(F.posexplode("t").alias("i", "threshold")).select(F.element_at(F.array(*[F.lit(float(p)) for p in percents]), F.col("i") + 1).alias("percent"), "threshold")
+    found = exact_percentiles(scores, [score], percents)[score]
+    rows = F.array(*[F.struct(F.lit(float(p)).alias("percent"), F.lit(t).cast("double").alias("threshold")) for p, t in zip(percents, found, strict=True)])
+    return scores.sparkSession.range(1).select(F.inline(rows))
 
 
 def choose_threshold(scores: DataFrame, percents: list[float], score: str = "score", y: str = "y", fallback: float = 95.0) -> DataFrame:

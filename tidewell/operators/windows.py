@@ -60,23 +60,21 @@ def gaps(df: DataFrame, by: list[str], t: str, longest: int) -> DataFrame:
     return df.withColumn("next_t", F.lead(t).over(w)).withColumn("gap", F.col("next_t") - F.col(t)).filter(F.col("gap") > longest)
 
 
-def time_split(df: DataFrame, order: list[str], train: float = 0.6, validation: float = 0.2, name: str = "split") -> DataFrame:
+def time_split(df: DataFrame, order: list[str], bucket: Column, train: float = 0.6, validation: float = 0.2, name: str = "split") -> DataFrame:
     """Train, validation and test by rank in ``order``.
 
-    Ranks come from a range-partitioned count, not from one sorted partition: the rows of
-    the ranges before a row's own are added to its place in its range.
+    ``bucket`` is a coarse, rising function of the order, such as the hour. A row's rank is its
+    place in its bucket plus the rows of earlier buckets, so only buckets are sorted, and only the
+    table of buckets is summed in one task.
     """
-    n = df.count()
-    cut = [int(n * train), int(n * (train + validation))]
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part], total = total, total + sizes[part]
-    offsets = F.create_map(*[F.lit(x) for p, b in before.items() for x in (p, b)]) if before else F.create_map()
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.element_at(offsets, F.col("_part")) - 1
-    named = ranged.withColumn("_place", place) if before else ranged.withColumn("_place", F.lit(0))
-    return named.withColumn(name, F.when(F.col("_place") < cut[0], "train").when(F.col("_place") < cut[1], "validation").otherwise("test")).drop("_part", "_place")
+    rows = df.withColumn("_bucket", bucket)
+    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_bucket", before.alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_n"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+    ranked = rows.withColumn("_place", place).join(sizes, "_bucket").withColumn("_place", F.col("_place") + F.col("_before"))
+    part = F.when(F.col("_place") < F.floor(F.col("_n") * train), "train").when(F.col("_place") < F.floor(F.col("_n") * (train + validation)), "validation").otherwise("test")
+    return ranked.withColumn(name, part).select(*df.columns, name)
 
 
 def group_split(df: DataFrame, group: str, t: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:

@@ -81,7 +81,7 @@ def gap_check(spark, d):
 
 @_query(f"WITH {_E}, r AS (SELECT event_id, row_number() OVER (ORDER BY t, event_id) - 1 AS i, count(*) OVER () AS n FROM e) SELECT event_id, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM r")
 def time_split(spark, d):
-    return windows.time_split(_events(spark, d).select("event_id", "t"), ["t", "event_id"]).select("event_id", "split")
+    return windows.time_split(_events(spark, d).select("event_id", "t"), ["t", "event_id"], F.floor(F.col("t") / 3600)).select("event_id", "split")
 
 
 @_query(f"WITH {_E}, f AS (SELECT user_id, min(t) AS first_t FROM e GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY first_t, user_id) - 1 AS rank, count(*) OVER () AS n FROM f) SELECT user_id, first_t, rank, CASE WHEN rank < floor(n * 0.6) THEN 'train' WHEN rank < floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM r")
