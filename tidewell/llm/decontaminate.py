@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import WordAutomaton
-from .storage import Shared, written
+from .storage import Shared, slices, written
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -156,7 +156,7 @@ def _scan(shared: Shared, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(shared)
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in slices(batches):
             n, longest, spans, items = [], [], [], []
             for text in batch.column(kept).cast(pa.binary()).to_pylist():
                 words = words_of(text)
@@ -241,7 +241,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_c
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared)
-            for batch in batches:
+            for batch in slices(batches):
                 column = batch.column(at)
                 texts = column.cast(pa.binary()).to_pylist()
                 cut = [t if t is None else _cut(t, automaton, max_share) for t in texts]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .mixing import draw
-from .storage import Shared
+from .storage import Shared, slices
 
 PIECES, PIECE_CHARS, LANGUAGES = 120, 400, 64
 #: Characters parsed side by side, and the length of a segment.
@@ -177,7 +177,7 @@ def identify(docs: DataFrame, learned: dict[str, str], text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             seen, bits = parser.entropies(batch.column(n).to_pylist())
             order = np.argsort(bits, axis=1, kind="stable")
             best = np.take_along_axis(bits, order[:, :2], 1)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import fingerprints as fp
 from .components import components
-from .storage import keyed, written
+from .storage import keyed, slices, written
 
 WORDS, PERCENT = 5, 85
 #: Orders, coordinates all candidates share, coordinates an order is sorted by.
@@ -59,7 +59,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, one, two, signs = [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 s = shingle_set(text, words)
@@ -134,7 +134,7 @@ def candidates(signs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, words).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "items"])
 
