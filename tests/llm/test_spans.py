@@ -83,6 +83,20 @@ def test_personal_data(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_long_runs(spark):
+    """Runs that would end the stack of a recursive match, or be searched from every place."""
+    n = 60000
+    texts = ["7" * n, "a@b" + ".c" * n, "x1@" * n, "abcdefgh" * n + "@", "4111 1111 1111 1111 " * (n // 20), "a1@b.cd_e@f.gh +1 555 0109999 " * 300, "(" * 5000 + "1" + "." * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find(docs).select("doc_id", spans.joined(F.col("base")).alias("b")).collect()
+    want = [expected(t, [x if x[0] not in ("email", "ip") or "." in t else (x[0], re.compile("(?!)"), x[2]) for x in PERSONAL], False) for t in texts]
+    assert [b for _, b in sorted(found)] == want
+    texts = ["f" * n, "token=" + "a" * n, "token" * n, "secret:abcdefgh " * 3000, "AKIA" * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secretscan.scan(docs).select("path", spans.joined(F.col("findings")).alias("s")).collect()
+    assert [s for _, s in sorted(found)] == [expected(t, SECRETS, True) for t in texts]
+
+
 def test_contexts_find_unseen_identifiers(spark):
     known = [(i, f"please write to contact: user{i}@example{i}.com about order item {i} today") for i in range(40)]
     noise = [(100 + i, f"there were {i + 1000} birds and {i + 2000} trees") for i in range(60)]

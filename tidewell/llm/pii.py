@@ -20,17 +20,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import labelled, located, matches
+from .spans import labelled, located
 from .storage import keyed, written
 
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"
+#: A match begins where a run of its first class does, or where the match before it ends.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Numbers of under 16 digits never count, and end where the longer ones do.
-CARD = r"[0-9](?:[\x20-]?[0-9]){15,}"
+CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CONTEXT = r"[^\x09-\x0D\x20]+[\x20\x09]+[^\x09-\x0D\x200-9@]*[0-9@][^\x09-\x0D\x20]*"
+CONTEXT = r"(?<![^\x09-\x0D\x20])[^\x09-\x0D\x20]++[\x20\x09]++[^\x09-\x0D\x200-9@]*+[0-9@][^\x09-\x0D\x20]*+"
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS, RELIABLE, LIFT, SUPPORT, DIGITS = 3, 0.6, 1.5, 5, 4
+#: A word and a token of more characters together are no occurrence.
+LONGEST = 512
+STRETCH = 128
 _SPANS = "array<struct<k:int,start:int,end:int,kind:string>>"
 
 
@@ -57,17 +61,17 @@ def base_spans(text: Column) -> Column:
     """Spans of the four seed kinds, by kind, then start."""
     digit = text.rlike("[0-9]")
     found = (
-        located(text, matches(text, EMAIL, text.contains("@"))),
-        F.filter(located(text, matches(text, IP, digit)), lambda s: _is_ip(s["match"])),
-        F.filter(located(text, matches(text, CARD, digit)), lambda s: _is_card(s["match"])),
-        F.filter(located(text, matches(text, PHONE, text.contains("+"))), lambda s: _is_phone(s["match"])),
+        located(text, EMAIL, text.contains("@")),
+        F.filter(located(text, IP, digit), lambda s: _is_ip(s["match"])),
+        F.filter(located(text, CARD, digit), lambda s: _is_card(s["match"])),
+        F.filter(located(text, PHONE, text.contains("+")), lambda s: _is_phone(s["match"])),
     )
     return F.concat(*[labelled(kind, i, x) for i, (kind, x) in enumerate(zip(KINDS, found, strict=False))])
 
 
 def _occurrences(text: Column) -> Column:
     """(pattern, instance, start, end) of each token with a digit or an at sign that follows a word."""
-    found = located(text, matches(text, CONTEXT, text.rlike("[0-9@]")))
+    found = F.filter(located(text, CONTEXT, text.rlike("[0-9@]")), lambda s: F.length(s["match"]) <= LONGEST)
 
     def one(s: Column) -> Column:
         token = F.regexp_extract(s["match"], r"[^\x09-\x0D\x20]+$", 0)
@@ -97,14 +101,23 @@ def score(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]
     return patterns, scores
 
 
+def _with_seeds(near: DataFrame, base: DataFrame) -> DataFrame:
+    """Which occurrences overlap a base span: both meet in stretches of ``STRETCH`` characters, so a text with very many of each costs no pairs."""
+
+    def dealt(spans: DataFrame, start: str, end: str) -> DataFrame:
+        return spans.select("_key", F.col("start").alias(start), F.col("end").alias(end), F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.col("end") - 1) / STRETCH))).alias("stretch"))
+
+    met = dealt(near, "o", "p").join(dealt(base, "b", "c"), ["_key", "stretch"]).filter("b < p and c > o")
+    seeds = met.select("_key", F.col("o").alias("start")).distinct().withColumn("seed", F.lit(True))
+    return near.join(seeds, ["_key", "start"], "left").select("_key", "pattern", "instance", "start", "end", F.coalesce("seed", F.lit(False)).alias("seed"))
+
+
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, spans): the seed spans, and these with the spans that context adds."""
     rows, _ = keyed(docs, doc_id, text)
     content = F.coalesce(F.col(text), F.lit(""))
     seen = written(rows.select("_key", "doc_id", base_spans(content).alias("base"), _occurrences(content).alias("near")), "seen")
-    near = seen.filter(F.size("near") > 0).select("_key", "base", F.explode("near").alias("o"))
-    seed = F.exists("base", lambda b: (b["start"] < F.col("o.end")) & (b["end"] > F.col("o.start")))
-    near = written(near.select("_key", "o.*", seed.alias("seed")), "near")
+    near = written(_with_seeds(seen.select("_key", F.inline("near")), seen.select("_key", F.inline("base"))), "near")
     edges = written(near.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     patterns, scores = score(edges)
     rate = edges.agg(F.avg(F.col("seed").cast("double"))).first()[0] or 0.0

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, labelled, located, matches
+from .spans import SPAN, labelled, located
 from .storage import shared_folder
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,7 +38,7 @@ class Rule:
         return f"{self.name}@{self.version}"
 
     def find(self, text: Column) -> Column:
-        found = located(text, matches(text, self.pattern))
+        found = located(text, self.pattern)
         return found if self.keep is None else F.filter(found, lambda s: self.keep(s["match"]))
 
 

@@ -1,9 +1,10 @@
 """Matches of a pattern with their places, in SQL functions alone.
 
-``regexp_extract_all`` gives the matched texts from left to right but not their places.
-For a pattern without anchors and look-behind, each match is the first place of its text
-at or after the end of the match before it: were the text to stand earlier, the pattern would
-match there, and the leftmost match would not be this one.
+``regexp_extract_all`` gives the matched texts from left to right, ``split`` gives the texts
+between them; the lengths of both, added up, are the places. Both take one pass over a text,
+so a text with very many matches costs no search from its start for each. A pattern must
+not match the empty text. Repeated groups must be possessive: the regular expression
+engine recurses once a repetition of any other group, and a long run ends its stack.
 """
 
 from __future__ import annotations
@@ -15,24 +16,26 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
-def matches(text: Column, pattern: str, where: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches; ``where`` is a cheap test that a text with matches passes."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def located(text: Column, pattern: str, where: Column | None = None) -> Column:
+    """Leftmost non-overlapping matches as SPAN; ``where`` is a cheap test that a text with matches passes."""
     none = F.array().cast("array<string>")
-    return F.coalesce(found if where is None else F.when(where, found).otherwise(none), none)
 
+    def tested(x: Column) -> Column:
+        return F.coalesce(x if where is None else F.when(where, x).otherwise(none), none)
 
-def located(text: Column, found: Column) -> Column:
-    """``matches`` with their places, as SPAN."""
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(SPAN).alias("done"))
+    found = tested(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    between = tested(F.split(text, pattern, -1))
+    # the text after the last match pairs with no match
+    pairs = F.zip_with(found, between, lambda m, b: F.struct(m.alias("match"), F.length(b).alias("before")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("done"))
 
-    def step(held: Column, match: Column) -> Column:
-        at = F.position(match, text, held["at"])
-        end = at + F.length(match)
-        one = F.struct((at - 1).alias("start"), (end - 1).alias("end"), match.alias("match"))
-        return F.struct(end.alias("at"), F.concat(held["done"], F.array(one)).alias("done"))
+    def step(held: Column, pair: Column) -> Column:
+        begin = held["at"] + pair["before"]
+        end = begin + F.length(pair["match"])
+        one = F.struct(begin.alias("start"), end.alias("end"), pair["match"].alias("match"))
+        return F.when(pair["match"].isNull(), held).otherwise(F.struct(end.alias("at"), F.concat(held["done"], F.array(one)).alias("done")))
 
-    return F.aggregate(found, start, step, lambda held: held["done"])
+    return F.aggregate(pairs, start, step, lambda held: held["done"])
 
 
 def labelled(kind: str, order: int, spans: Column) -> Column:
