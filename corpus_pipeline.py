@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, langid, lshforest, mixing, queries, sharding, storage
 from tidewell.session import ship
@@ -29,8 +28,7 @@ def _begin(spark: SparkSession) -> None:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in none of the learned languages, go."""
     _begin(spark)
-    found = langid.identify(docs, langid.references(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("bits") <= MAX_BITS)).select(*docs.columns)
+    return langid.recognised(docs, langid.references(docs), MAX_BITS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import random
 from itertools import combinations
 
 import numpy as np
-from tidewell.llm import lshforest, pq
+from pyspark.sql import functions as F
+from tidewell.llm import langid, lshforest, pq
 from tidewell.llm.components import components
 
 
@@ -129,3 +130,18 @@ def test_recall_at_the_threshold(spark):
     x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * noise]).astype(np.float32)
     found = pq.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
     assert found.groupBy().sum("n_links").first()[0] >= 0.95 * 3000
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that operators use themselves neither stop a stage nor lose their values."""
+    text = "the quick brown fox jumps over the lazy dog and runs away again "
+    names = ("_key", "_text", "_c0", "node", "component", "kept", "h1", "score", "bits", "lang_pred")
+    docs = spark.createDataFrame([(i, text * (1 + i // 2), "en") for i in range(6)] + [(None, text, "en"), (7, None, None)], "id long, doc_id string, lang string")
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    kept = lshforest.keep_one(docs, "id", "doc_id")
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert all(r[n] == n for r in rows for n in names)
+    assert 7 in {r.id for r in rows} and None not in {r.id for r in rows}
+    some = langid.recognised(docs, {"en": text}, 8.0, "doc_id")
+    assert some.columns == docs.columns and some.count() == 7 and all(r[n] == n for r in some.collect() for n in names)

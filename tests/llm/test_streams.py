@@ -96,8 +96,9 @@ def test_languages_without_labels(spark):
     assert langid.references(docs) == {}
     assert langid.identify(docs, {}).first().lang_pred == "und"
     assert langid.identify(docs.limit(0), {"aa": "abc"}).count() == 0
-    with pytest.raises(ValueError):
-        langid.identify(docs.withColumn("score", F.lit(1)), {})
+    assert langid.recognised(docs, {}, 9.0).count() == 0
+    clash = langid.identify(docs.withColumn("score", F.lit("x")), {"aa": "abc"})
+    assert clash.columns == ["doc_id", "text", "lang", "lang_pred", "score", "bits"] and clash.first().score == 1.0
 
 
 def test_parse_is_greedy():
@@ -136,6 +137,10 @@ def test_raking_meets_its_targets(spark):
     assert sorted(map(str, kept.collect())) == sorted(map(str, mixing.mix(docs, margins, tokens, targets={"lang": goal}).collect()))
     words = {r.lang: r.n for r in kept.groupBy("lang").agg(F.sum(mixing.token_count(F.col("text"))).alias("n")).collect()}
     assert words["z"] / sum(words.values()) == pytest.approx(0.5, abs=0.06)
+    clash = docs.withColumns({n: F.lit("x") for n in ("_m0", "_p", "_n", "_row", "_u")})
+    named = mixing.mix(clash, {"source": clash["source"], "lang": clash["lang"]}, tokens, targets={"lang": goal}, probability="_p")
+    assert named.columns == [*[c for c in clash.columns if c != "_p"], "_p"]
+    assert {r._m0 for r in named.collect()} == {"x"} and named.count() == kept.count()
     empty = docs.limit(0)
     assert mixing.mix(empty, {"source": empty["source"]}, mixing.token_count(empty["text"])).count() == 0
 
@@ -171,5 +176,6 @@ def test_placement(spark):
     assert len({r.shard for r in rows if r.doc_id is None}) == 1
     assert len({r.shard for r in rows}) == sharding.SHARDS
     assert sharding.shard(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        sharding.shard(docs.withColumn("slot", F.lit(1)))
+    clash = sharding.shard(docs.withColumns({"slot": F.lit("x"), "shard": F.lit("y")}))
+    assert sorted(map(str, clash.collect())) == sorted(map(str, rows))
+    assert sorted(map(str, sharding.shard(docs.select("doc_id"), slot="doc_id").select("shard").collect())) == sorted(f"Row(shard={r.shard})" for r in rows)

@@ -15,7 +15,8 @@ each language, chosen by a hash of the document id among the rows with a label t
 not held out. At most ``LANGUAGES`` labels (the most frequent) are learned.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or where
-nothing was learned; a null id is never held out; repeated rows get equal results.
+nothing was learned; a null id is never held out; repeated rows get equal results. A kept
+column with a result's name gives way to it; ``recognised`` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -166,9 +167,7 @@ def _parser(shared: Shared) -> Parser:
 
 def identify(docs: DataFrame, learned: dict[str, str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) with lang_pred, score (how far the runner-up lies behind, 0 to 1) and bits a character."""
-    keep = docs.columns if keep is None else keep
-    if clash := {"lang_pred", "score", "bits"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "bits")]
     source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     if not learned:
         return source.drop("_text").withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits": F.lit(None).cast("double")})
@@ -188,3 +187,19 @@ def identify(docs: DataFrame, learned: dict[str, str], text: str = "text", keep:
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]
     return source.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *fields]))
+
+
+def recognised(docs: DataFrame, learned: dict[str, str], max_bits: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose text has a letter and costs ``max_bits`` a character at most in one language."""
+    if not learned:
+        return docs.limit(0)
+    shared = Shared(docs.sparkSession, learned)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(shared)
+        for batch in slices(batches, 1024):
+            seen, bits = parser.entropies(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(seen & (bits.min(axis=1) <= max_bits)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -261,8 +261,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with all columns, one document of each component: the one with the smallest id."""
-    others = [c for c in docs.columns if c not in (doc_id, text)]
-    rows, _ = keyed(docs, doc_id, text, *others)
-    kept = near_duplicates(rows.select("_key", text), "_key", text, words, percent).filter("kept").select("_key")
-    named = rows.join(kept, "_key", "left_semi").withColumnRenamed("doc_id", doc_id)
-    return named.select(*docs.columns)
+    # numbered columns, as the names of others may be those used here
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows, _ = keyed(docs.select(*[F.col(c).alias(n) for c, n in names.items()]), names[doc_id], *[n for c, n in names.items() if c != doc_id])
+    kept = near_duplicates(rows.select("_key", names[text]), "_key", names[text], words, percent).filter("kept").select("_key")
+    return rows.join(kept, "_key", "left_semi").select(*[F.col("doc_id" if c == doc_id else n).alias(c) for c, n in names.items()])

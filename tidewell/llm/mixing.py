@@ -14,7 +14,8 @@ Without a table they are tempered: the shares in the data to the power
 Defined results: null values of a margin form a value of their own (``\\N``); a null or
 empty text has no tokens and its cell's probability (1 where the cell has none); an
 empty table stays empty; repeated rows with one id share their fate; a null id draws as the
-text ``\\N``. Only named columns are read for the cells; all columns of the input are returned.
+text ``\\N``. Only named columns are read for the cells; all columns of the input are returned,
+whatever their names, but one that is named as the probability gives way to it.
 """
 
 from __future__ import annotations
@@ -95,7 +96,9 @@ def mix(docs: DataFrame, margins: dict[str, Column], tokens: Column, key: str =
     """The documents kept, with all their columns (and their probability, where a name for it is given)."""
     fitted = rake(docs, margins, tokens, **fit)
     names = [f"_m{i}" for i in range(len(margins))]
-    placed = docs.withColumns({n: F.coalesce(c.cast("string"), F.lit("\\N")) for n, c in zip(names, margins.values(), strict=True)})
-    kept = placed.join(fitted.select(*names, "_p"), names).filter(draw(F.col(key), seed) < F.col("_p"))
-    out = [F.col(c) for c in docs.columns]
+    cell = [F.coalesce(c.cast("string"), F.lit("\\N")).alias(n) for n, c in zip(names, margins.values(), strict=True)]
+    # the rows travel as one column, so that theirs may have any names
+    placed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), draw(F.col(key), seed).alias("_u"), *cell)
+    kept = placed.join(fitted.select(*names, "_p"), names).filter("_u < _p")
+    out = [F.col("_row")[c].alias(c) for c in docs.columns if c != probability]
     return kept.select(*out, F.col("_p").alias(probability)) if probability else kept.select(*out)

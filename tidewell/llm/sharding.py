@@ -8,8 +8,8 @@ The table has ``slots`` small numbers whatever the data size, and travels as a
 constant of the plan.
 
 Defined results: a null key is placed like the text ``\\N``; equal keys share a shard;
-an empty table gives no rows; other columns pass through, and a clash with an output
-name is refused.
+an empty table gives no rows; other columns pass through, but a column with an output's
+name gives way to it.
 """
 
 from __future__ import annotations
@@ -54,8 +54,7 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 def shard(docs: DataFrame, key: str = "doc_id", shards: list[str] | int = SHARDS, slots: int = SLOTS, slot: str = "slot", name: str = "shard") -> DataFrame:
     """``docs`` with their slot and their shard's index in ``shards``."""
-    if clash := {slot, name} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already; name others")
     names = [f"shard-{i}" for i in range(shards)] if isinstance(shards, int) else shards
     table = F.split(F.lit(",".join(map(str, lookup_table(names, slots)))), ",").cast("array<int>")
-    return docs.withColumn(slot, slot_of(F.col(key), slots)).withColumn(name, F.element_at(table, F.col(slot) + 1))
+    at = slot_of(F.col(key), slots)
+    return docs.withColumns({slot: at, name: F.element_at(table, at + 1)})
