@@ -132,6 +132,44 @@ def test_recall_at_the_threshold(spark):
     assert found.groupBy().sum("n_links").first()[0] >= 0.95 * 3000
 
 
+def test_a_dense_group_keeps_all_its_links(spark):
+    """A third of the rows jittered around one vector, most of them linked, and two lengths: every count as by brute force."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(8000, 64))
+    hot = rng.normal(size=64) + rng.normal(size=(4000, 64)) * 0.3
+    x = np.concatenate([base, hot]).astype(np.float32)
+    other = x[7900:8100, :48].copy()
+    table = [(i, v.tolist()) for i, v in enumerate([*x, *other])]
+    found = {r.doc_id: r for r in pq.near_vectors(spark.createDataFrame(table, "vec_id long, embedding array<float>")).collect()}
+    for part, first in ((x, 0), (other, len(x))):
+        unit = part.astype(float) / np.linalg.norm(part.astype(float), axis=1)[:, None]
+        near = unit @ unit.T >= 0.9
+        np.fill_diagonal(near, False)
+        assert near.sum() > len(part)
+        assert [found[first + i].n_links for i in range(len(part))] == near.sum(1).tolist()
+
+
+def test_bounds_leave_out_no_link():
+    """Few bins, whose lists are far apart: pairs in bins that are not visited are all below the threshold."""
+    rng = np.random.default_rng(5)
+    x = pq._unit(np.repeat(rng.normal(size=(40, 16)), 50, axis=0) + rng.normal(size=(2000, 16)) * 0.2)
+    index = pq.Index(x[::4], 30)
+    squares = index.squares(x)
+    own = squares.argmin(1)
+    radius = np.sqrt(squares.min(1))
+    names = np.unique(own).tolist()
+    old, pq.BLOCK = pq.BLOCK, 60
+    try:
+        index.fill({k: int((own == k).sum()) for k in names}, {k: float(radius[own == k].max()) for k in names})
+    finally:
+        pq.BLOCK = old
+    home = index.first[own] + np.arange(len(x)) % index.parts[own]
+    bins, seen = index.reach(x, own, 0.2**0.5)
+    assert bins.tolist() == list(range(len(bins))) and set(home.tolist()) == set(bins.tolist())
+    i, j = np.nonzero(x @ x.T >= 0.9)
+    assert seen[i, home[j]].all() and not seen.all()
+
+
 def test_stages_keep_columns_of_any_name(spark):
     """Names that operators use themselves neither stop a stage nor lose their values."""
     text = "the quick brown fox jumps over the lazy dog and runs away again "

@@ -1,20 +1,20 @@
-"""Embedding near-duplicates by product quantisation over coarse inverted lists.
+"""Embedding near-duplicates by exact cosines over coarse inverted lists.
 
 Equal vectors form a class first, so a vector with a third of all rows costs one row a
-task. Each class sits in the inverted list of its nearest coarse centroid, as the code of
-its residual in ``SUBSPACES`` subspaces; as a query it visits the ``PROBES`` lists nearest
-to it. In a list, table lookups give the distance from the query to every code; what lies
-within the threshold and ``SLACK`` deviations of the code's own error is compared exactly,
-in double precision. A large list is dealt out as a grid of blocks of its members and
-queries, so no task holds more than two blocks. What leaves a cell is a count for each
-query and a spanning forest of its links, never the pairs.
-
-Centroids and codebooks are fitted on at most ``SAMPLE`` classes, chosen by a hash of the
-vector; every vector is indexed. The number of lists follows the square root of the
-number of classes.
-
-Defined results: null, empty and zero vectors, vectors with null or non-finite
-components, and vectors whose length is not the table's most frequent one have no links;
+task. Each class sits in the inverted list of its nearest coarse centroid; lists are packed
+into bins of ``BLOCK`` classes (a larger list is dealt out over several). A class visits
+every bin that may hold a vector within the threshold, by two bounds that no such vector
+can break: the centroid's distance less the list's largest radius, and the distance from the
+border between the list and its own. What two bins send each other is compared exactly, in
+double precision, once for both ends. What leaves a cell is a count for each class and
+a spanning forest of its links, never the pairs.
+
+Centroids are fitted on at most ``SAMPLE`` classes, chosen by a hash of the vector; they
+decide what is compared with what, never which links are found. Where vectors form no
+groups, the bounds leave out little, and the work is that of all pairs of bins.
+
+Defined results: null, empty and zero vectors, and vectors with null or non-finite
+components have no links; vectors of different lengths are never linked, those of each length are compared;
 repeated rows are linked with each other; with null or repeated ids a component is named
 by the smallest non-null id in it. An empty table gives no rows. Only the named columns are read.
 """
@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import Shared, keyed, written
+from .storage import Shared, keyed, slices, written
 
 COSINE = 0.9
-SAMPLE, LISTS, PROBES, SUBSPACES, CODES = 16384, 4096, 16, 8, 64
-SLACK = 5.0
+SAMPLE, LISTS = 16384, 4096
+#: Classes of a bin; a length with no more is compared as one.
 BLOCK = 4096
+#: More than the rounding of a bound.
+_ROUNDING = 1e-6
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -53,158 +55,161 @@ def _means(x: np.ndarray, k: int, steps: int, seed: int) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids and a codebook for each subspace of the residuals."""
+    """Coarse centroids, and once ``fill`` has seen the lists the bins they are in."""
 
     def __init__(self, sample: np.ndarray, lists: int):
         x = _unit(sample)
-        self.width = -(-x.shape[1] // SUBSPACES)
         self.coarse = _means(x, min(lists, len(x)), 8, 1)
-        residual = self._cut(x - self.coarse[self.nearest(x, 1)[:, 0]])
-        self.books = [_means(residual[:, j], min(CODES, len(x)), 8, 2 + j) for j in range(SUBSPACES)]
-
-    def _cut(self, x: np.ndarray) -> np.ndarray:
-        return np.pad(x, [(0, 0), (0, self.width * SUBSPACES - x.shape[1])]).reshape(len(x), SUBSPACES, self.width)
-
-    def nearest(self, x: np.ndarray, k: int) -> np.ndarray:
-        far = (self.coarse * self.coarse).sum(1) - 2 * x @ self.coarse.T
-        k = min(k, far.shape[1])
-        some = np.argpartition(far, k - 1, axis=1)[:, :k]
-        return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1)
-
-    def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes, and the length of what they miss."""
-        parts = self._cut(x - self.coarse[lists])
-        codes, miss = np.zeros((len(x), SUBSPACES), np.uint8), np.zeros(len(x))
-        for j, book in enumerate(self.books):
-            far = ((parts[:, j, None] - book) ** 2).sum(2)
-            codes[:, j] = far.argmin(1)
-            miss += far.min(1)
-        return codes, np.sqrt(miss)
-
-    def distances(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances from queries to the codes of list ``at``, by table lookup."""
-        parts = self._cut(queries - self.coarse[at])
-        out = np.zeros((len(queries), len(codes)), np.float32)
-        for j, book in enumerate(self.books):
-            table = ((parts[:, j, None] - book) ** 2).sum(2).astype(np.float32)
-            out += table[:, codes[:, j]]
-        return out
+
+    def squares(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances from each row to each centroid."""
+        return np.maximum((x * x).sum(1)[:, None] + (self.coarse * self.coarse).sum(1) - 2 * x @ self.coarse.T, 0)
+
+    def fill(self, sizes: dict[int, int], radius: dict[int, float]) -> None:
+        """Lists, each beside the one nearest to it of those that are left, to bins."""
+        self.radius = np.full(len(self.coarse), -np.inf)
+        self.first, self.parts = np.zeros(len(self.coarse), np.int64), np.ones(len(self.coarse), np.int64)
+        left, at, held, pairs = sorted(sizes), 0, 0, []
+        bin_ = 0
+        while left:
+            far = ((self.coarse[left] - self.coarse[at]) ** 2).sum(1)
+            at = left.pop(int(far.argmin()))
+            self.radius[at] = radius[at]
+            if held and held + sizes[at] > BLOCK:
+                bin_, held = bin_ + 1, 0
+            held += sizes[at]
+            self.first[at], self.parts[at] = bin_, -(-sizes[at] // BLOCK)
+            pairs += [(bin_ + k, at) for k in range(self.parts[at])]
+            bin_ += int(self.parts[at]) - 1
+        #: (bin, list) of every part of a list, by bin.
+        self.pairs = np.array(pairs, np.int64)
+
+    def reach(self, x: np.ndarray, own: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+        """Bins (and a column for each: may it hold a vector within ``far`` of the row?)."""
+        squares = self.squares(x)
+        open_ = np.sqrt(squares) <= far + self.radius + _ROUNDING
+        # members of a list are no nearer to the row's own centroid than to theirs
+        open_ &= squares - np.take_along_axis(squares, own[:, None], 1) <= 2 * far * np.sqrt(self.squares(self.coarse[own])) + _ROUNDING
+        open_[np.arange(len(x)), own] = True
+        bins, starts = np.unique(self.pairs[:, 0], return_index=True)
+        return bins, np.logical_or.reduceat(open_[:, self.pairs[:, 1]], starts, axis=1)
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _place(shared: Shared, dim: int, probes: int):
+def _place(shared: Shared, dim: int):
+    def run(batches):
+        index = shared.value
+        for batch in slices(batches, 1024):
+            if not batch.num_rows:
+                continue
+            squares = index.squares(_unit(_vectors(batch.column(2), dim)))
+            near = squares.argmin(1)
+            found = [pa.array(near.astype(np.int32)), pa.array(np.sqrt(squares[np.arange(len(near)), near]))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *found], ["node", "weight", "v", "list", "radius"])
+
+    return run
+
+
+def _visit(shared: Shared, dim: int, far: float):
+    """``bin`` and all bins to be compared with, for each row of (node, weight, v, list, spread)."""
+
     def run(batches):
         index = shared.value
-        for batch in batches:
+        for batch in slices(batches, 1024):
             if not batch.num_rows:
                 continue
-            unit = _unit(_vectors(batch.column(2), dim))
-            near = index.nearest(unit, probes)
-            codes, miss = index.encode(unit, near[:, 0])
-            fields = [pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(miss), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *fields], ["node", "weight", "v", "code", "miss", "probes"])
+            own = batch.column(3).to_numpy().astype(np.int64)
+            home = index.first[own] + batch.column(4).to_numpy() % index.parts[own]
+            bins, open_ = index.reach(_unit(_vectors(batch.column(2), dim)), own, far)
+            visits = pa.array([bins[x].astype(np.int32) for x in open_], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(home.astype(np.int32)), visits], ["node", "weight", "v", "home", "visits"])
 
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each node to the smallest node of its component."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v, low = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+def _join(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the components of each i and j; ``low`` holds the smallest place in each place's component."""
     while True:
-        new = low.copy()
-        least = np.minimum(low[u], low[v])
-        np.minimum.at(new, u, least)
-        np.minimum.at(new, v, least)
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    far = low != np.arange(len(nodes))
-    return nodes[far], nodes[low[far]]
-
-
-def _compare(shared: Shared, dim: int, cosine: float):
-    def run(key, members: pa.Table, queries: pa.Table) -> pa.Table:
-        index, at = shared.value, key[0].as_py()
-        left, right, counts, asked = [], [], [], []
-        if members.num_rows and queries.num_rows:
-            m, q = (_unit(_vectors(x.combine_chunks(), dim)) for x in (members["v"], queries["asked"]))
-            m_node, q_node, weight = members["node"].to_numpy(), queries["query"].to_numpy(), members["weight"].to_numpy()
-            codes = np.frombuffer(b"".join(members["code"].to_pylist()), np.uint8).reshape(-1, SUBSPACES)
-            miss, reach = members["miss"].to_numpy(), 2 - 2 * cosine
-            most = (reach + miss**2 + SLACK * 2 * reach**0.5 * miss / dim**0.5 + 1e-4).astype(np.float32)
-            for low in range(0, len(q), 256):
-                near = index.distances(q[low : low + 256], at, codes) <= most
-                i, j = np.nonzero(near)
-                i += low
-                for part in range(0, len(i), 1 << 16):
-                    x, y = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-                    good = (np.einsum("ij,ij->i", q[x], m[y]) >= cosine) & (q_node[x] != m_node[y])
-                    x, y = x[good], y[good]
-                    if len(x):
-                        n = np.bincount(x, weight[y], len(q)).astype(np.int64)
-                        asked.append(q_node[n > 0])
-                        counts.append(n[n > 0])
-                        a, b = _forest(q_node[x], m_node[y])
-                        left.append(a)
-                        right.append(b)
-        if left:
-            a, b = _forest(np.concatenate(left), np.concatenate(right))
-            asked, n = np.concatenate(asked), np.concatenate(counts)
-            names, where = np.unique(asked, return_inverse=True)
-            total = np.bincount(where, n).astype(np.int64)
-        else:
-            a = b = names = total = np.zeros(0, np.int64)
-        ids = pa.concat_arrays([pa.array(names), pa.array(a)])
-        others = pa.concat_arrays([pa.nulls(len(names), pa.int64()), pa.array(b)])
-        return pa.table({"a": ids, "b": others, "n": pa.concat_arrays([pa.array(total), pa.nulls(len(a), pa.int64())])})
+        a, b = low[i], low[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j = i[apart], j[apart]
+        np.minimum.at(low, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (low[low] != low).any():
+            low[:] = low[low]
+
+
+def _compare(cosine: float):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        dim, one = key[0].as_py(), key[1].as_py() == key[2].as_py()
+        order = np.argsort(table["node"].to_numpy(), kind="stable")
+        nodes, weight, side = (table[c].to_numpy()[order] for c in ("node", "weight", "side"))
+        x = _unit(_vectors(table["v"].combine_chunks(), dim))[order]
+        count, low = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        left = np.flatnonzero(side == 0)
+        right = left if one else np.flatnonzero(side == 1)
+        others = x[right]
+        for at in range(0, len(left) if len(right) else 0, 256):
+            some = left[at : at + 256]
+            dots = x[some] @ others.T
+            i, j = np.nonzero(dots >= cosine - 1e-9)
+            near = np.flatnonzero(dots[i, j] < cosine + 1e-9)
+            good = np.ones(len(i), bool)
+            i, j = some[i], right[j]
+            # so near the threshold, a sum in an order of its own decides
+            for part in range(0, len(near), 1 << 16):
+                k = near[part : part + (1 << 16)]
+                good[k] = np.einsum("ij,ij->i", x[i[k]], x[j[k]]) >= cosine
+            good &= (i < j) if one else True
+            i, j = i[good], j[good]
+            count += np.bincount(i, weight[j], len(nodes)).astype(np.int64) + np.bincount(j, weight[i], len(nodes)).astype(np.int64)
+            _join(low, i, j)
+        asked, far = count > 0, low != np.arange(len(nodes))
+        ids = pa.array(np.concatenate([nodes[asked], nodes[far]]), pa.int64())
+        others = pa.concat_arrays([pa.nulls(int(asked.sum()), pa.int64()), pa.array(nodes[low[far]], pa.int64())])
+        return pa.table({"a": ids, "b": others, "n": pa.concat_arrays([pa.array(count[asked], pa.int64()), pa.nulls(int(far.sum()), pa.int64())])})
 
     return run
 
 
-def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
+def _cells(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
+    """The ``n`` classes of one length, a row for each cell ``(dim, a, b)`` of bins they are compared in."""
+    share = min(1.0, SAMPLE / n)
+    chosen = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    sample = [r["v"] for r in classes.filter(chosen).orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()] or [classes.orderBy("v").first()["v"]]
+    spark, kind = classes.sparkSession, dict(classes.dtypes)["v"]
+    index = Index(np.array(sample, np.float64), min(LISTS, max(1, int(n**0.5))))
+    placed = classes.mapInArrow(_place(Shared(spark, index), dim), f"node bigint, weight bigint, v {kind}, list int, radius double")
+    placed = written(placed, "placed")
+    lists = placed.groupBy("list").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect()
+    index.fill({r["list"]: r["n"] for r in lists}, {r["list"]: r["radius"] for r in lists})
+    spread = placed.select("node", "weight", "v", "list", F.pmod(F.xxhash64("node"), F.lit(1 << 30)).alias("spread"))
+    visits = spread.mapInArrow(_visit(Shared(spark, index), dim, (2 - 2 * cosine) ** 0.5), f"node bigint, weight bigint, v {kind}, home int, visits array<int>")
+    visits = visits.select("node", "weight", "v", "home", F.explode("visits").alias("bin"))
+    return visits.select(F.lit(dim).alias("dim"), F.least("home", "bin").alias("a"), F.greatest("home", "bin").alias("b"), (F.col("home") > F.col("bin")).cast("int").alias("side"), "node", "weight", "v")
+
+
+def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """A row for each vector: ``_key, doc_id (the vector's id), n_links, component_id, kept``."""
     rows, by_id = keyed(table, vec_id, vector)
     rows = rows.withColumnRenamed(vector, "v")
     sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = rows.filter(sound)
-    sizes = usable.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = sizes[0]["dim"] if sizes else 1
-    usable = usable.filter(F.size("v") == dim)
-    classes = written(usable.groupBy("v").agg(F.min("_key").alias("node"), F.count("*").alias("weight")).select("node", "weight", "v"), "classes")
-    n = classes.count()
-    counted = classes.select("node").withColumn("n", F.lit(0).cast("long"))
-    found = None
-    if n:
-        share = min(1.0, SAMPLE / n)
-        chosen = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-        sample = [r["v"] for r in classes.filter(chosen).orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()] or [classes.orderBy("v").first()["v"]]
-        index = Shared(table.sparkSession, Index(np.array(sample, np.float64), min(LISTS, max(1, int(n**0.5)))))
-        kind = dict(classes.dtypes)["v"]
-        placed = classes.mapInArrow(_place(index, dim, probes), f"node bigint, weight bigint, v {kind}, code binary, miss double, probes array<int>")
-        placed = written(placed, "placed")
-        members = placed.select(F.element_at("probes", 1).alias("list"), "node", "weight", "v", "code", "miss")
-        queries = placed.select(F.explode("probes").alias("list"), "node", "v")
-        load = written(
-            members.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("m_blocks"))
-            .join(queries.groupBy("list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("q_blocks")), "list"),
-            "load",
-        )
-        zero = F.lit(0).cast("bigint")
-        members = members.join(load, "list").withColumn("i", F.pmod(F.xxhash64("node"), F.col("m_blocks"))).withColumn("j", F.explode(F.sequence(zero, F.col("q_blocks") - 1)))
-        queries = queries.join(load, "list").withColumn("j", F.pmod(F.xxhash64("node"), F.col("q_blocks"))).withColumn("i", F.explode(F.sequence(zero, F.col("m_blocks") - 1)))
-        cell = ["list", "i", "j"]
-        members = members.select(*cell, "node", "weight", "v", "code", "miss").groupBy(*cell)
-        queries = queries.select(*cell, F.col("node").alias("query"), F.col("v").alias("asked")).groupBy(*cell)
-        compared = written(members.cogroup(queries).applyInArrow(_compare(index, dim, cosine), "a bigint, b bigint, n bigint"), "compared")
-        counted = compared.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-        found = components(compared.filter("b is not null").select("a", "b"))
-    of = usable.join(classes, "v").select("_key", "node", "weight").join(counted, "node", "left")
-    of = of.join(found, "node", "left") if found is not None else of.withColumn("component", F.col("node"))
+    classes = written(usable.groupBy("v").agg(F.min("_key").alias("node"), F.count("*").alias("weight")).select("node", "weight", "v", F.size("v").alias("dim")), "classes")
+    # lengths with more than a bin of classes: no more than there are bins
+    large = classes.groupBy("dim").count().filter(F.col("count") > BLOCK).collect()
+    zero = F.lit(0)
+    cells = classes.filter(~F.col("dim").isin([r["dim"] for r in large])).select("dim", zero.alias("a"), zero.alias("b"), zero.alias("side"), "node", "weight", "v")
+    for r in large:
+        cells = cells.unionByName(_cells(classes.filter(F.col("dim") == r["dim"]).drop("dim"), r["dim"], r["count"], cosine))
+    compared = written(cells.groupBy("dim", "a", "b").applyInArrow(_compare(cosine), "a bigint, b bigint, n bigint"), "compared")
+    counted = compared.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    found = components(compared.filter("b is not null").select("a", "b"))
+    of = usable.join(classes, "v").select("_key", "node", "weight").join(counted, "node", "left").join(found, "node", "left")
     of = of.select("_key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component"))
     out = rows.select("_key", "doc_id").join(of, "_key", "left").withColumns({"n_links": F.coalesce("n_links", F.lit(0).cast("long")), "component": F.coalesce("component", "_key")})
     if by_id:
