@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm import decontaminate, langid, lshforest, mixing, queries, sharding, storage
 from tidewell.session import ship
 
-#: A text that costs over this many bits a character in its best language is in none of them.
-MAX_BITS = 8.0
 #: Closer to one than the operator's own default: most documents stay.
 TEMPER = 0.9
 
@@ -28,7 +26,8 @@ def _begin(spark: SparkSession) -> None:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in none of the learned languages, go."""
     _begin(spark)
-    return langid.recognised(docs, langid.references(docs), MAX_BITS)
+    learned = langid.references(docs)
+    return langid.recognised(docs, learned, langid.limits(learned))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

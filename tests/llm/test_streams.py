@@ -91,6 +91,20 @@ def test_languages_on_held_out_rows(spark):
     assert all(flags[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in flags)
 
 
+def test_texts_in_no_learned_language_go(spark):
+    """With limits fitted on what is learned, texts of a language left out go, a rare label lets none in, and own texts, short ones too, stay."""
+    rows = labelled(600)
+    docs = spark.createDataFrame([*rows, (910, "ab cd", "rare"), (901, "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08", "aa")], "doc_id long, text string, lang string")
+    learned = langid.references(docs.filter("lang <> 'cc'"))
+    limits = langid.limits(learned)
+    assert set(learned) == {"aa", "bb", "rare"} and set(limits) == {"aa", "bb"}
+    kept = {r.doc_id for r in langid.recognised(docs, learned, limits).collect()}
+    own = {i for i, _, lang in rows if lang != "cc"}
+    far = {i for i, t, lang in rows if lang == "cc" and len(t) > 30}
+    assert len(own & kept) >= 0.99 * len(own)
+    assert len(far & kept) <= 0.05 * len(far) and 901 not in kept
+
+
 def test_languages_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.references(docs) == {}

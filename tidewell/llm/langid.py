@@ -35,6 +35,10 @@ from .storage import Shared, slices
 PIECES, PIECE_CHARS, LANGUAGES = 120, 400, 64
 #: Characters parsed side by side, and the length of a segment.
 CHUNK, SEGMENT = 1 << 21, 512
+#: A reference of fewer letters and spaces says nothing about what is not in it.
+LEAST = 2000
+#: Lengths the limits are fitted for, parts of a reference held out in turn, and the shares of own texts above and of others' below that are set aside.
+LENGTHS, FOLDS, OWN, FOREIGN = (12, 25, 50, 100, 200, 400), 4, 0.98, 0.02
 
 
 def held_out(doc_id: Column) -> Column:
@@ -130,7 +134,11 @@ class Parser:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(letters seen?, bits a character): a row for each text, a column for each language."""
-        bits, seen = np.zeros((len(texts), len(self.names))), np.zeros(len(texts), bool)
+        return self.measured(texts)[:2]
+
+    def measured(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``entropies``, and the characters that count of each text."""
+        bits, seen, lengths_of = np.zeros((len(texts), len(self.names))), np.zeros(len(texts), bool), np.zeros(len(texts), np.int64)
         at = 0
         while at < len(texts):
             end, held = at, 0
@@ -150,9 +158,10 @@ class Parser:
                 owner = np.array([p[0] for p in some])
                 for k, table in enumerate(self.tables):
                     np.add.at(bits[at:end, k], owner, self._phrases(table, columns, live) * self.bits[k])
-            bits[at:end] /= np.maximum([len(c) for c in codes], 1)[:, None]
+            lengths_of[at:end] = [len(c) for c in codes]
+            bits[at:end] /= np.maximum(lengths_of[at:end], 1)[:, None]
             at = end
-        return seen, bits
+        return seen, bits, lengths_of
 
 
 _parsers: dict[int, Parser] = {}
@@ -189,17 +198,66 @@ def identify(docs: DataFrame, learned: dict[str, str], text: str = "text", keep:
     return source.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *fields]))
 
 
-def recognised(docs: DataFrame, learned: dict[str, str], max_bits: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, as they are, whose text has a letter and costs ``max_bits`` a character at most in one language."""
+def _probes(text: str, n: int) -> list[str]:
+    return [text[i : i + n] for i in range(0, len(text) - n + 1, max(n, len(text) // 400))]
+
+
+def limits(learned: dict[str, str]) -> dict[str, list[float]]:
+    """The most bits a character that a text of each of ``LENGTHS`` may cost in a language.
+
+    For each language parts of its reference are parsed by the rest of it, which gives the bits of
+    its own texts; the other languages' references and its own text read backwards (the
+    same letters in no language) stand for texts of languages that nobody labelled. The limit lies halfway
+    between the ``OWN`` quantile of the first and the ``FOREIGN`` one of the second, or at
+    the first where they overlap. References under ``LEAST`` have no limit, and none counts as recognised by them.
+    """
+    found = {}
+    usable = {k: t for k, t in learned.items() if len(t) >= LEAST}
+    for name, text in usable.items():
+        step = -(-len(text) // FOLDS)
+        own: dict[int, list[float]] = {n: [] for n in LENGTHS}
+        other: dict[int, list[float]] = {n: [] for n in LENGTHS}
+        for at in range(0, len(text), step):
+            parser = Parser({name: f"{text[:at]} {text[at + step:]}"})
+            part = text[at : at + step]
+            for n in LENGTHS:
+                for sink, source in ((own, part), (other, part[::-1]), *((other, t[: max(400, step // len(usable))]) for k, t in usable.items() if k != name)):
+                    seen, bits = parser.entropies(_probes(source, n))
+                    sink[n] += bits[seen, 0].tolist()
+        found[name] = []
+        for n in LENGTHS:
+            most = float(np.quantile(own[n], OWN)) if own[n] else np.inf
+            least = float(np.quantile(other[n], FOREIGN)) if other[n] else most
+            found[name].append(max(most, (most + least) / 2))
+    return found
+
+
+def _limit(limit: list[float], n: np.ndarray) -> np.ndarray:
+    """A shorter text than the first length may cost as much in all."""
+    return np.interp(np.log(np.maximum(n, 1)), np.log(LENGTHS), limit) * np.maximum(1, LENGTHS[0] / np.maximum(n, 1))
+
+
+def recognised(docs: DataFrame, learned: dict[str, str], max_bits: float | dict[str, list[float]], text: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose text has a letter and costs ``max_bits`` a character at most in one language.
+
+    ``max_bits`` is one number, or the ``limits`` by language and length; languages without
+    limits recognise nothing then, and where none has limits, every text with a letter stays.
+    """
     if not learned:
         return docs.limit(0)
+    if isinstance(max_bits, dict):
+        if not max_bits:
+            max_bits = float("inf")
+        else:
+            learned = {k: t for k, t in learned.items() if k in max_bits}
     shared = Shared(docs.sparkSession, learned)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared)
         for batch in slices(batches, 1024):
-            seen, bits = parser.entropies(batch.column(at).to_pylist())
-            yield batch.filter(pa.array(seen & (bits.min(axis=1) <= max_bits)))
+            seen, bits, n = parser.measured(batch.column(at).to_pylist())
+            most = np.stack([_limit(max_bits[k], n) for k in parser.names], axis=1) if isinstance(max_bits, dict) else max_bits
+            yield batch.filter(pa.array(seen & (bits <= most).any(axis=1)))
 
     return docs.mapInArrow(run, docs.schema)
