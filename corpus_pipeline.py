@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm import decontaminate, langid, lshforest, mixing, queries, sharding, storage
 from tidewell.session import ship
 
+#: Of shingles that two near-duplicates share.
+PERCENT = 80
 #: Closer to one than the operator's own default: most documents stay.
 TEMPER = 0.9
 
@@ -33,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     _begin(spark)
-    return lshforest.keep_one(docs)
+    return lshforest.keep_one(docs, percent=PERCENT)
 
 
 def benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,6 +80,55 @@ def test_dense_regions_are_settled(spark, monkeypatch):
     test_documents_equal_brute_force(spark)
 
 
+def near_80():
+    """Pairs that share 0.80 to 0.85 of their shingles, and a dense region with members that fail their neighbours."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    out = []
+    for _ in range(40):
+        base = words(100)
+        near = base[:]
+        for k in (30, 70):
+            near[k] = "changed"
+        out += [" ".join(base), " ".join(near)]
+    common = words(60)
+    for _ in range(40):
+        base = common + words(30)
+        out += [" ".join(base), " ".join(base[:-4] + words(4))]
+    return out
+
+
+def test_eighty_percent_equals_brute_force(spark):
+    texts = near_80()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    some = [(a, b) for a, b in links if 100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b])]
+    assert len(some) >= 20
+    truth = classes(sets, links)
+    assert {r.doc_id: r.component_id for r in lshforest.near_duplicates(docs, percent=80).collect()} == truth
+    import corpus_pipeline
+
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(truth.values())
+    assert (lshforest.orders_for(85), lshforest.orders_for(80)) == (16, 23)
+
+
+def test_regions_run_on_over_partitions(spark, monkeypatch):
+    """Pairs of one region in different partitions are candidates, and all of a dense region are of one family."""
+    monkeypatch.setattr(lshforest, "REACH", 2)
+    monkeypatch.setattr(lshforest, "NEAR", 1)
+    rng = random.Random(3)
+    start = bytes(lshforest.orders_for(85) * lshforest.DEPTH * 2 - 40)
+    rows = [(i, start + rng.randbytes(40)) for i in range(90)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = [(r.a, r.b) for r in lshforest.candidates(spark.createDataFrame(rows, "node long, sign binary")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert set(classes(range(90), found).values()) == {0}
+
+
 def test_documents_with_odd_ids(spark):
     docs = spark.createDataFrame([(7, "a b c d e f", "p"), (7, "a b c d e f", "q"), (None, "a b c d e f", "r"), (3, "other", None)], "doc_id long, text string, component string")
     found = lshforest.near_duplicates(docs).collect()
