@@ -159,6 +159,26 @@ def test_raking_meets_its_targets(spark):
     assert mixing.mix(empty, {"source": empty["source"]}, mixing.token_count(empty["text"])).count() == 0
 
 
+def test_one_rare_document_costs_no_others(spark):
+    """With a share to keep, a label of one short document is kept whole, and the rest meets its targets."""
+    rows = [(i, "ab"[i % 10 < 3], "xyz"[i % 7 % 3], "w " * (5 + i % 20)) for i in range(3000)]
+    docs = spark.createDataFrame([*rows, (9000, "a", "junk", "w w w w w")], "doc_id long, source string, lang string, text string")
+    margins = {"source": docs["source"], "lang": docs["lang"]}
+    fitted = mixing.rake(docs, margins, mixing.token_count(docs["text"]), temper=0.9, kept=0.9).collect()
+    total = sum(r["_n"] for r in fitted)
+    assert sum(r["_n"] * r["_p"] for r in fitted) == pytest.approx(0.9 * total, rel=0.002)
+    assert [r["_p"] for r in fitted if r["_m1"] == "junk"] == [pytest.approx(1.0)]
+    for m in ("_m0", "_m1"):
+        have = {v: sum(r["_n"] for r in fitted if r[m] == v) for v in {r[m] for r in fitted}}
+        norm = sum(n**0.9 for v, n in have.items() if v != "junk")
+        for v in have.keys() - {"junk"}:
+            now = sum(r["_n"] * r["_p"] for r in fitted if r[m] == v)
+            assert now == pytest.approx(min(have[v], 0.9 * total * have[v] ** 0.9 / norm), rel=0.01)
+    assert mixing.mix(docs, margins, mixing.token_count(docs["text"]), temper=0.9, kept=0.9).count() > 0.87 * docs.count()
+    empty = docs.limit(0)
+    assert mixing.mix(empty, {"lang": empty["lang"]}, mixing.token_count(empty["text"]), kept=0.9).count() == 0
+
+
 def test_lookup_table_by_turns():
     names = [f"n{i}" for i in range(5)]
     table = sharding.lookup_table(names, 101)

@@ -58,11 +58,13 @@ def tempered(cell: DataFrame, column: str, temper: float) -> DataFrame:
     return sums.select(F.col(column).alias("value"), (F.col("n") / F.lit(whole)).alias("share"))
 
 
-def rake(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, rate: float | None = None) -> DataFrame:
+def rake(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, rate: float | None = None, kept: float | None = None) -> DataFrame:
     """Cells with ``_n`` (tokens), ``_w`` (raked tokens, of the same total) and ``_p`` (probability of keeping a document).
 
     Probabilities are the ratios ``_w / _n`` times ``rate``, 1 at most; by default the
     rate is the largest that needs no such limit, so the kept tokens meet the targets.
+    With ``kept``, this share of all tokens is kept instead: what is too rare for its target is
+    kept whole, and the rest is raked on, so that no rare cell decides how much of the others goes.
     """
     names = [f"_m{i}" for i in range(len(margins))]
     start = written(cells(docs, margins, tokens), "cells")
@@ -72,6 +74,8 @@ def rake(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: d
         given = (targets or {}).get(margin)
         shares = tempered(start, name, temper) if given is None else given.select(F.col("value").cast("string"), F.col("share").cast("double"))
         wanted.append(written(shares, "targets"))
+    if kept is not None:
+        return _bounded(start, names, wanted, total * kept, kept, rounds)
     fitted = start.withColumn("_w", F.col("_n"))
     for _ in range(rounds):
         for name, target in zip(names, wanted, strict=True):
@@ -86,6 +90,40 @@ def rake(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: d
     return fitted.withColumn("_p", F.coalesce(F.least(F.lit(1.0), ratio * F.lit(scale)), F.lit(1.0)))
 
 
+def _goals(start: DataFrame, name: str, shares: DataFrame, budget: float) -> DataFrame:
+    """(value, goal): tokens in proportion to the shares, but no more of a value than there are, ``budget`` in all where there are enough."""
+    sums = start.groupBy(name).agg(F.sum("_n").alias("have")).join(shares, F.col(name) == F.col("value"), "left")
+    sums = written(sums.select(F.col(name).alias("value"), "have", F.coalesce("share", F.lit(0.0)).alias("share")), "goals")
+    level = 0.0
+    while True:
+        full = F.col("share") * F.lit(level) >= F.col("have")
+        found = sums.agg(F.sum(F.when(full, F.col("have"))).alias("have"), F.sum(F.when(~full, F.col("share"))).alias("share")).first()
+        if not found["share"]:
+            break
+        more = (budget - (found["have"] or 0.0)) / found["share"]
+        if more <= level * (1 + 1e-12):
+            break
+        level = more
+    return sums.select("value", F.least("have", F.col("share") * F.lit(level)).alias("goal"))
+
+
+def _bounded(start: DataFrame, names: list[str], wanted: list[DataFrame], budget: float, kept: float, rounds: int) -> DataFrame:
+    """Cells raked to the goals of ``budget`` tokens, none beyond what it has."""
+    goals = [written(_goals(start, name, shares, budget), "targets") for name, shares in zip(names, wanted, strict=True)]
+    fitted = start.withColumn("_w", F.col("_n") * F.lit(float(kept)))
+    full = F.col("_w") >= F.col("_n")
+    for _ in range(rounds):
+        for name, goal in zip(names, goals, strict=True):
+            sums = fitted.groupBy(name).agg(F.sum("_w").alias("_s"), F.sum(F.when(full, F.col("_w")).otherwise(0.0)).alias("_f"))
+            sums = sums.join(goal, F.col(name) == F.col("value"), "left").select(name, "_s", "_f", F.coalesce("goal", F.lit(0.0)).alias("_g"))
+            # cells that are kept whole cannot take more, so the others do
+            less = F.when(F.col("_s") > 0, F.col("_w") * F.col("_g") / F.col("_s")).otherwise(0.0)
+            more = F.when(full, F.col("_n")).otherwise(F.least(F.col("_n"), F.coalesce(F.try_divide(F.col("_w") * (F.col("_g") - F.col("_f")), F.col("_s") - F.col("_f")), F.lit(0.0))))
+            raked = F.when((F.col("_g") > F.col("_s")) & (F.col("_s") > 0), more).otherwise(less)
+            fitted = written(fitted.join(sums, name).withColumn("_w", raked).select(*names, "_n", "_w"), "fitted")
+    return fitted.withColumn("_p", F.when(F.col("_n") > 0, F.least(F.lit(1.0), F.col("_w") / F.col("_n"))).otherwise(1.0))
+
+
 def draw(key: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the key alone."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("\\N")))
