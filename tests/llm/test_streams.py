@@ -57,6 +57,20 @@ def test_cut_texts_have_no_window_left(spark, block_words):
     assert rows[43].text is None and 41 not in rows
 
 
+def test_blocks_cut_as_one(spark):
+    """A text that loses 40% to each of several items goes, and a window that forms where another block's cut joins words is cut."""
+    words = [f"q{k}" for k in range(60)]
+    items = [(k, " ".join(words[12 * k : 12 * k + 12])) for k in range(5)]
+    rest = [f"z{k}" for k in range(6)]
+    texts = [" ".join([*rest, items[a][1], *rest[:2], items[b][1]]) for a in range(5) for b in range(5) if a != b]
+    nested = [" ".join(["clean"] * 60 + words[12 * a : 12 * a + 6] + items[b][1].split() + words[12 * a + 6 : 12 * a + 12]) for a in range(5) for b in range(5) if a != b]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate([*texts, *nested, None])], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, n_chars="n_chars", block_words=k).collect()} for k in (100_000, 15))
+    assert many == one and set(one) == set(range(len(texts), len(texts) + len(nested) + 1))
+    assert all(t is None or set(t.split()) == {"clean"} for t in many.values())
+
+
 def test_empty_inputs(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -15,6 +15,7 @@ read, so extra columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -174,16 +175,20 @@ def _scan(shared: Shared, kept: int):
 def matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``keep`` columns with n_words, longest (match, in words), spans (hit words, merged, end exclusive) and items."""
     spark = docs.sparkSession
-    shared = [Shared(spark, (window, block)) for block in blocks(benchmark, window=window, block_words=block_words)]
+    each = blocks(benchmark, window=window, block_words=block_words)
+    some = [next(each), *([second] if (second := next(each, None)) is not None else [])]
     source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(_FOUND).fields])
-    if len(shared) == 1:
-        return source.mapInArrow(_scan(shared[0], len(keep)), schema)
+    if len(some) == 1:
+        return source.mapInArrow(_scan(Shared(spark, (window, some[0])), len(keep)), schema)
     numbered = written(source.withColumn("_row", F.monotonically_increasing_id()), "documents").select("_row", *keep, "_text")
     one = T.StructType([T.StructField("_row", T.LongType()), *schema.fields])
     found = None
-    for block in shared:
-        part = numbered.mapInArrow(_scan(block, len(keep) + 1), one)
+    for block in chain(some, each):
+        shared = Shared(spark, (window, block))
+        # written, so that a block's broadcast is released before the next
+        part = written(numbered.mapInArrow(_scan(shared, len(keep) + 1), one), "spans")
+        shared.broadcast.unpersist()
         found = part if found is None else found.unionByName(part)
     first = [F.first(c).alias(c) for c in (*keep, "n_words")]
     merged = found.groupBy("_row").agg(*first, F.max("longest").alias("longest"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -202,13 +207,27 @@ def _merge(spans):
     return F.aggregate(spans, F.array().cast(one), add)
 
 
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without the words of the spans and what lies between them."""
+    folded = text.translate(_FOLD)
+    words, at, where = folded.split(), 0, []
+    for word in words:
+        at = folded.index(word, at)
+        where.append(at)
+        at += len(word)
+    kept, last = [], 0
+    for s, e in spans:
+        kept.append(text[last : where[s]])
+        last = where[e - 1] + len(words[e - 1])
+    return b"".join([*kept, text[last:]])
+
+
 def _cut(text: bytes, automaton: ItemAutomaton, max_share: float) -> bytes | None:
     """``text`` without hit words, until none is left; None where more than ``max_share`` of the words go."""
     total = None
     gone = 0
     while True:
-        folded = text.translate(_FOLD)
-        words, at, where = folded.split(), 0, []
+        words = words_of(text)
         total = len(words) if total is None else total
         _, spans, _ = automaton.match(words)
         if not spans:
@@ -216,30 +235,60 @@ def _cut(text: bytes, automaton: ItemAutomaton, max_share: float) -> bytes | Non
         gone += sum(e - s for s, e in spans)
         if gone > max_share * total:
             return None
-        for word in words:
-            at = folded.index(word, at)
-            where.append(at)
-            at += len(word)
-        kept, last = [], 0
-        for s, e in spans:
-            kept.append(text[last : where[s]])
-            last = where[e - 1] + len(words[e - 1])
-        text = b"".join([*kept, text[last:]])
+        text = _without(text, spans)
+
+
+def _cut_found(at: int, n: int, max_share: float):
+    """Rows of n columns, then (row, total, gone, n_words, spans), to the same without n_words and spans, each text cut once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, totals, gones, stay = [], [], [], []
+            counts = [batch.column(n + k).to_pylist() for k in range(1, 5)]
+            for text, total, gone, words, found in zip(batch.column(at).cast(pa.binary()).to_pylist(), *counts, strict=True):
+                spans = [(x["start"], x["end"]) for x in found]
+                totals.append(words if total is None else total)
+                gones.append(gone + sum(e - s for s, e in spans))
+                stay.append(gones[-1] <= max_share * totals[-1])
+                texts.append(_without(text, spans))
+            column = pa.array(texts, pa.binary()).cast(pa.string()).cast(batch.column(at).type)
+            columns = [column if i == at else batch.column(i) for i in range(n + 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(gones, pa.int64())], batch.schema.names[: n + 3]).filter(pa.array(stay, pa.bool_()))
+
+    return run
+
+
+def _cut_by_blocks(docs: DataFrame, benchmark: DataFrame, at: int, window: int, max_share: float, block_words: int) -> DataFrame:
+    """As one automaton of all items would: each pass takes the spans of all blocks together, and goes on with the texts it has cut."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.monotonically_increasing_id().alias("_place"))
+    left = written(rows.withColumns({"_total": F.lit(None).cast("long"), "_gone": F.lit(0).cast("long")}), "left")
+    schema, done = left.schema, None
+    while True:
+        found = matches(left, benchmark, ("_place",), names[at], window, block_words).filter(F.size("spans") > 0).select("_place", "n_words", "spans")
+        joined = written(left.join(found, "_place", "left").select(*schema.names, "n_words", "spans"), "joined")
+        clean = joined.filter("spans is null").select(*names)
+        done = clean if done is None else done.unionByName(clean)
+        left = written(joined.filter("spans is not null").mapInArrow(_cut_found(at, len(names), max_share), schema), "left")
+        if left.isEmpty():
+            return done.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str | None = None, window: int = WINDOW, max_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with benchmark spans cut from ``text``; a document that would lose over ``max_share`` of its words goes.
 
     All columns stay as they are but ``text`` and, where named, ``n_chars``. Cutting is
-    repeated until no window is left, as the words beside a cut meet.
+    repeated until no window of any block is left, as the words beside a cut meet.
     """
-    spark = docs.sparkSession
     at = docs.columns.index(text)
-    out = docs
-    for block in blocks(benchmark, window=window, block_words=block_words):
-        shared = Shared(spark, (window, block))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    each = blocks(benchmark, window=window, block_words=block_words)
+    block = next(each)
+    if next(each, None) is not None:
+        out = _cut_by_blocks(docs, benchmark, at, window, max_share, block_words)
+    else:
+        shared = Shared(docs.sparkSession, (window, block))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared)
             for batch in slices(batches):
                 column = batch.column(at)
@@ -249,5 +298,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_c
                 new = pa.array(cut, pa.binary()).cast(pa.string()).cast(column.type)
                 yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(batch.num_columns)], batch.schema.names).filter(stay)
 
-        out = out.mapInArrow(run, docs.schema)
+        out = docs.mapInArrow(run, docs.schema)
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars else out
