@@ -105,6 +105,29 @@ def test_languages_on_held_out_rows(spark):
     assert all(flags[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in flags)
 
 
+def test_scripts_of_high_code_points(monkeypatch):
+    """Two languages of 400 ideographs, after another's letters: told apart, by tables and by sorted transitions alike."""
+    rng = random.Random(7)
+    texts = {"a": "".join(chr(0x100 + k) for k in range(60)) * 3 + "".join(chr(0x1400 + k) for k in range(300))}
+    texts |= {k: "".join(chr(0x4E00 + start + rng.randrange(200)) for _ in range(3000)) for k, start in (("x", 0), ("y", 200))}
+    probe = [texts["x"][500:560], texts["y"][500:560]]
+    seen, bits = langid.Parser(texts).entropies(probe)
+    assert bits.argmin(axis=1).tolist() == [1, 2] and seen.all()
+    monkeypatch.setattr(langid, "TABLES", 0)
+    assert (langid.Parser(texts).entropies(probe)[1] == bits).all()
+
+
+def test_more_than_64_labels(spark):
+    rng = random.Random(8)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(9)] for k in range(70)}
+    rows = [(100 * k + i, " ".join(rng.choice(words[name]) for _ in range(30)), name) for k, name in enumerate(words) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.references(docs)
+    assert set(learned) == set(words)
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs, learned, keep=["doc_id"]).collect()}
+    assert all(found[i] == lang for i, _, lang in rows)
+
+
 def test_texts_in_no_learned_language_go(spark):
     """With limits fitted on what is learned, texts of a language left out go, a rare label lets none in, and own texts, short ones too, stay."""
     rows = labelled(600)

@@ -12,7 +12,8 @@ the cost per character does not depend on the text's length.
 
 The reference is a bounded sample: ``PIECES`` pieces of ``PIECE_CHARS`` characters for
 each language, chosen by a hash of the document id among the rows with a label that are
-not held out. At most ``LANGUAGES`` labels (the most frequent) are learned.
+not held out. Every label and every letter of the references is learned; automata whose
+tables would be large keep their transitions sorted instead, with the same results.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or where
 nothing was learned; a null id is never held out; repeated rows get equal results. A kept
@@ -32,7 +33,9 @@ from pyspark.sql import types as T
 from .mixing import draw
 from .storage import Shared, slices
 
-PIECES, PIECE_CHARS, LANGUAGES = 120, 400, 64
+PIECES, PIECE_CHARS = 120, 400
+#: Bytes of transition tables in a worker; automata beyond search sorted transitions.
+TABLES = 1 << 29
 #: Characters parsed side by side, and the length of a segment.
 CHUNK, SEGMENT = 1 << 21, 512
 #: A reference of fewer letters and spaces says nothing about what is not in it.
@@ -49,11 +52,11 @@ def references(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     """Labelled text for each language, at most ``pieces * (piece_chars + 1)`` characters."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4.0 * pieces / r["count"]))])
-    some = rows.withColumn("u", draw(F.col("id"), 9)).filter(F.col("u") < F.try_element_at(share, F.col("lang")))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4.0 * pieces / r["count"])) for r in counts], "lang string, share double")
+    some = rows.withColumn("u", draw(F.col("id"), 9)).join(F.broadcast(share), "lang").filter("u < share")
     start = 1 + F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - piece_chars, F.lit(1)))
     some = some.select("lang", "u", F.substring("text", start.cast("int"), F.lit(piece_chars)).alias("piece"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "piece"))
@@ -67,18 +70,45 @@ class Alphabet:
     """Classes of code points: 0 for all that is no letter, then the references' letters, then any other letter."""
 
     def __init__(self, texts: list[str]):
-        letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})[:250]
+        letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
         self.size = len(letters) + 2
         place = {c: i + 1 for i, c in enumerate(letters)}
-        self.of = np.fromiter((place.get(c.lower(), self.size - 1) if c.isalpha() else 0 for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+        self.kind = np.uint8 if self.size <= 256 else np.int32
+        self.of = np.fromiter((place.get(c.lower(), self.size - 1) if c.isalpha() else 0 for c in map(chr, range(0x110000))), self.kind, 0x110000)
 
     def classes(self, text: str) -> np.ndarray:
         x = self.of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
         return x[(x != 0) | (np.concatenate([[1], x[:-1]]) != 0)] if len(x) else x
 
 
-def automaton(x: np.ndarray, size: int) -> np.ndarray:
-    """Transitions (state * size + class) of the suffix automaton of x, flat; -1 where there is none."""
+class Dense:
+    """Transitions by a flat table (state * size + class); -1 where there is none."""
+
+    def __init__(self, nxt: list[dict[int, int]], size: int):
+        self.table = np.full(len(nxt) * size, -1, np.int32)
+        for s, row in enumerate(nxt):
+            for c, t in row.items():
+                self.table[s * size + c] = t * size
+
+    def step(self, state: np.ndarray | int, c: np.ndarray) -> np.ndarray:
+        return self.table[state + c]
+
+
+class Sparse:
+    """The same, by search among the transitions that there are."""
+
+    def __init__(self, nxt: list[dict[int, int]], size: int):
+        self.keys = np.array([s * size + c for s, row in enumerate(nxt) for c in sorted(row)] or [-1], np.int64)
+        self.to = np.array([row[c] * size for row in nxt for c in sorted(row)] or [-1], np.int64)
+
+    def step(self, state: np.ndarray | int, c: np.ndarray) -> np.ndarray:
+        key = state + c.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+
+def automaton(x: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of x."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in x.tolist():
@@ -104,11 +134,7 @@ def automaton(x: np.ndarray, size: int) -> np.ndarray:
                 q = twin
             link[new] = q
         last = new
-    table = np.full(len(nxt) * size, -1, np.int32)
-    for s, row in enumerate(nxt):
-        for c, t in row.items():
-            table[s * size + c] = t * size
-    return table
+    return nxt
 
 
 class Parser:
@@ -116,17 +142,23 @@ class Parser:
         self.alphabet = Alphabet(list(texts.values()))
         self.names = sorted(texts)
         refs = [self.alphabet.classes(texts[n]) for n in self.names]
-        self.tables = [automaton(r, self.alphabet.size) for r in refs]
+        self.tables, held = [], 0
+        for x in refs:
+            nxt = automaton(x)
+            cells = len(nxt) * self.alphabet.size
+            dense = held + 4 * cells <= TABLES and cells < 1 << 31
+            held += 4 * cells if dense else 0
+            self.tables.append((Dense if dense else Sparse)(nxt, self.alphabet.size))
         self.bits = np.array([np.log2(max(2, len(r))) for r in refs])
 
-    def _phrases(self, table: np.ndarray, columns: np.ndarray, live: np.ndarray) -> np.ndarray:
+    def _phrases(self, table: Dense | Sparse, columns: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Phrases of each segment. columns: classes, a row for each place; live: segments at each place, longest first."""
         count = np.ones(columns.shape[1], np.int64)
-        first = np.maximum(table[: self.alphabet.size], 0)
+        first = np.maximum(table.step(0, np.arange(self.alphabet.size)), 0)
         state = first[columns[0]]
         for place in range(1, len(columns)):
             c = columns[place, : live[place]]
-            now = table[state[: live[place]] + c]
+            now = table.step(state[: live[place]], c)
             ends = now < 0
             count[: live[place]] += ends
             state[: live[place]] = np.where(ends, first[c], now)
@@ -151,7 +183,7 @@ class Parser:
             for low in range(0, len(parts), CHUNK // SEGMENT):
                 some = sorted(parts[low : low + CHUNK // SEGMENT], key=lambda p: -len(p[1]))
                 lengths = np.array([len(p[1]) for p in some])
-                columns = np.zeros((lengths[0], len(some)), np.uint8)
+                columns = np.zeros((lengths[0], len(some)), self.alphabet.kind)
                 for j, (_, c) in enumerate(some):
                     columns[: len(c), j] = c
                 live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
