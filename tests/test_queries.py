@@ -7,6 +7,7 @@ import os
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from tidewell.plans import catalog
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
@@ -45,3 +46,17 @@ def test_equals_sql(spark, duck, name):
     ours = sorted(([plain(r[c]) for c in order] for r in rows), key=str)
     theirs = sorted(([plain(r[columns.index(c)]) for c in order] for r in other), key=str)
     assert ours == theirs
+
+
+def test_stacked_scores_of_every_document(spark):
+    found = catalog.QUERIES["stacked_scores"](spark, str(DATA)).collect()
+    assert sorted(r.doc_id for r in found) == sorted(r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id").collect())
+
+
+def test_detections_go_on_with_the_events(spark, tmp_path):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    kind = dict(events.dtypes)["ts"]
+    later = events.withColumn("ts", (F.col("ts") + F.expr("INTERVAL 40 DAYS")).cast(kind)).unionByName(events)
+    later.write.parquet(str(tmp_path / "events.parquet"))
+    found = catalog.QUERIES["detection_overlap_seconds"](spark, str(tmp_path))
+    assert found.agg(F.max("detection_id")).first()[0] > 718

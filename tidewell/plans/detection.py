@@ -246,9 +246,11 @@ def isolation_forest(spark, d):
 
 @_query()
 def stacked_scores(spark, d):
-    """Logistic stacking of three scores, fitted on even and applied to odd documents."""
+    """Logistic stacking of three scores in two folds: even and odd documents are each scored by the model of the others."""
     rows = _scores(spark, d).select("doc_id", "y", *[(F.col(c) / k).alias(c) for c, k in (("score", 10000.0), ("s2", 100.0), ("s3", 100.0))])
-    made = detectors.stacked(rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1"), ["score", "s2", "s3"], "y", name="stacked")
+    even, odd = rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 <> 0")
+    made = [detectors.stacked(a, b, ["score", "s2", "s3"], "y", name="stacked").select("doc_id", "y", "stacked") for a, b in ((even, odd), (odd, even))]
+    made = made[0].unionByName(made[1])
     return made.select("doc_id", "y", F.round("stacked", 4).alias("stacked"))
 
 

@@ -203,7 +203,9 @@ def point_stamping(spark, d):
 @_query(f"""WITH {_C}, d AS (SELECT k AS detection_id, k * 3600 AS s, k * 3600 + 7199 AS f FROM (SELECT unnest(range(0, 718)) AS k))
 SELECT detection_id, anchor_id, least(f, window_end_s) - greatest(s, window_start_s) + 1 AS shared_s FROM d JOIN c ON s <= window_end_s AND f >= window_start_s""")
 def detection_overlap_seconds(spark, d):
-    hits = spark.range(718).select(F.col("id").alias("detection_id"), (F.col("id") * 3600).alias("s"), (F.col("id") * 3600 + 7199).alias("f"))
+    # a detection for each full window of the events, and for the 718 of the SQL at least
+    end = (_events(spark, d).agg(F.max("t")).first()[0] or -1) + 1
+    hits = spark.range(max(718, (end - 7200) // 3600 + 1)).select(F.col("id").alias("detection_id"), (F.col("id") * 3600).alias("s"), (F.col("id") * 3600 + 7199).alias("f"))
     left = hits.withColumn("b", F.explode(F.sequence(F.floor(F.col("s") / 3600), F.floor(F.col("f") / 3600))))
     right = _context(spark, d).withColumn("b", F.explode(F.sequence(F.floor(F.col("window_start_s") / 3600), F.floor(F.col("window_end_s") / 3600))))
     shared = intervals.overlap_seconds(F.col("s"), F.col("f"), F.col("window_start_s"), F.col("window_end_s"))
