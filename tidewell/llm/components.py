@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import forget, scratch, written
+from .storage import forget, scope, written
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -22,27 +22,28 @@ def _star(pairs: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``links(a, b)`` to ``(node, component)``: the smallest node reachable. Only linked nodes appear."""
-    held = scratch()
-    edges = written(
-        links.filter("a is not null and b is not null and a != b")
-        .select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
-        .distinct(),
-        "links",
-    )
-    last = None
-    for _ in range(rounds):
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("low").alias("a"), F.col("v").alias("b")).filter("a != b").distinct()
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        small = _star(down)
-        small = small.select(F.col("low").alias("a"), F.col("v").alias("b")).unionByName(small.select(F.col("low").alias("a"), F.col("u").alias("b")))
-        before = scratch()
-        edges = written(small.filter("a != b").distinct(), "star")
-        seen = edges.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("decimal(20,0)")).alias("s"), F.countDistinct("b").alias("d")).first()
-        forget(links.sparkSession, [x for x in before if x not in held])
-        if tuple(seen) == last and seen["n"] == seen["d"]:
-            break
-        last = tuple(seen)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    with scope() as made:
+        edges = written(
+            links.filter("a is not null and b is not null and a != b")
+            .select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
+            .distinct(),
+            "links",
+        )
+        last = None
+        for _ in range(rounds):
+            both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            large = _star(both).filter("v > u").select(F.col("low").alias("a"), F.col("v").alias("b")).filter("a != b").distinct()
+            down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
+            small = _star(down)
+            small = small.select(F.col("low").alias("a"), F.col("v").alias("b")).unionByName(small.select(F.col("low").alias("a"), F.col("u").alias("b")))
+            done = made[:]
+            edges = written(small.filter("a != b").distinct(), "star")
+            seen = edges.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("decimal(20,0)")).alias("s"), F.countDistinct("b").alias("d")).first()
+            made[:] = made[len(done) :]
+            forget(links.sparkSession, done)
+            if tuple(seen) == last and seen["n"] == seen["d"]:
+                break
+            last = tuple(seen)
+        else:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -55,10 +55,13 @@ p AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 800)) AS g FROM (SELECT doc_id,
 r AS (SELECT doc_id, s FROM p WHERE g IN (SELECT g FROM p GROUP BY g HAVING count(*) > 1)),
 e AS (SELECT doc_id, s, CASE WHEN s > coalesce(max(s + 400) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS new FROM r),
 q AS (SELECT doc_id, min(s) AS lo, max(s) + 400 AS hi FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM e) GROUP BY doc_id, run),
+p2 AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 512)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 255)) AS s FROM d WHERE length(h) >= 512)),
+r2 AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS following FROM p2 WHERE g IN (SELECT g FROM p2 GROUP BY g HAVING count(*) > 1)),
+n2 AS (SELECT doc_id, sum(least(256, coalesce(following - s, 256)))::BIGINT AS n_passage FROM r2 GROUP BY 1),
 n AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last FROM q GROUP BY 1),
 k AS (SELECT q.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM (SELECT *, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM q) q JOIN d USING (doc_id) GROUP BY 1)
 SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
+sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256, coalesce(n_passage, 0) AS n_passage FROM d LEFT JOIN n USING (doc_id) LEFT JOIN n2 USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 
 def _mixing() -> str:

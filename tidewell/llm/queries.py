@@ -51,7 +51,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixarray.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", F.size("ranges").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", F.size("ranges").cast("long").alias("n_spans"), "kept_sha256", F.get("repeated", F.lit(1)).alias("n_passage"))
 
 
 def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:

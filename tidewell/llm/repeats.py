@@ -1,8 +1,9 @@
 """Repeated windows of a whole corpus: windows of L symbols whose content starts anywhere else too.
 
-Each window start belongs to the trigger of its window - the position whose rolling hash
-of ``k`` symbols is least there - so equal windows have equal triggers. The run of starts
-with one trigger, with the symbols their windows cover, is a phrase:
+A kind may ask for windows of several lengths, the longest first. Each window start belongs
+to the trigger of its shortest window - the position whose rolling hash of ``k`` symbols is
+least there - so equal windows of any length have equal triggers. The run of starts with one
+trigger, with the symbols their longest windows cover as far as the text goes, is a phrase:
 
 1. Phrases are hashed in one pass. Those whose trigger occurs once in the corpus hold no
    repeat; they are most of the text, and end here.
@@ -40,36 +41,44 @@ _LOW = np.uint64((1 << 24) - 1)
 #: Window starts cut at once.
 _PIECE = 1 << 22
 _BLOCKS = "array<struct<a:bigint,c:bigint,s:int,m:int>>"
+_U64 = (1 << 64) - 1
 
 
 @dataclass(frozen=True)
 class Kind:
     """What a symbol is, and how long windows and triggers are."""
 
-    window: int
+    #: Window lengths, the longest first; what the longest find is removed.
+    lengths: tuple[int, ...]
     trigger: int
     #: Text to one 64-bit symbol for each place, and to the places themselves (sliceable).
     symbols: Callable[[bytes], np.ndarray]
     places: Callable[[bytes], list[bytes] | bytes]
     #: A slice of places as bytes.
     packed: Callable[[list[bytes] | bytes], bytes]
-    #: Phrases (payload, weight) to the repeated window starts of each, as a boolean array.
-    compare: Callable[[list[bytes], list[int], int], list[np.ndarray]]
+    #: Phrases (payload, weight, window starts) to a boolean array of repeated starts for each length.
+    compare: Callable[[list[bytes], list[int], list[int], tuple[int, ...]], list[list[np.ndarray]]]
 
+    @property
+    def window(self) -> int:
+        return self.lengths[0]
 
-def phrases(symbols: np.ndarray, window: int, trigger: int, order: int = 0) -> tuple[np.ndarray, ...]:
-    """(trigger hash, phrase hash, first window start, number of starts) of each phrase, by the ``order``-th order of triggers."""
-    found = []
-    for base in range(0, len(symbols) - window + 1, _PIECE):
-        part = symbols[base : base + _PIECE + window - 1]
+
+def phrases(symbols: np.ndarray, kind: Kind, order: int = 0, most: int | None = None) -> tuple[np.ndarray, ...]:
+    """(trigger hash, phrase hash, first start, number of starts) of each phrase among the first ``most`` starts, by the ``order``-th order of triggers."""
+    found, short = [], kind.lengths[-1]
+    n = max(0, len(symbols) - short + 1) if most is None else most
+    for base in range(0, n, _PIECE):
+        part = symbols[base : base + _PIECE + kind.window - 1]
         sums = fp.prefix(part)
-        hashes = fp.windows(sums, trigger)
+        hashes = fp.windows(sums, kind.trigger)
         hashes = fp.mix(hashes + np.uint64(order)) if order else hashes
         packed = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
-        at = (fp.sliding_minimum(packed, window - trigger + 1) & _LOW).astype(np.int64)
+        at = (fp.sliding_minimum(packed, short - kind.trigger + 1) & _LOW).astype(np.int64)[: min(_PIECE, n - base)]
         starts = np.flatnonzero(np.diff(at, prepend=-1))
         count = np.diff(starts, append=len(at))
-        content = fp.ranges(sums, starts, starts + count + window - 1)
+        content = fp.ranges(sums, starts, np.minimum(starts + count + kind.window - 1, len(part)))
+        content = fp.mix(content + count.astype(np.uint64))
         found.append((hashes[at[starts]].view(np.int64), content.view(np.int64), starts + base, count))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -83,7 +92,7 @@ def _describe(kind: Kind):
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 text = text or b""
                 symbols = kind.symbols(text)
-                found = phrases(symbols, kind.window, kind.trigger)
+                found = phrases(symbols, kind)
                 n.append(len(symbols))
                 sha.append(hashlib.sha256(kind.packed(kind.places(text))).hexdigest())
                 parts.append(found)
@@ -107,81 +116,94 @@ def _payloads(kind: Kind):
                 for x in asked:
                     rows.append(x)
                     payload.append(kind.packed(places[x["s"] : x["s"] + x["m"] + kind.window - 1]))
-            columns = [pa.array([x[c] for x in rows], pa.int64()) for c in ("a", "c", "weight", "kinds")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(payload, pa.binary())], ["a", "c", "weight", "kinds", "payload"])
+            columns = [pa.array([x[c] for x in rows], pa.int64()) for c in ("a", "c", "weight", "kinds", "m")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(payload, pa.binary())], ["a", "c", "weight", "kinds", "m", "payload"])
 
     return run
 
 
 def _parts(kind: Kind, order: int):
-    """Phrases of hot triggers cut by another order: (whole_a, whole_c, offset) and the part's own (a, c, m, weight, payload)."""
+    """Phrases of hot triggers (a, c, weight, m, payload) cut by another order: (whole_a, whole_c, offset) and the part's own (a, c, m, weight, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, made, payload = [], [], []
-            for row, (trigger, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                a, c, s, m = phrases(kind.symbols(text), kind.window, kind.trigger, order)
-                a = fp.mix(a.view(np.uint64) ^ np.uint64(trigger & (1 << 64) - 1)).view(np.int64)
+            for row, (trigger, most, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                a, c, s, m = phrases(kind.symbols(text), kind, order, most)
+                a = fp.mix(a.view(np.uint64) ^ np.uint64(trigger & _U64)).view(np.int64)
                 places = kind.places(text)
                 of += [row] * len(a)
                 made += zip(a.tolist(), c.tolist(), s.tolist(), m.tolist(), strict=True)
                 payload += [kind.packed(places[i : i + n + kind.window - 1]) for i, n in zip(s.tolist(), m.tolist(), strict=True)]
             at = pa.array(of, pa.int64())
-            columns = [pa.array([x[i] for x in made], t) for i, t in ((2, pa.int32()), (0, pa.int64()), (1, pa.int64()), (3, pa.int32()))]
+            columns = [pa.array([x[i] for x in made], t) for i, t in ((2, pa.int32()), (0, pa.int64()), (1, pa.int64()), (3, pa.int64()))]
             names = ["whole_a", "whole_c", "offset", "a", "c", "m", "weight", "payload"]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns, batch.column(2).take(at), pa.array(payload, pa.binary())], names)
 
     return run
 
 
-_SPANS = "array<struct<lo:int,hi:int>>"
+#: Runs [lo, hi) of window starts of the k-th length.
+_SPANS = "array<struct<lo:int,hi:int,k:int>>"
+_SPAN = pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("k", pa.int32())])
 
 
-def runs(mask: np.ndarray) -> list[dict[str, int]]:
+def runs(mask: np.ndarray, k: int = 0) -> list[dict[str, int]]:
     edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
-    return [{"lo": int(lo), "hi": int(hi)} for lo, hi in zip(edge[::2], edge[1::2], strict=True)]
+    return [{"lo": int(lo), "hi": int(hi), "k": k} for lo, hi in zip(edge[::2], edge[1::2], strict=True)]
 
 
 def _compared(kind: Kind):
     def run(table: pa.Table) -> pa.Table:
         weight = table["weight"].to_pylist()
-        masks = kind.compare(table["payload"].to_pylist(), weight, kind.window)
-        some = [i for i, (w, mask) in enumerate(zip(weight, masks, strict=True)) if w == 1 and mask.any()]
+        masks = kind.compare(table["payload"].to_pylist(), weight, table["m"].to_pylist(), kind.lengths)
+        spans = [[x for k, mask in enumerate(found) for x in runs(mask, k)] if w == 1 else [] for w, found in zip(weight, masks, strict=True)]
+        some = [i for i, x in enumerate(spans) if x]
         where = pa.array(some, pa.int64())
-        spans = pa.array([runs(masks[i]) for i in some], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-        return pa.table({"a": table["a"].take(where), "c": table["c"].take(where), "spans": spans})
+        return pa.table({"a": table["a"].take(where), "c": table["c"].take(where), "spans": pa.array([spans[i] for i in some], pa.list_(_SPAN))})
 
     return run
 
 
 def _hashed(kind: Kind):
+    """(a, c, weight, h, i, k): the hashes of the windows of (a, c, weight, m, payload)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [fp.windows(fp.prefix(kind.symbols(x)), kind.window).view(np.int64) for x in batch.column(3).to_pylist()]
-            n = np.array([len(h) for h in hashes], np.int64)
-            of = pa.array(np.repeat(np.arange(len(n)), n))
-            at = np.concatenate([np.arange(k) for k in n]) if len(n) else n
-            made = [pa.array(np.concatenate(hashes) if len(n) else n), pa.array(at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(3)), *made], ["a", "c", "weight", "h", "i"])
+            of, hashes, places, which = [], [], [], []
+            for row, (m, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                sums = fp.prefix(kind.symbols(text))
+                for k, length in enumerate(kind.lengths):
+                    h = fp.windows(sums, length)[:m].view(np.int64)
+                    hashes.append(h)
+                    of.append(np.full(len(h), row))
+                    places.append(np.arange(len(h), dtype=np.int32))
+                    which.append(np.full(len(h), k, np.int32))
+            if not of:
+                continue
+            at = pa.array(np.concatenate(of).astype(np.int64))
+            made = [pa.array(np.concatenate(x)) for x in (hashes, places, which)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *made], ["a", "c", "weight", "h", "i", "k"])
 
     return run
 
 
 def _by_counts(payloads: DataFrame, kind: Kind) -> DataFrame:
     """(a, c, spans) of phrases whose trigger is hot, by counting the hashes of their windows."""
-    each = written(payloads.select("a", "c", "weight", "payload").mapInArrow(_hashed(kind), "a bigint, c bigint, weight bigint, h bigint, i int"), "windows")
+    each = written(payloads.select("a", "c", "weight", "m", "payload").mapInArrow(_hashed(kind), "a bigint, c bigint, weight bigint, h bigint, i int, k int"), "windows")
     twice = written(each.groupBy("h").agg(F.sum("weight").alias("t")).filter("t >= 2").select("h"), "twice")
-    one = F.struct(F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"))
+    one = F.struct(F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"), "k")
     return each.filter("weight = 1").join(twice, "h", "left_semi").groupBy("a", "c").agg(F.collect_list(one).alias("spans"))
 
 
-def _whole(dictionary: DataFrame) -> DataFrame:
-    """Phrases that occur twice are repeated from their first to their last window."""
-    return dictionary.filter("n >= 2").select("a", "c", F.array(F.struct(F.lit(0).alias("lo"), F.col("m").alias("hi"))).alias("spans"))
+def _whole(dictionary: DataFrame, kind: Kind) -> DataFrame:
+    """Phrases that occur twice are repeated from their first to their last start; ``_cut`` leaves out windows that the text does not hold."""
+    spans = F.array(*[F.struct(F.lit(0).alias("lo"), F.col("m").cast("int").alias("hi"), F.lit(k).alias("k")) for k in range(len(kind.lengths))])
+    return dictionary.filter("n >= 2").select("a", "c", spans.alias("spans"))
 
 
 def _resolve(payloads: DataFrame, kind: Kind, order: int = 0) -> DataFrame:
-    """(a, c, spans) of the repeated windows of phrases (a, c, weight, kinds, payload) that occur once; kinds >= 2."""
+    """(a, c, spans) of the repeated windows of phrases (a, c, weight, kinds, m, payload) that occur once; kinds >= 2."""
     shards = max(1, payloads.filter(F.col("kinds") <= HOT).count() // SHARD)
     cold = payloads.filter(F.col("kinds") <= HOT).withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
     found = cold.groupBy("shard").applyInArrow(_compared(kind), f"a bigint, c bigint, spans {_SPANS}")
@@ -190,31 +212,38 @@ def _resolve(payloads: DataFrame, kind: Kind, order: int = 0) -> DataFrame:
         return found
     if order + 1 >= LEVELS:
         return found.unionByName(_by_counts(hot, kind))
-    parts = hot.select("a", "c", "weight", "payload").mapInArrow(_parts(kind, order + 1), "whole_a bigint, whole_c bigint, offset int, a bigint, c bigint, m int, weight bigint, payload binary")
+    parts = hot.select("a", "c", "weight", "m", "payload").mapInArrow(_parts(kind, order + 1), "whole_a bigint, whole_c bigint, offset int, a bigint, c bigint, m bigint, weight bigint, payload binary")
     parts = written(parts, "parts")
     dictionary = written(parts.groupBy("a", "c").agg(F.sum("weight").alias("n"), F.min("m").alias("m"), F.first("payload").alias("payload")), "part_dictionary")
     kinds = written(dictionary.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds >= 2"), "part_kinds")
-    again = dictionary.join(kinds, "a").select("a", "c", F.least("n", F.lit(2)).cast("bigint").alias("weight"), "kinds", "payload")
-    status = written(_whole(dictionary).unionByName(_resolve(written(again, "part_payloads"), kind, order + 1)), "part_repeated")
-    moved = F.transform("spans", lambda x: F.struct((x["lo"] + F.col("offset")).alias("lo"), (x["hi"] + F.col("offset")).alias("hi")))
+    again = dictionary.join(kinds, "a").select("a", "c", F.least("n", F.lit(2)).cast("bigint").alias("weight"), "kinds", "m", "payload")
+    status = written(_whole(dictionary, kind).unionByName(_resolve(written(again, "part_payloads"), kind, order + 1)), "part_repeated")
+    moved = F.transform("spans", lambda x: F.struct((x["lo"] + F.col("offset")).alias("lo"), (x["hi"] + F.col("offset")).alias("hi"), x["k"].alias("k")))
     back = parts.filter("weight = 1").select("whole_a", "whole_c", "offset", "a", "c").join(status, ["a", "c"]).select("whole_a", "whole_c", moved.alias("spans"))
     back = back.groupBy(F.col("whole_a").alias("a"), F.col("whole_c").alias("c")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return found.unionByName(back)
 
 
+def _covered(found: list[dict[str, int]], k: int, length: int, n: int) -> list[dict[str, int]]:
+    """The symbols of n under the k-th length's windows, as runs."""
+    step = np.zeros(n + 1, np.int64)
+    lo = np.array([x["lo"] for x in found if x["k"] == k], np.int64)
+    hi = np.minimum(np.array([x["hi"] for x in found if x["k"] == k], np.int64), n - length + 1)
+    some = lo < hi
+    np.add.at(step, lo[some], 1)
+    np.add.at(step, hi[some] + length - 1, -1)
+    return runs(np.cumsum(step)[:-1] > 0)
+
+
 def _cut(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            removed, spans, kept = [], [], []
+            spans, counts, kept = [], [[] for _ in kind.lengths], []
             for text, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 places = kind.places(text or b"")
-                step = np.zeros(len(places) + 1, np.int64)
-                lo = np.array([x["lo"] for x in found], np.int64)
-                hi = np.array([x["hi"] for x in found], np.int64) + kind.window - 1
-                np.add.at(step, lo, 1)
-                np.add.at(step, hi, -1)
-                covered = runs(np.cumsum(step)[:-1] > 0)
-                removed.append(sum(x["hi"] - x["lo"] for x in covered))
+                for k, length in reversed([*enumerate(kind.lengths)]):
+                    covered = _covered(found, k, length, len(places))
+                    counts[k].append(sum(x["hi"] - x["lo"] for x in covered))
                 spans.append(covered)
                 left, at = [], 0
                 for x in [*covered, {"lo": len(places), "hi": len(places)}]:
@@ -223,15 +252,15 @@ def _cut(kind: Kind):
                 joined = b"".join(left) if isinstance(places, bytes) else [w for part in left for w in part]
                 kept.append(kind.packed(joined))
             sha = [hashlib.sha256(x).hexdigest() for x in kept]
-            ranges = pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-            made = [pa.array(removed, pa.int64()), ranges, pa.array(sha, pa.string()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["_key", "n_removed", "ranges", "cut_sha", "kept"])
+            repeated = pa.array([list(x) for x in zip(*counts, strict=True)], pa.list_(pa.int64()))
+            made = [repeated, pa.array(spans, pa.list_(_SPAN)), pa.array(sha, pa.string()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["_key", "repeated", "ranges", "cut_sha", "kept"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, kind: Kind, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """A row for each document: ``_key, doc_id, n, n_removed, ranges (removed symbols), kept_sha256`` and, if asked for, ``kept``."""
+    """A row for each document: ``_key, doc_id, n, n_removed, repeated (symbols under repeated windows of each length), ranges (removed symbols), kept_sha256`` and, if asked for, ``kept``."""
     rows, _ = keyed(docs, doc_id, text)
     rows = rows.withColumnRenamed(text, "text")
     id_type = dict(rows.dtypes)["doc_id"]
@@ -245,13 +274,15 @@ def remove_repeats(docs: DataFrame, kind: Kind, doc_id: str = "doc_id", text: st
     weight = F.least("n", F.lit(2)).cast("bigint")
     one = F.struct("a", "c", weight.alias("weight"), "kinds", F.col("at.s").alias("s"), "m")
     asked = dictionary.join(kinds, "a").select(F.col("at._key").alias("_key"), one.alias("x")).groupBy("_key").agg(F.collect_list("x").alias("asked"))
-    payloads = rows.select("_key", "text").join(asked, "_key").select("text", "asked").mapInArrow(_payloads(kind), "a bigint, c bigint, weight bigint, kinds bigint, payload binary")
-    status = written(_whole(dictionary).unionByName(_resolve(written(payloads, "payloads"), kind)), "repeated")
+    payloads = rows.select("_key", "text").join(asked, "_key").select("text", "asked").mapInArrow(_payloads(kind), "a bigint, c bigint, weight bigint, kinds bigint, m bigint, payload binary")
+    status = written(_whole(dictionary, kind).unionByName(_resolve(written(payloads, "payloads"), kind)), "repeated")
     spans = shared.join(status, ["a", "c"]).select("_key", "s", F.explode("spans").alias("x"))
-    spans = spans.groupBy("_key").agg(F.collect_list(F.struct((F.col("s") + F.col("x.lo")).alias("lo"), (F.col("s") + F.col("x.hi")).alias("hi"))).alias("spans"))
-    cut = rows.select("_key", "text").join(spans, "_key").mapInArrow(_cut(kind), f"_key bigint, n_removed bigint, ranges {_SPANS}, cut_sha string, kept binary")
+    spans = spans.groupBy("_key").agg(F.collect_list(F.struct((F.col("s") + F.col("x.lo")).alias("lo"), (F.col("s") + F.col("x.hi")).alias("hi"), F.col("x.k").alias("k"))).alias("spans"))
+    cut = rows.select("_key", "text").join(spans, "_key").mapInArrow(_cut(kind), f"_key bigint, repeated array<bigint>, ranges {_SPANS}, cut_sha string, kept binary")
     if not keep_text:
         cut = cut.drop("kept")
-    out = described.drop("blocks").join(cut, "_key", "left")
-    out = out.withColumns({"n_removed": F.coalesce("n_removed", F.lit(0).cast("long")), "ranges": F.coalesce("ranges", F.array().cast(_SPANS)), "kept_sha256": F.coalesce("cut_sha", "sha")})
-    return out.select("_key", "doc_id", "n", "n_removed", "ranges", "kept_sha256", *(["kept"] if keep_text else []))
+    none = F.array(*[F.lit(0).cast("long") for _ in kind.lengths])
+    out = described.drop("blocks").join(cut, "_key", "left").withColumn("repeated", F.coalesce("repeated", none))
+    ranges = F.transform(F.coalesce("ranges", F.array().cast(_SPANS)), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))
+    out = out.withColumns({"n_removed": F.get("repeated", F.lit(0)), "ranges": ranges, "kept_sha256": F.coalesce("cut_sha", "sha")})
+    return out.select("_key", "doc_id", "n", "n_removed", "repeated", "ranges", "kept_sha256", *(["kept"] if keep_text else []))

@@ -9,13 +9,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders written since the last call of ``forget``, oldest first.
-_written: list[str] = []
+#: Folders written in the innermost ``scope`` of this thread.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The folders written inside, oldest first; threads do not see each other's, and an outer scope gets them too at the end."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        if (outer := _made.get()) is not None:
+            outer += made
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,23 +51,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch() -> list[str]:
-    """Folders written so far and not forgotten."""
-    return list(_written)
-
-
 def forget(spark: SparkSession, paths: list[str]) -> None:
-    """Delete scratch tables whose readers are done."""
+    """Delete scratch tables whose readers are done, and empty the list."""
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        if path in _written:
-            _written.remove(path)
+    paths.clear()
 
 
 def keyed(docs: DataFrame, doc_id: str, *columns: str) -> tuple[DataFrame, bool]:

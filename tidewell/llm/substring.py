@@ -24,8 +24,9 @@ from .repeats import Kind, remove_repeats
 WINDOW, TRIGGER = 35, 6
 
 
-def repeated_windows(phrases: list[bytes], weights: list[int], window: int) -> list[np.ndarray]:
+def repeated_windows(phrases: list[bytes], weights: list[int], starts: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
     """For each phrase (words joined by a space; weight 2 if it occurs twice), which window starts are repeated."""
+    (window,) = lengths
     automaton, ends = WordAutomaton(), []
     sequences = [p.split() for p in phrases]
     for words, weight in zip(sequences, weights, strict=True):
@@ -51,11 +52,11 @@ def repeated_windows(phrases: list[bytes], weights: list[int], window: int) -> l
                 state = link[state]
             if i + 1 >= window:
                 mask[i + 1 - window] = count[state] >= 2
-        out.append(mask)
+        out.append([mask])
     return out
 
 
-WORDS = Kind(WINDOW, TRIGGER, fp.word_symbols, bytes.split, b" ".join, repeated_windows)
+WORDS = Kind((WINDOW,), TRIGGER, fp.word_symbols, bytes.split, b" ".join, repeated_windows)
 
 
 def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:

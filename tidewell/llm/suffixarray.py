@@ -5,7 +5,8 @@ the dictionary holds each distinct phrase once, and the parse is the table of wh
 phrases occur (see ``repeats``). The dictionary is sorted in shards by prefix doubling: ranks
 of 8, 16, ... 256 bytes, then of whole windows. Windows that share a rank share their
 first ``WINDOW`` bytes: their common prefix with a neighbour in corpus order is long
-enough. Parse and ranks combine: a phrase that the parse holds twice needs no comparison,
+enough. The ranks at ``PASSAGE`` bytes, which the doubling passes anyway, show shorter
+passages that repeat; they are counted (``repeated``), never cut. Parse and ranks combine: a phrase that the parse holds twice needs no comparison,
 and what one copy of a phrase shows holds for all its places, so highly
 repetitive text is sorted once.
 
@@ -23,45 +24,48 @@ from pyspark.sql import DataFrame
 from . import fingerprints as fp
 from .repeats import Kind, remove_repeats
 
-WINDOW, TRIGGER = 400, 64
+WINDOW, PASSAGE, TRIGGER = 400, 256, 64
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
 
 
-def window_ranks(text: np.ndarray, window: int) -> np.ndarray:
-    """Ranks of all windows of ``text`` (bytes); fewer than 2**32 places."""
-    n = len(text) - window + 1
-    size = 8 if window >= 8 else 1
-    keys = np.zeros(len(text) - size + 1, np.uint64)
+def window_ranks(text: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Ranks of all windows of ``text`` (bytes) for each length, the longest first; fewer than 2**32 places."""
+    out = []
+    size = 8 if lengths[-1] >= 8 else 1
+    keys = np.zeros(max(0, len(text) - size + 1), np.uint64)
     for i in range(size):
         keys = (keys << np.uint64(8)) | text[i : i + len(keys)]
     ranks = _ranks(keys)
-    while 2 * size <= window:
-        ranks = _ranks((ranks[:-size] << np.uint64(32)) | ranks[size:])
-        size *= 2
-    if size == window:
-        return ranks[:n]
-    return _ranks((ranks[:n] << np.uint64(32)) | ranks[window - size : window - size + n])
+    for window in reversed(lengths):
+        while 2 * size <= window:
+            ranks = _ranks((ranks[:-size] << np.uint64(32)) | ranks[size:])
+            size *= 2
+        n = max(0, len(text) - window + 1)
+        out.append(ranks[:n] if size == window else _ranks((ranks[:n] << np.uint64(32)) | ranks[window - size : window - size + n]))
+    return out[::-1]
 
 
-def repeated_windows(phrases: list[bytes], weights: list[int], window: int) -> list[np.ndarray]:
-    """For each phrase (weight 2 if it occurs twice), which window starts are repeated."""
-    lengths = np.array([len(p) for p in phrases])
-    ranks = window_ranks(np.frombuffer(b"".join(phrases), np.uint8), window)
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    places = [np.arange(s, e - window + 1) for s, e in zip(starts, ends, strict=True)]
-    count = np.zeros(len(ranks) + 1, np.int64)
-    for at, weight in zip(places, weights, strict=True):
-        np.add.at(count, ranks[at], weight)
-    return [count[ranks[at]] >= 2 for at in places]
+def repeated_windows(phrases: list[bytes], weights: list[int], starts: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each phrase (weight 2 if it occurs twice) and length, which of its first ``starts`` places start a repeated window."""
+    sizes = np.array([len(p) for p in phrases])
+    first = np.cumsum(sizes) - sizes
+    out: list[list[np.ndarray]] = [[] for _ in phrases]
+    for window, ranks in zip(lengths, window_ranks(np.frombuffer(b"".join(phrases), np.uint8), lengths), strict=True):
+        places = [np.arange(s, s + max(0, min(m, n - window + 1))) for s, n, m in zip(first, sizes, starts, strict=True)]
+        count = np.zeros(len(ranks) + 1, np.int64)
+        for at, weight in zip(places, weights, strict=True):
+            np.add.at(count, ranks[at], weight)
+        for found, at in zip(out, places, strict=True):
+            found.append(count[ranks[at]] >= 2)
+    return out
 
 
-BYTES = Kind(WINDOW, TRIGGER, fp.byte_symbols, lambda t: t, bytes, repeated_windows)
+BYTES = Kind((WINDOW, PASSAGE), TRIGGER, fp.byte_symbols, lambda t: t, bytes, repeated_windows)
 
 
 def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Bytes covered by repeated windows go; ``ranges`` and ``n`` count bytes."""
+    """Bytes covered by repeated windows go; ``ranges`` and ``n`` count bytes, ``repeated`` those under windows of ``WINDOW`` and of ``PASSAGE``."""
     return remove_repeats(docs, BYTES, doc_id, text, keep_text)
