@@ -219,6 +219,23 @@ def test_bounds_leave_out_no_link():
     assert seen[i, home[j]].all() and not seen.all()
 
 
+def test_codes_leave_out_no_link():
+    """Distances added up from tables are those to the decoded vectors, and with a code's error never above the true ones."""
+    rng = np.random.default_rng(6)
+    x = pq._unit(np.repeat(rng.normal(size=(30, 24)), 40, axis=0) + rng.normal(size=(1200, 24)) * 0.25)
+    index = pq.Index(x[::3], 20)
+    own = index.squares(x).argmin(1)
+    codes, shift, error = index.encode(x, own)
+    decoded = index.coarse[own] + np.concatenate([book[codes[:, m]] for m, book in enumerate(index.books)], axis=1)
+    found = index.distances(x[:100], own, codes, shift)
+    true = ((decoded[:, None] - x[None, :100]) ** 2).sum(2)
+    assert np.abs(found - true).max() < pq._SINGLE
+    far = 0.2**0.5
+    left_out = found > ((far + error + pq._SINGLE) ** 2 + pq._SINGLE)[:, None]
+    linked = x @ x[:100].T >= 0.9
+    assert not (left_out & linked).any() and left_out.mean() > 0.9 * (1 - linked.mean())
+
+
 def test_stages_keep_columns_of_any_name(spark):
     """Names that operators use themselves neither stop a stage nor lose their values."""
     text = "the quick brown fox jumps over the lazy dog and runs away again "

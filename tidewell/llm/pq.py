@@ -1,17 +1,23 @@
-"""Embedding near-duplicates by exact cosines over coarse inverted lists.
+"""Embedding near-duplicates by product quantisation: inverted lists, residual codes, exact rerank.
 
 Equal vectors form a class first, so a vector with a third of all rows costs one row a
-task. Each class sits in the inverted list of its nearest coarse centroid; lists are packed
-into bins of ``BLOCK`` classes (a larger list is dealt out over several). A class visits
-every bin that may hold a vector within the threshold, by two bounds that no such vector
-can break: the centroid's distance less the list's largest radius, and the distance from the
-border between the list and its own. What two bins send each other is compared exactly, in
-double precision, once for both ends. What leaves a cell is a count for each class and
-a spanning forest of its links, never the pairs.
-
-Centroids are fitted on at most ``SAMPLE`` classes, chosen by a hash of the vector; they
-decide what is compared with what, never which links are found. Where vectors form no
-groups, the bounds leave out little, and the work is that of all pairs of bins.
+task. Each class sits in the inverted list of its nearest coarse centroid, with its residual
+as one code for each of ``PARTS`` subspaces; lists are packed into bins of ``BLOCK`` classes (a larger
+list is dealt out over several):
+
+1. Probes: a class visits every bin that may hold a vector within the threshold, by two bounds
+   that no such vector can break: the centroid's distance less the list's largest radius, and
+   the distance from the border between the list and its own.
+2. In a cell, the distances from a class's own vector to the other side's codes are added up from
+   tables (a row of products for each subspace). A code's error is stored, so the
+   distance less this error bounds the true one from below, and what it leaves out is no link.
+3. What is left is reranked by exact cosines in double precision, once for both ends. What leaves
+   a cell is a count for each class and a spanning forest of its links, never the pairs.
+
+Centroids and codes are fitted on at most ``SAMPLE`` classes, chosen by a hash of the vector; they
+decide how much is compared, never which links are found: recall is 1. Where vectors form no
+groups, the probes leave out little, and codes of all pairs of bins are read. Lengths with under
+``FEW`` classes have nothing to fit codes on; their vectors are compared as they are.
 
 Defined results: null, empty and zero vectors, and vectors with null or non-finite
 components have no links; vectors of different lengths are never linked, those of each length are compared;
@@ -31,10 +37,12 @@ from .storage import Shared, keyed, slices, written
 
 COSINE = 0.9
 SAMPLE, LISTS = 16384, 4096
-#: Classes of a bin; a length with no more is compared as one.
-BLOCK = 4096
-#: More than the rounding of a bound.
-_ROUNDING = 1e-6
+#: Subspaces of a residual, and codes of each.
+PARTS, CODES = 8, 256
+#: Classes of a bin; classes that an index needs.
+BLOCK, FEW = 4096, 256
+#: More than the rounding of a bound, and of distances added up in single precision.
+_ROUNDING, _SINGLE = 1e-6, 2e-5
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -55,11 +63,32 @@ def _means(x: np.ndarray, k: int, steps: int, seed: int) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids, and once ``fill`` has seen the lists the bins they are in."""
+    """Coarse centroids, code books of residuals, and once ``fill`` has seen the lists the bins they are in."""
 
     def __init__(self, sample: np.ndarray, lists: int):
         x = _unit(sample)
         self.coarse = _means(x, min(lists, len(x)), 8, 1)
+        rest = x - self.coarse[self.squares(x).argmin(1)]
+        self.parts_of = np.array_split(np.arange(x.shape[1]), min(PARTS, x.shape[1]))
+        self.books = [_means(rest[:, part], min(CODES, len(x)), 8, 2) for part in self.parts_of]
+
+    def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, the part of a squared distance that does not depend on the other vector, error) of rows in lists ``own``."""
+        base = self.coarse[own]
+        rest, near = x - base, np.zeros_like(x)
+        codes = np.zeros((len(x), len(self.books)), np.uint8)
+        for m, (part, book) in enumerate(zip(self.parts_of, self.books, strict=True)):
+            codes[:, m] = ((book * book).sum(1) - 2 * rest[:, part] @ book.T).argmin(1)
+            near[:, part] = book[codes[:, m]]
+        return codes, (near * near).sum(1) + 2 * (base * near).sum(1), np.sqrt(((rest - near) ** 2).sum(1))
+
+    def distances(self, x: np.ndarray, own: np.ndarray, codes: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Squared distances to each row of ``x`` (a column) from the vectors that codes in lists ``own`` stand for (a row), by table look-ups."""
+        out = self.squares(x).T.astype(np.float32)[own] + shift[:, None].astype(np.float32)
+        for m, (part, book) in enumerate(zip(self.parts_of, self.books, strict=True)):
+            table = (-2 * book @ x[:, part].T).astype(np.float32)
+            out += table[codes[:, m]]
+        return out
 
     def squares(self, x: np.ndarray) -> np.ndarray:
         """Squared distances from each row to each centroid."""
@@ -105,27 +134,32 @@ def _place(shared: Shared, dim: int):
         for batch in slices(batches, 1024):
             if not batch.num_rows:
                 continue
-            squares = index.squares(_unit(_vectors(batch.column(2), dim)))
-            near = squares.argmin(1)
-            found = [pa.array(near.astype(np.int32)), pa.array(np.sqrt(squares[np.arange(len(near)), near]))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *found], ["node", "weight", "v", "list", "radius"])
+            x = _unit(_vectors(batch.column(2), dim))
+            squares = index.squares(x)
+            own = squares.argmin(1)
+            codes, shift, error = index.encode(x, own)
+            found = [pa.array(own.astype(np.int32)), pa.array(np.sqrt(squares[np.arange(len(own)), own])), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(shift), pa.array(error)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *found], ["node", "weight", "v", "list", "radius", "code", "shift", "error"])
 
     return run
 
 
+_ROW = ("node", "weight", "v", "list", "code", "shift", "error")
+
+
 def _visit(shared: Shared, dim: int, far: float):
-    """``bin`` and all bins to be compared with, for each row of (node, weight, v, list, spread)."""
+    """``home`` and all bins to be compared with, for each row of (_ROW, spread)."""
 
     def run(batches):
-        index = shared.value
+        index, n = shared.value, len(_ROW)
         for batch in slices(batches, 1024):
             if not batch.num_rows:
                 continue
             own = batch.column(3).to_numpy().astype(np.int64)
-            home = index.first[own] + batch.column(4).to_numpy() % index.parts[own]
+            home = index.first[own] + batch.column(n).to_numpy() % index.parts[own]
             bins, open_ = index.reach(_unit(_vectors(batch.column(2), dim)), own, far)
             visits = pa.array([bins[x].astype(np.int32) for x in open_], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(home.astype(np.int32)), visits], ["node", "weight", "v", "home", "visits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(home.astype(np.int32)), visits], [*_ROW, "home", "visits"])
 
     return run
 
@@ -143,7 +177,9 @@ def _join(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             low[:] = low[low]
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, indexes: dict[int, Shared]):
+    far = (2 - 2 * cosine) ** 0.5
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dim, one = key[0].as_py(), key[1].as_py() == key[2].as_py()
         order = np.argsort(table["node"].to_numpy(), kind="stable")
@@ -152,14 +188,19 @@ def _compare(cosine: float):
         count, low = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
         left = np.flatnonzero(side == 0)
         right = left if one else np.flatnonzero(side == 1)
-        others = x[right]
+        index = indexes[dim].value if dim in indexes else None
+        if index:
+            own, shift, error = (table[c].to_numpy()[order][right] for c in ("list", "shift", "error"))
+            codes = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(len(nodes), -1)[order][right]
+            most = ((far + error + _SINGLE) ** 2 + _SINGLE)[:, None]
         for at in range(0, len(left) if len(right) else 0, 256):
             some = left[at : at + 256]
-            dots = x[some] @ others.T
+            kept = np.flatnonzero((index.distances(x[some], own, codes, shift) <= most).any(axis=1)) if index else np.arange(len(right))
+            dots = x[some] @ x[right[kept]].T
             i, j = np.nonzero(dots >= cosine - 1e-9)
             near = np.flatnonzero(dots[i, j] < cosine + 1e-9)
             good = np.ones(len(i), bool)
-            i, j = some[i], right[j]
+            i, j = some[i], right[kept[j]]
             # so near the threshold, a sum in an order of its own decides
             for part in range(0, len(near), 1 << 16):
                 k = near[part : part + (1 << 16)]
@@ -168,29 +209,31 @@ def _compare(cosine: float):
             i, j = i[good], j[good]
             count += np.bincount(i, weight[j], len(nodes)).astype(np.int64) + np.bincount(j, weight[i], len(nodes)).astype(np.int64)
             _join(low, i, j)
-        asked, far = count > 0, low != np.arange(len(nodes))
-        ids = pa.array(np.concatenate([nodes[asked], nodes[far]]), pa.int64())
-        others = pa.concat_arrays([pa.nulls(int(asked.sum()), pa.int64()), pa.array(nodes[low[far]], pa.int64())])
-        return pa.table({"a": ids, "b": others, "n": pa.concat_arrays([pa.array(count[asked], pa.int64()), pa.nulls(int(far.sum()), pa.int64())])})
+        asked, far_ = count > 0, low != np.arange(len(nodes))
+        ids = pa.array(np.concatenate([nodes[asked], nodes[far_]]), pa.int64())
+        others = pa.concat_arrays([pa.nulls(int(asked.sum()), pa.int64()), pa.array(nodes[low[far_]], pa.int64())])
+        return pa.table({"a": ids, "b": others, "n": pa.concat_arrays([pa.array(count[asked], pa.int64()), pa.nulls(int(far_.sum()), pa.int64())])})
 
     return run
 
 
-def _cells(classes: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
-    """The ``n`` classes of one length, a row for each cell ``(dim, a, b)`` of bins they are compared in."""
+def _cells(classes: DataFrame, dim: int, n: int, cosine: float) -> tuple[DataFrame, Shared]:
+    """The ``n`` classes of one length, a row for each cell ``(dim, a, b)`` of bins they are compared in, and their index."""
     share = min(1.0, SAMPLE / n)
     chosen = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     sample = [r["v"] for r in classes.filter(chosen).orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()] or [classes.orderBy("v").first()["v"]]
     spark, kind = classes.sparkSession, dict(classes.dtypes)["v"]
     index = Index(np.array(sample, np.float64), min(LISTS, max(1, int(n**0.5))))
-    placed = classes.mapInArrow(_place(Shared(spark, index), dim), f"node bigint, weight bigint, v {kind}, list int, radius double")
+    placed = classes.mapInArrow(_place(Shared(spark, index), dim), f"node bigint, weight bigint, v {kind}, list int, radius double, code binary, shift double, error double")
     placed = written(placed, "placed")
     lists = placed.groupBy("list").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect()
     index.fill({r["list"]: r["n"] for r in lists}, {r["list"]: r["radius"] for r in lists})
-    spread = placed.select("node", "weight", "v", "list", F.pmod(F.xxhash64("node"), F.lit(1 << 30)).alias("spread"))
-    visits = spread.mapInArrow(_visit(Shared(spark, index), dim, (2 - 2 * cosine) ** 0.5), f"node bigint, weight bigint, v {kind}, home int, visits array<int>")
-    visits = visits.select("node", "weight", "v", "home", F.explode("visits").alias("bin"))
-    return visits.select(F.lit(dim).alias("dim"), F.least("home", "bin").alias("a"), F.greatest("home", "bin").alias("b"), (F.col("home") > F.col("bin")).cast("int").alias("side"), "node", "weight", "v")
+    shared = Shared(spark, index)
+    spread = placed.select(*_ROW, F.pmod(F.xxhash64("node"), F.lit(1 << 30)).alias("spread"))
+    row = f"node bigint, weight bigint, v {kind}, list int, code binary, shift double, error double"
+    visits = spread.mapInArrow(_visit(shared, dim, (2 - 2 * cosine) ** 0.5), f"{row}, home int, visits array<int>")
+    visits = visits.select(*_ROW, "home", F.explode("visits").alias("bin"))
+    return visits.select(F.lit(dim).alias("dim"), F.least("home", "bin").alias("a"), F.greatest("home", "bin").alias("b"), (F.col("home") > F.col("bin")).cast("int").alias("side"), *_ROW), shared
 
 
 def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -200,13 +243,13 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = rows.filter(sound)
     classes = written(usable.groupBy("v").agg(F.min("_key").alias("node"), F.count("*").alias("weight")).select("node", "weight", "v", F.size("v").alias("dim")), "classes")
-    # lengths with more than a bin of classes: no more than there are bins
-    large = classes.groupBy("dim").count().filter(F.col("count") > BLOCK).collect()
-    zero = F.lit(0)
-    cells = classes.filter(~F.col("dim").isin([r["dim"] for r in large])).select("dim", zero.alias("a"), zero.alias("b"), zero.alias("side"), "node", "weight", "v")
-    for r in large:
-        cells = cells.unionByName(_cells(classes.filter(F.col("dim") == r["dim"]).drop("dim"), r["dim"], r["count"], cosine))
-    compared = written(cells.groupBy("dim", "a", "b").applyInArrow(_compare(cosine), "a bigint, b bigint, n bigint"), "compared")
+    indexed = classes.groupBy("dim").count().filter(F.col("count") >= FEW).collect()
+    cells = classes.filter(~F.col("dim").isin([r["dim"] for r in indexed])).select("dim", *[F.lit(0).alias(c) for c in ("a", "b", "side")], "node", "weight", "v")
+    indexes = {}
+    for r in indexed:
+        of_length, indexes[r["dim"]] = _cells(classes.filter(F.col("dim") == r["dim"]).drop("dim"), r["dim"], r["count"], cosine)
+        cells = cells.unionByName(of_length, allowMissingColumns=True)
+    compared = written(cells.groupBy("dim", "a", "b").applyInArrow(_compare(cosine, indexes), "a bigint, b bigint, n bigint"), "compared")
     counted = compared.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     found = components(compared.filter("b is not null").select("a", "b"))
     of = usable.join(classes, "v").select("_key", "node", "weight").join(counted, "node", "left").join(found, "node", "left")
