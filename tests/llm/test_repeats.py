@@ -50,12 +50,11 @@ def check(rows, values, kind, sliced):
         assert spans == int((np.diff(mask.astype(int), prepend=0) == 1).sum())
 
 
-@pytest.mark.parametrize("levels", [None, 1, 3])
+@pytest.mark.parametrize("hot", [False, True])
 @pytest.mark.parametrize(("kind", "sliced"), [(substring.WORDS, lambda b: tuple(b.split())), (suffixarray.BYTES, bytes)])
-def test_equals_brute_force(spark, monkeypatch, kind, sliced, levels):
-    if levels:  # every trigger is hot
+def test_equals_brute_force(spark, monkeypatch, kind, sliced, hot):
+    if hot:  # every trigger and every core
         monkeypatch.setattr(repeats, "HOT", 1)
-        monkeypatch.setattr(repeats, "LEVELS", levels)
     values = texts()
     docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
     found = repeats.remove_repeats(docs, kind).orderBy("doc_id").collect()

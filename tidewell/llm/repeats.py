@@ -10,12 +10,15 @@ trigger, with the symbols their longest windows cover as far as the text goes, i
 2. The dictionary holds each distinct remaining phrase with its count. A phrase that
    occurs twice is repeated as a whole, however often it occurs.
 3. Where one trigger has several distinct phrases, they are compared window by window, in
-   shards of the dictionary, by the caller's structure (automaton or suffix array). A trigger
-   with over ``HOT`` distinct phrases, as beside a line that very many documents share,
-   has its phrases cut again by triggers of another order: most of the parts then have a
-   trigger of their own. What is hot after ``LEVELS`` orders is compared by counting window
-   hashes, which Spark combines map-side and never gathers.
-4. The repeated windows of each phrase return to the documents that hold it.
+   shards of the dictionary, by the caller's structure (automaton or suffix array).
+4. A trigger with over ``HOT`` distinct phrases, as beside a line that very many documents
+   share, has its phrases cut into parts, each length apart: the starts of a part lie within ``cuts``
+   places at a fixed distance from the trigger, and the symbols that all its windows hold (its core)
+   are its new trigger. Equal windows lie in parts with equal cores. Parts are phrases again (2 and
+   3); where a core is hot too, as it lies in the shared line, its parts are cut more
+   finely. A part of one start is its window, so 2 settles it. A document meets each size
+   of cut a few times a shared line, not once a window.
+5. The repeated windows of each phrase return to the documents that hold it.
 
 Hashes have 64 bits; two different windows are taken for equal with a chance of about
 n^2 / 2^65 for n windows that are compared.
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 from . import fingerprints as fp
 from .storage import keyed, slices, written
 
-#: Distinct phrases of one trigger compared in one shard; phrases a shard; orders of triggers.
-HOT, SHARD, LEVELS = 512, 1024, 3
+#: Distinct phrases of one trigger compared in one shard; phrases a shard.
+HOT, SHARD = 512, 1024
 _LOW = np.uint64((1 << 24) - 1)
 #: Window starts cut at once.
 _PIECE = 1 << 22
@@ -51,6 +54,8 @@ class Kind:
     #: Window lengths, the longest first; what the longest find is removed.
     lengths: tuple[int, ...]
     trigger: int
+    #: Window starts of the parts that hot phrases are cut to, from coarse to one.
+    cuts: tuple[int, ...]
     #: Text to one 64-bit symbol for each place, and to the places themselves (sliceable).
     symbols: Callable[[bytes], np.ndarray]
     places: Callable[[bytes], list[bytes] | bytes]
@@ -64,17 +69,21 @@ class Kind:
         return self.lengths[0]
 
 
-def phrases(symbols: np.ndarray, kind: Kind, order: int = 0, most: int | None = None) -> tuple[np.ndarray, ...]:
-    """(trigger hash, phrase hash, first start, number of starts) of each phrase among the first ``most`` starts, by the ``order``-th order of triggers."""
+def _least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each run of ``width`` hashes, the first of equals."""
+    packed = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
+    return (fp.sliding_minimum(packed, width) & _LOW).astype(np.int64)
+
+
+def phrases(symbols: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
+    """(trigger hash, phrase hash, first start, number of starts) of each phrase."""
     found, short = [], kind.lengths[-1]
-    n = max(0, len(symbols) - short + 1) if most is None else most
+    n = max(0, len(symbols) - short + 1)
     for base in range(0, n, _PIECE):
         part = symbols[base : base + _PIECE + kind.window - 1]
         sums = fp.prefix(part)
         hashes = fp.windows(sums, kind.trigger)
-        hashes = fp.mix(hashes + np.uint64(order)) if order else hashes
-        packed = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
-        at = (fp.sliding_minimum(packed, short - kind.trigger + 1) & _LOW).astype(np.int64)[: min(_PIECE, n - base)]
+        at = _least(hashes, short - kind.trigger + 1)[: min(_PIECE, n - base)]
         starts = np.flatnonzero(np.diff(at, prepend=-1))
         count = np.diff(starts, append=len(at))
         content = fp.ranges(sums, starts, np.minimum(starts + count + kind.window - 1, len(part)))
@@ -85,6 +94,23 @@ def phrases(symbols: np.ndarray, kind: Kind, order: int = 0, most: int | None =
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def parts_of(symbols: np.ndarray, kind: Kind, starts: int, k: int, size: int) -> tuple[np.ndarray, ...]:
+    """(core hash, part hash, first start, number of starts) of the parts of a phrase for the k-th length, ``size`` starts each at most."""
+    length = kind.lengths[k]
+    starts = min(starts, len(symbols) - length + 1)
+    if starts <= 0:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    sums = fp.prefix(symbols)
+    at = _least(fp.windows(sums[: kind.lengths[-1] + 1], kind.trigger), kind.lengths[-1] - kind.trigger + 1)[0]
+    far = (at - np.arange(starts)) // size
+    first = np.flatnonzero(np.diff(far, prepend=far[0] + 1))
+    count = np.diff(first, append=starts)
+    core = at - far[first] * size
+    key = fp.mix(fp.ranges(sums, core, core - size + 1 + length) + fp.mix(far[first].astype(np.uint64) * np.uint64(4) + np.uint64(k)))
+    content = fp.mix(fp.ranges(sums, first, first + count + length - 1) + count.astype(np.uint64))
+    return key.view(np.int64), content.view(np.int64), first, count
+
+
 def _describe(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -122,22 +148,23 @@ def _payloads(kind: Kind):
     return run
 
 
-def _parts(kind: Kind, order: int):
-    """Phrases of hot triggers (a, c, weight, m, payload) cut by another order: (whole_a, whole_c, offset) and the part's own (a, c, m, weight, payload)."""
+def _parts(kind: Kind, size: int):
+    """Phrases (a, c, weight, m, k or null for all lengths, payload) cut to parts: (whole_a, whole_c, offset) and the part's own (a, c, m, k, weight, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, made, payload = [], [], []
-            for row, (trigger, most, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                a, c, s, m = phrases(kind.symbols(text), kind, order, most)
-                a = fp.mix(a.view(np.uint64) ^ np.uint64(trigger & _U64)).view(np.int64)
-                places = kind.places(text)
-                of += [row] * len(a)
-                made += zip(a.tolist(), c.tolist(), s.tolist(), m.tolist(), strict=True)
-                payload += [kind.packed(places[i : i + n + kind.window - 1]) for i, n in zip(s.tolist(), m.tolist(), strict=True)]
+            for row, (trigger, starts, which, text) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True)):
+                symbols, places = kind.symbols(text), kind.places(text)
+                for k in range(len(kind.lengths)) if which is None else (which,):
+                    a, c, s, m = parts_of(symbols, kind, starts, k, size)
+                    a = fp.mix(a.view(np.uint64) ^ np.uint64(trigger & _U64)).view(np.int64)
+                    of += [row] * len(a)
+                    made += zip(s.tolist(), a.tolist(), c.tolist(), m.tolist(), [k] * len(a), strict=True)
+                    payload += [kind.packed(places[i : i + n + kind.lengths[k] - 1]) for i, n in zip(s.tolist(), m.tolist(), strict=True)]
             at = pa.array(of, pa.int64())
-            columns = [pa.array([x[i] for x in made], t) for i, t in ((2, pa.int32()), (0, pa.int64()), (1, pa.int64()), (3, pa.int64()))]
-            names = ["whole_a", "whole_c", "offset", "a", "c", "m", "weight", "payload"]
+            columns = [pa.array([x[i] for x in made], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+            names = ["whole_a", "whole_c", "offset", "a", "c", "m", "k", "weight", "payload"]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns, batch.column(2).take(at), pa.array(payload, pa.binary())], names)
 
     return run
@@ -154,10 +181,11 @@ def runs(mask: np.ndarray, k: int = 0) -> list[dict[str, int]]:
 
 
 def _compared(kind: Kind):
-    def run(table: pa.Table) -> pa.Table:
-        weight = table["weight"].to_pylist()
-        masks = kind.compare(table["payload"].to_pylist(), weight, table["m"].to_pylist(), kind.lengths)
-        spans = [[x for k, mask in enumerate(found) for x in runs(mask, k)] if w == 1 else [] for w, found in zip(weight, masks, strict=True)]
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        weight, which = table["weight"].to_pylist(), key[0].as_py()
+        lengths = kind.lengths if which is None else (kind.lengths[which],)
+        masks = kind.compare(table["payload"].to_pylist(), weight, table["m"].to_pylist(), lengths)
+        spans = [[x for k, mask in enumerate(found) for x in runs(mask, which or k)] if w == 1 else [] for w, found in zip(weight, masks, strict=True)]
         some = [i for i, x in enumerate(spans) if x]
         where = pa.array(some, pa.int64())
         return pa.table({"a": table["a"].take(where), "c": table["c"].take(where), "spans": pa.array([spans[i] for i in some], pa.list_(_SPAN))})
@@ -165,70 +193,39 @@ def _compared(kind: Kind):
     return run
 
 
-def _hashed(kind: Kind):
-    """(a, c, weight, h, i, k): the hashes of the windows of (a, c, weight, m, payload)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, hashes, places, which = [], [], [], []
-            for row, (m, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                sums = fp.prefix(kind.symbols(text))
-                for k, length in enumerate(kind.lengths):
-                    h = fp.windows(sums, length)[:m].view(np.int64)
-                    hashes.append(h)
-                    of.append(np.full(len(h), row))
-                    places.append(np.arange(len(h), dtype=np.int32))
-                    which.append(np.full(len(h), k, np.int32))
-            if not of:
-                continue
-            at = pa.array(np.concatenate(of).astype(np.int64))
-            made = [pa.array(np.concatenate(x)) for x in (hashes, places, which)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *made], ["a", "c", "weight", "h", "i", "k"])
-
-    return run
-
-
-def _by_counts(payloads: DataFrame, kind: Kind) -> DataFrame:
-    """(a, c, spans) of phrases whose trigger is hot, by counting the hashes of their windows."""
-    each = written(payloads.select("a", "c", "weight", "m", "payload").mapInArrow(_hashed(kind), "a bigint, c bigint, weight bigint, h bigint, i int, k int"), "windows")
-    twice = written(each.groupBy("h").agg(F.sum("weight").alias("t")).filter("t >= 2").select("h"), "twice")
-    one = F.struct(F.col("i").alias("lo"), (F.col("i") + 1).alias("hi"), "k")
-    return each.filter("weight = 1").join(twice, "h", "left_semi").groupBy("a", "c").agg(F.collect_list(one).alias("spans"))
-
-
-def _whole(dictionary: DataFrame, kind: Kind) -> DataFrame:
-    """Phrases that occur twice are repeated from their first to their last start; ``_cut`` leaves out windows that the text does not hold."""
-    spans = F.array(*[F.struct(F.lit(0).alias("lo"), F.col("m").cast("int").alias("hi"), F.lit(k).alias("k")) for k in range(len(kind.lengths))])
+def _whole(dictionary: DataFrame, lengths: int) -> DataFrame:
+    """Phrases that occur twice are repeated from their first to their last start; ``_covered`` leaves out windows that the text does not hold."""
+    every = F.array(*[F.lit(k) for k in range(lengths)])
+    of = F.when(F.col("k").isNull(), every).otherwise(F.array("k"))
+    spans = F.transform(of, lambda k: F.struct(F.lit(0).alias("lo"), F.col("m").cast("int").alias("hi"), k.alias("k")))
     return dictionary.filter("n >= 2").select("a", "c", spans.alias("spans"))
 
 
-def _resolve(payloads: DataFrame, kind: Kind, order: int = 0) -> DataFrame:
-    """(a, c, spans) of the repeated windows of phrases (a, c, weight, kinds, m, payload) that occur once; kinds >= 2."""
+def _resolve(payloads: DataFrame, kind: Kind, level: int = 0) -> DataFrame:
+    """(a, c, spans) of the repeated windows of phrases (a, c, weight, kinds, m, k, payload) that occur once; kinds >= 2."""
     shards = max(1, payloads.filter(F.col("kinds") <= HOT).count() // SHARD)
     cold = payloads.filter(F.col("kinds") <= HOT).withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
-    found = cold.groupBy("shard").applyInArrow(_compared(kind), f"a bigint, c bigint, spans {_SPANS}")
+    found = cold.groupBy("k", "shard").applyInArrow(_compared(kind), f"a bigint, c bigint, spans {_SPANS}")
     hot = payloads.filter(F.col("kinds") > HOT)
-    if not hot.limit(1).count():
+    # the parts of the last cut are windows: equal or of different cores, so none is left here
+    if level == len(kind.cuts) or not hot.limit(1).count():
         return found
-    if order + 1 >= LEVELS:
-        return found.unionByName(_by_counts(hot, kind))
-    parts = hot.select("a", "c", "weight", "m", "payload").mapInArrow(_parts(kind, order + 1), "whole_a bigint, whole_c bigint, offset int, a bigint, c bigint, m bigint, weight bigint, payload binary")
+    parts = hot.select("a", "c", "weight", "m", "k", "payload").mapInArrow(_parts(kind, kind.cuts[level]), "whole_a bigint, whole_c bigint, offset int, a bigint, c bigint, m bigint, k int, weight bigint, payload binary")
     parts = written(parts, "parts")
-    dictionary = written(parts.groupBy("a", "c").agg(F.sum("weight").alias("n"), F.min("m").alias("m"), F.first("payload").alias("payload")), "part_dictionary")
+    dictionary = written(parts.groupBy("a", "c").agg(F.sum("weight").alias("n"), F.min("m").alias("m"), F.min("k").alias("k"), F.first("payload").alias("payload")), "part_dictionary")
     kinds = written(dictionary.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds >= 2"), "part_kinds")
-    again = dictionary.join(kinds, "a").select("a", "c", F.least("n", F.lit(2)).cast("bigint").alias("weight"), "kinds", "m", "payload")
-    status = written(_whole(dictionary, kind).unionByName(_resolve(written(again, "part_payloads"), kind, order + 1)), "part_repeated")
+    again = dictionary.join(kinds, "a").select("a", "c", F.least("n", F.lit(2)).cast("bigint").alias("weight"), "kinds", "m", "k", "payload")
+    status = written(_whole(dictionary, len(kind.lengths)).unionByName(_resolve(written(again, "part_payloads"), kind, level + 1)), "part_repeated")
     moved = F.transform("spans", lambda x: F.struct((x["lo"] + F.col("offset")).alias("lo"), (x["hi"] + F.col("offset")).alias("hi"), x["k"].alias("k")))
     back = parts.filter("weight = 1").select("whole_a", "whole_c", "offset", "a", "c").join(status, ["a", "c"]).select("whole_a", "whole_c", moved.alias("spans"))
     back = back.groupBy(F.col("whole_a").alias("a"), F.col("whole_c").alias("c")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return found.unionByName(back)
 
 
-def _covered(found: list[dict[str, int]], k: int, length: int, n: int) -> list[dict[str, int]]:
-    """The symbols of n under the k-th length's windows, as runs."""
+def _covered(lo: np.ndarray, hi: np.ndarray, length: int, n: int) -> list[dict[str, int]]:
+    """The symbols of n under windows of ``length`` that start in the runs [lo, hi), as runs."""
     step = np.zeros(n + 1, np.int64)
-    lo = np.array([x["lo"] for x in found if x["k"] == k], np.int64)
-    hi = np.minimum(np.array([x["hi"] for x in found if x["k"] == k], np.int64), n - length + 1)
+    hi = np.minimum(hi, n - length + 1)
     some = lo < hi
     np.add.at(step, lo[some], 1)
     np.add.at(step, hi[some] + length - 1, -1)
@@ -239,10 +236,14 @@ def _cut(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             spans, counts, kept = [], [[] for _ in kind.lengths], []
-            for text, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            ends, every = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            lo, hi, which = (every.field(i).to_numpy().astype(np.int64) for i in range(3))
+            for row, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 places = kind.places(text or b"")
+                own = slice(ends[row], ends[row + 1])
                 for k, length in reversed([*enumerate(kind.lengths)]):
-                    covered = _covered(found, k, length, len(places))
+                    mine = which[own] == k
+                    covered = _covered(lo[own][mine], hi[own][mine], length, len(places))
                     counts[k].append(sum(x["hi"] - x["lo"] for x in covered))
                 spans.append(covered)
                 left, at = [], 0
@@ -269,13 +270,13 @@ def remove_repeats(docs: DataFrame, kind: Kind, doc_id: str = "doc_id", text: st
     # the counts are written, so that the joins below meet two plain shuffles, which can be split where a trigger is hot
     twice = written(block.groupBy("a").count().filter("count >= 2").select("a"), "triggers")
     shared = written(block.join(twice, "a", "left_semi"), "shared")
-    dictionary = written(shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_key", "s")).alias("at"), F.min("m").alias("m")), "dictionary")
+    dictionary = written(shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_key", "s")).alias("at"), F.min("m").alias("m")).withColumn("k", F.lit(None).cast("int")), "dictionary")
     kinds = written(dictionary.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds >= 2"), "kinds")
     weight = F.least("n", F.lit(2)).cast("bigint")
     one = F.struct("a", "c", weight.alias("weight"), "kinds", F.col("at.s").alias("s"), "m")
     asked = dictionary.join(kinds, "a").select(F.col("at._key").alias("_key"), one.alias("x")).groupBy("_key").agg(F.collect_list("x").alias("asked"))
-    payloads = rows.select("_key", "text").join(asked, "_key").select("text", "asked").mapInArrow(_payloads(kind), "a bigint, c bigint, weight bigint, kinds bigint, m bigint, payload binary")
-    status = written(_whole(dictionary, kind).unionByName(_resolve(written(payloads, "payloads"), kind)), "repeated")
+    payloads = rows.select("_key", "text").join(asked, "_key").select("text", "asked").mapInArrow(_payloads(kind), "a bigint, c bigint, weight bigint, kinds bigint, m bigint, payload binary").withColumn("k", F.lit(None).cast("int"))
+    status = written(_whole(dictionary, len(kind.lengths)).unionByName(_resolve(written(payloads, "payloads"), kind)), "repeated")
     spans = shared.join(status, ["a", "c"]).select("_key", "s", F.explode("spans").alias("x"))
     spans = spans.groupBy("_key").agg(F.collect_list(F.struct((F.col("s") + F.col("x.lo")).alias("lo"), (F.col("s") + F.col("x.hi")).alias("hi"), F.col("x.k").alias("k"))).alias("spans"))
     cut = rows.select("_key", "text").join(spans, "_key").mapInArrow(_cut(kind), f"_key bigint, repeated array<bigint>, ranges {_SPANS}, cut_sha string, kept binary")

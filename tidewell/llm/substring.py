@@ -56,7 +56,7 @@ def repeated_windows(phrases: list[bytes], weights: list[int], starts: list[int]
     return out
 
 
-WORDS = Kind((WINDOW,), TRIGGER, fp.word_symbols, bytes.split, b" ".join, repeated_windows)
+WORDS = Kind((WINDOW,), TRIGGER, (8, 1), fp.word_symbols, bytes.split, b" ".join, repeated_windows)
 
 
 def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:

@@ -48,22 +48,44 @@ def window_ranks(text: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]
     return out[::-1]
 
 
+def _counted(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """How much weight the key of each place has in all."""
+    _, of = np.unique(keys, return_inverse=True)
+    return np.bincount(of, weights)[of] if len(of) else np.zeros(0)
+
+
 def repeated_windows(phrases: list[bytes], weights: list[int], starts: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
-    """For each phrase (weight 2 if it occurs twice) and length, which of its first ``starts`` places start a repeated window."""
-    sizes = np.array([len(p) for p in phrases])
+    """For each phrase (weight 2 if it occurs twice) and length, which of its first ``starts`` places start a repeated window.
+
+    Windows whose hash stands alone are not repeated; what lies outside the other windows is not ranked.
+    """
+    sizes = np.array([len(p) for p in phrases], np.int64)
+    counts = [np.maximum(0, np.minimum(starts, sizes - n + 1)) for n in lengths]
+    first = np.cumsum(sizes) - sizes
+    hashes = fp.windows(fp.prefix(fp.byte_symbols(b"".join(phrases))), lengths[-1])
+    own = np.repeat(np.arange(len(phrases)), counts[-1])
+    place = np.arange(len(own)) - np.repeat(np.cumsum(counts[-1]) - counts[-1], counts[-1])
+    maybe = np.flatnonzero(_counted(hashes[first[own] + place], np.array(weights)[own]) >= 2)
+    out = [[np.zeros(c[i], bool) for c in counts] for i in range(len(phrases))]
+    if not len(maybe):
+        return out
+    # of each phrase with such windows, what they cover at their longest
+    some, low = np.unique(own[maybe], return_index=True)
+    low, high = place[maybe[low]], place[maybe[np.append(low[1:], len(maybe)) - 1]] + 1
+    trimmed = [phrases[i][a : b + lengths[0] - 1] for i, a, b in zip(some, low, high, strict=True)]
+    sizes = np.array([len(p) for p in trimmed], np.int64)
     first = np.cumsum(sizes) - sizes
-    out: list[list[np.ndarray]] = [[] for _ in phrases]
-    for window, ranks in zip(lengths, window_ranks(np.frombuffer(b"".join(phrases), np.uint8), lengths), strict=True):
-        places = [np.arange(s, s + max(0, min(m, n - window + 1))) for s, n, m in zip(first, sizes, starts, strict=True)]
-        count = np.zeros(len(ranks) + 1, np.int64)
-        for at, weight in zip(places, weights, strict=True):
-            np.add.at(count, ranks[at], weight)
-        for found, at in zip(out, places, strict=True):
-            found.append(count[ranks[at]] >= 2)
+    for k, ranks in enumerate(window_ranks(np.frombuffer(b"".join(trimmed), np.uint8), lengths)):
+        n = np.maximum(0, np.minimum(high - low, sizes - lengths[k] + 1))
+        own = np.repeat(np.arange(len(some)), n)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        good = _counted(ranks[first[own] + place], np.array(weights)[some][own]) >= 2
+        for i, a, mask in zip(some, low, np.split(good, np.cumsum(n)[:-1]), strict=True):
+            out[i][k][a : a + len(mask)] = mask
     return out
 
 
-BYTES = Kind((WINDOW, PASSAGE), TRIGGER, fp.byte_symbols, lambda t: t, bytes, repeated_windows)
+BYTES = Kind((WINDOW, PASSAGE), TRIGGER, (64, 16, 4, 1), fp.byte_symbols, lambda t: t, bytes, repeated_windows)
 
 
 def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
