@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -105,6 +107,35 @@ def test_languages_on_held_out_rows(spark):
     assert all(flags[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in flags)
 
 
+def test_predictions_equal_brute_force(spark):
+    """Languages, scores and bits of a whole table, repeated rows and an unlearned language among it, by parsing with substring tests."""
+    rows = [(i, t[:200], lang) for i, t, lang in labelled(60)]
+    rows += [(100, rows[0][1], None), (100, rows[0][1], None), (101, "zq zq wx", "zz"), (102, "Été ÉTÉ 5 the", "aa"), (103, "é", None), (None, "the und que", "bb"), (104, "", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.references(docs)
+
+    def folded(text):
+        return re.sub("0+", "0", "".join(c.lower() if c.isalpha() else "0" for c in text))
+
+    refs = {k: folded(t) for k, t in learned.items()}
+    want = []
+    for i, text, _ in rows:
+        x, costs = folded(text), {}
+        for name, ref in refs.items():
+            at = phrases = 0
+            while at < len(x):
+                end = at + 1
+                while end < len(x) and x[at : end + 1] in ref:
+                    end += 1
+                at, phrases = end, phrases + 1
+            costs[name] = phrases * math.log2(max(2, len(ref))) / max(1, len(x))
+        best, second = (sorted(costs.items(), key=lambda c: (c[1], c[0])) * 2)[:2]
+        some = any(c.isalpha() for c in text)
+        want.append((i, best[0] if some else "und", round(1 - best[1] / second[1], 9) if some else 0.0))
+    found = langid.identify(docs, learned, keep=["doc_id"]).collect()
+    assert sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in found), key=str) == sorted(want, key=str)
+
+
 def test_scripts_of_high_code_points(monkeypatch):
     """Two languages of 400 ideographs, after another's letters: told apart, by tables and by sorted transitions alike."""
     rng = random.Random(7)

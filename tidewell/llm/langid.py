@@ -82,10 +82,11 @@ class Alphabet:
 
 
 class Dense:
-    """Transitions by a flat table (state * size + class); -1 where there is none."""
+    """Transitions by a flat table (state * size + class); -1 where there is none. ``dead`` has none at all."""
 
     def __init__(self, nxt: list[dict[int, int]], size: int):
-        self.table = np.full(len(nxt) * size, -1, np.int32)
+        self.dead = len(nxt) * size
+        self.table = np.full(self.dead + size, -1, np.int32)
         for s, row in enumerate(nxt):
             for c, t in row.items():
                 self.table[s * size + c] = t * size
@@ -98,6 +99,7 @@ class Sparse:
     """The same, by search among the transitions that there are."""
 
     def __init__(self, nxt: list[dict[int, int]], size: int):
+        self.dead = len(nxt) * size
         self.keys = np.array([s * size + c for s, row in enumerate(nxt) for c in sorted(row)] or [-1], np.int64)
         self.to = np.array([row[c] * size for row in nxt for c in sorted(row)] or [-1], np.int64)
 
@@ -145,7 +147,7 @@ class Parser:
         self.tables, held = [], 0
         for x in refs:
             nxt = automaton(x)
-            cells = len(nxt) * self.alphabet.size
+            cells = (len(nxt) + 1) * self.alphabet.size
             dense = held + 4 * cells <= TABLES and cells < 1 << 31
             held += 4 * cells if dense else 0
             self.tables.append((Dense if dense else Sparse)(nxt, self.alphabet.size))
@@ -154,7 +156,9 @@ class Parser:
     def _phrases(self, table: Dense | Sparse, columns: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Phrases of each segment. columns: classes, a row for each place; live: segments at each place, longest first."""
         count = np.ones(columns.shape[1], np.int64)
-        first = np.maximum(table.step(0, np.arange(self.alphabet.size)), 0)
+        first = table.step(0, np.arange(self.alphabet.size))
+        # a character the language does not have is a phrase, and so is what follows
+        first = np.where(first < 0, table.dead, first)
         state = first[columns[0]]
         for place in range(1, len(columns)):
             c = columns[place, : live[place]]
