@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 from tidewell.llm import pii, secretscan, spans
@@ -107,3 +110,62 @@ def test_contexts_find_unseen_identifiers(spark):
     at = text.index("handle")
     assert found[200] == f"context:{at}:{at + len('handle-994417')}"
     assert found[201] == found[202] == "" and all(found[100 + i] == "" for i in range(60))
+
+
+def contexts(docs):
+    """The spans that contexts add to each text, by plain loops."""
+    seen, edges = [], defaultdict(bool)
+    for i, text in enumerate(docs):
+        base = [tuple(map(int, s.split(":")[1:])) for s in expected(text, PERSONAL, False).split(",") if s]
+        words = [(m.start(), m[0]) for m in re.finditer(r"[^\x09-\x0D\x20]+", text or "")]
+        for (_, word), (at, token) in zip(words, words[1:]):
+            if not re.search("[0-9@]", token):
+                continue
+            head = len(re.match(r"""[("'\[{]*""", token)[0])
+            core = re.sub(r"""[.,;:!?)"'\]}]+$""", "", token[head:])
+            pattern = re.sub(r"""^[("'\[{]+|[.,;!?)"'\]}]+$""", "", word).lower()
+            if core and pattern:
+                start, end = at + head, at + head + len(core)
+                seed = any(a < end and b > start for a, b in base)
+                seen.append((i, pattern, core, start, end, seed))
+                edges[pattern, core] |= seed
+    seeds = defaultdict(float)
+    for (_, core), seed in edges.items():
+        seeds[core] = max(seeds[core], float(seed))
+    scores, patterns = dict(seeds), {}
+    for k in range(pii.ROUNDS):
+        held = defaultdict(list)
+        for (pattern, core), seed in edges.items():
+            held[pattern].append((scores[core], seed))
+        patterns = {p: (sum(s for s, _ in x) / (len(x) + 1), sum(seed for _, seed in x)) for p, x in held.items()}
+        if k < pii.ROUNDS - 1:
+            heard = defaultdict(float)
+            for pattern, core in edges:
+                if patterns[pattern][1] >= pii.SUPPORT:
+                    heard[core] += math.log(1 - patterns[pattern][0])
+            scores = {core: max(seed, 0.5 * (1 - math.exp(heard[core])) if core in heard else 0.0) for core, seed in seeds.items()}
+    rate = sum(edges.values()) / max(1, len(edges))
+    sure = {p for p, (good, n) in patterns.items() if n >= pii.SUPPORT and good >= pii.RELIABLE and good >= pii.LIFT * rate}
+    added = defaultdict(set)
+    for i, pattern, core, start, end, seed in seen:
+        if pattern in sure and not seed and len(re.sub("[^0-9]", "", core)) >= pii.DIGITS:
+            added[i].add((start, end))
+    return [",".join(f"context:{a}:{b}" for a, b in sorted(added[i])) for i in range(len(docs))]
+
+
+def test_contexts_equal_brute_force(spark):
+    """Planted contexts, words that are tokens themselves, line ends, brackets, very long words and tokens, and ties."""
+    rng = random.Random(4)
+    mail = lambda: f"u{rng.randrange(10**6)}@h{rng.randrange(99)}.org"
+    phone = lambda: f"+49 {rng.randrange(100, 999)} {rng.randrange(10**6, 10**7)}"
+    docs = [f"{rng.choice(('Mail:', 'write to', 'reach'))} {mail()} and call {phone()} in {rng.randrange(3000)} days" for _ in range(60)]
+    docs += [f"MAIL: id{rng.randrange(10**5, 10**6)}, call (77{rng.randrange(10**4)}) \n reach\nMail {'Z' * 300}{rng.randrange(10**4, 10**5)} W2 {rng.randrange(10**5)}" for _ in range(6)]
+    docs += [f"there were {rng.randrange(10**5)} birds over {rng.randrange(10**5)} trees" for _ in range(200)]
+    docs += [f"{'y' * 900} {mail()}" for _ in range(8)] + ["y" * 900 + " ref-555123", "reach W2 12345 reach 99999", "", None, "12345", "mail: 7", "call\t12345. call [67890]"]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = [(r.doc_id, r.b, r.s) for r in pii.find(table).select("doc_id", spans.joined(F.col("base")).alias("b"), spans.joined(F.col("spans")).alias("s")).collect()]
+    want = contexts(docs)
+    assert sum(map(bool, want)) >= 8
+    for i, base, every in sorted(found):
+        assert base == expected(docs[i], PERSONAL, False)
+        assert every == ",".join(x for x in (base, want[i]) if x), docs[i]

@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction (native).
 
 Seeds are e-mail addresses, IP addresses, card numbers and phone numbers found by pattern.
-Every token with a digit or an at sign is an instance; the word before it is its lexical
-pattern. On the graph of patterns and instances, scores are passed back and forth: a
+Every token with a digit or an at sign is an instance; the word before it, over spaces and line
+ends, is its lexical pattern (the first token of a text has none). Words and tokens may be of any
+length: beyond ``LONG`` characters their digests stand for them in the graph. On the graph of patterns and instances, scores are passed back and forth: a
 pattern is as good as the share of its instances that score, an instance scores by the
 patterns it appears in. Patterns that are both reliable and clearly better than the
 average token - ``LIFT`` times its rate - then name unseen instances with
@@ -29,12 +30,12 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Numbers of under 16 digits never count, and end where the longer ones do.
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CONTEXT = r"(?<![^\x09-\x0D\x20])[^\x09-\x0D\x20]++[\x20\x09]++[^\x09-\x0D\x200-9@]*+[0-9@][^\x09-\x0D\x20]*+"
+#: A word and the gap after it; the token ahead is not taken, so that it can be the word before the next one.
+CONTEXT = r"(?<![^\x09-\x0D\x20])[^\x09-\x0D\x20]++[\x09-\x0D\x20]++(?=([^\x09-\x0D\x200-9@]*+[0-9@][^\x09-\x0D\x20]*+))"
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS, RELIABLE, LIFT, SUPPORT, DIGITS = 3, 0.6, 1.5, 5, 4
-#: A word and a token of more characters together are no occurrence.
-LONGEST = 512
-STRETCH = 128
+#: Characters beyond which a digest names a word or token in the graph; of a stretch of text in which spans meet.
+LONG, STRETCH = 64, 128
 _SPANS = "array<struct<k:int,start:int,end:int,kind:string>>"
 
 
@@ -69,18 +70,23 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[labelled(kind, i, x) for i, (kind, x) in enumerate(zip(KINDS, found, strict=False))])
 
 
+def _named(x: Column) -> Column:
+    return F.when(F.length(x) <= LONG, x).otherwise(F.sha2(x, 256))
+
+
 def _occurrences(text: Column) -> Column:
-    """(pattern, instance, start, end) of each token with a digit or an at sign that follows a word."""
-    found = F.filter(located(text, CONTEXT, text.rlike("[0-9@]")), lambda s: F.length(s["match"]) <= LONGEST)
+    """(pattern, instance, digits, start, end) of each token with a digit or an at sign that follows a word."""
+    able = text.rlike("[0-9@]")
+    tokens = F.when(able, F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
-    def one(s: Column) -> Column:
-        token = F.regexp_extract(s["match"], r"[^\x09-\x0D\x20]+$", 0)
-        core = F.regexp_replace(token, r"""^[("'\[{]+|[.,;:!?)"'\]}]+$""", "")
-        start = s["end"] - F.length(token) + F.position(core, token) - 1
-        word = F.lower(F.regexp_replace(F.regexp_extract(s["match"], r"^[^\x09-\x0D\x20]+", 0), r"""^[("'\[{]+|[.,;!?)"'\]}]+$""", ""))
-        return F.struct(F.left(word, F.lit(64)).alias("pattern"), core.alias("instance"), start.alias("start"), (start + F.length(core)).alias("end"))
+    def one(s: Column, token: Column) -> Column:
+        core = F.regexp_replace(token, r"""^[("'\[{]++|[.,;:!?)"'\]}]++$""", "")
+        start = s["end"] + F.length(F.regexp_extract(token, r"""^[("'\[{]*+""", 0))
+        word = F.lower(F.regexp_replace(F.regexp_extract(s["match"], r"^[^\x09-\x0D\x20]++", 0), r"""^[("'\[{]++|[.,;!?)"'\]}]++$""", ""))
+        return F.struct(_named(word).alias("pattern"), _named(core).alias("instance"), F.length(_digits(core)).alias("digits"), start.alias("start"), (start + F.length(core)).alias("end"))
 
-    return F.filter(F.transform(found, one), lambda o: (o["pattern"] != "") & F.length(o["instance"]).between(1, 128))
+    found = F.zip_with(located(text, CONTEXT, able), F.coalesce(tokens, F.array().cast("array<string>")), one)
+    return F.filter(found, lambda o: (o["pattern"] != "") & (o["instance"] != ""))
 
 
 def score(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +115,7 @@ def _with_seeds(near: DataFrame, base: DataFrame) -> DataFrame:
 
     met = dealt(near, "o", "p").join(dealt(base, "b", "c"), ["_key", "stretch"]).filter("b < p and c > o")
     seeds = met.select("_key", F.col("o").alias("start")).distinct().withColumn("seed", F.lit(True))
-    return near.join(seeds, ["_key", "start"], "left").select("_key", "pattern", "instance", "start", "end", F.coalesce("seed", F.lit(False)).alias("seed"))
+    return near.join(seeds, ["_key", "start"], "left").select("_key", "pattern", "instance", "digits", "start", "end", F.coalesce("seed", F.lit(False)).alias("seed"))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,7 +128,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     patterns, scores = score(edges)
     rate = edges.agg(F.avg(F.col("seed").cast("double"))).first()[0] or 0.0
     sure = patterns.filter((F.col("support") >= SUPPORT) & (F.col("reliability") >= RELIABLE) & (F.col("reliability") >= LIFT * rate)).select("pattern")
-    unseen = near.filter(~F.col("seed") & (F.length(_digits(F.col("instance"))) >= DIGITS)).join(sure, "pattern")
+    unseen = near.filter(~F.col("seed") & (F.col("digits") >= DIGITS)).join(sure, "pattern")
     one = F.struct(F.lit(4).alias("k"), "start", "end", F.lit("context").alias("kind"))
     added = unseen.groupBy("_key").agg(F.array_sort(F.collect_set(one)).alias("added"))
     base = F.transform("base", lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
