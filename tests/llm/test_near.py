@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tidewell.llm import langid, lshforest, pq
 from tidewell.llm.components import components
@@ -129,6 +130,21 @@ def test_regions_run_on_over_partitions(spark, monkeypatch):
     assert set(classes(range(90), found).values()) == {0}
 
 
+@pytest.mark.parametrize("parts", [1, 4, 200, 211])
+def test_result_does_not_depend_on_partitions(spark, parts):
+    texts = variants()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        found = {r.doc_id: r.component_id for r in lshforest.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert found == classes(sets, links)
+
+
 def test_documents_with_odd_ids(spark):
     docs = spark.createDataFrame([(7, "a b c d e f", "p"), (7, "a b c d e f", "q"), (None, "a b c d e f", "r"), (3, "other", None)], "doc_id long, text string, component string")
     found = lshforest.near_duplicates(docs).collect()

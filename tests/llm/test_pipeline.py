@@ -5,7 +5,8 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from tidewell.llm import sharding
+import pytest
+from tidewell.llm import lshforest, sharding
 
 from .test_near import classes, shingle_set
 from .test_streams import ITEMS, brute, labelled
@@ -29,7 +30,7 @@ def test_stages(spark, tmp_path):
         assert k == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert set(kept[0]) == {r[0] for r in rows} - {400, 401}
     sets = {i: shingle_set(r.text) for i, r in kept[0].items()}
-    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= corpus_pipeline.PERCENT * len(sets[a] | sets[b])]
     assert set(kept[1]) == set(classes(sets, links).values())
     assert set(kept[2]) == set(kept[1])
     assert all(brute(r.text, ITEMS)[1] == 0 and r.n_chars == len(r.text) for r in kept[2].values())
@@ -38,3 +39,35 @@ def test_stages(spark, tmp_path):
     assert all(r.shard == table[r.slot] for r in kept[4].values()) and set(kept[4]) == set(kept[3])
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in whole.select("doc_id").collect()} == set(kept[4])
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_odd_tables(spark, tmp_path, stage):
+    """Each stage alone: an empty table, an empty benchmark, null and repeated ids, columns with names of its own."""
+    work = dict(corpus_pipeline.STAGES)[stage]
+    names = ("_key", "_text", "_row", "node", "component", "kept", "spans", "items", "n_words", "h1")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    texts = [t for _, t, _ in labelled(12)]
+    rows = [(i if i else None, t, "aa", None, len(t), *names) for i, t in enumerate(texts)]
+    rows += [(3, texts[3], "aa", None, 1, *names), (None, None, None, None, None, *names), (20, "", "bb", "s", 0, *names)]
+    for empty, table in ((True, []), (False, rows)):
+        where = str(tmp_path / str(empty))
+        items = spark.createDataFrame([] if empty else [(1, texts[5]), (None, "x"), (2, None)], "item_id long, text string")
+        items.write.parquet(f"{where}/benchmark.parquet")
+        spark.createDataFrame(table, schema).write.parquet(f"{where}/docs")
+        found = work(spark, spark.read.parquet(f"{where}/docs"), where)
+        assert found.columns[:15] == schema.replace(" long", "").replace(" string", "").split(", ")
+        kept = found.collect()
+        assert len(kept) <= len(table) and all(r[n] == n for r in kept for n in names)
+        if stage != "language":
+            assert empty or (sum(r.text is None for r in kept) == 1 and sum(r.text == "" for r in kept) == 1) or stage == "mixture"
+
+
+def test_other_queries_keep_their_scratch(spark, tmp_path):
+    """A result that is built, but not read yet, outlives the pipeline's stages."""
+    rows = [(i, t, lang, "s", len(t)) for i, t, lang in labelled(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    waiting = lshforest.near_duplicates(docs)
+    for name in ("near_duplicates", "mixture", "placement"):
+        dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path)).count()
+    assert waiting.count() == 20
