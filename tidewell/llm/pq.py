@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, join
 from .storage import Shared, keyed, slices, written
 
 COSINE = 0.9
@@ -164,19 +164,6 @@ def _visit(shared: Shared, dim: int, far: float):
     return run
 
 
-def _join(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the components of each i and j; ``low`` holds the smallest place in each place's component."""
-    while True:
-        a, b = low[i], low[j]
-        apart = a != b
-        if not apart.any():
-            return
-        i, j = i[apart], j[apart]
-        np.minimum.at(low, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while (low[low] != low).any():
-            low[:] = low[low]
-
-
 def _compare(cosine: float, indexes: dict[int, Shared]):
     far = (2 - 2 * cosine) ** 0.5
 
@@ -208,7 +195,7 @@ def _compare(cosine: float, indexes: dict[int, Shared]):
             good &= (i < j) if one else True
             i, j = i[good], j[good]
             count += np.bincount(i, weight[j], len(nodes)).astype(np.int64) + np.bincount(j, weight[i], len(nodes)).astype(np.int64)
-            _join(low, i, j)
+            join(low, i, j)
         asked, far_ = count > 0, low != np.arange(len(nodes))
         ids = pa.array(np.concatenate([nodes[asked], nodes[far_]]), pa.int64())
         others = pa.concat_arrays([pa.nulls(int(asked.sum()), pa.int64()), pa.array(nodes[low[far_]], pa.int64())])
