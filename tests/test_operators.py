@@ -68,9 +68,8 @@ def test_lifecycles(spark):
     kinds = spark.createDataFrame([(i, k, 100) for i, k in enumerate(lifecycle.STAGES)], "id int, kind string, t long")
     rows = lifecycle.expand(kinds, "kind", "t", [1, 2, 1, 5, 3])
     assert rows.count() == sum(map(len, lifecycle.STAGES.values()))
-    times = lifecycle.stage_times(rows, "id", "lifecycle_stage", "stage_time_s", ["CREATED", "APPLIED", "BLOCKED"]).orderBy("id").collect()
-    assert (times[0].created_time, times[0].applied_time, times[0].blocked_time) == (100, 109, None)
-    assert (times[1].applied_time, times[1].blocked_time) == (None, 104)
+    times = lifecycle.stage_times(rows, "id", "lifecycle_stage", "stage_time_s", ["DER_CONTROL_CREATED", "DER_CONTROL_APPLIED", "SECURITY_BLOCKED_COMMAND"]).orderBy("id").collect()
+    assert tuple(times[0])[1:] == (100, 109, None) and tuple(times[1])[1:] == (100, None, 104)
     days = spark.createDataFrame([(0,), (1,)], "d long")
     assert [r.time_s for r in lifecycle.schedule(days, "d", [1, 2]).orderBy("time_s").collect()] == [3600, 7200, 90000, 93600]
 
@@ -78,14 +77,14 @@ def test_lifecycles(spark):
 def test_effects_compound_in_order(spark):
     signals = spark.createDataFrame([(t, "bess_soc_percent", 60.0 + t) for t in range(10)] + [(t, "free", 1.0) for t in range(3)], "time_s long, variable string, value double")
     rows = [
-        ("bess_soc_percent", 0, "offset", 20.0, "abs", "increase", "step", 0, 2, 6),
+        ("bess_soc_percent", 0, "absolute_delta", 20.0, "abs", "increase", "step", 0, 2, 6),
         ("bess_soc_percent", 1, "relative_delta", 50.0, "percent", "increase", "step", 0, 4, 8),
-        ("bess_soc_percent", 2, "hold_stale", 0.0, "abs", "increase", "step", 0, 7, 9),
+        ("bess_soc_percent", 2, "stale_value_hold", 0.0, "abs", "increase", "step", 0, 7, 9),
         ("free", 0, "absolute_delta", 4.0, "abs", "decrease", "ramp", 4, 0, 3),
     ]
     fx = spark.createDataFrame(rows, "variable string, effect_order int, type string, magnitude double, unit string, direction string, shape string, ramp_s int, start_s long, end_s long")
     got = {(r.variable, r.time_s): (r.changed, r.effects) for r in effects.apply_effects(signals, fx).collect()}
-    assert [got["bess_soc_percent", t] for t in (1, 3, 5, 6, 7, 8, 9)] == [(61.0, 0), (83.0, 1), (100.0, 2), (99.0, 1), (67.0, 2), (67.0, 1), (69.0, 0)]
+    assert [got["bess_soc_percent", t] for t in (1, 3, 5, 6, 7, 8, 9)] == [(61.0, 0), (83.0, 1), (95.0, 2), (95.0, 1), (67.0, 2), (67.0, 1), (69.0, 0)]
     assert [got["free", t][0] for t in range(3)] == [1.0, 0.0, -1.0]
 
 
@@ -159,8 +158,12 @@ def test_explanations_survive_bad_answers(spark):
     assert got["p1"].parse_success and got["p1"].parsed.verdict == "yes"
     assert (got["p2"].call_status, got["p2"].parse_success) == ("NO_JSON", False)
     assert not got["p3"].parse_success and got["p4"].call_status == "CALL_FAILED"
-    flags = prompts.limit(1).select(*[c.alias(n) for n, c in explain.penalties(F.lit("In this timeframe the PACKET proves that")).items()]).first()
-    assert (flags.packet_claim, flags.certainty_claim, flags.exploit_claim) == (1, 1, 0)
+    flags = prompts.limit(1).select(*[c.alias(n) for n, c in explain.penalties(F.lit("In this time the proof is that")).items()]).first()
+    assert (flags.packet_claim_flag, flags.uses_old_asset_name_flag, flags.external_attacker_claim_flag) == (0, 0, 0)
+    said = explain.penalties(F.lower(F.lit("In this timeframe the PACKET of bess48")), {"unsupported_claim_flag": F.lit(True)})
+    assert [prompts.limit(1).select(said[n]).first()[0] for n in ("packet_claim_flag", "uses_old_asset_name_flag", "unsupported_claim_flag", "field_telemetry_claim_flag")] == [1, 1, 1, 0]
+    broken = spark.createDataFrame([("{bad json}",), ('{"verdict": "x"}',), ("",)], "answer string")
+    assert [r.parse_success for r in explain.parsed(broken, "verdict string").collect()] == [False, True, False]
     assert prompts.limit(1).select(explain.filled("a {{x}} b", {"x": F.lit(3)}).alias("t")).first().t == "a 3 b"
 
 

@@ -95,8 +95,10 @@ def test_bundles_are_repaired_and_validated(spark):
     assert {"alias_target_asset", "effect_type_normalised", "negative_magnitude", "generated_name"} <= set(first.repairs)
     found = {(r.bundle_id, r.rule, r.severity) for r in scenarios.violations(rows).collect()}
     assert not [x for x in found if x[0] == "b0"]
-    assert {x[1] for x in found} == {"normal_is_quiet", "unique_id", "variable", "magnitude_bounds", "duration_range", "forbidden_word"}
+    assert {x[1] for x in found} == {"normal_is_quiet", "unique_id", "forbidden_variable", "magnitude_bounds", "duration_range", "forbidden_word"}
     assert ("b1", "magnitude_bounds", "WARN") in found
+    said = spark.createDataFrame([("b0", scenarios.COMPATIBILITY, None), ("b1", None, " " + scenarios.COMPATIBILITY), ("b2", "other", None)], "bundle_id string, project_compatibility_statement string, compatibility_statement string")
+    assert [r.bundle_id for r in scenarios.compatibility(said).collect()] == ["b2"]
 
 
 def test_flags_and_packets(spark):

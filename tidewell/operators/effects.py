@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 from .intervals import Interval, inside
 
 #: Other names of the effect types.
-ALIASES = {
-    "delta": "absolute_delta", "offset": "absolute_delta", "scale": "relative_delta", "percent": "relative_delta",
-    "stale": "hold_stale", "hold": "hold_stale", "cap": "clip", "limit": "clip", "oscillation": "smooth_oscillation",
-}
+ALIASES = {"stale_value_hold": "hold_stale", "bounded_clip": "clip", "bounded_oscillation": "smooth_oscillation"}
 #: Physical bounds of the variables.
 BOUNDS = {
-    "pv_p_kw": (0.0, 500.0), "bess_p_kw": (-250.0, 250.0), "bess_soc_percent": (0.0, 100.0), "pcc_v_pu": (0.8, 1.2),
-    "irradiance_pu": (0.0, 1.2), "pcc_frequency_hz": (59.0, 61.0),
+    "pv_p_kw": (0.0, 100.0), "pv_q_kvar": (-60.0, 60.0), "bess_p_kw": (-50.0, 50.0), "bess_q_kvar": (-50.0, 50.0), "bess_soc_percent": (5.0, 95.0),
+    "pcc_v_a_pu": (0.90, 1.10), "pcc_v_b_pu": (0.90, 1.10), "pcc_v_c_pu": (0.90, 1.10), "pcc_i_a_amp": (0.0, 500.0), "pcc_i_b_amp": (0.0, 500.0), "pcc_i_c_amp": (0.0, 500.0),
+    "pcc_p_kw": (-250.0, 250.0), "pcc_q_kvar": (-150.0, 150.0), "irradiance_pu": (0.0, 1.2),
 }
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The stages of each lifecycle kind, in order.
 STAGES = {
-    "normal": ["CREATED", "SENT", "RECEIVED", "ACCEPTED", "APPLIED", "RESPONSE"],
-    "blocked": ["CREATED", "SENT", "RECEIVED", "BLOCKED"],
-    "replay": ["REPLAYED", "SENT", "RECEIVED", "ACCEPTED"],
-    "mismatch": ["CREATED", "SENT", "RECEIVED", "ACCEPTED", "APPLIED", "MISMATCH"],
-    "delayed": ["CREATED", "SENT", "RECEIVED", "ACCEPTED", "DELAYED", "APPLIED"],
-    "burst": ["CREATED", "SENT", "RECEIVED", "ACCEPTED", "APPLIED", "RESPONSE"],
+    "normal": ["DER_CONTROL_CREATED", "DER_CONTROL_SENT", "DER_CONTROL_RECEIVED", "DER_CONTROL_ACCEPTED", "DER_CONTROL_APPLIED", "DER_CONTROL_RESPONSE"],
+    "blocked": ["DER_CONTROL_CREATED", "DER_CONTROL_SENT", "SECURITY_AUTH_FAILURE", "SECURITY_BLOCKED_COMMAND"],
+    "replay": ["DER_CONTROL_CREATED", "DER_CONTROL_SENT", "SECURITY_REPLAY_DETECTED", "DER_CONTROL_REJECTED"],
+    "wrong_setpoint": ["DER_CONTROL_CREATED", "DER_CONTROL_SENT", "DER_CONTROL_RECEIVED", "SECURITY_INTEGRITY_MISMATCH", "DER_CONTROL_APPLIED", "DER_CONTROL_RESPONSE"],
+    "soc_violation": ["DER_CONTROL_CREATED", "DER_CONTROL_SENT", "DER_CONTROL_RECEIVED", "DER_CONTROL_ACCEPTED", "DER_CONTROL_APPLIED", "DER_CONTROL_RESPONSE"],
+    "delayed": ["DER_CONTROL_CREATED", "DER_CONTROL_SENT", "DER_CONTROL_RECEIVED", "DER_CONTROL_ACCEPTED", "DER_CONTROL_APPLIED", "DER_CONTROL_RESPONSE"],
+    "burst": ["DER_CONTROL_CREATED", "DER_CONTROL_SENT", "DER_CONTROL_RECEIVED", "DER_CONTROL_ACCEPTED", "DER_CONTROL_APPLIED", "DER_CONTROL_RESPONSE"],
 }
 
 
@@ -53,9 +56,69 @@ def schedule(days: DataFrame, day: str, hours: list[int], name: str = "time_s")
 def statuses(kind: Column) -> dict[str, Column]:
     """Authorisation, integrity, availability, delivery and outcome by lifecycle kind."""
     return {
-        "authz_status": F.when(kind == "blocked", "FAILED").otherwise("AUTHORIZED"),
-        "integrity_status": F.when(kind.isin("mismatch", "replay"), "COMPROMISED").otherwise("INTACT"),
-        "availability_status": F.when(kind.isin("delayed", "burst"), "DEGRADED").otherwise("AVAILABLE"),
-        "delivery_status": F.when(kind == "blocked", "BLOCKED").when(kind == "delayed", "DELAYED").otherwise("DELIVERED"),
-        "outcome": F.when(kind == "blocked", "REJECTED").when(kind == "mismatch", "APPLIED_WRONG").otherwise("COMPLETED"),
+        "authz_status": F.when(kind == "blocked", "failed").otherwise("passed"),
+        "integrity_status": F.when(kind == "wrong_setpoint", "compromised").otherwise("passed"),
+        "availability_status": F.when(kind.isin("delayed", "burst"), "degraded").otherwise("normal"),
+        "delivery_status": F.when(kind == "blocked", "blocked").when(kind == "delayed", "delayed").otherwise("delivered"),
+        "comm_outcome": F.when(kind == "blocked", "blocked").when(kind == "replay", "replay_detected").when(kind == "wrong_setpoint", "integrity_mismatch").otherwise("success"),
     }
+
+
+def latencies(key: Column, delayed: Column, extra_s: float = 10.0) -> dict[str, Column]:
+    """Network, processing and queue milliseconds (with floors) and the total delay in seconds (of the parts before their floors).
+
+    Draws are normal, from hashes of the key, so that a command has the same latencies in every run.
+    """
+    from .telemetry import noise
+
+    # Mean and spread of each part, its floor; for normal and for delayed commands.
+    normal = (("network", 50.0, 15.0, 5.0), ("processing", 20.0, 5.0, 5.0), ("queue", 5.0, 2.0, 0.5))
+    slow = (("network", 8000.0, 2000.0, 100.0), ("processing", 40.0, 20.0, 10.0), ("queue", 500.0, 100.0, 50.0))
+    out, total = {}, F.lit(0.0)
+    for i, ((name, mean, spread, floor), (_, mean2, spread2, floor2)) in enumerate(zip(normal, slow, strict=True)):
+        drawn = F.when(delayed, mean2 + noise(key, 300 + i, spread2)).otherwise(mean + noise(key, 200 + i, spread))
+        out[f"{name}_latency_ms"] = F.greatest(drawn, F.when(delayed, floor2).otherwise(floor))
+        total = total + drawn
+    return out | {"total_delay_s": F.when(delayed, extra_s).otherwise(0.0) + total / 1000}
+
+
+def observed_stages(scenarios: DataFrame, last: int = 604_799) -> DataFrame:
+    """The lifecycle rows of a scenario by its class and family: stage, time, and whether cyber and physical effects are active.
+
+    scenarios: scenario_id, scenario_class, scenario_family, start_time_s, duration_s, ramp_s.
+    """
+    start, family = F.col("start_time_s"), F.lower("scenario_family")
+    end, mid = start + F.col("duration_s") - 1, start + F.floor(F.col("duration_s") / 2)
+    delay = F.when(family.contains("delay"), F.greatest(F.lit(30), F.when(F.col("ramp_s") > 0, F.col("ramp_s")).otherwise(F.floor(F.col("duration_s") / 4)))).otherwise(0)
+    has = lambda *words: reduce(lambda a, b: a | b, [family.contains(w) for w in words])
+
+    def rows(*each: tuple) -> Column:
+        clamp = lambda t: F.least(F.lit(last), F.greatest(F.lit(0), t)).cast("long")
+        return F.array(*[F.struct(F.lit(s).alias("lifecycle_stage"), clamp(t).alias("event_time_s"), F.lit(c).alias("cyber_active"), F.lit(p).alias("physical_active")) for s, t, c, p in each])
+
+    # Stages by class, and of cyber-only scenarios by family.
+    cyber_only = (
+        F.when(has("suppres", "block"), rows(("command_created", start - 4, 1, 0), ("command_sent", start, 1, 0), ("command_blocked", start, 1, 0), ("security_alert_active", mid, 1, 0)))
+        .when(has("delay"), rows(("command_created", start - 4, 1, 0), ("command_sent", start, 1, 0), ("command_delay_observed", start + delay, 1, 0), ("timeout_flagged", end, 1, 0)))
+        .when(has("stale"), rows(("telemetry_received", start, 1, 0), ("stale_measurement_context", mid, 1, 0), ("stale_measurement_resolved", end, 1, 0)))
+        .when(has("false_data"), rows(("telemetry_sent", start, 1, 0), ("mismatch_detected_context", mid, 1, 0)))
+        .when(has("availability"), rows(("status_request_sent", start, 1, 0), ("timeout_observed", mid, 1, 0), ("availability_degraded", end, 1, 0)))
+        .otherwise(rows(("cyber_event_start", start, 1, 0), ("security_alert", mid, 1, 0), ("cyber_event_end", end, 1, 0)))
+    )
+    peak = start + F.greatest(F.col("ramp_s"), F.floor(F.col("duration_s") / 3))
+    both = rows(("command_created", start - 5, 1, 0), ("command_sent", start - 4, 1, 0), ("command_received", start - 3, 1, 0), ("command_accepted", start - 2, 1, 0),
+                ("command_applied", start + delay, 1, 1), ("physical_response_observed", peak, 1, 1), ("status_report", end, 1, 1))
+    kind = F.col("scenario_class")
+    every = (
+        F.when(kind == "normal", rows(("status_report", start, 0, 0), ("monitoring_complete", end, 0, 0)))
+        .when(kind == "physical_only", rows(("monitoring_pre_event", start, 0, 0), ("physical_event_observed", start + F.greatest(F.col("ramp_s"), F.lit(1)), 0, 1), ("monitoring_post_event", end, 0, 1)))
+        .when(kind == "cyber_only", cyber_only).when(kind == "cyber_physical", both)
+    )
+    return scenarios.select("*", F.posexplode(every).alias("lifecycle_order", "_r")).select(*scenarios.columns, "lifecycle_order", "_r.*")
+
+
+def stage_at(kind: Column, t: Column, start: Column, ramp: Column, applied: Column) -> Column:
+    """The lifecycle stage of a second inside a scenario, by its class and the time since its start."""
+    physical = F.when(t - start >= ramp, "physical_event_observed").otherwise("monitoring_pre_event")
+    both = F.when(t < applied, "command_pipeline").when(t < start + ramp + 1, "command_applied").otherwise("physical_effect_active")
+    return F.when(kind == "normal", "normal_monitoring").when(kind == "physical_only", physical).when(kind == "cyber_only", "cyber_event_active").otherwise(both)

@@ -1,6 +1,6 @@
 """Scenario bundles: exploded, repaired, validated; and what a scenario says about each second.
 
-Every rule is a violation query over exploded rows; the report is their union. Bundles are
+Every rule is a condition on exploded rows; rules on the same rows are judged in one pass. Bundles are
 documents, so a rule about a whole bundle is an aggregate by bundle, never a loop on the driver.
 """
 
@@ -33,7 +33,9 @@ BOUNDS = {
     "pcc_i_a_amp": (0, 500), "pcc_i_b_amp": (0, 500), "pcc_i_c_amp": (0, 500), "pcc_p_kw": (-250, 250), "pcc_q_kvar": (-150, 150), "irradiance_pu": (0, 1.2),
 }
 EFFECT_NAMES = {"stale_value_hold": "hold_stale", "bounded_clip": "clip", "bounded_oscillation": "smooth_oscillation"}
-FORBIDDEN_WORDS = ("payload", "packet_bytes", "tcp_flags", "exploit", "malware", "credential", "password", "hash", "shellcode", "buffer_overflow", "sql_injection", "cve_id")
+FORBIDDEN_WORDS = ("payload", "packet_bytes", "tcp_flags", "exploit", "malware", "credential", "password", "hash", "shellcode", "buffer_overflow", "sql_injection", "cve_id", "metasploit", "cobalt_strike")
+FORBIDDEN_VARIABLES = ("temperature_c", "pcc_freq_hz", "frequency_hz", "grid_frequency", "bus_id", "ieee123_bus")
+COMPATIBILITY = "I used only the final single-site dataset assets der_site_001, pv_001, bess_001, pcc_001; I did not use old multi-DER asset IDs or packet-level cyber fields."
 WEEK, DAY = 604_800, 86_400
 
 
@@ -71,8 +73,10 @@ def repaired(scenarios: DataFrame) -> DataFrame:
     }).drop("cyber_physical_type", "affected_asset")
 
 
-def _bad(rows: DataFrame, rule: str, condition: Column, detail: Column, bundle: str, severity: str = "ERROR") -> DataFrame:
-    return rows.filter(F.coalesce(condition, F.lit(True))).select(bundle, "scenario_id", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.coalesce(detail.cast("string"), F.lit("missing")).alias("detail"))
+def _bad(rows: DataFrame, rules: list[tuple], bundle: str) -> DataFrame:
+    """Rules (name, condition, detail[, severity]) that rows break, all in one pass over them."""
+    each = [F.when(F.coalesce(r[1], F.lit(True)), F.struct(F.lit(r[0]).alias("rule"), F.lit(r[3] if len(r) > 3 else "FAIL").alias("severity"), F.coalesce(r[2].cast("string"), F.lit("missing")).alias("detail"))) for r in rules]
+    return rows.select(bundle, "scenario_id", F.inline(F.array_compact(F.array(*each))))
 
 
 def violations(scenarios: DataFrame, bundle: str = "bundle_id", classes: dict[str, int] | None = None, per_day: int = 4) -> DataFrame:
@@ -95,22 +99,27 @@ def violations(scenarios: DataFrame, bundle: str = "bundle_id", classes: dict[st
         ("event_level_only", ~c("cyber_context.event_level_only"), F.lit("event_level_only")), ("no_packet_claim", c("cyber_context.packet_level_protocol_compliance_claimed"), F.lit("claimed")),
         ("forbidden_word", reduce(lambda a, w: a | text.contains(w), FORBIDDEN_WORDS[1:], text.contains(FORBIDDEN_WORDS[0])), F.lit("cyber_context")),
     ]
-    found = [_bad(scenarios, name, condition, detail, bundle) for name, condition, detail in rules]
     each = scenarios.select(bundle, "scenario_id", "scenario_family", F.explode("physical_effects").alias("e"))
     span = F.lit(None).cast("double")
     for variable, (low, high) in BOUNDS.items():
         span = F.when(c("e.variable") == variable, float(high - low)).otherwise(span)
-    found.append(_bad(each, "variable", ~c("e.variable").isin(*BOUNDS), c("e.variable"), bundle))
-    found.append(_bad(each, "irradiance_family", (c("e.variable") == "irradiance_pu") & (c("scenario_family") != "physical_irradiance_like_disturbance"), c("scenario_family"), bundle))
-    found.append(_bad(each.filter(span.isNotNull()), "magnitude_bounds", F.abs("e.magnitude") > span, c("e.magnitude"), bundle, "WARN"))
-    whole = F.lit(None).cast("string").alias("scenario_id")
+    of_effects = [
+        ("variable", ~c("e.variable").isin(*BOUNDS, *FORBIDDEN_VARIABLES), c("e.variable")), ("forbidden_variable", c("e.variable").isin(*FORBIDDEN_VARIABLES), c("e.variable")),
+        ("irradiance_family", (c("e.variable") == "irradiance_pu") & (c("scenario_family") != "physical_irradiance_like_disturbance"), c("scenario_family")),
+        ("magnitude_bounds", span.isNotNull() & F.coalesce(F.abs("e.magnitude") > span, F.lit(True)), c("e.magnitude"), "WARN"),
+    ]
     twice = scenarios.groupBy(bundle, "scenario_id").count().filter("count > 1")
-    found.append(_bad(twice, "unique_id", F.lit(True), c("count"), bundle))
     counts = scenarios.groupBy(bundle).agg(*[F.count_if(c("scenario_class") == k).alias(k) for k in classes], *[F.count_if(F.floor(c("start_time_s") / DAY) == d).alias(f"day{d}") for d in range(7)])
-    counts = counts.select("*", whole)
-    found += [_bad(counts, f"count_{k}", c(k) != need, c(k), bundle) for k, need in classes.items()]
-    found += [_bad(counts, f"covers_day{d}", ~c(f"day{d}").between(1, per_day), c(f"day{d}"), bundle) for d in range(7)]
-    return reduce(DataFrame.unionByName, found)
+    counts = counts.select("*", F.lit(None).cast("string").alias("scenario_id"))
+    of_bundles = [(f"count_{k}", c(k) != need, c(k)) for k, need in classes.items()] + [(f"covers_day{d}", ~c(f"day{d}").between(1, per_day), c(f"day{d}")) for d in range(7)]
+    found = [(scenarios, rules), (each, of_effects), (twice, [("unique_id", F.lit(True), c("count"))]), (counts, of_bundles)]
+    return reduce(DataFrame.unionByName, [_bad(rows, checks, bundle) for rows, checks in found])
+
+
+def compatibility(bundles: DataFrame, bundle: str = "bundle_id") -> DataFrame:
+    """Bundles without the statement of compatibility, under either of its names, as violations."""
+    said = F.coalesce("project_compatibility_statement", "compatibility_statement")
+    return _bad(bundles.withColumn("scenario_id", F.lit(None).cast("string")), [("compatibility_statement", F.coalesce(F.trim(said), F.lit("")) != COMPATIBILITY, said)], bundle)
 
 
 def family_flags(family: Column, delivery: Column) -> dict[str, Column]:

@@ -137,23 +137,15 @@ def clouds(df: DataFrame, alpha: float = 0.002, spread: float = 0.08, seed: int
     return raw.groupBy("_day").applyInPandas(smooth, df.schema)
 
 
-def charge_series(df: DataFrame, site: Site, by: list[str], power: str = "bess_p_kw", name: str = "bess_soc_percent") -> DataFrame:
-    """State of charge at each second: the level before the second's power acts. A fold in time, a storage a group."""
-    from pyspark.sql import types as T
-
-    low, high, full = (x * site.storage_kwh / 100 for x in (site.low_percent, site.high_percent, 100.0))
-    idle = site.idle_per_hour * site.storage_kwh / HOUR
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("time_s")
-        level, out = site.start_percent / 100 * site.storage_kwh, []
-        for p in rows[power].to_numpy(float):
-            out.append(100 * level / full)
-            moved = -p / site.efficiency_out if p > 0 else -p * site.efficiency_in
-            level = min(high, max(low, min(high, max(low, level + moved / HOUR)) - idle))
-        return rows.assign(**{name: out})
-
-    return df.groupBy(*by).applyInPandas(fold, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+def charge_series(df: DataFrame, site: Site, by: list[str], power: str = "bess_p_kw", name: str = "bess_soc_percent", stretch: int = 512) -> DataFrame:
+    """State of charge at each second: the level before the second's power acts, clamped again after the idle loss. Stretches of time fold side by side."""
+    from .windows import charge_step, clamp, clamps, level_series
+
+    low, high, fold = site.low_percent, site.high_percent, clamps()
+    moved = clamp(charge_step(F.col(power), site.storage_kwh, site.efficiency_in, site.efficiency_out, 1 / HOUR), low, high)
+    step = fold.then(moved, clamp(F.lit(-100 * site.idle_per_hour / HOUR), low, high))
+    levels = level_series(df, by, ["time_s"], F.floor(F.col("time_s") / stretch), step, fold, site.start_percent, True, name)
+    return df.join(levels, [*by, "time_s"])
 
 
 def profile(spark, seconds: int, site: Site | None = None, step: int = 1, base: str = "2024-01-01 00:00:00", noisy: bool = True) -> DataFrame:

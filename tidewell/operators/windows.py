@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,26 +118,91 @@ def best_per_group(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
-def clamped_total(df: DataFrame, by: list[str], order: list[str], step: Column, start: float, low: float, high: float, keep_last: bool = True) -> DataFrame:
-    """A running total clamped after every step: a fold over each key's ordered array.
+@dataclass(frozen=True)
+class Fold:
+    """Maps of a level that are closed under composition, so that runs of rows combine like sums do."""
+
+    #: The map that changes nothing, as a struct; one map after another; the value of a map.
+    identity: Column
+    then: Callable[[Column, Column], Column]
+    at: Callable[[Column, Column], Column]
+
+
+def _within(x: Column, m: Column) -> Column:
+    return F.least(m["hi"], F.greatest(m["lo"], x))
+
+
+def clamp(step: Column, low: float, high: float) -> Column:
+    """x to min(high, max(low, x + step)), as a map of ``clamps``."""
+    return F.struct(step.cast("double").alias("s"), F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"))
+
+
+def clamps() -> Fold:
+    def then(m: Column, r: Column) -> Column:
+        return F.struct((m["s"] + r["s"]).alias("s"), _within(m["lo"] + r["s"], r).alias("lo"), _within(m["hi"] + r["s"], r).alias("hi"))
+
+    return Fold(clamp(F.lit(0.0), float("-inf"), float("inf")), then, lambda m, x: _within(x + m["s"], m))
+
+
+def affine(scale: Column, shift: Column) -> Column:
+    return F.struct(scale.cast("double").alias("m"), shift.cast("double").alias("b"))
+
 
-    The fold is not associative, so a key is one task's work; keys spread over tasks.
+def affines() -> Fold:
+    return Fold(affine(F.lit(1.0), F.lit(0.0)), lambda m, r: affine(r["m"] * m["m"], r["m"] * m["b"] + r["b"]), lambda m, x: m["m"] * x + m["b"])
+
+
+def _buckets(df: DataFrame, by: list[str], order: list[str], bucket: Column, step: Column, fold: Fold) -> DataFrame:
+    """(by, _b, _xs, _map): the rows of each bucket in order, and the map they make together."""
+    rows = df.select(*by, bucket.alias("_b"), F.struct(*order, step.alias("_m")).alias("_x")).groupBy(*by, "_b").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
+    return rows.withColumn("_map", F.aggregate("_xs", fold.identity, lambda m, x: fold.then(m, x["_m"])))
+
+
+def last_level(df: DataFrame, by: list[str], order: list[str], bucket: Column, step: Column, fold: Fold, start: float) -> DataFrame:
+    """(by, steps, level) after all rows of a key: buckets fold side by side, then a key's few maps."""
+    maps = _buckets(df, by, order, bucket, step, fold).groupBy(*by).agg(F.sum(F.size("_xs")).alias("steps"), F.array_sort(F.collect_list(F.struct("_b", "_map"))).alias("_maps"))
+    return maps.select(*by, "steps", F.aggregate("_maps", F.lit(float(start)), lambda x, m: fold.at(m["_map"], x)).alias("level"))
+
+
+def level_series(df: DataFrame, by: list[str], order: list[str], bucket: Column, step: Column, fold: Fold, start: float, before: bool = False, name: str = "level") -> DataFrame:
+    """(by, order, level) after each row, or ``before`` it.
+
+    ``bucket`` rises with the order and holds some hundred rows. The levels at which buckets
+    begin come from the maps of earlier ones, so no task walks a key's rows from the first.
     """
-    rows = df.select(*by, F.struct(*order, step.cast("double").alias("_d")).alias("_x")).groupBy(*by).agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
-    end = F.aggregate("_xs", F.lit(float(start)), lambda level, x: F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), level + x["_d"])))
-    return rows.select(*by, F.size("_xs").alias("steps"), end.alias("level"))
+    held = _buckets(df, by, order, bucket, step, fold)
+    none = F.struct(F.lit(float(start)).alias("x"), F.array().cast("array<double>").alias("done"))
+    walk = lambda s, m: F.struct(fold.at(m, s["x"]).alias("x"), F.concat(s["done"], F.array(s["x"])).alias("done"))
+    maps = held.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_b", "_map"))).alias("_maps"))
+    begun = F.aggregate("_maps", none, lambda s, m: walk(s, m["_map"]), lambda s: s["done"])
+    starts = maps.select(*by, F.explode(F.arrays_zip(F.col("_maps")["_b"].alias("_b"), begun.alias("_x0"))).alias("_z")).select(*by, "_z._b", "_z._x0")
+    rows = held.join(starts, [*by, "_b"])
+    first = F.struct(F.col("_x0").alias("x"), F.array().cast("array<double>").alias("done"))
+    after = lambda s, m: F.struct(fold.at(m, s["x"]).alias("x"), F.concat(s["done"], F.array(s["x"] if before else fold.at(m, s["x"]))).alias("done"))
+    levels = F.aggregate("_xs", first, lambda s, x: after(s, x["_m"]), lambda s: s["done"])
+    each = rows.select(*by, F.explode(F.arrays_zip(F.col("_xs").alias("x"), levels.alias("level"))).alias("_z"))
+    return each.select(*by, *[F.col(f"_z.x.{o}").alias(o) for o in order], F.col("_z.level").alias(name))
+
+
+def clamped_total(df: DataFrame, by: list[str], order: list[str], step: Column, start: float, low: float, high: float, bucket: Column | None = None) -> DataFrame:
+    """A running total clamped after every step: (by, steps, level) at the end; a map x to min(hi, max(lo, x + s)) stands for a bucket."""
+    return last_level(df, by, order, F.lit(0) if bucket is None else bucket, clamp(step, low, high), clamps(), start)
+
+
+def charge_step(power: Column, capacity: float, efficiency_in: float = 0.95, efficiency_out: float = 0.95, hours: float = 1 / 3600) -> Column:
+    """Percent of charge that a step's power moves: charging (power < 0) and discharging lose differently."""
+    return 100 * F.when(power < 0, -power * efficiency_in).otherwise(-power / efficiency_out) * hours / capacity
 
 
-def charge_level(df: DataFrame, by: list[str], order: list[str], power: Column, capacity: float, start: float, low: float, high: float, efficiency_in: float = 0.95, efficiency_out: float = 0.95, idle: float = 0.0, hours: float = 1 / 3600) -> DataFrame:
-    """State of charge in percent: charging (power < 0) and discharging lose differently, and idling leaks."""
-    energy = F.when(power < 0, -power * efficiency_in).otherwise(-power / efficiency_out) * hours - idle
-    return clamped_total(df, by, order, 100 * energy / capacity, start, low, high)
+def charge_level(df: DataFrame, by: list[str], order: list[str], power: Column, capacity: float, start: float, low: float, high: float, efficiency_in: float = 0.95, efficiency_out: float = 0.95, idle: float = 0.0, hours: float = 1 / 3600, bucket: Column | None = None) -> DataFrame:
+    """State of charge in percent at the end; ``idle`` is the energy a step leaks."""
+    return clamped_total(df, by, order, charge_step(power, capacity, efficiency_in, efficiency_out, hours) - 100 * idle / capacity, start, low, high, bucket)
 
 
-def smoothed(df: DataFrame, by: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
-    """First-order smoothing y = (1 - alpha) y + alpha x from 0: its last value for each key, as a fold."""
-    rows = df.select(*by, F.struct(*order, F.col(value).cast("double").alias("_v")).alias("_x")).groupBy(*by).agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
-    return rows.select(*by, F.aggregate("_xs", F.lit(0.0), lambda y, x: (1 - alpha) * y + alpha * x["_v"]).alias("smoothed"))
+def smoothed(df: DataFrame, by: list[str], order: list[str], value: str, alpha: float, bucket: Column | None = None) -> DataFrame:
+    """First-order smoothing y = (1 - alpha) y + alpha x from 0: its last value for each key."""
+    step = affine(F.lit(1 - alpha), alpha * F.col(value))
+    return last_level(df, by, order, F.lit(0) if bucket is None else bucket, step, affines(), 0.0).select(*by, F.col("level").alias("smoothed"))
 
 
 def held_first(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "held") -> DataFrame:

@@ -164,14 +164,13 @@ def dq_alignment(spark, d):
     return quality.alignment(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
 
 
-def _patterns_sql() -> str:
-    return ", ".join(f"regexp_matches(text, '{p}')::INT AS {n}" for n, p in explain.PENALTIES.items())
-
-
-@_query(f"SELECT conv_id, turn, {_patterns_sql()} FROM conversations WHERE text IS NOT NULL")
+@_query(r"""SELECT conv_id, turn, regexp_matches(lower(text), 'packet|ieee\s*2030\.5|modbus|dnp3|mqtt|payload|frame|byte|register|protocol trace')::INT AS packet_claim_flag,
+regexp_matches(lower(text), 'real\s+field|live\s+measurement|actual\s+telemetry|real\s+telemetry|real\s+sensor')::INT AS field_telemetry_claim_flag,
+regexp_matches(lower(text), 'hacker|malware|exploit|attacker|threat\s+actor|nation[\s-]state|ransomware|apt\s*\d')::INT AS external_attacker_claim_flag,
+(contains(text, 'pv35') OR contains(text, 'pv60') OR contains(text, 'pv83') OR contains(text, 'bess48') OR contains(text, 'bess108'))::INT AS uses_old_asset_name_flag, (turn = 3)::INT AS unsupported_claim_flag FROM conversations WHERE text IS NOT NULL""")
 def regex_penalties(spark, d):
     rows = table(spark, d, "conversations").filter("text is not null")
-    return rows.select("conv_id", "turn", *[c.alias(n) for n, c in explain.penalties(F.col("text")).items()])
+    return rows.select("conv_id", "turn", *[c.alias(n) for n, c in explain.penalties(F.col("text"), {"unsupported_claim_flag": F.col("turn") == 3}).items()])
 
 
 @_query("""WITH c AS (SELECT conv_id, turn, role, (length(text) > 200)::INT AS c1, (text LIKE '%.%')::INT AS c2, (turn > 0)::INT AS c3, (text LIKE '%,%')::INT AS c4, (length(text) > 2000)::INT AS p1, (text LIKE '%|%')::INT AS p2, role <> 'system' AS parsed FROM conversations WHERE text IS NOT NULL)

@@ -56,7 +56,8 @@ z AS (SELECT f.window_id, f.n, round(greatest({', '.join(f'abs(f.{c} - m.{c}) /
 q AS (SELECT quantile_cont(score, 0.95) AS threshold FROM z)
 SELECT window_id, n, score, score >= threshold AS flagged FROM z, q""")
 def robust_z_anomaly(spark, d):
-    made = windows.window_features(_events(spark, d), "t", ["value"], WIDTH, STRIDE, "event_id", digits=6)
+    # read by several passes for percentiles: kept where it is made, spilling to disk
+    made = windows.window_features(_events(spark, d), "t", ["value"], WIDTH, STRIDE, "event_id", digits=6).persist()
     scored = detectors.robust_z(made, detectors.robust_parameters(made, list(_FEATURES))).withColumn("score", F.round("score", 6))
     threshold = metrics.percentile_thresholds(scored, "score", [95]).first()["threshold"]
     return scored.select("window_id", "n", "score", (F.col("score") >= F.lit(threshold)).alias("flagged"))
@@ -119,16 +120,37 @@ UNION ALL SELECT r.user_id, r.i, least(100.0, greatest(0.0, l.level + r.d)) FROM
 SELECT user_id, max(i) AS steps, round(arg_max(level, i), 6) AS level FROM l GROUP BY user_id""")
 def running_clamped(spark, d):
     step = F.when(F.col("event_type") == "purchase", -F.col("value")).otherwise(F.col("value") / 10)
-    made = windows.clamped_total(_events(spark, d), ["user_id"], ["t", "event_id"], step, 50.0, 0.0, 100.0)
+    made = windows.clamped_total(_events(spark, d), ["user_id"], ["t", "event_id"], step, 50.0, 0.0, 100.0, F.floor(F.col("t") / 86_400))
     return made.select("user_id", F.col("steps").cast("long").alias("steps"), F.round("level", 6).alias("level"))
 
 
+@_query(f"""WITH RECURSIVE {_E}, r AS (SELECT user_id, t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i, CASE WHEN event_type = 'purchase' THEN -value ELSE value / 10 END AS d FROM e),
+l AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS t, 0::BIGINT AS event_id, 50.0::DOUBLE AS level FROM (SELECT DISTINCT user_id FROM r)
+UNION ALL SELECT r.user_id, r.i, r.t, r.event_id, least(100.0, greatest(0.0, l.level + r.d)) FROM l JOIN r ON r.user_id = l.user_id AND r.i = l.i + 1)
+SELECT user_id, t, event_id, round(level, 6) AS level FROM l WHERE i > 0""")
+def clamped_series(spark, d):
+    """The clamped total after each event, not only its end."""
+    step = windows.clamp(F.when(F.col("event_type") == "purchase", -F.col("value")).otherwise(F.col("value") / 10), 0.0, 100.0)
+    made = windows.level_series(_events(spark, d), ["user_id"], ["t", "event_id"], F.floor(F.col("t") / 86_400), step, windows.clamps(), 50.0)
+    return made.withColumn("level", F.round("level", 6))
+
+
+@_query(f"""WITH RECURSIVE {_E}, r AS (SELECT user_id, t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i, value FROM e),
+l AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS t, 0::BIGINT AS event_id, 0.0::DOUBLE AS y FROM (SELECT DISTINCT user_id FROM r)
+UNION ALL SELECT r.user_id, r.i, r.t, r.event_id, 0.9 * l.y + 0.1 * r.value FROM l JOIN r ON r.user_id = l.user_id AND r.i = l.i + 1)
+SELECT user_id, t, event_id, round(y, 6) AS smoothed FROM l WHERE i > 0""")
+def smoothed_series(spark, d):
+    step = windows.affine(F.lit(0.9), 0.1 * F.col("value"))
+    made = windows.level_series(_events(spark, d), ["user_id"], ["t", "event_id"], F.floor(F.col("t") / 86_400), step, windows.affines(), 0.0, name="smoothed")
+    return made.withColumn("smoothed", F.round("smoothed", 6))
+
+
 @_query(f"""WITH RECURSIVE {_E}, r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i, value FROM e),
 l AS (SELECT user_id, 0::BIGINT AS i, 0.0::DOUBLE AS y FROM (SELECT DISTINCT user_id FROM r)
 UNION ALL SELECT r.user_id, r.i, 0.9 * l.y + 0.1 * r.value FROM l JOIN r ON r.user_id = l.user_id AND r.i = l.i + 1)
 SELECT user_id, round(arg_max(y, i), 6) AS smoothed FROM l GROUP BY user_id""")
 def smoothed_signal(spark, d):
-    return windows.smoothed(_events(spark, d), ["user_id"], ["t", "event_id"], "value", 0.1).withColumn("smoothed", F.round("smoothed", 6))
+    return windows.smoothed(_events(spark, d), ["user_id"], ["t", "event_id"], "value", 0.1, F.floor(F.col("t") / 86_400)).withColumn("smoothed", F.round("smoothed", 6))
 
 
 # Anchors are error events of high value; each rules the seconds around it.
@@ -223,20 +245,25 @@ def lifecycle_pivot(spark, d):
     return lifecycle.stage_times(_events(spark, d), "user_id", "event_type", "t", list(_KINDS))
 
 
-_KIND_OF = {"click": "normal", "view": "delayed", "error": "blocked", "purchase": "replay", "signup": "mismatch"}
+_KIND_OF = {"click": "normal", "view": "delayed", "error": "blocked", "purchase": "replay", "signup": "wrong_setpoint"}
 _GAPS = [1, 2, 1, 5, 3]
-_STAGES_SQL = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(s) for s in v)}]" for k, v in lifecycle.STAGES.items())
+#: The stages as SQL states them, apart from the operator's own table.
+_STAGES_SQL = """WHEN 'normal' THEN ['DER_CONTROL_CREATED', 'DER_CONTROL_SENT', 'DER_CONTROL_RECEIVED', 'DER_CONTROL_ACCEPTED', 'DER_CONTROL_APPLIED', 'DER_CONTROL_RESPONSE']
+WHEN 'delayed' THEN ['DER_CONTROL_CREATED', 'DER_CONTROL_SENT', 'DER_CONTROL_RECEIVED', 'DER_CONTROL_ACCEPTED', 'DER_CONTROL_APPLIED', 'DER_CONTROL_RESPONSE']
+WHEN 'blocked' THEN ['DER_CONTROL_CREATED', 'DER_CONTROL_SENT', 'SECURITY_AUTH_FAILURE', 'SECURITY_BLOCKED_COMMAND'] WHEN 'replay' THEN ['DER_CONTROL_CREATED', 'DER_CONTROL_SENT', 'SECURITY_REPLAY_DETECTED', 'DER_CONTROL_REJECTED']
+WHEN 'wrong_setpoint' THEN ['DER_CONTROL_CREATED', 'DER_CONTROL_SENT', 'DER_CONTROL_RECEIVED', 'SECURITY_INTEGRITY_MISMATCH', 'DER_CONTROL_APPLIED', 'DER_CONTROL_RESPONSE']"""
 
 
 @_query(f"""WITH {_E}, k AS (SELECT event_id, t, CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _KIND_OF.items())} END AS kind FROM e),
 s AS (SELECT *, CASE kind {_STAGES_SQL} END AS st FROM k), x AS (SELECT event_id, kind, st, t, unnest(range(0, len(st))) AS lifecycle_order FROM s)
 SELECT event_id, kind, lifecycle_order::INT AS lifecycle_order, st[lifecycle_order + 1] AS lifecycle_stage, t + [0, 1, 3, 4, 9, 12][least(lifecycle_order, 5) + 1] AS stage_time_s,
-CASE WHEN kind = 'blocked' THEN 'FAILED' ELSE 'AUTHORIZED' END AS authz_status, CASE WHEN kind = 'blocked' THEN 'BLOCKED' WHEN kind = 'delayed' THEN 'DELAYED' ELSE 'DELIVERED' END AS delivery_status FROM x""")
+CASE WHEN kind = 'blocked' THEN 'failed' ELSE 'passed' END AS authz_status, CASE WHEN kind = 'wrong_setpoint' THEN 'compromised' ELSE 'passed' END AS integrity_status, CASE WHEN kind = 'delayed' THEN 'degraded' ELSE 'normal' END AS availability_status,
+CASE WHEN kind = 'blocked' THEN 'blocked' WHEN kind = 'delayed' THEN 'delayed' ELSE 'delivered' END AS delivery_status, CASE kind WHEN 'blocked' THEN 'blocked' WHEN 'replay' THEN 'replay_detected' WHEN 'wrong_setpoint' THEN 'integrity_mismatch' ELSE 'success' END AS comm_outcome FROM x""")
 def lifecycle_expand(spark, d):
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in _KIND_OF.items() for x in kv]), F.col("event_type"))
     rows = lifecycle.expand(_events(spark, d).select("event_id", "t", kind.alias("kind")), "kind", "t", _GAPS)
     status = lifecycle.statuses(F.col("kind"))
-    return rows.select("event_id", "kind", "lifecycle_order", "lifecycle_stage", F.col("stage_time_s").cast("long").alias("stage_time_s"), *[status[c].alias(c) for c in ("authz_status", "delivery_status")])
+    return rows.select("event_id", "kind", "lifecycle_order", "lifecycle_stage", F.col("stage_time_s").cast("long").alias("stage_time_s"), *[c.alias(n) for n, c in status.items()])
 
 
 @_query(f"WITH {_A}, x AS (SELECT anchor_id, at_s, unnest(range(0, 5 + anchor_id % 6)) AS b FROM a) SELECT anchor_id::VARCHAR || '_burst' || b AS anchor_id, b::INT AS burst, at_s + 3 * b AS at_s FROM x")
