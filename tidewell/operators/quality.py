@@ -7,6 +7,7 @@ aggregation, turned into rows afterwards.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,6 +88,27 @@ def rollup(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     return made.withColumn("pass_rate", F.round(F.try_divide(F.col("pass"), F.col("total")), 6)).withColumn("overall", overall)
 
 
+def has_columns(df: DataFrame, required: list[str]) -> list[Check]:
+    """A check for each column that must be there, decided on the schema."""
+    return [Check(f"has_{c}", F.max(F.lit(int(c not in df.columns)))) for c in required]
+
+
+def equal_on(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """(unmatched, unequal, first_key, last_key): keys on one side only, keys whose values differ, and the ends of ``a``."""
+    left = a.select(F.col(key).alias("_l"), *[F.col(v).alias(f"_l{i}") for i, v in enumerate(values)])
+    right = b.select(F.col(key).alias("_r"), *[F.col(v).alias(f"_r{i}") for i, v in enumerate(values)])
+    joined = left.join(right, F.col("_l") == F.col("_r"), "full_outer")
+    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    differ = reduce(lambda x, y: x | y, [~F.col(f"_l{i}").eqNullSafe(F.col(f"_r{i}")) for i in range(len(values))])
+    return joined.agg(F.count_if(~both).alias("unmatched"), F.count_if(both & differ).alias("unequal"), F.min("_l").alias("first_key"), F.max("_l").alias("last_key"))
+
+
+def denied_names(features: DataFrame, words: list[str]) -> DataFrame:
+    """(feature, word) of names that hold a denied word: one pass, no join."""
+    found = F.filter(F.array(*map(F.lit, words)), lambda w: F.col("feature").contains(w))
+    return features.select("feature", F.explode(found).alias("word"))
+
+
 def leakage(features: DataFrame, denied: DataFrame) -> DataFrame:
     """Feature names that contain a denied word: both tables are lists of names, known to be small."""
     return features.join(denied, F.col("feature").contains(F.col("word")))

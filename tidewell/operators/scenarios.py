@@ -75,7 +75,7 @@ def repaired(scenarios: DataFrame) -> DataFrame:
 
 def _bad(rows: DataFrame, rules: list[tuple], bundle: str) -> DataFrame:
     """Rules (name, condition, detail[, severity]) that rows break, all in one pass over them."""
-    each = [F.when(F.coalesce(r[1], F.lit(True)), F.struct(F.lit(r[0]).alias("rule"), F.lit(r[3] if len(r) > 3 else "FAIL").alias("severity"), F.coalesce(r[2].cast("string"), F.lit("missing")).alias("detail"))) for r in rules]
+    each = [F.when(F.coalesce(r[1], F.lit(True)), F.struct(F.lit(r[0]).alias("rule"), F.lit(r[3] if len(r) > 3 else "ERROR").alias("severity"), F.coalesce(r[2].cast("string"), F.lit("missing")).alias("detail"))) for r in rules]
     return rows.select(bundle, "scenario_id", F.inline(F.array_compact(F.array(*each))))
 
 

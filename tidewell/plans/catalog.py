@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, relational, timeseries
+from . import detection, exchange, relational, timeseries
 
-QUERIES: dict = relational.QUERIES | timeseries.QUERIES | detection.QUERIES
-SQL: dict[str, str] = relational.SQL | timeseries.SQL | detection.SQL
+QUERIES: dict = relational.QUERIES | timeseries.QUERIES | detection.QUERIES | exchange.QUERIES
+SQL: dict[str, str] = relational.SQL | timeseries.SQL | detection.SQL | exchange.SQL

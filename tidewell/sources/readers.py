@@ -59,6 +59,11 @@ def xml_documents(spark: SparkSession, path: str, row_tag: str, schema: str | No
     return (reader.schema(schema) if schema else reader).xml(path)
 
 
+def xml_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A document a line, as ``sinks.xml_text`` makes them."""
+    return spark.read.text(path).select(F.from_xml("value", schema).alias("_d")).select("_d.*")
+
+
 def files(spark: SparkSession, path: str, suffixes: list[str], skip: list[str] | None = None, content: bool = False) -> DataFrame:
     """(path, length, modificationTime[, content]) of files with a suffix, outside the folders to skip."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -100,6 +105,51 @@ def rated(defaults: dict[str, float], *layers: tuple[str, dict[str, float | None
     return out
 
 
+def ratings(layers: DataFrame, order: list[str], source: str = "source", key: str = "key", value: str = "value") -> DataFrame:
+    """(key, value, source) of settings: of the sources in ``order``, the last one that has a value decides."""
+    place = F.lit(None).cast("int")
+    for i, name in enumerate(order):
+        place = F.when(F.col(source) == name, i).otherwise(place)
+    rows = layers.withColumn("_p", place).filter(F.col("_p").isNotNull() & F.col(value).isNotNull())
+    return rows.groupBy(key).agg(F.max_by(value, "_p").alias(value), F.max_by(source, "_p").alias(source))
+
+
+def settings(lines: DataFrame, order: str, text: str = "value", by: str = "source_path") -> DataFrame:
+    """(by, section, key, value) of plain YAML settings: ``key: value`` lines below sections, comments and quotes dropped."""
+    from pyspark.sql import Window
+
+    clean = F.regexp_replace(F.col(text), r"(^|\s)#.*$", "")
+    head = F.nullif(F.regexp_extract(clean, r"^(\w+):\s*$", 1), F.lit(""))
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumns({"_t": clean, "_h": head}).withColumn("section", F.last("_h", True).over(w))
+    pair = r"^(\s*)([\w.]+):\s+[\"']?(.*?)[\"']?\s*$"
+    rows = rows.filter(F.col("_t").rlike(pair))
+    nested = F.regexp_extract("_t", pair, 1) != ""
+    return rows.select(by, F.when(nested, F.col("section")).alias("section"), F.regexp_extract("_t", pair, 2).alias("key"), F.regexp_extract("_t", pair, 3).alias("value"))
+
+
+def classified(found: DataFrame, words: dict[str, list[str]], path: str = "path") -> DataFrame:
+    """Files with the ``kind`` whose words their names hold (the first kind that does), or ``other``."""
+    name, kind = F.lower(F.element_at(F.split(path, "/"), -1)), F.lit("other")
+    for label, some in reversed(words.items()):
+        for word in some:
+            kind = F.when(name.contains(word), label).otherwise(kind)
+    return found.withColumn("kind", kind)
+
+
+def window_rows(windows: DataFrame, features: list[str], split: str | None = None, training: bool = False, kind: str = "double") -> DataFrame:
+    """Windows as ``x`` (an array of the features) beside ``y`` and their other columns: of one split, or the clean and normal rows of training.
+
+    Raises where nothing is left, as there is nothing to fit then.
+    """
+    rows = windows if split is None else windows.filter(F.col("split") == split)
+    rows = rows.filter((F.col("source_dataset") == "clean") & (F.col("y") == 0)) if training else rows
+    if training and rows.isEmpty():
+        raise ValueError("no clean and normal window to train on")
+    x = F.array(*[F.coalesce(F.col(f).cast(kind), F.lit(0.0).cast(kind)) for f in features])
+    return rows.select(*[c for c in windows.columns if c not in features], x.alias("x"))
+
+
 def config(path: str) -> dict:
     """A JSON settings file, read on the driver."""
     with open(path, encoding="utf-8") as f:

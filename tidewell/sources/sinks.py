@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or for local masters without it in a temporary folder."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(where or tempfile.gettempdir()).rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -28,6 +39,16 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_text(df: DataFrame, path: str) -> None:
+    """One column of text, a line a row."""
+    df.write.mode("overwrite").text(path)
+
+
+def write_text_files(df: DataFrame, path: str, by: tuple[str, str] = ("folder", "name"), text: str = "value") -> None:
+    """Texts in files by two columns: ``path/folder=.../name=.../``."""
+    df.select(*by, text).repartition(*by).write.mode("overwrite").partitionBy(*by).text(path)
+
+
 def document(*columns: str | Column) -> Column:
     return F.to_json(F.struct(*columns))
 
@@ -43,6 +64,14 @@ def xml_text(df: DataFrame, template: str, **values: Column) -> DataFrame:
     return df.select(out.alias("value"))
 
 
+def markdown_lines(order: str, columns: list[str]) -> Column:
+    """A table of a group's rows as one text, as an aggregate: rows by ``order``, which must be few in a group."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), cells.alias("line")))), lambda x: x["line"])
+    head = f"| {' | '.join(columns)} |\n|{' --- |' * len(columns)}\n"
+    return F.concat(F.lit(head), F.array_join(rows, "\n"))
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
     """A table of a small result; more than ``most`` rows are refused rather than cut."""
     rows = df.limit(most + 1).collect()
