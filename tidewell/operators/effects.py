@@ -69,3 +69,12 @@ def apply_effects(signals: DataFrame, effects: DataFrame, bucket: int = 3600, bo
     rows = signals.join(held, ["time_s", "variable"], "left").withColumns({"_low": low, "_high": high})
     folded = F.aggregate("_effects", F.col("value").cast("double"), lambda v, e: F.least(F.col("_high"), F.greatest(F.col("_low"), change(v, e, F.col("time_s")))))
     return rows.select("time_s", "variable", "value", F.coalesce(F.size("_effects"), F.lit(0)).alias("effects"), F.coalesce(folded, F.col("value")).alias("changed"))
+
+
+def write_back(base: DataFrame, resolved: DataFrame, key: str, values: list[str], method: str, allowed: list[str], fallback: str) -> DataFrame:
+    """``base`` with the values and the method of rows that ``resolved`` has; methods outside ``allowed`` become the ``fallback``."""
+    new = resolved.select(key, *[F.col(v).alias(f"_{v}") for v in (*values, method)], F.lit(True).alias("_there"))
+    joined = base.join(new, key, "left")
+    changed = {v: F.when(F.col("_there"), F.col(f"_{v}")).otherwise(F.col(v)) for v in (*values, method)}
+    joined = joined.withColumns(changed).withColumn(method, F.when(F.col(method).isin(allowed), F.col(method)).otherwise(fallback))
+    return joined.select(*base.columns)

@@ -205,3 +205,25 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, by:
     rows = df.filter(F.col(value).between(low, high))
     place = F.least(F.lit(bins - 1), F.floor((F.col(value) - low) / F.lit((high - low) / bins)))
     return rows.groupBy(*(by or []), place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def padded(start: Column, end: Column, duration: Column, least: int = 600, share: float = 1.5, last: int = 604_799) -> tuple[Column, Column]:
+    """A slice around an interval for a chart, inside [0, last]."""
+    pad = F.greatest(F.lit(least), (share * duration).cast("long"))
+    return F.greatest(F.lit(0), start - pad), F.least(F.lit(last), end + pad)
+
+
+def scorecard(score: Column, good: float = 0.8, fair: float = 0.5) -> dict[str, Column]:
+    """A score as a whole percent and a level; NULL stays NULL."""
+    return {"percent": F.round(score * 100).cast("long"), "level": F.when(score >= good, "good").when(score >= fair, "fair").when(score.isNotNull(), "poor")}
+
+
+def packets(detections: DataFrame, signals: DataFrame, cyber: DataFrame, key: str = "detection_id") -> DataFrame:
+    """(key, packet): one nested JSON document of a detection, its signals (best first), its cyber evidence and what both say."""
+    top = signals.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "signal", "mean", "std", "delta", "direction", "points"))).alias("_signals"))
+    about, rest = [c for c in detections.columns], [c for c in cyber.columns if c != key]
+    joined = detections.join(top, key, "left").join(cyber, key, "left")
+    first = F.get("_signals", F.lit(0))
+    said = expected_and_observed(F.col("scenario_class"), F.lit(0.0), F.col("cyber_fraction"), F.when(first.isNotNull(), F.struct(first["signal"].alias("signal"), first["mean"].alias("mean"), first["std"].alias("std"), first["delta"].alias("delta"))))
+    body = F.struct(F.struct(*about).alias("detection"), F.coalesce("_signals", F.array().cast("array<struct<rank:int,signal:string,mean:double,std:double,delta:double,direction:string,points:bigint>>")).alias("physical_evidence"), F.struct(*rest).alias("cyber_evidence"), F.struct(*[x.alias(n) for n, x in said.items()]).alias("expected_vs_actual"))
+    return joined.select(key, F.to_json(body).alias("packet"))

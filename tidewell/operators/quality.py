@@ -109,6 +109,48 @@ def denied_names(features: DataFrame, words: list[str]) -> DataFrame:
     return features.select("feature", F.explode(found).alias("word"))
 
 
+def physics_suite(df: DataFrame, site, rows: int, step: int, ends: tuple[str, str], required: list[str], methods: list[str]) -> DataFrame:
+    """(check_name, violations, status) of telemetry, nearly all in one aggregation: axis, ends, columns, ratings, voltages and methods.
+
+    ``site`` holds the ratings; checks on columns that the table lacks are left out, but for the ``required`` ones.
+    """
+    c = F.col
+    over = lambda p, q, rated: F.count_if(F.hypot(c(p), c(q)) > rated + 0.5)
+    starts = lambda best, text: F.when(best("timestamp_utc", "time_s").startswith(text), 0).otherwise(1)
+    wanted = [
+        (("time_s",), row_count(rows)), (("time_s",), no_duplicates("time_s")), (("timestamp_utc",), Check("start_timestamp", starts(F.min_by, ends[0]))), (("timestamp_utc",), Check("end_timestamp", starts(F.max_by, ends[1]))),
+        (("pv_p_kw", "pv_available_kw"), Check("pv_not_exceed_available", F.count_if(c("pv_p_kw") > c("pv_available_kw") + 1.0))), (("pv_p_kw", "pv_q_kvar"), Check("pv_apparent_power_limit", over("pv_p_kw", "pv_q_kvar", site.pv_kva))),
+        (("bess_p_kw", "bess_q_kvar"), Check("bess_apparent_power_limit", over("bess_p_kw", "bess_q_kvar", site.storage_kva))),
+        (("bess_soc_percent",), in_range("bess_soc_percent", site.low_percent - 0.5, site.high_percent + 0.5, name="bess_soc_range")), (("pcc_v_a_pu",), in_range("pcc_v_a_pu", 0.85, 1.15, "WARN", "voltage_plausible")),
+        (("pcc_voltage_unbalance_pu",), Check("voltage_unbalance", F.count_if(c("pcc_voltage_unbalance_pu") >= 0.020))), (("pv_s_rated_kva",), Check("no_generic_rating", F.count_if(c("pv_s_rated_kva").isin(500.0, 450.0 * 1.111)))),
+        (("generation_method",), in_set("generation_method", methods, "methods_allowed")),
+    ]
+    checks = [check for columns, check in wanted if all(x in df.columns for x in columns)]
+    made = run_checks(df, [*checks, *has_columns(df, required)])
+    # a second that has rows, but whose next one has none
+    held, following = df.select("time_s").distinct(), df.select((c("time_s") - step).alias("time_s")).distinct()
+    lost = held.join(following, "time_s", "left_anti").agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("violations"))
+    gaps = lost.select(F.lit("no_gaps").alias("check_name"), "violations", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL").alias("status"))
+    return made.unionByName(gaps)
+
+
+def gates(results: DataFrame, by: list[str], only_warn: list[str]) -> DataFrame:
+    """(by, overall, figure_warnings) over whole gates: any that failed fails all, but those that may ``only_warn``."""
+    failed, soft = F.col("status") == "FAIL", F.col("gate").isin(only_warn)
+    return results.groupBy(*by).agg(F.when(F.bool_or(failed & ~soft), "FAIL").otherwise("PASS").alias("overall"), F.count_if(failed & soft).alias("figure_warnings"))
+
+
 def leakage(features: DataFrame, denied: DataFrame) -> DataFrame:
     """Feature names that contain a denied word: both tables are lists of names, known to be small."""
     return features.join(denied, F.col("feature").contains(F.col("word")))
+
+
+def causality_suite(scenarios: DataFrame, log: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(check_name, violations, status): scenarios against their labels, times and the rows of their lifecycle log."""
+    c = F.col
+    checks = [
+        no_duplicates(key), implies("command_before_effect", c("scenario_class") == "cyber_physical", c("command_apply_time_s") >= c("start_time_s")),
+        implies("normal_is_unlabelled", c("scenario_class") == "normal", c("label") == 0), in_range("start_time_s", 0, seconds - 1), Check("ends_in_week", F.count_if(c("end_time_s") > seconds - 1), "WARN"),
+    ]
+    lost = scenarios.join(log.select(key).distinct(), key, "left_anti")
+    return run_checks(scenarios, checks).unionByName(run_checks(lost, [Check("has_rows_for_each_scenario", F.count("*"))]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, exchange, relational, timeseries
+from . import detection, exchange, models, relational, site, timeseries
 
-QUERIES: dict = relational.QUERIES | timeseries.QUERIES | detection.QUERIES | exchange.QUERIES
-SQL: dict[str, str] = relational.SQL | timeseries.SQL | detection.SQL | exchange.SQL
+QUERIES: dict = relational.QUERIES | timeseries.QUERIES | detection.QUERIES | exchange.QUERIES | site.QUERIES | models.QUERIES
+SQL: dict[str, str] = relational.SQL | timeseries.SQL | detection.SQL | exchange.SQL | site.SQL | models.SQL
