@@ -200,13 +200,13 @@ def score_columns(predictions: DataFrame, key: str, names: list[str], model: str
     return wide.filter(F.col("_n") == len(names)).drop("_n")
 
 
-def vote_of_best(predictions: DataFrame, model: str, key: str, best: int = 3, votes: int = 2) -> DataFrame:
+def vote_of_best(predictions: DataFrame, model: str, key: str, best: int = 3, votes: int = 2, digits: int = 6) -> DataFrame:
     """The majority of the ``best`` models by F1; of equals the first by name. Models are few."""
     from .metrics import evaluate
 
     rated = evaluate(predictions, [model], F.col("y_true") == 1, F.col("y_pred") == 1)
     chosen = rated.orderBy(F.desc("f1"), model).limit(best).select(model)
-    return majority(predictions.join(chosen, model, "left_semi"), key, votes)
+    return majority(predictions.join(chosen, model, "left_semi"), key, votes, digits)
 
 
 def smoke(anomalous: Column, u: Column, digits: int = 4) -> dict[str, Column]:

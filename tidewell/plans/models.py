@@ -63,10 +63,10 @@ def score_pivot(spark, d):
 
 @_query(f"""WITH {_P}, m AS (SELECT name, count(*) FILTER (y_true = 1 AND y_pred = 1) AS tp, count(*) FILTER (y_true = 0 AND y_pred = 1) AS fp, count(*) FILTER (y_true = 1 AND y_pred = 0) AS fn FROM p GROUP BY 1),
 b AS (SELECT name FROM m ORDER BY round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) DESC, name LIMIT 2)
-SELECT window_id, max(y_true) AS y_true, CASE WHEN sum(y_pred) >= 2 THEN 1 ELSE 0 END AS y_pred, round(avg(score), 6) AS score, count(*) AS models FROM p WHERE name IN (SELECT name FROM b) GROUP BY 1""")
+SELECT window_id, max(y_true) AS y_true, CASE WHEN sum(y_pred) >= 2 THEN 1 ELSE 0 END AS y_pred, round(avg(score), 8) AS score, count(*) AS models FROM p WHERE name IN (SELECT name FROM b) GROUP BY 1""")
 def vote_of_the_best(spark, d):
     """The vote of the models with the best F1."""
-    return detectors.vote_of_best(_predictions(spark, d), "name", "window_id", best=2, votes=2)
+    return detectors.vote_of_best(_predictions(spark, d), "name", "window_id", best=2, votes=2, digits=8)
 
 
 @_query(f"""WITH {_E}, s AS (SELECT event_id, md5('5:' || event_id) AS h, event_type IN ('error', 'purchase') AS bad FROM e) SELECT event_id, round(CASE WHEN bad THEN 0.55 + 0.40 * u ELSE 0.05 + 0.40 * u END, 4) AS score, bad::INT AS y_pred FROM (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM s)""")
