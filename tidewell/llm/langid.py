@@ -243,9 +243,9 @@ def limits(learned: dict[str, str]) -> dict[str, list[float]]:
 
     For each language parts of its reference are parsed by the rest of it, which gives the bits of
     its own texts; the other languages' references and its own text read backwards (the
-    same letters in no language) stand for texts of languages that nobody labelled. The limit lies halfway
-    between the ``OWN`` quantile of the first and the ``FOREIGN`` one of the second, or at
-    the first where they overlap. References under ``LEAST`` have no limit, and none counts as recognised by them.
+    same letters in no language) stand for texts of languages that nobody labelled. The limit is
+    the ``FOREIGN`` quantile of the second, so that nearly all foreign text goes and own text with
+    names, keys or words of another language stays; or the ``OWN`` quantile of the first where that is more. References under ``LEAST`` have no limit, and none counts as recognised by them.
     """
     found = {}
     usable = {k: t for k, t in learned.items() if len(t) >= LEAST}
@@ -264,7 +264,7 @@ def limits(learned: dict[str, str]) -> dict[str, list[float]]:
         for n in LENGTHS:
             most = float(np.quantile(own[n], OWN)) if own[n] else np.inf
             least = float(np.quantile(other[n], FOREIGN)) if other[n] else most
-            found[name].append(max(most, (most + least) / 2))
+            found[name].append(max(most, least))
     return found
 
 
