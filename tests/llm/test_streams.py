@@ -281,3 +281,14 @@ def test_placement(spark):
     clash = sharding.shard(docs.withColumns({"slot": F.lit("x"), "shard": F.lit("y")}))
     assert sorted(map(str, clash.collect())) == sorted(map(str, rows))
     assert sorted(map(str, sharding.shard(docs.select("doc_id"), slot="doc_id").select("shard").collect())) == sorted(f"Row(shard={r.shard})" for r in rows)
+
+
+def test_raking_ends_when_it_has_converged(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", f"l{(i * i) % 4}", 1 + i % 17) for i in range(400)], "doc_id long, source string, lang string, n long")
+    calls, real = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, name: calls.append(name) or real(df, name))
+    targets = {"source": spark.createDataFrame([("s0", 0.5), ("s1", 0.3), ("s2", 0.2)], "value string, share double"), "lang": spark.createDataFrame([("l0", 0.4), ("l1", 0.6)], "value string, share double")}
+    fitted = mixing.rake(docs, {"source": docs["source"], "lang": docs["lang"]}, docs["n"], targets, rounds=50, tolerance=1e-6)
+    assert calls.count("fitted") < 50
+    off = mixing.residuals(fitted, {"_m0": targets["source"], "_m1": targets["lang"]}).collect()
+    assert len(off) >= 5 and max(r.off for r in off) <= 1e-6

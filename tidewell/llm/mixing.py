@@ -58,13 +58,14 @@ def tempered(cell: DataFrame, column: str, temper: float) -> DataFrame:
     return sums.select(F.col(column).alias("value"), (F.col("n") / F.lit(whole)).alias("share"))
 
 
-def rake(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, rate: float | None = None, kept: float | None = None) -> DataFrame:
+def rake(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, rate: float | None = None, kept: float | None = None, tolerance: float | None = None) -> DataFrame:
     """Cells with ``_n`` (tokens), ``_w`` (raked tokens, of the same total) and ``_p`` (probability of keeping a document).
 
     Probabilities are the ratios ``_w / _n`` times ``rate``, 1 at most; by default the
     rate is the largest that needs no such limit, so the kept tokens meet the targets.
     With ``kept``, this share of all tokens is kept instead: what is too rare for its target is
     kept whole, and the rest is raked on, so that no rare cell decides how much of the others goes.
+    With ``tolerance``, rounds end once no value's share is further from its target; ``residuals`` reports how far they are.
     """
     names = [f"_m{i}" for i in range(len(margins))]
     start = written(cells(docs, margins, tokens), "cells")
@@ -84,12 +85,24 @@ def rake(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: d
                 F.col(name), F.when(F.col("_s") > 0, F.coalesce("share", F.lit(0.0)) * F.lit(total) / F.col("_s")).otherwise(0.0).alias("_f"))
             # written each time: the cells stand twice in each step's plan, which would double with every step
             fitted = written(fitted.join(factor, name).withColumn("_w", F.col("_w") * F.col("_f")).select(*names, "_n", "_w"), "fitted")
+        if tolerance is not None and (residuals(fitted, dict(zip(names, wanted, strict=True))).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+            break
     ratio = F.when(F.col("_n") > 0, F.col("_w") / F.col("_n"))
     most = fitted.agg(F.max(ratio)).first()[0] or 1.0
     scale = 1.0 / most if rate is None else rate
     return fitted.withColumn("_p", F.coalesce(F.least(F.lit(1.0), ratio * F.lit(scale)), F.lit(1.0)))
 
 
+def residuals(fitted: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(margin, value, share, got, off): each value's target and raked share of tokens, and how far they lie apart."""
+    total, found = F.lit(fitted.agg(F.sum("_w")).first()[0] or 1.0), None
+    for name, target in targets.items():
+        sums = fitted.groupBy(F.col(name).alias("value")).agg((F.sum("_w") / total).alias("got"))
+        one = sums.join(target.select("value", "share"), "value", "full_outer").select(F.lit(name).alias("margin"), "value", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("got", F.lit(0.0)).alias("got"))
+        found = one if found is None else found.unionByName(one)
+    return found.withColumn("off", F.abs(F.col("share") - F.col("got")))
+
+
 def _goals(start: DataFrame, name: str, shares: DataFrame, budget: float) -> DataFrame:
     """(value, goal): tokens in proportion to the shares, but no more of a value than there are, ``budget`` in all where there are enough."""
     sums = start.groupBy(name).agg(F.sum("_n").alias("have")).join(shares, F.col(name) == F.col("value"), "left")
