@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,9 +86,17 @@ def stamp(spine: DataFrame, events: DataFrame, t: str, kinds: dict[str, Column],
     return spine.join(points, "time_s", "left").fillna(0, list(kinds))
 
 
-def non_overlapping(intervals: DataFrame, interval: Interval, order: str) -> DataFrame:
-    """Intervals that begin after all before them have ended: the check of a placement."""
-    from pyspark.sql import Window
+def non_overlapping(intervals: DataFrame, interval: Interval, order: str, bucket: int = 3600) -> DataFrame:
+    """Intervals that begin after all before them have ended: the check of a placement.
 
-    before = F.max(interval.last).over(Window.orderBy(interval.start, order).rowsBetween(Window.unboundedPreceding, -1))
-    return intervals.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") < F.col(interval.start))).drop("_before")
+    The latest end before an interval is that in its bucket of begins, or of earlier buckets; only
+    the table of buckets is walked in one task.
+    """
+    rows = intervals.withColumn("_bucket", F.floor(F.col(interval.start) / bucket))
+    ends = rows.groupBy("_bucket").agg(F.max(interval.last).alias("_end"))
+    past = F.max("_end").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col("_bucket").alias("_of"), past.alias("_past"))
+    before = F.max(interval.last).over(Window.partitionBy("_bucket").orderBy(interval.start, order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_before", before).join(ends, F.col("_bucket").eqNullSafe(F.col("_of")))
+    latest = F.greatest("_before", "_past")
+    return rows.filter(latest.isNull() | (latest < F.col(interval.start))).select(*intervals.columns)

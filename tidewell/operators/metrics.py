@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -31,15 +32,16 @@ def evaluate(scores: DataFrame, by: list[str], truth: Column, predicted: Column)
 
 
 def at_thresholds(scores: DataFrame, thresholds: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
-    """Counts at each threshold of a small table (threshold), from one pass over distinct scores.
+    """Counts at each threshold of a small table (threshold), from one pass over the scores.
 
-    Scores are summed per value first, so the pairing is of distinct values with thresholds.
+    Rows are summed by how many thresholds they reach, so a row is never paired with a threshold.
     """
-    totals = scores.groupBy(score).agg(F.sum(y).alias("_p"), F.count("*").alias("_n"))
-    kept = [r["threshold"] for r in thresholds.select("threshold").distinct().collect()]
-    hit = F.explode(F.array(*[F.lit(t) for t in kept])).alias("threshold")
-    rows = totals.select(score, "_p", "_n", hit)
-    above = F.col(score) >= F.col("threshold")
+    kept = sorted((r["threshold"] for r in thresholds.select("threshold").distinct().collect()), key=lambda t: (t is None, t or 0.0))
+    steps = F.array(*[F.lit(t).cast("double") for t in kept])
+    reached = F.size(F.filter(steps, lambda t: t <= F.col(score))).alias("_i")
+    cells = scores.groupBy(reached).agg(F.sum(y).alias("_p"), F.count("*").alias("_n"))
+    rows = cells.select("_i", "_p", "_n", F.posexplode(steps).alias("_j", "threshold"))
+    above = F.col("_i") > F.col("_j")
     p, n = F.col("_p"), F.col("_n") - F.col("_p")
     zero = F.lit(0)
     counts = rows.groupBy("threshold").agg(
@@ -49,45 +51,63 @@ def at_thresholds(scores: DataFrame, thresholds: DataFrame, score: str = "score"
     return rates(counts)
 
 
+#: Rows around the ranks asked for below which their distinct values are fetched at once.
+REST = 100_000
+
+
 def exact_percentiles(df: DataFrame, columns: list[str], percents: list[float], bins: int = 4096) -> dict[str, list[float | None]]:
-    """Percentiles of each column, linear between ranks; NULL and NaN are left out.
+    """Percentiles of each column, linear between ranks; NULL and NaN are left out."""
+    pairs = F.array(*[F.struct(F.struct(F.lit(c).alias("f")).alias("g"), F.col(c).cast("double").alias("v")) for c in columns])
+    found = {g["f"]: q for g, q in _percentiles(df.select(F.inline(pairs)), percents, bins)}
+    return {c: found.get(c, [None] * len(percents)) for c in columns}
+
+
+def percentiles_by(df: DataFrame, by: list[str], value: str, percents: list[float], bins: int = 4096) -> DataFrame:
+    """(by, percentiles) of each group that has values; groups are few, of any size."""
+    found = _percentiles(df.select(F.struct(*by).alias("g"), F.col(value).cast("double").alias("v")), percents, bins)
+    schema = T.StructType([*[df.schema[k] for k in by], T.StructField("percentiles", T.ArrayType(T.DoubleType()))])
+    return df.sparkSession.createDataFrame([(*g, q) for g, q in found], schema)
+
+
+def _place(v: Column, low: Column, high: Column, bins: int) -> Column:
+    """Which of equal bins from ``low`` to ``high`` holds v; where these can't be split evenly, the ends stand apart."""
+    half = high / 2 - low / 2
+    even = (half > 0) & (half < float("inf"))
+    return F.when(even, F.least(F.lit(bins - 1), F.floor((v / 2 - low / 2) / half * bins))).otherwise(F.when(v == low, 0).when(v == high, bins - 1).otherwise(1))
+
+
+def _percentiles(long: DataFrame, percents: list[float], bins: int) -> list[tuple]:
+    """(g, percentiles) of (g, v).
 
-    No task holds a column: a first pass counts equal bins, a second sums the distinct values
-    of those bins that hold a rank asked for. The driver sees counts of bins and the ranked values.
+    No task holds a group: each pass counts the bins of the intervals that hold a rank asked for, with
+    the bins' extremes, which are the next pass's intervals; so an outlier costs one more pass. The
+    driver sees bins, and distinct values once at most ``REST`` rows are left in the intervals.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in columns])
-    long = df.select(F.inline(pairs)).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    bounds = {r["f"]: r for r in long.groupBy("f").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).collect()}
-    place = F.lit(0)
-    for f, r in bounds.items():
-        width = (r["high"] - r["low"]) / bins
-        if width > 0:
-            place = F.when(F.col("f") == f, F.least(F.lit(bins - 1), F.floor((F.col("v") - r["low"]) / F.lit(width)))).otherwise(place)
-    binned = long.withColumn("b", place)
-    counts: dict[str, list[tuple[int, int]]] = {}
-    for r in binned.groupBy("f", "b").count().collect():
-        counts.setdefault(r["f"], []).append((r["b"], r["count"]))
-    wanted, before = {f: sorted({k for p in percents for k in _ranks(p, r["n"])}) for f, r in bounds.items()}, {}
-    for f, cells in counts.items():
-        total = 0
-        for b, n in sorted(cells):
-            if any(total <= k < total + n for k in wanted[f]):
-                before[f, b] = total
-            total += n
-    found: dict[tuple[str, int], float] = {}
-    if before:
-        start = F.element_at(F.create_map(*[F.lit(x) for (f, b), n in before.items() for x in (f"{f}|{b}", n)]), F.concat_ws("|", "f", F.col("b").cast("string")))
-        keep = F.concat_ws("|", "f", F.col("b").cast("string")).isin([f"{f}|{b}" for f, b in before])
-        values = binned.filter(keep).groupBy("f", "b", "v").count()
-        end = F.sum("count").over(Window.partitionBy("f", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + start
-        ranks = F.element_at(F.create_map(*[x for f, ks in wanted.items() for x in (F.lit(f), F.array(*[F.lit(k) for k in ks]))]), F.col("f"))
-        placed = values.withColumn("end", end).select("f", "v", F.explode(F.filter(ranks, lambda k: (k < F.col("end")) & (k >= F.col("end") - F.col("count")))).alias("k"))
-        found = {(r["f"], r["k"]): r["v"] for r in placed.collect()}
-    out = {}
-    for c in columns:
-        n = bounds[c]["n"] if c in bounds else 0
-        out[c] = [None if not n else _between(found, c, p, n) for p in percents]
-    return out
+    rows = long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    sums = [F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")]
+    bounds = rows.groupBy("g").agg(*sums).collect()
+    wanted = {r["g"]: sorted({k for p in percents for k in _ranks(p, r["n"])}) for r in bounds}
+    schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("g", long.schema["g"].dataType), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
+    todo, found = [(r["g"], r["low"], r["high"], 0, r["n"]) for r in bounds], {}
+    while True:
+        left = []
+        for g, low, high, before, n in todo:
+            hit = [k for k in wanted[g] if before <= k < before + n]
+            if low == high:
+                found.update({(g, k): low for k in hit})
+            elif hit:
+                left.append((g, low, high, before, n))
+        if not left:
+            break
+        cells = long.sparkSession.createDataFrame([(i, *c[:3]) for i, c in enumerate(left)], schema)
+        v = F.col("v")
+        part = v if sum(c[4] for c in left) <= REST else _place(v, F.col("low"), F.col("high"), bins)
+        inside = rows.join(cells, "g").filter(v.between(F.col("low"), F.col("high")))
+        todo, before = [], [c[3] for c in left]
+        for r in sorted(inside.groupBy("i", part.alias("part")).agg(*sums).collect(), key=lambda r: (r["i"], r["low"])):
+            todo.append((left[r["i"]][0], r["low"], r["high"], before[r["i"]], r["n"]))
+            before[r["i"]] += r["n"]
+    return [(r["g"], [_between(found, r["g"], p, r["n"]) for p in percents]) for r in bounds]
 
 
 def _ranks(percent: float, n: int) -> tuple[int, int]:
@@ -95,10 +115,10 @@ def _ranks(percent: float, n: int) -> tuple[int, int]:
     return low, min(n - 1, low + 1)
 
 
-def _between(found: dict, column: str, percent: float, n: int) -> float:
+def _between(found: dict, group, percent: float, n: int) -> float:
     low, high = _ranks(percent, n)
     share = percent / 100 * (n - 1) - low
-    return found[column, low] + (found[column, high] - found[column, low]) * share
+    return found[group, low] + (found[group, high] - found[group, low]) * share
 
 
 def percentile_thresholds(scores: DataFrame, score: str, percents: list[float]) -> DataFrame:
@@ -123,29 +143,55 @@ def _by_score(scores: DataFrame, by: list[str], score: str, y: str) -> DataFrame
     return scores.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*by, score).agg(F.sum(y).alias("p"), (F.count("*") - F.sum(y)).alias("n"))
 
 
+def _joined(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns a table has for their keys; NULL is a key like others."""
+    other = table.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return rows.join(other, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
+
+
+def _running(rows: DataFrame, by: list[str], score: str, sums: list[str], down: bool = False, bins: int = 256) -> DataFrame:
+    """Distinct scores with the sums of those before (``_before_*``) and of all of their group (``_all_*``).
+
+    Scores fall in bins between their group's extremes, and in bins between their bin's extremes. Only
+    scores of one of these are sorted together, and only the table of bins is summed by group. Bins come
+    from exact extremes, so a task that runs again finds the same ones.
+    """
+    v = F.col(score).cast("double")
+    keys, placed = list(by), rows
+    for name in ("_a", "_b"):
+        ends = placed.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
+        placed = _joined(placed, ends, keys).withColumn(name, _place(v, F.col("_low"), F.col("_high"), bins)).drop("_low", "_high")
+        keys.append(name)
+    turn = F.desc if down else F.asc
+    every = Window.partitionBy(*by)
+    earlier = every.orderBy(turn("_a"), turn("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = placed.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    cells = cells.select(*keys, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums], *[F.sum(c).over(every).alias(f"_all_{c}") for c in sums])
+    within = Window.partitionBy(*keys).orderBy(turn(score)).rowsBetween(Window.unboundedPreceding, -1)
+    made = {f"_before_{c}": F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}
+    return _joined(placed, cells, keys).withColumns(made).drop("_a", "_b")
+
+
 def roc_auc(scores: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """(by, positives, negatives, roc_auc): ties count half; NULL with one class only."""
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = _by_score(scores, by, score, y).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    sums = below.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"))
+    below = _running(_by_score(scores, by, score, y), by, score, ["n"])
+    sums = below.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("_before_n") + F.col("n") / 2)).alias("wins"))
     return sums.select(*by, "positives", "negatives", F.round(F.try_divide("wins", F.col("positives") * F.col("negatives")), 6).alias("roc_auc"))
 
 
 def curve(scores: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """Cumulative tp and fp at each distinct score, from the highest down, with tpr, fpr and precision."""
-    rows = _by_score(scores, by, score, y)
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    rows = rows.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "_p": F.sum("p").over(every), "_n": F.sum("n").over(every)})
-    return rows.select(*by, score, "tp", "fp", F.try_divide("tp", "_p").alias("tpr"), F.try_divide("fp", "_n").alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    rows = _running(_by_score(scores, by, score, y), by, score, ["p", "n"], down=True)
+    rows = rows.withColumns({"tp": F.col("_before_p") + F.col("p"), "fp": F.col("_before_n") + F.col("n")})
+    return rows.select(*by, score, "tp", "fp", F.try_divide("tp", "_all_p").alias("tpr"), F.try_divide("fp", "_all_n").alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def average_precision(scores: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """(by, average_precision): recall steps times precision, without interpolation."""
-    rows = curve(scores, by, score, y)
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    step = F.col("tpr") - F.lag("tpr", 1, 0.0).over(w)
-    return rows.withColumn("_part", step * F.col("precision")).groupBy(*by).agg(F.round(F.sum("_part"), 6).alias("average_precision"))
+    rows = _running(_by_score(scores, by, score, y), by, score, ["p", "n"], down=True)
+    tp = F.col("_before_p") + F.col("p")
+    part = F.try_divide("p", "_all_p") * tp / (tp + F.col("_before_n") + F.col("n"))
+    return rows.groupBy(*by).agg(F.round(F.sum(part), 6).alias("average_precision"))
 
 
 def unseen_groups(test: DataFrame, seen: DataFrame, group: str, background: list[str] | None = None) -> DataFrame:
@@ -178,12 +224,14 @@ def class_confusion(rows: DataFrame, truth: str, predicted: str, classes: list[s
 def summary(rows: DataFrame, by: list[str], value: str, digits: int = 6) -> DataFrame:
     """Mean, median, extremes and zeros of a value, such as a latency."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(v), digits).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"), F.count_if(v == 0).alias("zeros"))
+    made = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(v), digits).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.count_if(v == 0).alias("zeros"))
+    median = percentiles_by(rows, by, value, [50]).select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("percentiles")[0].alias("median"))
+    joined = made.join(median, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by], "left")
+    return joined.select(*by, "n", "mean", "median", "low", "high", "zeros")
 
 
 def best_configuration(scores: DataFrame, config: str, order: str, score: str = "score", y: str = "y", percents: tuple[float, ...] = (80, 90, 95)) -> DataFrame:
     """Of each configuration its best percentile threshold by F1, and of these the best; the first of equals."""
-    cuts = scores.groupBy(config, order).agg(F.percentile(score, F.array(*[F.lit(p / 100) for p in percents])).alias("_t"))
-    cuts = cuts.select(config, order, F.posexplode("_t").alias("_i", "threshold"))
+    cuts = percentiles_by(scores, [config, order], score, list(percents)).select(config, order, F.posexplode("percentiles").alias("_i", "threshold"))
     counts = scores.select(config, score, y).join(cuts, config).groupBy(config, order, "_i", "threshold").agg(*confusion(F.col(y) == 1, F.col(score) >= F.col("threshold")))
     return rates(counts).orderBy(F.desc("f1"), order, "_i").limit(1).drop("_i")

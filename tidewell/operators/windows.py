@@ -63,8 +63,8 @@ def gaps(df: DataFrame, by: list[str], t: str, longest: int) -> DataFrame:
     return df.withColumn("next_t", F.lead(t).over(w)).withColumn("gap", F.col("next_t") - F.col(t)).filter(F.col("gap") > longest)
 
 
-def time_split(df: DataFrame, order: list[str], bucket: Column, train: float = 0.6, validation: float = 0.2, name: str = "split") -> DataFrame:
-    """Train, validation and test by rank in ``order``.
+def _ranked(df: DataFrame, order: list[str], bucket: Column) -> DataFrame:
+    """Rows with ``_place``, their rank from 0, and ``_n``, the number of rows.
 
     ``bucket`` is a coarse, rising function of the order, such as the hour. A row's rank is its
     place in its bucket plus the rows of earlier buckets, so only buckets are sorted, and only the
@@ -73,20 +73,27 @@ def time_split(df: DataFrame, order: list[str], bucket: Column, train: float = 0
     rows = df.withColumn("_bucket", bucket)
     sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_bucket", before.alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_n"))
+    sizes = sizes.select(F.col("_bucket").alias("_of"), before.alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_n"))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    ranked = rows.withColumn("_place", place).join(sizes, "_bucket").withColumn("_place", F.col("_place") + F.col("_before"))
-    part = F.when(F.col("_place") < F.floor(F.col("_n") * train), "train").when(F.col("_place") < F.floor(F.col("_n") * (train + validation)), "validation").otherwise("test")
-    return ranked.withColumn(name, part).select(*df.columns, name)
+    ranked = rows.withColumn("_place", place).join(sizes, F.col("_bucket").eqNullSafe(F.col("_of")))
+    return ranked.withColumn("_place", F.col("_place") + F.col("_before")).drop("_bucket", "_of", "_before")
+
+
+def _split(train: float, validation: float) -> Column:
+    share = lambda s: F.col("_place") < F.floor(F.col("_n") * s)
+    return F.when(share(train), "train").when(share(train + validation), "validation").otherwise("test")
+
+
+def time_split(df: DataFrame, order: list[str], bucket: Column, train: float = 0.6, validation: float = 0.2, name: str = "split") -> DataFrame:
+    """Train, validation and test by rank in ``order``; ``bucket`` is a coarse, rising function of it."""
+    return _ranked(df, order, bucket).withColumn(name, _split(train, validation)).select(*df.columns, name)
 
 
-def group_split(df: DataFrame, group: str, t: str, train: float = 0.6, validation: float = 0.2) -> DataFrame:
-    """(group, first_t, rank, split): whole groups by their first appearance. Groups are few against rows."""
+def group_split(df: DataFrame, group: str, t: str, train: float = 0.6, validation: float = 0.2, bucket: int = 3600) -> DataFrame:
+    """(group, first_t, rank, split): whole groups by their first appearance."""
     first = df.groupBy(group).agg(F.min(t).alias("first_t"))
-    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("first_t", group)) - 1)
-    n = F.count("*").over(Window.partitionBy())
-    split = F.when(F.col("rank") < F.floor(n * train), "train").when(F.col("rank") < F.floor(n * (train + validation)), "validation").otherwise("test")
-    return ranked.withColumn("split", split)
+    ranked = _ranked(first, ["first_t", group], F.floor(F.col("first_t") / bucket))
+    return ranked.select(group, "first_t", F.col("_place").alias("rank"), _split(train, validation).alias("split"))
 
 
 def detection_latency(df: DataFrame, by: str, order: list[str], truth: Column, predicted: Column) -> DataFrame:

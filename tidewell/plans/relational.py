@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import windows
+from ..operators import metrics, windows
 from ..sources.readers import numeric, pick, table
 
 QUERIES: dict = {}
@@ -129,15 +129,16 @@ def distinct_sets(spark, d):
 
 @_query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.9) AS p90, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1")
 def exact_quantiles(spark, d):
-    q = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("q"))
-    return q.select("l_returnflag", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
+    q = metrics.percentiles_by(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [50, 90, 99])
+    return q.select("l_returnflag", *[F.col("percentiles")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
 
 
 @_query("WITH m AS (SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS med FROM lineitem GROUP BY 1) SELECT l_returnflag, med, quantile_cont(abs(l_quantity - med), 0.5) AS mad FROM lineitem JOIN m USING (l_returnflag) GROUP BY ALL")
 def median_deviation(spark, d):
     rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity")
-    m = rows.groupBy("l_returnflag").agg(F.percentile("l_quantity", F.lit(0.5)).alias("med"))
-    return rows.join(m, "l_returnflag").groupBy("l_returnflag", "med").agg(F.percentile(F.abs(F.col("l_quantity") - F.col("med")), F.lit(0.5)).alias("mad"))
+    m = metrics.percentiles_by(rows, ["l_returnflag"], "l_quantity", [50]).select("l_returnflag", F.col("percentiles")[0].alias("med"))
+    away = rows.join(m, "l_returnflag").withColumn("away", F.abs(F.col("l_quantity") - F.col("med")))
+    return metrics.percentiles_by(away, ["l_returnflag", "med"], "away", [50]).select("l_returnflag", "med", F.col("percentiles")[0].alias("mad"))
 
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
