@@ -236,3 +236,44 @@ def test_stream_of_events(spark, tmp_path):
     query.stop()
     rows = spark.sql("select * from hops where k = 'a' order by window_start").collect()
     assert [(r.n, r.total) for r in rows] == [(1, 1.0), (2, 3.0), (1, 2.0)]
+
+
+def test_percentiles_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "REST", 50)
+    rng = np.random.default_rng(8)
+    groups = {"a": [*rng.normal(0, 1, 3000), 1e300], "b": [5.0] * 40, None: [float("inf"), 1.0, 2.0], "d": [1e308, -1e308, 0.0, 3.0, 3.0]}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("e", None), ("b", float("nan"))], "g string, v double")
+    percents = [0, 10, 50, 99]
+    got = {r.g: r.percentiles for r in metrics.percentiles_by(df, ["g"], "v", percents, bins=8).collect()}
+    assert set(got) == set(groups)
+    for k in ("a", "b", "d"):
+        assert np.allclose(got[k], np.percentile(groups[k], percents))
+    assert got[None][:3] == [1.0, 1.2, 2.0]
+
+
+def test_curves_over_bins(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, float(s), int(y)) for g in ("a", None) for s, y in zip([*rng.integers(0, 90, 400), 1e12], rng.integers(0, 2, 401), strict=True)]
+    df = spark.createDataFrame(rows, "g string, score double, y int")
+    points = {(r.g, r.score): (r.tp, r.fp) for r in metrics.curve(df, ["g"]).collect()}
+    auc = {r.g: r.roc_auc for r in metrics.roc_auc(df, ["g"]).collect()}
+    for g in ("a", None):
+        own = [r for r in rows if r[0] == g]
+        for s in {r[1] for r in own}:
+            assert points[g, s] == (sum(r[2] for r in own if r[1] >= s), sum(1 - r[2] for r in own if r[1] >= s))
+        pos, neg = [r[1] for r in own if r[2]], [r[1] for r in own if not r[2]]
+        wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+        assert abs(auc[g] - wins / len(pos) / len(neg)) < 1e-6
+
+
+def test_placements_over_buckets(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, int(s), int(s + d)) for i, (s, d) in enumerate(zip(rng.integers(0, 20_000, 300), rng.integers(1, 400, 300), strict=True))]
+    df = spark.createDataFrame(rows, "id int, s long, e long")
+    got = {r.id for r in intervals.non_overlapping(df, Interval("s", "e", True), "id", bucket=100).collect()}
+    latest, want = None, set()
+    for i, s, e in sorted(rows, key=lambda r: (r[1], r[0])):
+        if latest is None or latest < s:
+            want.add(i)
+        latest = e if latest is None else max(latest, e)
+    assert got == want

@@ -118,6 +118,8 @@ def _ranks(percent: float, n: int) -> tuple[int, int]:
 def _between(found: dict, group, percent: float, n: int) -> float:
     low, high = _ranks(percent, n)
     share = percent / 100 * (n - 1) - low
+    if not share:  # what lies above may be infinite
+        return found[group, low]
     return found[group, low] + (found[group, high] - found[group, low]) * share
 
 
