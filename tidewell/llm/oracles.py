@@ -118,6 +118,69 @@ x AS (SELECT DISTINCT doc_id, g FROM sh), base AS (SELECT doc_id, count(g) AS n
 {_components("e AS (SELECT c.a, c.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM x p JOIN x q USING (g) WHERE p.doc_id <> q.doc_id GROUP BY ALL) c JOIN base i ON i.doc_id = a JOIN base j ON j.doc_id = b WHERE 100 * c.n >= 85 * (i.n + j.n - c.n))", "doc_id")}
 SELECT doc_id, n AS n_shingles, component_id, component_id = doc_id AS kept FROM base JOIN comp ON comp.a = doc_id"""
 
+_URL = r"(?s)^.*?://"
+
+
+def _urls() -> str:
+    rules = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")))
+    query = f"list_sort(list_filter(string_split(regexp_extract(u, '{_URL}[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')))"
+    return f"""WITH p AS (SELECT page_id, html, coalesce(url, '') AS u, {_fold(f"regexp_extract(u, '{_URL}([^/?#]*)', 1)")} AS host, regexp_extract(u, '{_URL}[^/?#]*([^?#]*)', 1) AS path FROM pages),
+c AS (SELECT *, regexp_replace(host, '^www\\.|:(80|443)\\z', '', 'g') || rtrim(regexp_replace(path, '(/index)?\\.html?\\z', ''), '/') || CASE WHEN len({query}) > 0 THEN '?' || array_to_string({query}, '&') ELSE '' END AS whole FROM p),
+l AS (SELECT DISTINCT whole FROM c WHERE whole <> '' AND contains(html, '%%%') AND contains(html, '$$$') AND contains(html, '***')),
+r(verdict, host, path) AS (VALUES {rules}),
+f AS (SELECT page_id, u, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict FROM (SELECT DISTINCT page_id, u, host, path FROM c) c JOIN r ON (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path) GROUP BY 1, 2)
+SELECT c.page_id, c.host, c.path, rule, coalesce(f.verdict, CASE WHEN l.whole IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, nullif(c.whole, '') AS canonical, l.whole IS NOT NULL AS listed
+FROM c LEFT JOIN f ON f.page_id = c.page_id AND f.u = c.u LEFT JOIN l ON l.whole = c.whole"""
+
+
+URLS = _urls()
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RANKED = f"""WITH d AS (SELECT doc_id, {_fold("unnest(regexp_extract_all(text, '" + _TERMS + "'))")} AS term FROM documents),
+i AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, {_fold("unnest(regexp_extract_all(text, '" + _TERMS + "'))")} AS term FROM benchmark) GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1), s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM n),
+p AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+g AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l))))::BIGINT AS score FROM p JOIN w USING (term) JOIN n USING (doc_id) JOIN i USING (term), s GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE score > 0) WHERE rank <= 20"""
+
+
+def _merkle() -> str:
+    """Both trees with their levels written out: six of 16 a source, five over the sources."""
+    def field(x: str) -> str:
+        return f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {step}), 4294967295)"
+    lower = _fold("text")
+    parts = [f"d AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} END AS other FROM documents)"]
+    parts.append("a0 AS MATERIALIZED (SELECT coalesce('=' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, other NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, leaf AS h, doc_id, other FROM d)")
+    levels = {"a": 6, "b": 5}
+    for t, deep in levels.items():
+        if t == "b":
+            parts.append("b0 AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n, h, g AS name FROM a6)")
+        for k in range(deep):
+            parts.append(f"{t}{k + 1} AS MATERIALIZED (SELECT g, i // 16 AS i, (any_value(n) + 15) // 16 AS n, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {t}{k} GROUP BY g, i // 16)")
+    # every row carries its place, its hash as recomputed, and the siblings so far
+    parts.append("m0 AS (SELECT g, i, doc_id, h AS leaf, coalesce(other, h) AS f, '' AS proof FROM a0)")
+    last = 0
+    for t, deep in levels.items():
+        if t == "b":
+            parts.append(f"m{last + 1} AS (SELECT b0.g, b0.i, m.g AS name, doc_id, leaf, f, proof FROM m{last} m JOIN b0 ON b0.name = m.g)")
+            last += 1
+        for k in range(deep):
+            keep = "doc_id, leaf" + (", name" if t == "b" else "")
+            parts.append(f"""m{last + 1} AS MATERIALIZED (SELECT m.g, m.i // 16 AS i, {', '.join('m.' + c for c in keep.split(', '))}, CASE WHEN any_value(x.n) = 1 THEN any_value(m.f) ELSE sha256(string_agg(CASE WHEN x.i = m.i THEN m.f ELSE x.h END, '' ORDER BY x.i)) END AS f,
+any_value(m.proof) || coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i <> m.i), '') AS proof FROM (SELECT *, row_number() OVER () AS r FROM m{last}) m JOIN {t}{k} x ON x.g = m.g AND x.i // 16 = m.i // 16 GROUP BY m.r, m.g, m.i, {', '.join('m.' + c for c in keep.split(', '))})""")
+            last += 1
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, a6.h AS subroot, b5.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b5.h AS verified FROM m{last} JOIN a6 ON a6.g = name, b5"
+
+
+MERKLE = _merkle()
+
 SQL = {
     "op2_secrets": SECRETS,
     "op3_substrings": SUBSTRINGS,
@@ -127,4 +190,7 @@ SQL = {
     "op8_embeddings": EMBEDDINGS,
     "op10_near_duplicates": NEAR_DUPLICATES,
     "op1_decontaminate": DECONTAMINATE,
+    "op11_urls": URLS,
+    "op12_ranked": RANKED,
+    "op13_merkle": MERKLE,
 }

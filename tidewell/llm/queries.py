@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, langid, lshforest, mixing, oracles, pii, pq, secretscan, sharding, spans, substring, suffixarray
+from . import decontaminate, langid, lshforest, merkle, mixing, oracles, pii, pq, ranking, secretscan, sharding, spans, substring, suffixarray, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,29 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+#: The rules of the query, and marks that a page of garbage holds.
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+GARBAGE = ("%%%", "$$$", "***")
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the canonical URLs of pages of garbage: every variant of their URLs is blocked."""
+    pages = _table(spark, sf_dir, "pages")
+    listed = pages.filter(reduce(lambda a, mark: a & pages["html"].contains(mark), GARBAGE[1:], pages["html"].contains(GARBAGE[0])))
+    found = urlfilter.judge(pages, [urlfilter.Rule(*r) for r in RULES], listed)
+    return found.select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lower = F.translate("text", urlfilter.UPPER, urlfilter.LOWER)
+    return merkle.manifest(docs, tampered={"text": lower}, where=F.crc32(docs["doc_id"].cast("string")) % 5 == 0)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
@@ -90,5 +115,8 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_urls": op11_urls,
+    "op12_ranked": op12_ranked,
+    "op13_merkle": op13_merkle,
 }
 SQL: dict[str, str] = oracles.SQL
