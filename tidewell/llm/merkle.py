@@ -47,7 +47,8 @@ def leaf_of(fields: Sequence[Column]) -> Column:
 
 def numbered(rows: DataFrame, group: str, order: Sequence[str], index: str = "i", size: str = "n") -> DataFrame:
     """``rows`` with their index (from 0) in ``group`` by ``order``, and the group's size."""
-    dealt = written(rows.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "leaves")
+    # written before they are dealt: ranges are found by a pass of their own, which would hash every leaf again
+    dealt = written(written(rows, "leaves").repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     held = dealt.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_held"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(group)
