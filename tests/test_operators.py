@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,18 +77,92 @@ def test_lifecycles(spark):
     assert [r.time_s for r in lifecycle.schedule(days, "d", [1, 2]).orderBy("time_s").collect()] == [3600, 7200, 90000, 93600]
 
 
-def test_effects_compound_in_order(spark):
-    signals = spark.createDataFrame([(t, "bess_soc_percent", 60.0 + t) for t in range(10)] + [(t, "free", 1.0) for t in range(3)], "time_s long, variable string, value double")
-    rows = [
-        ("bess_soc_percent", 0, "absolute_delta", 20.0, "abs", "increase", "step", 0, 2, 6),
-        ("bess_soc_percent", 1, "relative_delta", 50.0, "percent", "increase", "step", 0, 4, 8),
-        ("bess_soc_percent", 2, "stale_value_hold", 0.0, "abs", "increase", "step", 0, 7, 9),
-        ("free", 0, "absolute_delta", 4.0, "abs", "decrease", "ramp", 4, 0, 3),
-    ]
-    fx = spark.createDataFrame(rows, "variable string, effect_order int, type string, magnitude double, unit string, direction string, shape string, ramp_s int, start_s long, end_s long")
-    got = {(r.variable, r.time_s): (r.changed, r.effects) for r in effects.apply_effects(signals, fx).collect()}
-    assert [got["bess_soc_percent", t] for t in (1, 3, 5, 6, 7, 8, 9)] == [(61.0, 0), (83.0, 1), (95.0, 2), (95.0, 1), (67.0, 2), (67.0, 1), (69.0, 0)]
-    assert [got["free", t][0] for t in range(3)] == [1.0, 0.0, -1.0]
+EFFECTS = "variable string, effect_order int, type string, magnitude double, unit string, direction string, shape string, ramp_s int, start_s long, end_s long"
+
+
+def fold(signals, rows, bounds):
+    """Effects one after the other on whole windows, as arrays."""
+    out = {v: sorted((t, x) for t, w, x in signals if w == v) for v in {s[1] for s in signals}}
+    for variable, _, kind, magnitude, unit, direction, shape, ramp, start, end in sorted(rows, key=lambda r: (r[0], r[1])):
+        series = out.get(variable, [])
+        at = [i for i, (t, _) in enumerate(series) if start <= t < end]
+        old = [series[i][1] for i in at]
+        times = [series[i][0] for i in at]
+        low, high = bounds.get(variable, (-math.inf, math.inf))
+        kind, size, sign = effects.ALIASES.get(kind, kind), abs(magnitude), 1 if direction == "increase" else -1
+        for k, i in enumerate(at):
+            t, v = series[i]
+            f = min(1, max(0, (t - start) / ramp)) if shape == "ramp" and ramp > 0 else 1
+            if kind == "absolute_delta":
+                v += sign * size * f
+            elif kind == "relative_delta":
+                v *= 1 + sign * (size / 100 if unit == "%" else size) * f
+            elif kind == "hold_stale":
+                v = old[0]
+            elif kind == "clip":
+                v = min(v, size)
+            elif kind == "smooth_oscillation":
+                v += size * math.sin(2 * math.pi * (t - start) / min(120, max(30, end - start)))
+            elif kind == "delay_response":
+                v = max([(u, j) for j, u in enumerate(times) if u <= t - ramp], default=(0, k))[1]
+                v = old[v]
+            series[i] = (t, min(high, max(low, v)))
+    return {(v, t): x for v, s in out.items() for t, x in s}
+
+
+def test_effects_of_each_kind(spark):
+    signals = [(t, "load", 10.0) for t in range(60)]
+    cases = [
+        (("relative_delta", 50.0, "%", "decrease", "step", 0), 15, 5.0), (("relative_delta", 0.5, "pu", "increase", "step", 0), 15, 15.0), (("relative_delta", 50.0, "%", "bidirectional", "step", 0), 15, 5.0),
+        (("absolute_delta", -4.0, "kW", "increase", "step", 0), 15, 14.0), (("absolute_delta", 4.0, "kW", "none", "ramp", 30), 15, 8.0), (("smooth_oscillation", 5.0, "kW", "bidirectional", "step", 0), 15, 15.0),
+        (("bounded_clip", -3.0, "kW", "none", "step", 0), 15, 3.0), (("delay_response", 3.0, "kW", "increase", "delay", 20), 30, 10.0), (("none", 3.0, "kW", "increase", "step", 0), 15, 10.0),
+    ]
+    frame = spark.createDataFrame(signals, "time_s long, variable string, value double")
+    for (kind, size, unit, direction, shape, ramp), t, want in cases:
+        fx = spark.createDataFrame([("load", 0, kind, size, unit, direction, shape, ramp, 0, 60)], EFFECTS)
+        got = {r.time_s: r.changed for r in effects.apply_effects(frame, fx, 7).collect()}
+        assert got[t] == pytest.approx(want), kind
+    # a hold keeps what the delta before it left
+    both = spark.createDataFrame([("load", 0, "absolute_delta", 5.0, "kW", "decrease", "step", 0, 0, 60), ("load", 1, "hold_stale", 0.0, "%", "none", "hold", 0, 10, 30)], EFFECTS)
+    assert {r.changed for r in effects.apply_effects(frame, both).collect()} == {5.0}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_effects_equal_arrays(spark, seed):
+    rng = random.Random(seed)
+    kinds = ["absolute_delta", "relative_delta", "hold_stale", "stale_value_hold", "clip", "smooth_oscillation", "delay_response", "unknown"]
+    signals = [(t, v, round(rng.uniform(-60, 130), 2)) for v in ("pv_p_kw", "bess_p_kw", "free") for t in range(0, 400) if rng.random() < 0.7]
+    rows = []
+    for k in range(40):
+        start = rng.randrange(-20, 390)
+        rows.append((rng.choice(["pv_p_kw", "bess_p_kw", "free", "gone"]), k, rng.choice(kinds), rng.choice([0.0, 20.0, -35.0, 80.0]), rng.choice(["%", "kW", "none"]), rng.choice(["increase", "decrease", "none", "bidirectional"]), rng.choice(["ramp", "step", "hold"]), rng.choice([0, 5, 40]), start, start + rng.randrange(0, 90)))
+    frame = spark.createDataFrame(signals, "time_s long, variable string, value double")
+    got = {(r.variable, r.time_s): r for r in effects.apply_effects(frame, spark.createDataFrame(rows, EFFECTS), 50).collect()}
+    want = fold(signals, rows, effects.BOUNDS)
+    assert set(got) == set(want)
+    for key, value in want.items():
+        assert got[key].changed == pytest.approx(value), key
+        assert got[key].effects == sum(r[0] == key[0] and r[8] <= key[1] < r[9] for r in rows)
+
+
+def test_effects_with_orders_of_structs_nulls_and_no_rows(spark):
+    signals = spark.createDataFrame([(0, "a", 1.0), (1, "a", None), (2, "a", 3.0)], "time_s long, variable string, value double")
+    fx = spark.createDataFrame([("a", 0, "hold_stale", 0.0, "", "none", "hold", 0, 1, 3), ("a", 1, "absolute_delta", 1.0, "", "increase", "step", 0, 0, 3)], EFFECTS)
+    nested = fx.withColumn("effect_order", F.struct(F.lit("bundle").alias("b"), F.col("effect_order").alias("place")))
+    assert [r.changed for r in effects.apply_effects(signals, nested).orderBy("time_s").collect()] == [2.0, None, None]
+    assert [r.changed for r in effects.apply_effects(signals, fx.limit(0)).orderBy("time_s").collect()] == [1.0, None, 3.0]
+    assert effects.apply_effects(signals.limit(0), fx).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [1, 10, 1000])
+def test_as_of(spark, bucket):
+    rng = random.Random(bucket)
+    history = [(rng.choice(["a", "b", None]), rng.randrange(0, 300), rng.random()) for _ in range(80)]
+    points = [(rng.choice(["a", "b", "c", None]), rng.randrange(-10, 320), i) for i in range(120)]
+    got = intervals.as_of(spark.createDataFrame(points, "k string, t long, i int"), spark.createDataFrame(history, "k string, t long, v double"), "t", ["v"], ["k"], bucket).collect()
+    assert len(got) == len(points)
+    for r in got:
+        assert r.v == max(((t, v) for k, t, v in history if k == r.k and t <= r.t), default=(0, None))[1]
 
 
 def test_metrics_with_ties_and_one_class(spark):

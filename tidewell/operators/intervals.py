@@ -43,6 +43,29 @@ def inside(points: DataFrame, t: str, intervals: DataFrame, interval: Interval,
     return left.join(right, ["_bucket", *by]).filter(interval.holds(F.col(t))).drop("_bucket")
 
 
+def as_of(points: DataFrame, history: DataFrame, t: str, values: list[str], by: list[str] | None = None, bucket: int = 3600) -> DataFrame:
+    """``points`` with the ``values`` of the last row of ``history`` at or before their ``t`` (same ``by``, nulls too), else NULL.
+
+    Rows meet in buckets of time; what earlier buckets end with comes from a table of one row a bucket, so no task
+    holds all rows of a key. Of rows at one time the greatest values are the last.
+    """
+    by = by or []
+    point, row = F.struct(*points.columns), F.struct(F.col(t).alias("_t"), *[F.col(v).alias(v) for v in values])
+    keys = [F.col(c) for c in (*by, t)]
+    marks = points.select(*keys, point.alias("_point")).unionByName(history.select(*keys, row.alias("_row")), allowMissingColumns=True)
+    marks = marks.withColumn("_bucket", F.floor(F.col(t) / bucket))
+    here = F.last("_row", ignorenulls=True).over(Window.partitionBy(*by, "_bucket").orderBy(t, F.col("_point").isNotNull(), "_row"))
+    ends = marks.groupBy(*by, "_bucket").agg(F.max("_row").alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("_bucket", *by, before.alias("_before")).toDF("_in", *[f"_in{i}" for i in range(len(by))], "_before")
+    same = F.col("_bucket").eqNullSafe(F.col("_in"))
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_in{i}"))
+    found = marks.withColumn("_here", here).filter("_point is not null").join(ends, same)
+    last = F.coalesce("_here", "_before")
+    return found.select("_point.*", *[last[v].alias(v) for v in values])
+
+
 def context_windows(anchors: DataFrame, t: str, before: int, after: int, last: int) -> DataFrame:
     """(window_start_s, window_end_s) around each anchor, inside [0, last]."""
     return anchors.withColumns({"window_start_s": F.greatest(F.lit(0), F.col(t) - before), "window_end_s": F.least(F.lit(last), F.col(t) + after)})

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .effects import ALIASES, BOUNDS
+
 EFFECT = "struct<variable:string,effect_type:string,magnitude:double,unit:string,direction:string,shape:string,ramp_seconds:bigint,effect_application_note:string>"
 CONTEXT = "struct<event_level_only:boolean,packet_level_protocol_compliance_claimed:boolean,message_type:string,cyber_event_category:string,cia_dimension:string,protocol_profile:string,delivery_status:string>"
 SCENARIO = (
@@ -20,7 +22,7 @@ SCENARIO = (
 #: Schema of a bundle file, with the older names of three fields.
 BUNDLE = f"dataset_id string, author_model string, generation_purpose string, project_compatibility_statement string, compatibility_statement string, scenarios array<{SCENARIO}>"
 
-# Vocabularies and bounds of bundles.
+# Vocabularies of bundles.
 ASSETS = {"der_site_001": "der_site", "pv_001": "pv", "bess_001": "bess", "pcc_001": "pcc"}
 COMPONENTS = ("pv", "bess", "pcc", "measured_layer", "der_site")
 CLASSES = {"normal": 4, "cyber_only": 4, "physical_only": 6, "cyber_physical": 2}
@@ -28,11 +30,6 @@ FAMILIES = (
     "normal_control_variation", "soc_aware_bess_dispatch_anomaly", "pv_curtailment_mismatch", "stale_or_delayed_measurement", "command_delay", "command_suppression",
     "oscillatory_bess_control", "pcc_voltage_deviation", "coordinated_pv_bess_response", "false_data_injection_context_only", "availability_degradation_context_only", "physical_irradiance_like_disturbance",
 )
-BOUNDS = {
-    "pv_p_kw": (0, 100), "pv_q_kvar": (-60, 60), "bess_p_kw": (-50, 50), "bess_q_kvar": (-50, 50), "bess_soc_percent": (5, 95), "pcc_v_a_pu": (0.9, 1.1), "pcc_v_b_pu": (0.9, 1.1), "pcc_v_c_pu": (0.9, 1.1),
-    "pcc_i_a_amp": (0, 500), "pcc_i_b_amp": (0, 500), "pcc_i_c_amp": (0, 500), "pcc_p_kw": (-250, 250), "pcc_q_kvar": (-150, 150), "irradiance_pu": (0, 1.2),
-}
-EFFECT_NAMES = {"stale_value_hold": "hold_stale", "bounded_clip": "clip", "bounded_oscillation": "smooth_oscillation"}
 FORBIDDEN_WORDS = ("payload", "packet_bytes", "tcp_flags", "exploit", "malware", "credential", "password", "hash", "shellcode", "buffer_overflow", "sql_injection", "cve_id", "metasploit", "cobalt_strike")
 FORBIDDEN_VARIABLES = ("temperature_c", "pcc_freq_hz", "frequency_hz", "grid_frequency", "bus_id", "ieee123_bus")
 COMPATIBILITY = "I used only the final single-site dataset assets der_site_001, pv_001, bess_001, pcc_001; I did not use old multi-DER asset IDs or packet-level cyber fields."
@@ -48,7 +45,7 @@ def repaired(scenarios: DataFrame) -> DataFrame:
     """Old names and missing fields filled, effect names and signs normalised; ``repairs`` lists what was done."""
     def effect(e: Column) -> Column:
         name = e["effect_type"]
-        for old, new in EFFECT_NAMES.items():
+        for old, new in ALIASES.items():
             name = F.when(e["effect_type"] == old, new).otherwise(name)
         signed = (e["magnitude"] < 0) & e["direction"].isin("increase", "decrease")
         return e.withField("effect_type", name).withField("magnitude", F.when(signed, -e["magnitude"]).otherwise(e["magnitude"]))
@@ -62,7 +59,7 @@ def repaired(scenarios: DataFrame) -> DataFrame:
         "alias_scenario_class": F.col("scenario_class").isNull() & F.col("cyber_physical_type").isNotNull(),
         "alias_target_asset": F.col("target_asset_id").isNull() & F.col("affected_asset").isNotNull(),
         "generated_name": F.col("scenario_name").isNull(), "inferred_component": F.col("target_component").isNull(), "default_safety_note": F.col("safety_note").isNull(),
-        "effect_type_normalised": F.exists(effects, lambda e: e["effect_type"].isin(*EFFECT_NAMES)),
+        "effect_type_normalised": F.exists(effects, lambda e: e["effect_type"].isin(*ALIASES)),
         "negative_magnitude": F.exists(effects, lambda e: (e["magnitude"] < 0) & e["direction"].isin("increase", "decrease")),
     }
     log = F.array_compact(F.array(*[F.when(c, name) for name, c in done.items()]))

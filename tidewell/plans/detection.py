@@ -184,20 +184,37 @@ def rubric_score(spark, d):
     return made.groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean_score"), F.round(F.avg("c1"), 6).alias("long_share"))
 
 
-#: Effects on hourly sums: a delta, then a share, then a cap where they meet.
-_FX = ((0, "absolute_delta", 100.0, "abs", 100, 300), (1, "relative_delta", 50.0, "percent", 200, 400), (2, "clip", 900.0, "abs", 250, 500))
-
-
-@_query(f"""WITH {_E}, h AS (SELECT t // 3600 AS time_s, round(sum(value::DECIMAL(18,2))::DOUBLE, 2) AS value FROM e GROUP BY 1),
-a AS (SELECT *, CASE WHEN time_s >= 100 AND time_s < 300 THEN least(1e4, greatest(0, value + 100)) ELSE value END AS v1 FROM h), b AS (SELECT *, CASE WHEN time_s >= 200 AND time_s < 400 THEN least(1e4, greatest(0, v1 * 1.5)) ELSE v1 END AS v2 FROM a)
-SELECT time_s, value, ((time_s >= 100 AND time_s < 300)::INT + (time_s >= 200 AND time_s < 400)::INT + (time_s >= 250 AND time_s < 500)::INT)::INT AS effects, round(CASE WHEN time_s >= 250 AND time_s < 500 THEN least(1e4, greatest(0, least(v2, 900.0))) ELSE v2 END, 6) AS changed FROM b""")
+#: Signals out of the events: (event type, variable, divisor); and effects on each from every nation, of all types, units, directions and shapes.
+_SIGNALS = (("view", "pv_p_kw", 1.0), ("signup", "bess_p_kw", 2.0), ("click", "pcc_p_kw", 0.5), ("error", "pcc_q_kvar", 1.0), ("purchase", "pcc_v_a_pu", 100.0))
+_TYPES = ("absolute_delta", "relative_delta", "hold_stale", "bounded_clip", "smooth_oscillation", "delay_response", "stale_value_hold", "none")
+_UNITS, _DIRECTIONS, _SHAPES = ("%", "kW", "none"), ("increase", "decrease", "none", "bidirectional"), ("ramp", "step", "hold")
+
+
+@_query(f"""WITH RECURSIVE {_E}, sig AS MATERIALIZED (SELECT variable, t // 600 * 600 AS time_s, round(sum(value::DECIMAL(18,2))::DOUBLE / any_value(part), 6) AS value FROM e JOIN (VALUES {', '.join(map(str, _SIGNALS))}) m(event_type, variable, part) USING (event_type) GROUP BY 1, 2),
+b(variable, lo, hi) AS (VALUES ('pv_p_kw', 0.0::DOUBLE, 100.0::DOUBLE), ('bess_p_kw', -50.0, 50.0), ('pcc_p_kw', -250.0, 250.0), ('pcc_q_kvar', -150.0, 150.0), ('pcc_v_a_pu', 0.9, 1.1)),
+fx AS MATERIALIZED (SELECT k, variable AS w, lo, hi, {list(_TYPES)}[k % 8 + 1] AS type, abs(k * 37 % 90 - 20)::DOUBLE AS size, {list(_UNITS)}[k % 3 + 1] AS unit, CASE WHEN k % 4 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS sign, {list(_SHAPES)}[k // 3 % 3 + 1] AS shape, k % 5 * 1800 AS ramp, k * 40507 % 2500000 AS s, k * 40507 % 2500000 + 7200 + k * 7717 % 200000 AS x
+FROM (SELECT n_nationkey::BIGINT * 5 + i - 1 AS k, [{', '.join(f"'{v}'" for _, v, _ in _SIGNALS)}][i] AS variable FROM nation, range(1, 6) r(i)) JOIN b USING (variable)),
+st AS (SELECT 0::BIGINT AS k, variable, time_s, value, value AS v, 0 AS effects FROM sig UNION ALL
+SELECT k + 1, variable, time_s, value, CASE WHEN hit THEN least(hi, greatest(lo, CASE WHEN type = 'absolute_delta' THEN v + sign * size * f WHEN type = 'relative_delta' THEN v * (1 + sign * CASE WHEN unit = '%' THEN size / 100 ELSE size END * f) WHEN type IN ('hold_stale', 'stale_value_hold') THEN first
+WHEN type = 'bounded_clip' THEN least(v, size) WHEN type = 'smooth_oscillation' THEN v + size * sin(2 * pi() * (time_s - s) / least(120, greatest(30, x - s))) WHEN type = 'delay_response' THEN coalesce(late, v) ELSE v END)) ELSE v END, effects + hit::INT
+FROM (SELECT *, first_value(v) OVER (PARTITION BY variable, hit ORDER BY time_s) AS first, last_value(v) OVER (PARTITION BY variable, hit ORDER BY time_s RANGE BETWEEN UNBOUNDED PRECEDING AND ramp PRECEDING) AS late, CASE WHEN shape = 'ramp' AND ramp > 0 THEN least(1, greatest(0, (time_s - s)::DOUBLE / ramp)) ELSE 1 END AS f
+FROM (SELECT st.*, fx.* EXCLUDE (k), variable = w AND time_s >= s AND time_s < x AS hit FROM st JOIN fx ON fx.k = st.k)))
+SELECT variable, time_s, value, effects, round(v, 6) AS changed FROM st WHERE k = (SELECT max(k) + 1 FROM fx)""")
 def effect_fold(spark, d):
-    hours = _events(spark, d).groupBy(F.floor(F.col("t") / 3600).alias("time_s")).agg(F.round(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), 2).alias("value"))
-    signals = hours.select("time_s", F.lit("load").alias("variable"), "value")
-    rows = [("load", o, kind, m, u, "increase", "step", 0, s, e) for o, kind, m, u, s, e in _FX]
-    fx = spark.createDataFrame(rows, "variable string, effect_order int, type string, magnitude double, unit string, direction string, shape string, ramp_s int, start_s long, end_s long")
-    made = effects.apply_effects(signals, fx, 100, {"load": (0.0, 1e4)})
-    return made.select("time_s", "value", "effects", F.round("changed", 6).alias("changed"))
+    """Ten-minute signals under effects of all types, which hold and delay what earlier ones left."""
+    part = F.lit(None).cast("double")
+    variable = F.lit(None).cast("string")
+    for kind, name, divisor in _SIGNALS:
+        part, variable = F.when(F.col("event_type") == kind, divisor).otherwise(part), F.when(F.col("event_type") == kind, name).otherwise(variable)
+    rows = _events(spark, d).withColumns({"variable": variable, "part": part, "time_s": F.floor(F.col("t") / 600) * 600}).filter("variable is not null")
+    signals = rows.groupBy("time_s", "variable").agg(F.round(F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.first("part"), 6).alias("value"))
+    k, pick = F.col("k"), lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    nations = table(spark, d, "nation").select("n_nationkey", F.posexplode(F.array(*[F.lit(v) for _, v, _ in _SIGNALS])).alias("i", "variable"))
+    nations = nations.withColumn("k", F.col("n_nationkey").cast("long") * 5 + F.col("i"))
+    fx = nations.select("variable", k.alias("effect_order"), pick(_TYPES, k % 8).alias("type"), (k * 37 % 90 - 20).cast("double").alias("magnitude"), pick(_UNITS, k % 3).alias("unit"), pick(_DIRECTIONS, k % 4).alias("direction"),
+                        pick(_SHAPES, F.floor(k / 3) % 3).alias("shape"), (k % 5 * 1800).cast("int").alias("ramp_s"), (k * 40_507 % 2_500_000).alias("start_s"), (k * 40_507 % 2_500_000 + 7200 + k * 7717 % 200_000).alias("end_s"))
+    made = effects.apply_effects(signals, fx, 7200)
+    return made.select("variable", "time_s", "value", "effects", F.round("changed", 6).alias("changed"))
 
 
 @_query(f"WITH {_S}, x AS (SELECT CASE WHEN lang IN ('en', 'fr', 'de') THEN lang ELSE 'unknown' END AS truth, CASE WHEN score > 4000 THEN 'en' WHEN score > 2000 THEN 'fr' WHEN score > 1000 THEN 'de' ELSE 'unknown' END AS p FROM s) SELECT truth, {', '.join(f"count(*) FILTER (p = '{c}') AS {c}" for c in ('en', 'fr', 'de', 'unknown'))} FROM x GROUP BY 1")

@@ -320,3 +320,13 @@ y AS (SELECT * FROM a WHERE event_type = 'purchase' AND user_id NOT IN (SELECT u
 def presenter_choice(spark, d):
     tops = _events(spark, d).groupBy("event_type", "user_id").agg(F.max("value").alias("top"))
     return windows.best_of_each(tops, "event_type", "user_id", [F.desc("top")], ["error", "purchase"])
+
+
+@_query(f"""WITH {_E}, h AS (SELECT user_id, t // 86400 AS day, t, value FROM e), l AS (SELECT user_id, day, t, max(value) AS value FROM h GROUP BY ALL)
+SELECT event_id, p.user_id, p.t, l.value AS earlier FROM (SELECT event_id, user_id, t // 86400 AS day, t, t - 7200 AS at FROM e) p ASOF LEFT JOIN l ON l.user_id = p.user_id AND l.day = p.day AND l.t <= p.at""")
+def delayed_values(spark, d):
+    """What each user's signal was two hours before, inside the same day: a shift by time, not by rows."""
+    rows = _events(spark, d).withColumn("day", F.floor(F.col("t") / 86_400))
+    points = rows.select("event_id", "user_id", "day", F.col("t").alias("now"), (F.col("t") - 7200).alias("t"))
+    made = intervals.as_of(points, rows.select("user_id", "day", "t", F.col("value").alias("earlier")), "t", ["earlier"], ["user_id", "day"], 21_600)
+    return made.select("event_id", "user_id", F.col("now").alias("t"), "earlier")
