@@ -7,7 +7,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
-from tidewell.operators import scenarios, telemetry
+from tidewell.operators import bundles, scenarios, telemetry
 from tidewell.operators.intervals import Interval, inside
 
 
@@ -62,43 +62,104 @@ def test_effects_and_residuals(spark):
     assert all(r.delta_absent == 0.0 for r in at.values())
 
 
-def bundle(n=16):
-    classes = [c for c, k in scenarios.CLASSES.items() for _ in range(k)]
+def bundle():
+    classes = [c for c, k in bundles.CLASSES.items() for _ in range(k)]
     out = []
-    for i in range(n):
-        kind = classes[i]
+    for i, kind in enumerate(classes):
         effects = [{"variable": "pv_p_kw", "effect_type": "bounded_clip", "magnitude": -20.0, "unit": "kW", "direction": "decrease", "shape": "ramp", "ramp_seconds": 60}] if kind.startswith("phys") or kind == "cyber_physical" else []
         out.append({
             "scenario_id": f"zdl_other_case_{i:03d}", "scenario_family": "pv_curtailment_mismatch", "scenario_class": kind, "start_time_s": (i % 7) * 86_400 + 500 * i, "duration_s": 300, "affected_asset": "pv_001",
             "physical_effects": effects, "cyber_context": {"event_level_only": True, "packet_level_protocol_compliance_claimed": False, "cia_dimension": "integrity", "delivery_status": "delivered"},
             "labels": {"label_anomaly": int(kind != "normal"), "label_cyber_anomaly": 0, "label_physical_anomaly": 0},
         })
-    return {"dataset_id": "d", "author_model": "other", "scenarios": out}
+    return {"dataset_id": "d", "author_model": "other", "generation_purpose": bundles.PURPOSE, "compatibility_statement": bundles.COMPATIBILITY, "scenarios": out}
 
 
-def read(spark, *bundles):
-    lines = spark.createDataFrame([(f"b{i}", json.dumps(b)) for i, b in enumerate(bundles)], "bundle_id string, doc string")
-    return lines.select("bundle_id", F.from_json("doc", scenarios.BUNDLE).alias("d")).select("bundle_id", "d.*")
+def documents(spark, *docs):
+    return bundles.parsed(spark.createDataFrame([(f"b{i}", d if d is None or isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)], "bundle_id string, doc string"))
 
 
-def test_bundles_are_repaired_and_validated(spark):
-    broken = bundle()
-    broken["scenarios"][0]["labels"]["label_anomaly"] = 1
-    broken["scenarios"][1]["scenario_id"] = broken["scenarios"][2]["scenario_id"]
-    broken["scenarios"][8]["physical_effects"][0]["variable"] = "temperature_c"
-    broken["scenarios"][9]["physical_effects"][0]["magnitude"] = 900.0
-    broken["scenarios"][10]["duration_s"] = 5
-    broken["scenarios"][11]["cyber_context"]["cia_dimension"] = "integrity with malware"
-    rows = scenarios.repaired(scenarios.exploded(read(spark, bundle(), broken)))
+def faults(spark, *docs):
+    out = {}
+    for r in bundles.violations(documents(spark, *docs)).collect():
+        out.setdefault(r.bundle_id, []).append((r.place, r.rule))
+    return {k: sorted(v, key=str) for k, v in out.items()}
+
+
+def changed(**fields):
+    out = bundle()
+    out.update(fields)
+    return {k: v for k, v in out.items() if v is not ...}
+
+
+def one(place, **fields):
+    """A bundle of which one scenario has other fields; dotted names reach into its first effect, context or labels."""
+    out = bundle()
+    s = out["scenarios"][place]
+    for name, value in fields.items():
+        where, _, field = name.rpartition("__")
+        inner = {"": s, "effect": (s["physical_effects"] or [None])[0], "context": s["cyber_context"], "labels": s["labels"]}[where]
+        if value is ...:
+            inner.pop(field)
+        else:
+            inner[field] = value
+    return out
+
+
+def test_bundles_are_repaired(spark):
+    rows = bundles.scenarios(documents(spark, bundle(), one(15, scenario_class=..., cyber_physical_type="cyber_physical", target_component="bess", scenario_name="n", safety_note="s", effect__magnitude=7)))
     first = rows.filter("bundle_id = 'b0' and place = 15").first()
     assert first.target_asset_id == "pv_001" and first.target_component == "pv" and first.physical_effects[0].effect_type == "clip" and first.physical_effects[0].magnitude == 20.0
-    assert {"alias_target_asset", "effect_type_normalised", "negative_magnitude", "generated_name"} <= set(first.repairs)
-    found = {(r.bundle_id, r.rule, r.severity) for r in scenarios.violations(rows).collect()}
-    assert not [x for x in found if x[0] == "b0"]
-    assert {x[1] for x in found} == {"normal_is_quiet", "unique_id", "forbidden_variable", "magnitude_bounds", "duration_range", "forbidden_word"}
-    assert ("b1", "magnitude_bounds", "WARN") in found
-    said = spark.createDataFrame([("b0", scenarios.COMPATIBILITY, None), ("b1", None, " " + scenarios.COMPATIBILITY), ("b2", "other", None)], "bundle_id string, project_compatibility_statement string, compatibility_statement string")
-    assert [r.bundle_id for r in scenarios.compatibility(said).collect()] == ["b2"]
+    assert first.repairs == ["alias_target_asset_id", "generated_scenario_name", "inferred_target_component", "default_safety_note", "effect_type_bounded_clip", "negative_magnitude"] and first.scenario_name == "zdl other case 015"
+    second = rows.filter("bundle_id = 'b1' and place = 15").first()
+    assert second.repairs == ["alias_scenario_class", "alias_target_asset_id", "effect_type_bounded_clip"] and (second.scenario_class, second.target_component, second.scenario_name) == ("cyber_physical", "bess", "n")
+    whole = {r.bundle_id: r for r in bundles.judged(documents(spark, bundle())).collect()}["b0"]
+    assert (whole.status, whole.errors, whole.warnings, whole.scenarios) == ("ACCEPTED", 0, 0, 16) and whole.repairs == 1 + 16 * 4 + 8 * 2
+    # what is accepted reads as a bundle that needs no repair
+    again = bundles.parsed(bundles.accepted(documents(spark, bundle(), "{")))
+    assert [(r.status, r.repairs) for r in bundles.judged(again).collect()] == [("ACCEPTED", 0)]
+
+
+def test_faults_of_scenarios(spark):
+    cases = [
+        (one(0, scenario_id="case 1"), [(0, "id_pattern")]), (one(0, scenario_id="zdl_grok_x_001"), [(0, "id_author")]), (one(0, scenario_id=7), [(0, "id_pattern"), (0, "type_scenario_id")]), (one(0, scenario_id=...), [(0, "id_pattern")]),
+        (one(0, scenario_family="x"), [(0, "family")]), (one(0, affected_asset="pv35"), [(0, "forbidden_asset")]), (one(0, affected_asset="pv_9"), [(0, "asset")]), (one(0, target_component="x"), [(0, "component")]),
+        (one(0, start_time_s=-5), [(0, "start_range")]), (one(0, start_time_s="12"), [(0, "start_range"), (0, "type_start_time_s")]), (one(0, duration_s=20), [(0, "duration_range")]), (one(0, duration_s=300.5), []), (one(0, start_time_s=604_700, duration_s=600), [(0, "end_range")]),
+        (one(0, labels__label_anomaly=1), [(0, "normal_labels")]), (one(4, labels__label_anomaly=...), [(4, "missing_label_anomaly")]), (one(4, labels=[]), [(4, "missing_label_anomaly"), (4, "missing_label_cyber_anomaly"), (4, "missing_label_physical_anomaly"), (4, "type_labels")]),
+        (one(4, physical_effects=[{"variable": "pv_p_kw", "magnitude": 1}]), [(4, "cyber_only_effects")]), (one(8, physical_effects=[]), [(8, "physical_without_effects")]), (one(8, physical_effects={}), [(8, "physical_without_effects"), (8, "type_physical_effects")]),
+        (one(8, physical_effects=["x"]), [(8, "type_effect"), (8, "variable")]), (one(8, effect__variable="temperature_c"), [(8, "forbidden_variable")]), (one(8, effect__variable="x"), [(8, "variable")]), (one(8, effect__variable="irradiance_pu", effect__magnitude=1), [(8, "irradiance_family")]),
+        (one(8, effect__magnitude=900), [(8, "magnitude_bounds")]), (one(8, context__event_level_only="true"), [(8, "event_level_only")]), (one(8, context__packet_level_protocol_compliance_claimed=True), [(8, "packet_claim")]),
+        (one(8, cyber_context=...), [(8, "event_level_only"), (8, "packet_claim")]), (one(8, context__cia_dimension="some MALWARE"), [(8, "forbidden_word")]),
+    ]
+    found = faults(spark, *[doc for doc, _ in cases])
+    for i, (_, want) in enumerate(cases):
+        assert found.get(f"b{i}", []) == sorted(want, key=str), i
+
+
+def test_faults_of_bundles(spark):
+    twice = bundle()
+    twice["scenarios"][1]["scenario_id"] = twice["scenarios"][2]["scenario_id"]
+    short, crowded, strange = bundle(), bundle(), bundle()
+    short["scenarios"].pop(0)
+    for s in crowded["scenarios"][:5]:
+        s["start_time_s"] = 100
+    strange["scenarios"][0] = "normal"
+    cases = [
+        (None, ["invalid_json"]), (json.dumps(bundle())[:-5], ["invalid_json"]), ("[1]", ["type_bundle"]), (changed(dataset_id=..., author_model=...), ["missing_author_model", "missing_dataset_id"]), (changed(compatibility_statement=...), ["missing_project_compatibility_statement"]),
+        (changed(scenarios={}), ["type_scenarios"]), (changed(scenarios=...), ["missing_scenarios"]), (changed(generation_purpose="x", compatibility_statement="y"), ["compatibility_statement", "generation_purpose"]),
+        (changed(author_model="someone"), ["author_model"]), (twice, ["unique_id"]), (short, ["count_normal", "scenario_count"]), (crowded, ["day_1"]), (changed(scenarios=[]), ["count_cyber_only", "count_cyber_physical", "count_normal", "count_physical_only", "scenario_count"]), (strange, ["count_normal"]),
+    ]
+    found = faults(spark, *[doc for doc, _ in cases])
+    for i, (_, want) in enumerate(cases):
+        assert [rule for place, rule in found[f"b{i}"] if place is None] == want, i
+    assert found["b13"] == [(0, "type_scenario"), (None, "count_normal")]
+    assert bundles.violations(documents(spark).filter("false")).count() == 0
+
+
+def test_counters(spark):
+    rows = {(r.bundle_id, r.dimension, r.value): r.n for r in bundles.counters(bundles.scenarios(documents(spark, bundle(), one(8, affected_asset="bess_001", start_time_s=-1)))).collect()}
+    assert rows["b0", "class", "normal"] == 4 and rows[None, "class", "normal"] == 8 and rows[None, "asset", "bess_001"] == 1 and rows[None, "variable", "pv_p_kw"] == 16
+    assert sum(n for (b, d, _), n in rows.items() if b is None and d == "day") == 31 and (None, "day", "?") not in rows
 
 
 def test_flags_and_packets(spark):
@@ -106,7 +167,7 @@ def test_flags_and_packets(spark):
     flags = scenarios.family_flags(F.col("scenario_family"), F.col("delivery"))
     status = scenarios.security_statuses(F.col("cia"), F.col("scenario_class"))
     row = df.select(*[c.alias(n) for n, c in (flags | status).items()], scenarios.cyber_state(F.col("scenario_class"), F.col("scenario_family"), F.lit("x")).alias("state"),
-                    scenarios.delay_seconds(F.col("scenario_family"), F.array().cast(f"array<{scenarios.EFFECT}>"), F.col("duration_s")).alias("delay")).first()
+                    scenarios.delay_seconds(F.col("scenario_family"), F.array().cast("array<struct<ramp_seconds:bigint>>"), F.col("duration_s")).alias("delay")).first()
     assert (row.command_delay_active_flag, row.blocked_flag, row.integrity_status, row.availability_status, row.state, row.delay) == (1, 0, "compromised", "degraded", "delayed_command_context", 100)
     times = spark.createDataFrame([("s1", 1000, 1005, 1010, 1100, 990, True)], "scenario_id string, sent_s long, apply_s long, effect_start_s long, effect_end_s long, onset_s long, bad boolean")
     bounds = scenarios.context_bounds(times)

@@ -1,8 +1,4 @@
-"""Scenario bundles: exploded, repaired, validated; and what a scenario says about each second.
-
-Every rule is a condition on exploded rows; rules on the same rows are judged in one pass. Bundles are
-documents, so a rule about a whole bundle is an aggregate by bundle, never a loop on the driver.
-"""
+"""What a scenario says about each second beside it: flags, states, context windows, evidence and packets."""
 
 from __future__ import annotations
 
@@ -11,112 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .effects import ALIASES, BOUNDS
-
-EFFECT = "struct<variable:string,effect_type:string,magnitude:double,unit:string,direction:string,shape:string,ramp_seconds:bigint,effect_application_note:string>"
-CONTEXT = "struct<event_level_only:boolean,packet_level_protocol_compliance_claimed:boolean,message_type:string,cyber_event_category:string,cia_dimension:string,protocol_profile:string,delivery_status:string>"
-SCENARIO = (
-    "struct<scenario_id:string,scenario_name:string,scenario_family:string,scenario_class:string,cyber_physical_type:string,start_time_s:bigint,duration_s:bigint,target_asset_id:string,affected_asset:string,target_component:string,"
-    f"physical_effects:array<{EFFECT}>,cyber_context:{CONTEXT},labels:struct<label_anomaly:int,label_cyber_anomaly:int,label_physical_anomaly:int>,expected_observable_signals:array<string>,validation_notes:string,safety_note:string>"
-)
-#: Schema of a bundle file, with the older names of three fields.
-BUNDLE = f"dataset_id string, author_model string, generation_purpose string, project_compatibility_statement string, compatibility_statement string, scenarios array<{SCENARIO}>"
-
-# Vocabularies of bundles.
-ASSETS = {"der_site_001": "der_site", "pv_001": "pv", "bess_001": "bess", "pcc_001": "pcc"}
-COMPONENTS = ("pv", "bess", "pcc", "measured_layer", "der_site")
-CLASSES = {"normal": 4, "cyber_only": 4, "physical_only": 6, "cyber_physical": 2}
-FAMILIES = (
-    "normal_control_variation", "soc_aware_bess_dispatch_anomaly", "pv_curtailment_mismatch", "stale_or_delayed_measurement", "command_delay", "command_suppression",
-    "oscillatory_bess_control", "pcc_voltage_deviation", "coordinated_pv_bess_response", "false_data_injection_context_only", "availability_degradation_context_only", "physical_irradiance_like_disturbance",
-)
-FORBIDDEN_WORDS = ("payload", "packet_bytes", "tcp_flags", "exploit", "malware", "credential", "password", "hash", "shellcode", "buffer_overflow", "sql_injection", "cve_id", "metasploit", "cobalt_strike")
-FORBIDDEN_VARIABLES = ("temperature_c", "pcc_freq_hz", "frequency_hz", "grid_frequency", "bus_id", "ieee123_bus")
-COMPATIBILITY = "I used only the final single-site dataset assets der_site_001, pv_001, bess_001, pcc_001; I did not use old multi-DER asset IDs or packet-level cyber fields."
-WEEK, DAY = 604_800, 86_400
-
-
-def exploded(bundles: DataFrame, bundle: str = "bundle_id") -> DataFrame:
-    """A row for each scenario, with its place in the bundle."""
-    return bundles.select(bundle, "author_model", F.posexplode("scenarios").alias("place", "s")).select(bundle, "author_model", "place", "s.*")
-
-
-def repaired(scenarios: DataFrame) -> DataFrame:
-    """Old names and missing fields filled, effect names and signs normalised; ``repairs`` lists what was done."""
-    def effect(e: Column) -> Column:
-        name = e["effect_type"]
-        for old, new in ALIASES.items():
-            name = F.when(e["effect_type"] == old, new).otherwise(name)
-        signed = (e["magnitude"] < 0) & e["direction"].isin("increase", "decrease")
-        return e.withField("effect_type", name).withField("magnitude", F.when(signed, -e["magnitude"]).otherwise(e["magnitude"]))
-
-    asset = F.coalesce("target_asset_id", "affected_asset")
-    component = F.lit("der_site")
-    for known, kind in ASSETS.items():
-        component = F.when(asset == known, kind).otherwise(component)
-    effects = F.coalesce("physical_effects", F.array().cast(f"array<{EFFECT}>"))
-    done = {
-        "alias_scenario_class": F.col("scenario_class").isNull() & F.col("cyber_physical_type").isNotNull(),
-        "alias_target_asset": F.col("target_asset_id").isNull() & F.col("affected_asset").isNotNull(),
-        "generated_name": F.col("scenario_name").isNull(), "inferred_component": F.col("target_component").isNull(), "default_safety_note": F.col("safety_note").isNull(),
-        "effect_type_normalised": F.exists(effects, lambda e: e["effect_type"].isin(*ALIASES)),
-        "negative_magnitude": F.exists(effects, lambda e: (e["magnitude"] < 0) & e["direction"].isin("increase", "decrease")),
-    }
-    log = F.array_compact(F.array(*[F.when(c, name) for name, c in done.items()]))
-    return scenarios.withColumn("repairs", log).withColumns({
-        "physical_effects": F.transform(effects, effect), "scenario_class": F.coalesce("scenario_class", "cyber_physical_type"), "target_asset_id": asset,
-        "scenario_name": F.coalesce("scenario_name", F.replace("scenario_id", F.lit("_"), F.lit(" "))), "target_component": F.coalesce("target_component", component),
-        "safety_note": F.coalesce("safety_note", F.lit("Synthetic scenario for defensive evaluation; no claim about real telemetry.")),
-    }).drop("cyber_physical_type", "affected_asset")
-
-
-def _bad(rows: DataFrame, rules: list[tuple], bundle: str) -> DataFrame:
-    """Rules (name, condition, detail[, severity]) that rows break, all in one pass over them."""
-    each = [F.when(F.coalesce(r[1], F.lit(True)), F.struct(F.lit(r[0]).alias("rule"), F.lit(r[3] if len(r) > 3 else "ERROR").alias("severity"), F.coalesce(r[2].cast("string"), F.lit("missing")).alias("detail"))) for r in rules]
-    return rows.select(bundle, "scenario_id", F.inline(F.array_compact(F.array(*each))))
-
-
-def violations(scenarios: DataFrame, bundle: str = "bundle_id", classes: dict[str, int] | None = None, per_day: int = 4) -> DataFrame:
-    """(bundle, scenario_id, rule, severity, detail) of repaired scenarios."""
-    classes = CLASSES if classes is None else classes
-    c = F.col
-    labels = [c(f"labels.{x}") for x in ("label_anomaly", "label_cyber_anomaly", "label_physical_anomaly")]
-    end = c("start_time_s") + c("duration_s") - 1
-    n = F.size("physical_effects")
-    text = F.lower(F.to_json("cyber_context"))
-    rules = [
-        ("id_pattern", ~c("scenario_id").rlike(r"^zdl_(chatgpt|claude|gemini|grok|other)_[a-z0-9_]+_\d{3}$"), c("scenario_id")),
-        ("id_author", F.regexp_extract("scenario_id", r"^zdl_([a-z]+)_", 1) != c("author_model"), c("author_model")),
-        ("class", ~c("scenario_class").isin(*classes), c("scenario_class")), ("family", ~c("scenario_family").isin(*FAMILIES), c("scenario_family")),
-        ("asset", ~c("target_asset_id").isin(*ASSETS), c("target_asset_id")), ("component", ~c("target_component").isin(*COMPONENTS), c("target_component")),
-        ("start_range", ~c("start_time_s").between(0, WEEK - 1), c("start_time_s")), ("duration_range", ~c("duration_s").between(60, 1800), c("duration_s")), ("end_range", end >= WEEK, end),
-        ("labels_present", labels[0].isNull() | labels[1].isNull() | labels[2].isNull(), F.lit("label")),
-        ("normal_is_quiet", (c("scenario_class") == "normal") & ((n > 0) | (labels[0] + labels[1] + labels[2] > 0)), n),
-        ("cyber_only_has_no_effect", (c("scenario_class") == "cyber_only") & (n > 0), n), ("physical_has_effect", c("scenario_class").isin("physical_only", "cyber_physical") & (n == 0), n),
-        ("event_level_only", ~c("cyber_context.event_level_only"), F.lit("event_level_only")), ("no_packet_claim", c("cyber_context.packet_level_protocol_compliance_claimed"), F.lit("claimed")),
-        ("forbidden_word", reduce(lambda a, w: a | text.contains(w), FORBIDDEN_WORDS[1:], text.contains(FORBIDDEN_WORDS[0])), F.lit("cyber_context")),
-    ]
-    each = scenarios.select(bundle, "scenario_id", "scenario_family", F.explode("physical_effects").alias("e"))
-    span = F.lit(None).cast("double")
-    for variable, (low, high) in BOUNDS.items():
-        span = F.when(c("e.variable") == variable, float(high - low)).otherwise(span)
-    of_effects = [
-        ("variable", ~c("e.variable").isin(*BOUNDS, *FORBIDDEN_VARIABLES), c("e.variable")), ("forbidden_variable", c("e.variable").isin(*FORBIDDEN_VARIABLES), c("e.variable")),
-        ("irradiance_family", (c("e.variable") == "irradiance_pu") & (c("scenario_family") != "physical_irradiance_like_disturbance"), c("scenario_family")),
-        ("magnitude_bounds", span.isNotNull() & F.coalesce(F.abs("e.magnitude") > span, F.lit(True)), c("e.magnitude"), "WARN"),
-    ]
-    twice = scenarios.groupBy(bundle, "scenario_id").count().filter("count > 1")
-    counts = scenarios.groupBy(bundle).agg(*[F.count_if(c("scenario_class") == k).alias(k) for k in classes], *[F.count_if(F.floor(c("start_time_s") / DAY) == d).alias(f"day{d}") for d in range(7)])
-    counts = counts.select("*", F.lit(None).cast("string").alias("scenario_id"))
-    of_bundles = [(f"count_{k}", c(k) != need, c(k)) for k, need in classes.items()] + [(f"covers_day{d}", ~c(f"day{d}").between(1, per_day), c(f"day{d}")) for d in range(7)]
-    found = [(scenarios, rules), (each, of_effects), (twice, [("unique_id", F.lit(True), c("count"))]), (counts, of_bundles)]
-    return reduce(DataFrame.unionByName, [_bad(rows, checks, bundle) for rows, checks in found])
-
-
-def compatibility(bundles: DataFrame, bundle: str = "bundle_id") -> DataFrame:
-    """Bundles without the statement of compatibility, under either of its names, as violations."""
-    said = F.coalesce("project_compatibility_statement", "compatibility_statement")
-    return _bad(bundles.withColumn("scenario_id", F.lit(None).cast("string")), [("compatibility_statement", F.coalesce(F.trim(said), F.lit("")) != COMPATIBILITY, said)], bundle)
+WEEK = 604_800
 
 
 def family_flags(family: Column, delivery: Column) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import explain, lifecycle, quality, scenarios, telemetry
+from ..operators import bundles, explain, lifecycle, quality, scenarios, telemetry
 from ..sources.readers import table
 from .timeseries import _E, _events
 
@@ -91,7 +91,7 @@ def physics_suite(spark, d):
 
 
 _KINDS = ("normal", "physical_only", "cyber_only", "cyber_physical")
-_FAMILIES = scenarios.FAMILIES
+_FAMILIES = bundles.FAMILIES
 _SC = f"""sc AS (SELECT o_orderkey AS scenario_id, {list(_KINDS)}[o_orderkey % 4 + 1] AS scenario_class, ['normal_control_variation', 'soc_aware_bess_dispatch_anomaly', 'pv_curtailment_mismatch', 'stale_or_delayed_measurement', 'command_delay', 'command_suppression',
 'oscillatory_bess_control', 'pcc_voltage_deviation', 'coordinated_pv_bess_response', 'false_data_injection_context_only', 'availability_degradation_context_only', 'physical_irradiance_like_disturbance'][o_orderkey // 4 % 12 + 1] AS scenario_family,
 (o_orderkey * 37 % 604000)::BIGINT AS start_time_s, (60 + o_orderkey % 1741)::BIGINT AS duration_s, (o_orderkey % 90)::BIGINT AS ramp_s FROM orders),
