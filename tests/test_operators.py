@@ -354,3 +354,27 @@ def test_placements_over_buckets(spark):
             want.add(i)
         latest = e if latest is None else max(latest, e)
     assert got == want
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 5000])
+def test_covering_counts(spark, bucket):
+    rng = random.Random(bucket)
+    spans = [(a := rng.randrange(0, 200), a + rng.randrange(-2, 60)) for _ in range(60)]
+    points = [(rng.randrange(-20, 280), i) for i in range(150)] + [(None, 999)]
+    frame, held = spark.createDataFrame(points, "t long, i int"), spark.createDataFrame(spans, "s long, e long")
+    for closed in (False, True):
+        got = {r.i: r.covering for r in intervals.covering(frame, "t", held, Interval("s", "e", closed), bucket).collect()}
+        assert got == {i: sum(t is not None and s <= t and (t <= e if closed else t < e) for s, e in spans) for t, i in points}
+    assert [r.covering for r in intervals.covering(frame.limit(2), "t", held.limit(0), Interval("s", "e")).collect()] == [0, 0]
+
+
+def test_placements_do_not_overlap(spark):
+    requests = spark.createDataFrame([(i, 100 + i % 7, "x") for i in range(120)] + [(500, 10**9, "long"), (501, None, "null"), (502, 0, "none")], "id long, n long, start_s_old string")
+    made = [intervals.placed(requests.repartition(k), "id", "n", 40_000, 600, 30, 900).collect() for k in (1, 5)]
+    at = [{r.id: r.start_s for r in rows} for rows in made]
+    assert at[0] == at[1] and [at[0][k] for k in (500, 501, 502)] == [None] * 3
+    spans = sorted((s, s + 100 + i % 7) for i, s in at[0].items() if s is not None)
+    assert len(spans) == 120 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False)) and spans[0][0] >= 600 and spans[-1][1] <= 40_000 - 600
+    # an axis without room for all keeps what fits, still without overlaps
+    few = [r.start_s for r in intervals.placed(requests, "id", "n", 4000, 600, 12).collect() if r.start_s is not None]
+    assert 5 < len(few) < 27

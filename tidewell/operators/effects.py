@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.sinks import scratch
-from .intervals import Interval, as_of, inside
+from .intervals import Interval, as_of, inside, settled
 
 #: Other names of the effect types.
 ALIASES = {"stale_value_hold": "hold_stale", "bounded_clip": "clip", "bounded_oscillation": "smooth_oscillation"}
@@ -56,12 +55,6 @@ def change(value: Column, e: Column, t: Column) -> Column:
     )
 
 
-def _settled(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def levels(effects: DataFrame, bucket: int) -> tuple[DataFrame, int]:
     """``effects`` with the level of those that read another second (else NULL), and the highest level.
 
@@ -73,12 +66,12 @@ def levels(effects: DataFrame, bucket: int) -> tuple[DataFrame, int]:
     spans = readers.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_s") / bucket), F.floor((F.col("end_s") - 1) / bucket))))
     one, two = (spans.select("variable", "_bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("effect_order", "start_s", "end_s")]) for x in ("a", "b"))
     meet = (F.col("effect_order_a") < F.col("effect_order_b")) & (F.col("start_s_a") < F.col("end_s_b")) & (F.col("start_s_b") < F.col("end_s_a"))
-    pairs = _settled(one.join(two, ["variable", "_bucket"]).filter(meet).select("variable", "effect_order_a", "effect_order_b").distinct(), "pairs")
-    level = _settled(readers.select("variable", "effect_order", F.lit(1).alias("level")), "levels")
+    pairs = settled(one.join(two, ["variable", "_bucket"]).filter(meet).select("variable", "effect_order_a", "effect_order_b").distinct(), "pairs")
+    level = settled(readers.select("variable", "effect_order", F.lit(1).alias("level")), "levels")
     while True:
         below = level.select("variable", F.col("effect_order").alias("effect_order_a"), F.col("level").alias("below"))
         over = pairs.join(below, ["variable", "effect_order_a"]).groupBy("variable", F.col("effect_order_b").alias("effect_order")).agg((F.max("below") + 1).alias("over"))
-        raised = _settled(level.join(over, ["variable", "effect_order"], "left").select("variable", "effect_order", F.coalesce("over", F.lit(1)).alias("level"), (F.coalesce("over", F.lit(1)) != F.col("level")).alias("moved")), "levels")
+        raised = settled(level.join(over, ["variable", "effect_order"], "left").select("variable", "effect_order", F.coalesce("over", F.lit(1)).alias("level"), (F.coalesce("over", F.lit(1)) != F.col("level")).alias("moved")), "levels")
         level = raised.drop("moved")
         if raised.filter("moved").isEmpty():
             break
@@ -114,7 +107,7 @@ def apply_effects(signals: DataFrame, effects: DataFrame, bucket: int = 3600, bo
     for level in range(1, top + 1):
         rows = rows.withColumn("_reader", F.get(F.filter("_effects", lambda e: F.coalesce(e["level"] == level, F.lit(False))), F.lit(0)))
         before = F.filter("_effects", lambda e: after(e) & (e["effect_order"] < F.col("_reader.effect_order")))
-        rows = _settled(rows.withColumn("_now", F.when(F.col("_reader").isNotNull() & F.col("_now").isNotNull(), fold(before)).otherwise(F.col("_now"))), "effects")
+        rows = settled(rows.withColumn("_now", F.when(F.col("_reader").isNotNull() & F.col("_now").isNotNull(), fold(before)).otherwise(F.col("_now"))), "effects")
         rows = _read(rows, bucket)
         read = F.when(F.col("_reader.type") == "hold_stale", F.col("_held")).otherwise(F.coalesce("_shifted", "_now"))
         rows = rows.withColumn("_now", F.when(F.col("_reader").isNotNull(), bounded(read)).otherwise(F.col("_now"))).withColumn("_done", F.coalesce("_reader.effect_order", "_done"))

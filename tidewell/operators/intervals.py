@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import scratch
+
 
 @dataclass(frozen=True)
 class Interval:
@@ -71,6 +73,73 @@ def context_windows(anchors: DataFrame, t: str, before: int, after: int, last: i
     return anchors.withColumns({"window_start_s": F.greatest(F.lit(0), F.col(t) - before), "window_end_s": F.least(F.lit(last), F.col(t) + after)})
 
 
+def covering(points: DataFrame, t: str, intervals: DataFrame, interval: Interval, bucket: int = 3600, name: str = "covering") -> DataFrame:
+    """``points`` with how many intervals hold their ``t``, by a sweep: +1 where one starts, -1 where it ends.
+
+    No interval is expanded and no pair of point and interval is made: the steps are summed within buckets of
+    time, and a table of one row a bucket adds what earlier buckets leave. A null ``t`` is in none, empty intervals hold nothing.
+    """
+    steps = intervals.filter(F.col(interval.start) <= interval.last)
+    steps = steps.select(F.explode(F.array(F.struct(F.col(interval.start).alias("t"), F.lit(1).alias("step")), F.struct((interval.last + 1).alias("t"), F.lit(-1).alias("step")))).alias("s"))
+    steps = steps.groupBy(F.col("s.t").cast("long").alias("_t")).agg(F.sum("s.step").alias("_step"))
+    marks = points.select(F.col(t).cast("long").alias("_t"), F.struct(*points.columns).alias("_point")).unionByName(steps, allowMissingColumns=True)
+    marks = marks.withColumn("_bucket", F.floor(F.col("_t") / bucket))
+    # steps at a time come before its points: an end is a step one second after the last
+    here = F.sum("_step").over(Window.partitionBy("_bucket").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
+    ends = marks.groupBy("_bucket").agg(F.sum("_step").alias("_sum"))
+    before = F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col("_bucket").alias("_in"), before.alias("_before"))
+    found = marks.withColumn("_here", here).filter("_point is not null").join(ends, F.col("_bucket").eqNullSafe(F.col("_in")))
+    held = F.coalesce("_here", F.lit(0)) + F.coalesce("_before", F.lit(0))
+    return found.select("_point.*", F.when(F.col("_t").isNull(), 0).otherwise(held).cast("long").alias(name))
+
+
+def placed(requests: DataFrame, order: str, duration: str, seconds: int, margin: int = 600, tries: int = 30, bucket: int = 3600, seed: int = 0) -> DataFrame:
+    """``requests`` with a random ``start_s`` (NULL where none was found), no two of them overlapping.
+
+    In each round all that are left propose a start: a hash of their ``order`` (unique) and the round. A
+    proposal that overlaps a placed interval waits; of proposals that overlap each other, one that has
+    no overlapping proposal before it in ``order`` is placed. Overlaps meet by an equi-join on buckets of time. The
+    result depends on the hashes alone, not on partitions, and rounds end when all are placed or ``tries`` are used up.
+    """
+    keep = [F.col(c) for c in requests.columns]
+    room = F.lit(seconds - 2 * margin) - F.col(duration)
+    fits = F.col(duration).isNotNull() & (F.col(duration) > 0) & (room > 0)
+    fitting = requests.filter(F.coalesce(fits, F.lit(False)))
+    done = settled(fitting.limit(0).select(*keep, F.lit(0).cast("long").alias("start_s")), "placed")
+    for turn in range(tries):
+        number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(turn)), F.col(order).cast("string"))), 1, 12), 16, 10).cast("long")
+        left = fitting.join(done.select(order), order, "left_anti")
+        proposed = settled(left.select(*keep, (number % room + margin).cast("long").alias("start_s")), "proposed")
+        if proposed.isEmpty():
+            break
+        clash = _overlaps(_touched(proposed, duration, bucket), _touched(done, duration, bucket), order, duration).select(order).distinct()
+        free = proposed.join(clash, order, "left_anti")
+        early = _overlaps(_touched(free, duration, bucket), _touched(free, duration, bucket), order, duration, before=True).select(order).distinct()
+        done = settled(done.unionByName(free.join(early, order, "left_anti")), "placed")
+    return done.unionByName(requests.join(done.select(order), order, "left_anti").select(*keep, F.lit(None).cast("long").alias("start_s")))
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, which cuts its lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _touched(rows: DataFrame, duration: str, bucket: int) -> DataFrame:
+    last = F.col("start_s") + F.col(duration) - 1
+    return rows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_s") / bucket), F.floor(last / bucket))))
+
+
+def _overlaps(rows: DataFrame, others: DataFrame, order: str, duration: str, before: bool = False) -> DataFrame:
+    """Rows that overlap one of the others (``before``: one of a smaller order), as often as they do."""
+    other = others.select("_bucket", F.col(order).alias("_order"), F.col("start_s").alias("_start"), (F.col("start_s") + F.col(duration)).alias("_end"))
+    meet = (F.col("start_s") < F.col("_end")) & (F.col("_start") < F.col("start_s") + F.col(duration))
+    met = rows.join(other, "_bucket").filter(meet)
+    return met.filter(F.col("_order") < F.col(order)) if before else met
+
+
 def expand(intervals: DataFrame, interval: Interval, step: int = 1, name: str = "time_s") -> DataFrame:
     """A row for each ``step`` of each interval."""
     low, high = F.ceil(F.col(interval.start) / step), F.floor(interval.last / step)

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import Interval, covering
+
 
 @dataclass(frozen=True)
 class Check:
@@ -140,11 +142,6 @@ def gates(results: DataFrame, by: list[str], only_warn: list[str]) -> DataFrame:
     return results.groupBy(*by).agg(F.when(F.bool_or(failed & ~soft), "FAIL").otherwise("PASS").alias("overall"), F.count_if(failed & soft).alias("figure_warnings"))
 
 
-def leakage(features: DataFrame, denied: DataFrame) -> DataFrame:
-    """Feature names that contain a denied word: both tables are lists of names, known to be small."""
-    return features.join(denied, F.col("feature").contains(F.col("word")))
-
-
 def causality_suite(scenarios: DataFrame, log: DataFrame, key: str, seconds: int) -> DataFrame:
     """(check_name, violations, status): scenarios against their labels, times and the rows of their lifecycle log."""
     c = F.col
@@ -154,3 +151,47 @@ def causality_suite(scenarios: DataFrame, log: DataFrame, key: str, seconds: int
     ]
     lost = scenarios.join(log.select(key).distinct(), key, "left_anti")
     return run_checks(scenarios, checks).unionByName(run_checks(lost, [Check("has_rows_for_each_scenario", F.count("*"))]))
+
+
+def context_suite(ctx: DataFrame) -> DataFrame:
+    """(check_name, violations, status) of context windows: columns that must be there, and what flags may not say; checks on absent columns are left out."""
+    c, one = F.col, F.lit(1).cast("long")
+    required = ["cyber_active_flag", "command_active_flag", "physical_effect_active_flag", "attack_active_flag", "generation_method", "protocol_claim_level"]
+    of = lambda kind, flag: F.avg(F.when(c("final_event_class") == kind, (c(flag) == 1).cast("double")))
+    early = (c("anomaly_type") == "delayed_pv_limit") & (c("physical_effect_active_flag") == 1) & ~F.coalesce(c("relative_time_to_apply_s") >= -5, F.lit(False))
+    wanted = [
+        (("attack_active_flag",), Check("attack_flag_not_all_rows", F.when(F.avg("attack_active_flag") >= 0.5, one), "WARN")), (("final_event_class", "physical_effect_active_flag"), Check("cyber_only_no_physical_flag", F.when(of("cyber_only", "physical_effect_active_flag") > 0, one), "WARN")),
+        (("final_event_class", "cyber_active_flag"), Check("physical_only_no_malicious_cyber_flag", F.when(of("physical_only", "cyber_active_flag") >= 0.2, one), "WARN")), (("anomaly_type", "relative_time_to_apply_s", "physical_effect_active_flag"), Check("delayed_physical_after_apply_time", F.count_if(early))),
+        *[((x,), Check(f"ctx_{x}_no_null", F.count_if(c(x).isNull()), "WARN")) for x in ("generation_method", "protocol_claim_level")], ((), Check("context_windows_not_empty", F.when(F.count("*") == 0, one))),
+    ]
+    return run_checks(ctx, [*has_columns(ctx, required), *[check for columns, check in wanted if all(x in ctx.columns for x in columns)]])
+
+
+def alignment_suite(aligned: DataFrame, log: DataFrame, manifest: DataFrame, seconds: int, scenarios: int, authors: int, old_assets: list[str], bucket: int = 3600) -> DataFrame:
+    """(check_name, violations, status) of a spine aligned with scenarios, from both sides.
+
+    ``aligned`` (time_s, zero_day_active_flag, scenario_id, scenario_class, author_model, target_asset_id, cyber_anomaly_active,
+    physical_effect_active, event_level_only, packet_level_protocol_compliance_claimed) is read in one pass; that
+    its flags are those of the ``manifest``'s intervals (scenario_id, start_time_s, end_time_s, closed) is found by a sweep, which
+    expands no interval. ``log`` and ``manifest`` meet by their ids.
+    """
+    c = F.col
+    active = c("zero_day_active_flag") == 1
+    single = active & (c("scenario_id") != "MULTIPLE")
+    off = lambda kind, flag, value: F.count_if(single & (c("scenario_class") == kind) & ~F.coalesce(c(flag) == value, F.lit(False)))
+    checks = [
+        row_count(seconds), Check("time_s_min", F.abs(F.min("time_s"))), Check("time_s_max", F.abs(F.max("time_s") - (seconds - 1))), no_duplicates("time_s"),
+        Check("authors_represented", F.greatest(F.lit(0).cast("long"), F.lit(authors) - F.count_distinct(F.when(active, c("author_model"))))), Check("old_assets", F.count_if(c("target_asset_id").isin(old_assets))),
+        Check("event_level_only", F.count_if(c("event_level_only") == 0)), Check("packet_claims", F.count_if(c("packet_level_protocol_compliance_claimed") == 1)),
+        Check("normal_without_cyber", off("normal", "cyber_anomaly_active", 0)), Check("normal_without_physical", off("normal", "physical_effect_active", 0)), Check("cyber_only_without_physical", off("cyber_only", "physical_effect_active", 0)),
+        Check("physical_only_without_cyber", off("physical_only", "cyber_anomaly_active", 0)), Check("cyber_physical_with_cyber", off("cyber_physical", "cyber_anomaly_active", 1)), Check("cyber_physical_with_physical", off("cyber_physical", "physical_effect_active", 1)),
+    ]
+    swept = covering(aligned, "time_s", manifest, Interval("start_time_s", "end_time_s", True), bucket)
+    sides = [Check("active_where_covered", F.count_if((c("covering") > 0) != F.coalesce(active, F.lit(False)))), Check("multiple_where_overlapping", F.count_if((c("covering") > 1) != F.coalesce(c("scenario_id") == "MULTIPLE", F.lit(False))))]
+    ids = manifest.select("scenario_id").distinct()
+    strange = log.select("scenario_id").distinct().join(ids, "scenario_id", "left_anti")
+    seen = aligned.filter(active & (c("scenario_id") != "MULTIPLE")).select("scenario_id").distinct()
+    unseen = ids.join(seen, "scenario_id", "left_anti")
+    found = [run_checks(aligned, checks), run_checks(swept, sides), run_checks(strange, [Check("log_ids_in_manifest", F.count("*"))]), run_checks(ids, [Check("manifest_scenarios", F.abs(F.count("*") - scenarios), "WARN")]),
+             run_checks(unseen, [Check("scenarios_represented", F.count("*"), "WARN")])]
+    return reduce(DataFrame.unionByName, found)

@@ -255,3 +255,98 @@ def viewer_slices(spark, d):
     end, share = F.col("start_time_s") + F.col("duration_s") - 1, F.col("ramp_s") / 90.0
     low, high = explain.padded(F.col("start_time_s"), end, F.col("duration_s"))
     return rows.select("scenario_id", low.alias("slice_start_s"), high.alias("slice_end_s"), *[x.alias(n) for n, x in explain.scorecard(share).items()])
+
+
+#: Scenarios of a week, one a supplier, and the events of the log on the week's axis, each with the scenarios that hold its second.
+_ALIGNED = f"""{_E}, mf AS (SELECT s_suppkey::BIGINT AS id, s_suppkey::BIGINT * 6047 % 600000 AS s, s_suppkey::BIGINT * 6047 % 600000 + 599 + s_suppkey * 37 % 1200 AS x, {list(_KINDS)}[s_suppkey % 4 + 1] AS kind, 'author' || s_suppkey % 5 AS author, CASE WHEN s_suppkey % 23 = 0 THEN 'pv35' ELSE 'pv_001' END AS asset FROM supplier),
+h AS (SELECT event_id, t % 604800 AS t, count(id) AS n, min(id) AS id FROM e LEFT JOIN mf ON t % 604800 BETWEEN s AND x GROUP BY 1, 2),
+al AS (SELECT h.*, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN h.id::VARCHAR ELSE 'MULTIPLE' END AS sid, (CASE WHEN event_id % 41 = 0 THEN 1 - (n > 0)::INT ELSE (n > 0)::INT END) AS active, kind, author, asset, (coalesce(kind, '') IN ('cyber_only', 'cyber_physical') AND event_id % 7 <> 0)::INT AS ca,
+(coalesce(kind, '') IN ('physical_only', 'cyber_physical') OR event_id % 13 = 0)::INT AS pa, event_id % 101 <> 0 AS elo, event_id % 103 = 0 AS plc FROM h LEFT JOIN mf ON mf.id = h.id)"""
+_ALIGNED_CHECKS = [
+    ("row_count", "abs(count(*) - 604800)", "FAIL"), ("time_s_min", "abs(min(t))", "FAIL"), ("time_s_max", "abs(max(t) - 604799)", "FAIL"), ("unique_time_s", "count(*) - count(DISTINCT t)", "FAIL"), ("authors_represented", "greatest(0, 6 - count(DISTINCT author) FILTER (active = 1))", "FAIL"),
+    ("old_assets", "count(*) FILTER (asset = 'pv35')", "FAIL"), ("event_level_only", "count(*) FILTER (NOT elo)", "FAIL"), ("packet_claims", "count(*) FILTER (plc)", "FAIL"), ("normal_without_cyber", "count(*) FILTER (active = 1 AND sid <> 'MULTIPLE' AND kind = 'normal' AND ca <> 0)", "FAIL"),
+    *[(f"{name}", f"count(*) FILTER (active = 1 AND sid <> 'MULTIPLE' AND kind = '{kind}' AND {flag} <> {value})", "FAIL") for name, kind, flag, value in (("normal_without_physical", "normal", "pa", 0), ("cyber_only_without_physical", "cyber_only", "pa", 0), ("physical_only_without_cyber", "physical_only", "ca", 0), ("cyber_physical_with_cyber", "cyber_physical", "ca", 1), ("cyber_physical_with_physical", "cyber_physical", "pa", 1))],
+    ("active_where_covered", "count(*) FILTER ((n > 0) <> (active = 1))", "FAIL"), ("multiple_where_overlapping", "count(*) FILTER ((n > 1) <> (sid = 'MULTIPLE'))", "FAIL"),
+]
+
+
+@_query(f"""WITH {_ALIGNED}, r(check_name, violations, severity) AS (
+{' UNION ALL '.join(f"SELECT '{name}', ({violations})::BIGINT, '{severity}' FROM al" for name, violations, severity in _ALIGNED_CHECKS)}
+UNION ALL SELECT 'log_ids_in_manifest', count(DISTINCT user_id)::BIGINT, 'FAIL' FROM e WHERE user_id NOT IN (SELECT id FROM mf) UNION ALL SELECT 'manifest_scenarios', abs(count(DISTINCT id) - 64)::BIGINT, 'WARN' FROM mf
+UNION ALL SELECT 'scenarios_represented', count(*)::BIGINT, 'WARN' FROM mf WHERE id::VARCHAR NOT IN (SELECT sid FROM al WHERE active = 1))
+SELECT check_name, violations, CASE WHEN violations = 0 THEN 'PASS' ELSE severity END AS status FROM r""")
+def alignment_suite(spark, d):
+    """A log aligned with scenarios, with some flags wrong, held against both its sides."""
+    from ..operators.intervals import Interval, inside
+
+    k = F.col("s_suppkey").cast("long")
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    manifest = table(spark, d, "supplier").select(k.cast("string").alias("scenario_id"), k.alias("id"), (k * 6047 % 600_000).alias("start_time_s"), (k * 6047 % 600_000 + 599 + k * 37 % 1200).alias("end_time_s"), pick(_KINDS, k % 4).alias("scenario_class"),
+                                                  F.concat(F.lit("author"), (k % 5).cast("string")).alias("author_model"), F.when(k % 23 == 0, "pv35").otherwise("pv_001").alias("target_asset_id"))
+    events = _events(spark, d).select("event_id", (F.col("t") % 604_800).alias("time_s"))
+    held = inside(events, "time_s", manifest, Interval("start_time_s", "end_time_s", True), 3600).groupBy("event_id").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    rows = events.join(held, "event_id", "left").join(manifest.select("id", "scenario_class", "author_model", "target_asset_id"), "id", "left").fillna(0, ["n"])
+    e, n, kind = F.col("event_id"), F.col("n"), F.coalesce("scenario_class", F.lit(""))
+    aligned = rows.select(
+        "time_s", F.when(e % 41 == 0, 1 - (n > 0).cast("int")).otherwise((n > 0).cast("int")).alias("zero_day_active_flag"), F.when(n == 0, "").when(n == 1, F.col("id").cast("string")).otherwise("MULTIPLE").alias("scenario_id"), "scenario_class", "author_model", "target_asset_id",
+        (kind.isin("cyber_only", "cyber_physical") & (e % 7 != 0)).cast("int").alias("cyber_anomaly_active"), (kind.isin("physical_only", "cyber_physical") | (e % 13 == 0)).cast("int").alias("physical_effect_active"),
+        (e % 101 != 0).cast("int").alias("event_level_only"), (e % 103 == 0).cast("int").alias("packet_level_protocol_compliance_claimed"),
+    )
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("scenario_id"))
+    return quality.alignment_suite(aligned, log, manifest, 604_800, 64, 6, ["pv35", "bess48"])
+
+
+@_query(f"""WITH {_ALIGNED}, c AS (SELECT *, t - s AS since, event_id % 211 = 0 AS bare FROM al LEFT JOIN (SELECT id, s FROM mf) m USING (id)), r(check_name, violations, severity) AS (
+SELECT 'has_cyber_active_flag', 0::BIGINT, 'FAIL' UNION ALL SELECT 'has_command_active_flag', 1, 'FAIL' UNION ALL SELECT 'has_physical_effect_active_flag', 0, 'FAIL' UNION ALL SELECT 'has_attack_active_flag', 0, 'FAIL' UNION ALL SELECT 'has_generation_method', 0, 'FAIL' UNION ALL SELECT 'has_protocol_claim_level', 0, 'FAIL'
+UNION ALL SELECT 'attack_flag_not_all_rows', (avg(active) >= 0.5)::BIGINT, 'WARN' FROM c UNION ALL SELECT 'cyber_only_no_physical_flag', (avg(pa) FILTER (kind = 'cyber_only') > 0)::BIGINT, 'WARN' FROM c UNION ALL SELECT 'physical_only_no_malicious_cyber_flag', (avg(ca) FILTER (kind = 'physical_only') >= 0.2)::BIGINT, 'WARN' FROM c
+UNION ALL SELECT 'delayed_physical_after_apply_time', count(*) FILTER (kind = 'cyber_physical' AND pa = 1 AND since - 300 < -5), 'FAIL' FROM c UNION ALL SELECT 'ctx_generation_method_no_null', count(*) FILTER (bare), 'WARN' FROM c UNION ALL SELECT 'ctx_protocol_claim_level_no_null', count(*) FILTER (kind IS NULL), 'WARN' FROM c
+UNION ALL SELECT 'context_windows_not_empty', (count(*) = 0)::BIGINT, 'FAIL' FROM c) SELECT check_name, coalesce(violations, 0) AS violations, CASE WHEN coalesce(violations, 0) = 0 THEN 'PASS' ELSE severity END AS status FROM r""")
+def context_causality(spark, d):
+    """Context windows around scenarios: what their flags may not say, one column of them missing."""
+    from ..operators.intervals import Interval, inside
+
+    k, e = F.col("s_suppkey").cast("long"), F.col("event_id")
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    spans = table(spark, d, "supplier").select(k.alias("id"), (k * 6047 % 600_000).alias("s"), (k * 6047 % 600_000 + 599 + k * 37 % 1200).alias("x"), pick(_KINDS, k % 4).alias("final_event_class"))
+    events = _events(spark, d).select("event_id", (F.col("t") % 604_800).alias("time_s"))
+    held = inside(events, "time_s", spans, Interval("s", "x", True), 3600).groupBy("event_id").agg(F.min("id").alias("id"))
+    rows = events.join(held, "event_id", "left").join(spans, "id", "left")
+    kind = F.coalesce("final_event_class", F.lit(""))
+    active = F.col("id").isNotNull().cast("int")
+    ctx = rows.select(
+        "final_event_class", (kind.isin("cyber_only", "cyber_physical") & (e % 7 != 0)).cast("int").alias("cyber_active_flag"), (kind.isin("physical_only", "cyber_physical") | (e % 13 == 0)).cast("int").alias("physical_effect_active_flag"),
+        F.when(e % 41 == 0, 1 - active).otherwise(active).alias("attack_active_flag"), F.when(e % 211 != 0, "surrogate").alias("generation_method"), F.when(F.col("id").isNotNull(), "event_level").alias("protocol_claim_level"),
+        F.when(kind == "cyber_physical", "delayed_pv_limit").otherwise("none").alias("anomaly_type"), (F.col("time_s") - F.col("s") - 300).alias("relative_time_to_apply_s"),
+    )
+    return quality.context_suite(ctx)
+
+
+@_query(f"""WITH {_E}, i AS (SELECT o_orderkey % 2592000 AS x, o_orderkey * 173 % 2592000 AS s, o_orderkey * 173 % 2592000 + o_orderkey % 3600 AS e FROM (SELECT o_orderkey::BIGINT AS o_orderkey FROM orders)) SELECT event_id, t, count(s) AS covering FROM e LEFT JOIN i ON t >= s AND t < i.e GROUP BY 1, 2""")
+def covered_seconds(spark, d):
+    """How many of the orders' intervals hold each event, without a row a second or a pair."""
+    from ..operators.intervals import Interval, covering
+
+    k = F.col("o_orderkey").cast("long")
+    spans = table(spark, d, "orders").select((k * 173 % 2_592_000).alias("s"), (k * 173 % 2_592_000 + k % 3600).alias("e"))
+    return covering(_events(spark, d).select("event_id", "t"), "t", spans, Interval("s", "e"))
+
+
+#: Tries of a request; the axis has 20,000 seconds a customer.
+_ROUNDS = 8
+
+
+@_query(f"""WITH RECURSIVE q AS (SELECT c_custkey::BIGINT AS k, 300 + c_custkey::BIGINT * 97 % 1500 AS n, (SELECT count(*) FROM customer) * 20000 AS room FROM customer),
+st AS (SELECT 0 AS turn, k, n, room, NULL::BIGINT AS s FROM q UNION ALL
+SELECT turn + 1, k, n, room, CASE WHEN s IS NOT NULL THEN s WHEN blocked OR early THEN NULL ELSE p END FROM (
+WITH w AS (SELECT *, ('0x' || substr(md5('0:' || turn || ':' || k), 1, 12))::BIGINT % (room - 1200 - n) + 600 AS p FROM st WHERE turn < {_ROUNDS}),
+x AS (SELECT w.*, s IS NULL AND EXISTS (SELECT 1 FROM w z WHERE z.s IS NOT NULL AND z.s < w.p + w.n AND w.p < z.s + z.n) AS blocked FROM w)
+SELECT x.*, EXISTS (SELECT 1 FROM x y WHERE NOT y.blocked AND y.s IS NULL AND y.k < x.k AND y.p < x.p + x.n AND x.p < y.p + y.n) AS early FROM x))
+SELECT k AS request, n AS duration_s, s AS start_s FROM st WHERE turn = {_ROUNDS}""")
+def placed_requests(spark, d):
+    """A random place for each customer's request on one axis, without overlaps."""
+    from ..operators.intervals import placed
+
+    k = F.col("c_custkey").cast("long")
+    customers = table(spark, d, "customer")
+    requests = customers.select(k.alias("request"), (300 + k * 97 % 1500).alias("duration_s"))
+    return placed(requests, "request", "duration_s", customers.count() * 20_000, tries=_ROUNDS)
