@@ -263,5 +263,5 @@ def test_stages_keep_columns_of_any_name(spark):
     rows = kept.collect()
     assert all(r[n] == n for r in rows for n in names)
     assert 7 in {r.id for r in rows} and None not in {r.id for r in rows}
-    some = langid.recognised(docs, {"en": text}, 8.0, "doc_id")
+    some = langid.recognised(docs, spark.createDataFrame([("en", text)], "lang string, text string"), 8.0, "doc_id")
     assert some.columns == docs.columns and some.count() == 7 and all(r[n] == n for r in some.collect() for n in names)

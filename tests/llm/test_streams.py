@@ -91,12 +91,16 @@ def labelled(n=240):
     return rows
 
 
+def texts(learned):
+    return {r.lang: r.text for r in learned.collect()}
+
+
 def test_languages_on_held_out_rows(spark):
     rows = labelled()
     docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "123 !?", "aa"), (902, "", None), (903, "thething " * 20000, "aa")], "doc_id long, text string, lang string")
     learned = langid.references(docs)
-    assert sorted(learned) == ["aa", "bb", "cc"]
-    assert all(len(t) <= langid.PIECES * (langid.PIECE_CHARS + 1) for t in learned.values())
+    assert sorted(texts(learned)) == ["aa", "bb", "cc"]
+    assert all(len(t) <= langid.PIECES * (langid.PIECE_CHARS + 1) for t in texts(learned).values())
     found = {r.doc_id: r for r in langid.identify(docs, learned, keep=["doc_id"]).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert sum(found[i].lang_pred == lang for i, _, lang in held) >= 0.97 * len(held)
@@ -117,7 +121,7 @@ def test_predictions_equal_brute_force(spark):
     def folded(text):
         return re.sub("0+", "0", "".join(c.lower() if c.isalpha() else "0" for c in text))
 
-    refs = {k: folded(t) for k, t in learned.items()}
+    refs = {k: folded(t) for k, t in texts(learned).items()}
     want = []
     for i, text, _ in rows:
         x, costs = folded(text), {}
@@ -132,20 +136,21 @@ def test_predictions_equal_brute_force(spark):
         best, second = (sorted(costs.items(), key=lambda c: (c[1], c[0])) * 2)[:2]
         some = any(c.isalpha() for c in text)
         want.append((i, best[0] if some else "und", round(1 - best[1] / second[1], 9) if some else 0.0))
-    found = langid.identify(docs, learned, keep=["doc_id"]).collect()
-    assert sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in found), key=str) == sorted(want, key=str)
+    for block in (64, 1, 2):
+        found = langid.identify(docs, learned, keep=["doc_id"], block=block).collect()
+        assert sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in found), key=str) == sorted(want, key=str)
 
 
 def test_scripts_of_high_code_points(monkeypatch):
     """Two languages of 400 ideographs, after another's letters: told apart, by tables and by sorted transitions alike."""
     rng = random.Random(7)
-    texts = {"a": "".join(chr(0x100 + k) for k in range(60)) * 3 + "".join(chr(0x1400 + k) for k in range(300))}
-    texts |= {k: "".join(chr(0x4E00 + start + rng.randrange(200)) for _ in range(3000)) for k, start in (("x", 0), ("y", 200))}
-    probe = [texts["x"][500:560], texts["y"][500:560]]
-    seen, bits = langid.Parser(texts).entropies(probe)
+    scripts = {"a": "".join(chr(0x100 + k) for k in range(60)) * 3 + "".join(chr(0x1400 + k) for k in range(300))}
+    scripts |= {k: "".join(chr(0x4E00 + start + rng.randrange(200)) for _ in range(3000)) for k, start in (("x", 0), ("y", 200))}
+    probe = [scripts["x"][500:560], scripts["y"][500:560]]
+    seen, bits = langid.Parser(scripts).entropies(probe)
     assert bits.argmin(axis=1).tolist() == [1, 2] and seen.all()
     monkeypatch.setattr(langid, "TABLES", 0)
-    assert (langid.Parser(texts).entropies(probe)[1] == bits).all()
+    assert (langid.Parser(scripts).entropies(probe)[1] == bits).all()
 
 
 def test_more_than_64_labels(spark):
@@ -154,32 +159,50 @@ def test_more_than_64_labels(spark):
     rows = [(100 * k + i, " ".join(rng.choice(words[name]) for _ in range(30)), name) for k, name in enumerate(words) for i in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     learned = langid.references(docs)
-    assert set(learned) == set(words)
+    assert set(texts(learned)) == set(words)
     found = {r.doc_id: r.lang_pred for r in langid.identify(docs, learned, keep=["doc_id"]).collect()}
     assert all(found[i] == lang for i, _, lang in rows)
 
 
-def test_texts_in_no_learned_language_go(spark):
-    """With limits fitted on what is learned, texts of a language left out go, a rare label lets none in, and own texts, short ones too, stay."""
-    rows = labelled(600)
-    docs = spark.createDataFrame([*rows, (910, "ab cd", "rare"), (901, "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08", "aa")], "doc_id long, text string, lang string")
-    learned = langid.references(docs.filter("lang <> 'cc'"))
+@pytest.mark.parametrize("away", ["aa", "bb", "cc", None])
+def test_texts_in_no_learned_language_go(spark, away):
+    """Whichever label is left out, its texts go, and so do shuffled letters and hexadecimal digits; own texts, short ones too, stay, and a rare label lets none in."""
+    rows = labelled(900)
+    rng = random.Random(4)
+    junk = [(2000 + i, "".join(rng.sample(t, len(t))), lang) for i, t, lang in rows[:150]] + [(3000 + i, "".join(rng.choice("0123456789abcdef") for _ in range(64)), "aa") for i in range(50)]
+    docs = spark.createDataFrame([*rows, *junk, (4000, "ab cd", "rare")], "doc_id long, text string, lang string")
+    learned = langid.references(docs.filter((F.col("doc_id") < 2000) | (F.col("doc_id") == 4000)).filter(F.col("lang") != (away or "")))
     limits = langid.limits(learned)
-    assert set(learned) == {"aa", "bb", "rare"} and set(limits) == {"aa", "bb"}
+    labels = {"aa", "bb", "cc"} - {away}
+    assert set(texts(learned)) == labels | {"rare"} and {r.lang for r in limits.collect()} == labels
     kept = {r.doc_id for r in langid.recognised(docs, learned, limits).collect()}
-    own = {i for i, _, lang in rows if lang != "cc"}
-    far = {i for i, t, lang in rows if lang == "cc" and len(t) > 30}
-    assert len(own & kept) >= 0.99 * len(own)
-    assert len(far & kept) <= 0.05 * len(far) and 901 not in kept
+    own = {i for i, _, lang in rows if lang != away}
+    assert len(own & kept) >= 0.98 * len(own)
+    far = {i for i, t, lang in rows if lang == away and len(t) > 20}
+    assert len(far & kept) <= 0.05 * max(1, len(far))
+    assert len(kept & {i for i, t, _ in junk if len(t) > 20}) <= 0.05 * len(junk)
+    assert {r.doc_id for r in langid.recognised(docs, learned, limits, block=1).collect()} == kept
+
+
+def test_limits_of_one_language(spark):
+    rows = [(i, t, "aa") for i, t, lang in labelled(900) if lang == "aa"]
+    others = [(5000 + i, t, None) for i, t, lang in labelled(300) if lang == "bb" and len(t) > 40]
+    docs = spark.createDataFrame(rows + others, "doc_id long, text string, lang string")
+    learned = langid.references(docs)
+    kept = {r.doc_id for r in langid.recognised(docs, learned, langid.limits(learned)).collect()}
+    assert len(kept & {i for i, _, _ in rows}) >= 0.98 * len(rows) and len(kept & {i for i, _, _ in others}) <= 0.05 * len(others)
+    few = langid.references(docs.limit(2))
+    assert langid.limits(few).count() == 0 and langid.recognised(docs, few, langid.limits(few)).count() == docs.count()
 
 
 def test_languages_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
-    assert langid.references(docs) == {}
-    assert langid.identify(docs, {}).first().lang_pred == "und"
-    assert langid.identify(docs.limit(0), {"aa": "abc"}).count() == 0
-    assert langid.recognised(docs, {}, 9.0).count() == 0
-    clash = langid.identify(docs.withColumn("score", F.lit("x")), {"aa": "abc"})
+    none, one = langid.references(docs), spark.createDataFrame([("aa", "abc")], "lang string, text string")
+    assert none.count() == 0
+    assert langid.identify(docs, none).first().lang_pred == "und"
+    assert langid.identify(docs.limit(0), one).count() == 0
+    assert langid.recognised(docs, none, 9.0).count() == 0 and langid.recognised(docs, none, langid.limits(none)).count() == 0
+    clash = langid.identify(docs.withColumn("score", F.lit("x")), one)
     assert clash.columns == ["doc_id", "text", "lang", "lang_pred", "score", "bits"] and clash.first().score == 1.0
 
 
