@@ -46,7 +46,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts, empty texts and texts of signs go; rows with null or repeated ids are judged by
     their texts alone; without any label nothing is learned and no row stays; columns of
-    any names pass through.
+    any names pass through. The limits are fitted on what labelled texts cost in their own and in other
+    languages' references.
     """
     learned = langid.references(docs)
     return langid.recognised(docs, learned, langid.limits(learned))
