@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 from tidewell.llm import pii, secretscan, spans
 
@@ -100,6 +102,17 @@ def test_long_runs(spark):
     assert [s for _, s in sorted(found)] == [expected(t, SECRETS, True) for t in texts]
 
 
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 512, 200_000])
+def test_places_of_very_many_matches(spark, n):
+    """In proportion to the matches, not to their square: 200,000 in one text."""
+    text = "😀 " * 3 + "ab12 é " * n + "x"
+    began = time.time()
+    row = spark.createDataFrame([(text,), (None,)], "text string").repartition(1).select(spans.located(F.col("text"), "[a-z]+[0-9]+").alias("s")).select(F.transform("s", lambda s: s["start"]).alias("a"), F.transform("s", lambda s: s["end"]).alias("b")).collect()
+    assert time.time() - began < 30
+    want = [m.span() for m in re.finditer("[a-z]+[0-9]+", text)]
+    assert [list(zip(r.a, r.b, strict=True)) for r in row] in ([want, []], [[], want])
+
+
 def test_contexts_find_unseen_identifiers(spark):
     known = [(i, f"please write to contact: user{i}@example{i}.com about order item {i} today") for i in range(40)]
     noise = [(100 + i, f"there were {i + 1000} birds and {i + 2000} trees") for i in range(60)]
