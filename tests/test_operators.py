@@ -378,3 +378,19 @@ def test_placements_do_not_overlap(spark):
     # an axis without room for all keeps what fits, still without overlaps
     few = [r.start_s for r in intervals.placed(requests, "id", "n", 4000, 600, 12).collect() if r.start_s is not None]
     assert 5 < len(few) < 27
+
+
+@pytest.mark.parametrize("n", [1, 255, 257, 60_000])
+def test_levels_of_long_buckets(spark, n):
+    """One bucket with very many rows, and many buckets with one each, as a plain loop."""
+    steps = [((i * 37) % 11 - 5.2) for i in range(n)]
+    rows = spark.range(n).withColumn("s", (F.col("id") * 37) % 11 - 5.2).withColumn("k", F.lit("a"))
+    want, x = [], 3.0
+    for s in steps:
+        x = min(20.0, max(0.0, x + s))
+        want.append(x)
+    for bucket in (F.lit(0), F.col("id")):
+        if n > 1000 and str(bucket) == str(F.col("id")):
+            continue
+        made = windows.level_series(rows, ["k"], ["id"], bucket, windows.clamp(F.col("s"), 0, 20), windows.clamps(), 3.0).orderBy("id").collect()
+        assert [r.level for r in made] == pytest.approx(want)

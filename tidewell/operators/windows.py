@@ -178,19 +178,37 @@ def level_series(df: DataFrame, by: list[str], order: list[str], bucket: Column,
     begin come from the maps of earlier ones, so no task walks a key's rows from the first.
     """
     held = _buckets(df, by, order, bucket, step, fold)
-    none = F.struct(F.lit(float(start)).alias("x"), F.array().cast("array<double>").alias("done"))
-    walk = lambda s, m: F.struct(fold.at(m, s["x"]).alias("x"), F.concat(s["done"], F.array(s["x"])).alias("done"))
     maps = held.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_b", "_map"))).alias("_maps"))
-    begun = F.aggregate("_maps", none, lambda s, m: walk(s, m["_map"]), lambda s: s["done"])
+    begun = _walked(F.transform("_maps", lambda m: m["_map"]), F.lit(float(start)), fold, True)
     starts = maps.select(*by, F.explode(F.arrays_zip(F.col("_maps")["_b"].alias("_b"), begun.alias("_x0"))).alias("_z")).select(*by, "_z._b", "_z._x0")
     rows = held.join(starts, [*by, "_b"])
-    first = F.struct(F.col("_x0").alias("x"), F.array().cast("array<double>").alias("done"))
-    after = lambda s, m: F.struct(fold.at(m, s["x"]).alias("x"), F.concat(s["done"], F.array(s["x"] if before else fold.at(m, s["x"]))).alias("done"))
-    levels = F.aggregate("_xs", first, lambda s, x: after(s, x["_m"]), lambda s: s["done"])
+    levels = _walked(F.transform("_xs", lambda x: x["_m"]), F.col("_x0"), fold, before)
     each = rows.select(*by, F.explode(F.arrays_zip(F.col("_xs").alias("x"), levels.alias("level"))).alias("_z"))
     return each.select(*by, *[F.col(f"_z.x.{o}").alias(o) for o in order], F.col("_z.level").alias(name))
 
 
+#: Maps that one growing array of levels holds.
+_RUN = 256
+
+
+def _walked(maps: Column, start: Column, fold: Fold, before: bool) -> Column:
+    """The level after each map (``before``: ahead of it), in proportion to the maps: runs of them begin at levels that the maps of earlier runs give."""
+    double = F.array().cast("array<double>")
+
+    def walk(run: Column, x: Column) -> Column:
+        step = lambda s, m: F.struct(fold.at(m, s["x"]).alias("x"), F.concat(s["done"], F.array(s["x"] if before else fold.at(m, s["x"]))).alias("done"))
+        return F.aggregate(run, F.struct(x.alias("x"), double.alias("done")), step, lambda s: s["done"])
+
+    def of(all_maps: Column) -> Column:
+        runs = F.when(F.size(all_maps) > 0, F.sequence(F.lit(0), F.floor((F.size(all_maps) - 1) / _RUN).cast("int"))).otherwise(F.array().cast("array<int>"))
+        run = lambda k: F.slice(all_maps, k * _RUN + 1, F.lit(_RUN))
+        whole = F.transform(runs, lambda k: F.aggregate(run(k), fold.identity, fold.then))
+        first = F.aggregate(whole, F.struct(start.alias("x"), double.alias("done")), lambda s, m: F.struct(fold.at(m, s["x"]).alias("x"), F.concat(s["done"], F.array(s["x"])).alias("done")), lambda s: s["done"])
+        return F.flatten(F.zip_with(runs, first, lambda k, x: walk(run(k), x)))
+
+    return F.transform(F.array(maps), of)[0]
+
+
 def clamped_total(df: DataFrame, by: list[str], order: list[str], step: Column, start: float, low: float, high: float, bucket: Column | None = None) -> DataFrame:
     """A running total clamped after every step: (by, steps, level) at the end; a map x to min(hi, max(lo, x + s)) stands for a bucket."""
     return last_level(df, by, order, F.lit(0) if bucket is None else bucket, clamp(step, low, high), clamps(), start)

@@ -56,8 +56,8 @@ z AS (SELECT f.window_id, f.n, round(greatest({', '.join(f'abs(f.{c} - m.{c}) /
 q AS (SELECT quantile_cont(score, 0.95) AS threshold FROM z)
 SELECT window_id, n, score, score >= threshold AS flagged FROM z, q""")
 def robust_z_anomaly(spark, d):
-    # read by several passes for percentiles: kept where it is made, spilling to disk
-    made = windows.window_features(_events(spark, d), "t", ["value"], WIDTH, STRIDE, "event_id", digits=6).persist()
+    # read by several passes for percentiles: written once
+    made = intervals.settled(windows.window_features(_events(spark, d), "t", ["value"], WIDTH, STRIDE, "event_id", digits=6), "windows")
     scored = detectors.robust_z(made, detectors.robust_parameters(made, list(_FEATURES))).withColumn("score", F.round("score", 6))
     threshold = metrics.percentile_thresholds(scored, "score", [95]).first()["threshold"]
     return scored.select("window_id", "n", "score", (F.col("score") >= F.lit(threshold)).alias("flagged"))
