@@ -69,20 +69,25 @@ def _mixing() -> str:
     names = ("source", "lang", "topic")
     parts = [
         f"d AS (SELECT doc_id, coalesce(source, '\\N') AS source, coalesce(lang, '\\N') AS lang, {topic} AS topic, source AS s0, lang AS l0, coalesce(len(regexp_extract_all(text, '{_SPACES}')), 0) AS n FROM documents)",
-        "f0 AS MATERIALIZED (SELECT source, lang, topic, sum(n)::DOUBLE AS n, sum(n)::DOUBLE AS w FROM d GROUP BY ALL)",
+        "f0 AS MATERIALIZED (SELECT source, lang, topic, sum(n)::DOUBLE AS n, 0.9::DOUBLE * sum(n)::DOUBLE AS w FROM d GROUP BY ALL)",
     ]
     for name in names:
-        parts.append(f"t_{name} AS MATERIALIZED (SELECT {name}, pow(n, {mixing.TEMPER}) / sum(pow(n, {mixing.TEMPER})) OVER () AS share FROM (SELECT {name}, sum(n) AS n FROM f0 GROUP BY 1) WHERE n > 0)")
+        # the level at which tempered shares fill the budget: values of which there are fewer are kept whole
+        parts.append(f"h_{name} AS MATERIALIZED (SELECT {name}, n AS have, pow(n, {mixing.TEMPER}) / sum(pow(n, {mixing.TEMPER})) OVER () AS share FROM (SELECT {name}, sum(n) AS n FROM f0 GROUP BY 1) WHERE n > 0)")
+        parts.append(f"l_{name} AS MATERIALIZED (SELECT arg_min(level, ratio) AS level FROM (SELECT have / share AS ratio, (0.9::DOUBLE * (SELECT sum(n) FROM f0) - coalesce(sum(have) OVER (ORDER BY have / share, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(share) OVER (ORDER BY have / share, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM h_{name}) WHERE level < ratio)")
+        parts.append(f"t_{name} AS MATERIALIZED (SELECT {name}, least(have, share * (SELECT level FROM l_{name})) AS goal FROM h_{name})")
     last = 0
     for _ in range(mixing.ROUNDS):
         for name in names:
             parts.append(
-                f"f{last + 1} AS MATERIALIZED (SELECT source, lang, topic, n, CASE WHEN s > 0 THEN w * (coalesce(share, 0) * (SELECT sum(n) FROM f0) / s) ELSE 0 END AS w FROM (SELECT *, sum(w) OVER (PARTITION BY {name}) AS s FROM f{last}) LEFT JOIN t_{name} USING ({name}))"
+                f"f{last + 1} AS MATERIALIZED (SELECT source, lang, topic, n, CASE WHEN s > 0 AND g > s THEN CASE WHEN w >= n THEN n ELSE least(n, coalesce(w * (g - f) / nullif(s - f, 0), 0)) END WHEN s > 0 THEN w * g / s ELSE 0 END AS w FROM (SELECT x.*, coalesce(goal, 0) AS g FROM (SELECT *, sum(w) OVER (PARTITION BY {name}) AS s, sum(CASE WHEN w >= n THEN w ELSE 0 END) OVER (PARTITION BY {name}) AS f FROM f{last}) x LEFT JOIN t_{name} USING ({name})))"
             )
             last += 1
-    parts.append(f"p AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN n > 0 THEN least(1, w / n / (SELECT max(w / n) FROM f{last} WHERE n > 0)) ELSE 1 END AS p FROM f{last})")
+    parts.append(f"p AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN n > 0 THEN least(1, w / n) ELSE 1 END AS p FROM f{last})")
+    each = " UNION ALL ".join(f"SELECT max(abs(coalesce(got, 0) - coalesce(goal, 0) / (SELECT sum(goal) FROM t_{name}))) AS off FROM (SELECT {name}, sum(w) / (SELECT sum(w) FROM f{last}) AS got FROM f{last} GROUP BY 1) FULL JOIN t_{name} USING ({name})" for name in names)
+    parts.append(f"r AS MATERIALIZED (SELECT max(off) AS off FROM ({each}))")
     draw = "('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '\\N')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
-    return f"WITH {', '.join(parts)} SELECT doc_id, s0 AS source, l0 AS lang, round(p, 9) AS probability FROM d JOIN p USING (source, lang, topic) WHERE {draw} < p"
+    return f"WITH {', '.join(parts)} SELECT doc_id, s0 AS source, l0 AS lang, round(p, 9) AS probability, round(off, 9) AS residual FROM d JOIN p USING (source, lang, topic), r WHERE {draw} < p"
 
 
 MIXING = _mixing()

@@ -45,10 +45,14 @@ def margins(docs: DataFrame) -> dict:
     return {"source": docs["source"], "lang": docs["lang"], "topic": mixing.topic_of(docs["text"])}
 
 
+#: Of all tokens, what the query keeps.
+KEPT = 0.9
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    kept = mixing.mix(docs, margins(docs), mixing.token_count(docs["text"]), probability="probability")
-    return kept.select("doc_id", "source", "lang", F.round("probability", 9).alias("probability"))
+    kept = mixing.mix(docs, margins(docs), mixing.token_count(docs["text"]), probability="probability", residual="residual", kept=KEPT)
+    return kept.select("doc_id", "source", "lang", F.round("probability", 9).alias("probability"), F.round("residual", 9).alias("residual"))
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
