@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidewell.functions import scalar, timeaxis
-from tidewell.operators import detectors, effects, explain, intervals, lifecycle, metrics, quality, windows
+from tidewell.operators import detectors, effects, explain, intervals, lifecycle, metrics, quality, registry, windows
 from tidewell.operators.intervals import Interval
 from tidewell.sources import readers, sinks
 from tidewell.streaming import hopping
@@ -394,3 +395,59 @@ def test_levels_of_long_buckets(spark, n):
             continue
         made = windows.level_series(rows, ["k"], ["id"], bucket, windows.clamp(F.col("s"), 0, 20), windows.clamps(), 3.0).orderBy("id").collect()
         assert [r.level for r in made] == pytest.approx(want)
+
+
+def test_registry_equals_numpy(spark):
+    """Every kind of model, fitted as tasks and kept as rows, against the same by plain arrays; thresholds are those of the fit."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4)) * [1, 5, 0.1, 20] + [0, 2, 5, -9]
+    x[380:] += 8 * x.std(0)
+    rows = [(i, *map(float, r), int(i >= 380)) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, (999, None, 1.0, 5.0, -9.0, 0)], "id int, a double, b double, c double, d double, y int")
+    features = ["a", "b", "c", "d"]
+    train = df.filter("y = 0 and id < 999")
+    grid = (("30_0.05", 30, 0.05), ("60_0.10", 60, 0.10))
+    models = registry.z_models(train, features).unionByName(registry.pca_models(train, features, (("variance_0.90", 0.9), ("components_2", 2), ("components_4", 4))))
+    models = models.unionByName(registry.forest_models(train, features, "id", grid)).unionByName(registry.not_run(spark, "svm", "why"))
+    path = sinks.scratch(spark, "registry")
+    models.write.parquet(path)
+    models = spark.read.parquet(path)
+    held = {(r.model_name, r.config): r for r in models.select("model_name", "config", "failure_reason", F.to_json("parameters").alias("p")).collect()}
+    assert held["pca", "components_4"].failure_reason and held["svm", "primary"].p is None and len(json.loads(held["isolation_forest", "60_0.10"].p)["trees"]) == 60
+    got = {(r.id, r.model_name, r.config): r.score for r in registry.scores(df, models, ["id"]).collect()}
+    assert len(got) == 401 * 7
+    fit = x[:380]
+    z = (x - fit.mean(0)) / (fit.std(0) + 1e-8)
+    assert [got[i, "standard_z", "primary"] for i in range(400)] == pytest.approx(np.abs(z).max(1))
+    assert [got[i, "distance", "primary"] for i in range(400)] == pytest.approx(np.sqrt((z**2).sum(1)), rel=1e-6)
+    median = np.median(fit, 0)
+    assert [got[i, "robust_z", "primary"] for i in range(400)] == pytest.approx((np.abs(x - median) / (1.4826 * np.median(np.abs(fit - median), 0) + 1e-8)).max(1))
+    values, vectors = np.linalg.eigh(np.cov(z[:380].T, bias=True))
+    two = vectors[:, np.argsort(values)[::-1][:2]]
+    c = z - z[:380].mean(0)
+    assert [got[i, "pca", "components_2"] for i in range(400)] == pytest.approx(((c - c @ two @ two.T) ** 2).mean(1))
+    for name, _, share in grid:
+        p = json.loads(held["isolation_forest", name].p)
+        depth = np.zeros(400)
+        for tree in p["trees"]:
+            for i in range(400):
+                at = 0
+                while tree["f"][at] >= 0:
+                    at = tree["left"][at] + int(z[i, tree["f"][at]] >= tree["cut"][at])
+                depth[i] += tree["cut"][at]
+        usual = 2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256
+        raw = 2 ** (-depth / len(p["trees"]) / usual)
+        assert [got[i, "isolation_forest", name] + p["shift"] for i in range(400)] == pytest.approx(raw)
+        assert p["shift"] == pytest.approx(np.percentile(raw[:380], 100 * (1 - share)))
+    cuts = registry.thresholds(registry.scores(df, models, ["y"]))
+    best = {(r.model_name, r.config): r for r in cuts.collect()}
+    assert all(r.f1 > 0.9 for r in best.values() if r.model_name != "pca") and sum(r.selected for r in best.values()) == 5
+    chosen = registry.frozen(models, cuts, sinks.scratch(spark, "frozen"))
+    few = {(r.id, r.model_name): r for r in registry.judge(df.filter("id < 3"), chosen, "id").collect()}
+    assert few[None, "svm"].failure_reason == "why" and len(few) == 3 * 5 + 1
+    cut = {r.model_name: r.threshold for r in chosen.filter("threshold is not null").collect()}
+    assert all(r.y_pred == int(r.score >= cut[m] - 1e-6) for (i, m), r in few.items() if i is not None)
+    stacked = registry.stacked_model(registry.scores(df.filter("id < 999"), chosen, ["id", "y"]), "id", "y")
+    both = {(r.id, r.model_name): r.score for r in registry.scores(df, chosen.drop("threshold").unionByName(stacked), ["id"]).collect()}
+    assert min(both[i, "stacked"] for i in range(380, 400)) > max(both[i, "stacked"] for i in range(0, 380))
+    assert registry.forest_models(train.limit(0), features, "id", grid).filter("failure_reason is null").count() == 0

@@ -165,35 +165,6 @@ def moments(train: DataFrame, features: list[str]) -> dict[str, tuple[float, flo
     return {f: (row[f"{f}|m"] or 0.0, row[f"{f}|s"] or 0.0) for f in features}
 
 
-def save_parameters(spark, path: str, model: str, parameters: dict[str, tuple[float, float]]) -> None:
-    """Centre and scale of each feature, appended to the table of frozen models."""
-    rows = [(model, f, float(a), float(b)) for f, (a, b) in parameters.items() if a is not None]
-    spark.createDataFrame(rows, "model_name string, feature string, centre double, scale double").write.mode("append").parquet(path)
-
-
-def load_parameters(spark, path: str) -> dict[str, dict[str, tuple[float, float]]]:
-    """Each frozen model's parameters: a few rows a model, read to the driver to stand in expressions."""
-    found: dict[str, dict[str, tuple[float, float]]] = {}
-    for r in spark.read.parquet(path).collect():
-        found.setdefault(r["model_name"], {})[r["feature"]] = (r["centre"], r["scale"])
-    return found
-
-
-def score_frozen(rows: DataFrame, models: dict[str, dict[str, tuple[float, float]]], names: list[str], key: str, percent: float = 90.0) -> DataFrame:
-    """(key, model_name, score, y_pred, failure_reason): each model's largest scaled distance, flagged from its ``percent`` percentile; models that were not saved leave one row."""
-    able = [n for n in names if n in models]
-    scores = {n: [F.abs(F.col(f) - F.lit(a)) / F.lit(b) for f, (a, b) in models[n].items()] for n in able}
-    wide = rows.select(key, *[(F.greatest(*x) if len(x) > 1 else x[0]).alias(n) for n, x in scores.items()])
-    cuts = {n: found[0] for n, found in exact_percentiles(wide, able, [percent]).items()}
-    each = F.array(*[F.struct(F.lit(n).alias("model_name"), F.col(n).alias("_s"), F.lit(cuts[n]).alias("_t")) for n in able])
-    long = wide.select(key, F.inline(each))
-    done = long.select(key, "model_name", F.round("_s", 6).alias("score"), (F.col("_s") >= F.col("_t") - 1e-9).cast("int").alias("y_pred"), F.lit(None).cast("string").alias("failure_reason"))
-    for n in names:
-        if n not in models:
-            done = done.unionByName(not_run(rows, n, "no parameters saved").drop("status"), allowMissingColumns=True)
-    return done
-
-
 def score_columns(predictions: DataFrame, key: str, names: list[str], model: str = "name", digits: int = 6) -> DataFrame:
     """A column for each model's score, for keys that all of them have scored: one aggregation instead of a chain of joins."""
     wide = predictions.filter(F.col(model).isin(names)).groupBy(key).agg(*[F.round(F.max(F.when(F.col(model) == n, F.col("score"))), digits).alias(n) for n in names], F.count_distinct(model).alias("_n"))

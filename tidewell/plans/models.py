@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detectors, effects, explain, quality, windows
+from ..operators import detectors, effects, explain, metrics, quality, registry, windows
+from ..operators.intervals import settled
 from ..sources import sinks
 from ..sources.readers import table
 from .detection import _P, _predictions
@@ -16,10 +17,11 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def _query(sql: str):
+def _query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return register
@@ -31,15 +33,57 @@ _X = f"{_E}, x AS (SELECT event_id, value, (t % 3600)::DOUBLE AS phase, (event_t
 @_query(f"""WITH {_X}, med AS (SELECT quantile_cont(value, 0.5) AS a, quantile_cont(phase, 0.5) AS b FROM tr), mad AS (SELECT quantile_cont(abs(value - a), 0.5) AS a, quantile_cont(abs(phase - b), 0.5) AS b FROM tr, med),
 st AS (SELECT avg(value) AS ma, stddev_pop(value) AS sa, avg(phase) AS mb, stddev_pop(phase) AS sb FROM tr),
 s AS (SELECT event_id, 'robust_z' AS model_name, greatest(abs(value - med.a) / (1.4826 * mad.a + 1e-8), abs(phase - med.b) / (1.4826 * mad.b + 1e-8)) AS score FROM x, med, mad UNION ALL SELECT event_id, 'standard_z', greatest(abs((value - ma) / (sa + 1e-8)), abs((phase - mb) / (sb + 1e-8))) FROM x, st),
-c AS (SELECT model_name, quantile_cont(score, 0.9) AS threshold FROM s GROUP BY 1)
-SELECT event_id, model_name, round(score, 6) AS score, (score >= threshold - 1e-9)::INT AS y_pred, NULL::VARCHAR AS failure_reason FROM s JOIN c USING (model_name) UNION ALL SELECT NULL, 'ocsvm', NULL, NULL, 'no parameters saved'""")
+c AS (SELECT model_name, quantile_cont(score, 0.9) AS threshold FROM s WHERE event_id % 2 = 0 GROUP BY 1)
+SELECT event_id, model_name, round(score, 6) AS score, (score >= threshold - 1e-9)::INT AS y_pred, NULL::VARCHAR AS failure_reason FROM s JOIN c USING (model_name) UNION ALL SELECT NULL, 'ocsvm', NULL, NULL, 'no kernel library'""")
 def frozen_scores(spark, d):
-    """Parameters are fitted once, saved, loaded again, and only score; a model without any leaves a row that says so. The threshold is the 90th percentile."""
+    """Models fitted on some events score all of them, with thresholds frozen when they were fitted; one that could not be leaves a row that says so."""
     rows = _events(spark, d).select("event_id", "value", (F.col("t") % 3600).cast("double").alias("phase"))
-    train, path, features = rows.filter("event_id % 2 = 0"), sinks.scratch(spark, "models"), ["value", "phase"]
-    detectors.save_parameters(spark, path, "robust_z", {f: (m, detectors.MAD_SCALE * s + 1e-8) for f, (m, s) in detectors.robust_parameters(train, features).items()})
-    detectors.save_parameters(spark, path, "standard_z", {f: (m, s + 1e-8) for f, (m, s) in detectors.moments(train, features).items()})
-    return detectors.score_frozen(rows, detectors.load_parameters(spark, path), ["robust_z", "standard_z", "ocsvm"], "event_id")
+    train = rows.filter("event_id % 2 = 0")
+    fitted = registry.z_models(train, ["value", "phase"]).filter("kind = 'z'").unionByName(registry.not_run(spark, "ocsvm", "no kernel library"))
+    cuts = metrics.percentiles_by(registry.scores(train, fitted, ["event_id"]), ["model_name", "config"], "score", [90])
+    cuts = cuts.select("model_name", "config", F.col("percentiles")[0].alias("threshold"), F.lit(True).alias("selected"))
+    return registry.judge(rows, registry.frozen(fitted, cuts, sinks.scratch(spark, "models")), "event_id")
+
+
+_FEATURES = ["mean", "std", "min", "max", "median", "slope", "rms"]
+
+
+def _windows(spark, d: str) -> DataFrame:
+    """Hourly windows of the events with their features, a label (many errors) and their part: 0 to train, 1 to choose, 2 to judge."""
+    rows = _events(spark, d)
+    made = windows.window_features(rows, "t", ["value"], 7200, 3600, "event_id", digits=6)
+    errors = windows.hopping(rows.select("t", (F.col("event_type") == "error").cast("double").alias("bad")), "t", 7200, 3600).groupBy("window_id").agg((F.avg("bad") > 0.35).cast("int").alias("y"))
+    return settled(made.join(errors, "window_id").withColumn("part", F.when(F.col("window_id") % 5 < 3, 0).otherwise(F.col("window_id") % 5 - 2).cast("int")), "windows")
+
+
+def _grid(spark, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All models of the grids, and their thresholds by the second part."""
+    train = rows.filter("part = 0 and y = 0")
+    fitted = registry.z_models(train, _FEATURES).unionByName(registry.pca_models(train, _FEATURES, (*registry.BASES[:3], ("components_2", 2), ("components_5", 5), ("components_10", 10))))
+    fitted = settled(fitted.unionByName(registry.forest_models(train, _FEATURES, "window_id")).unionByName(registry.not_run(spark, "lstm_autoencoder", "no neural library")), "models")
+    return fitted, settled(registry.thresholds(registry.scores(rows.filter("part = 1"), fitted, ["y"])), "thresholds")
+
+
+@_query()
+def model_grid(spark, d):
+    """Six forests, bases and three distances fitted side by side; of each its best threshold, of each model its best configuration."""
+    return _grid(spark, _windows(spark, d))[1].select("model_name", "config", F.round("threshold", 6).alias("threshold"), "tp", "fp", "tn", "fn", "f1", "selected")
+
+
+@_query()
+def registry_scores(spark, d):
+    """The chosen models and a stacked one score the last part with frozen thresholds, in one pass."""
+    rows = _windows(spark, d)
+    fitted, cuts = _grid(spark, rows)
+    path = sinks.scratch(spark, "registry")
+    chosen = registry.frozen(fitted, cuts, path)
+    part = rows.filter("part = 1")
+    both = registry.scores(part, chosen, ["window_id", "y"])
+    stacked = registry.stacked_model(both, "window_id", "y")
+    with_stacked = chosen.drop("threshold").unionByName(stacked)
+    cut = registry.thresholds(registry.scores(part, with_stacked, ["y"]).filter("model_name = 'stacked'"))
+    registry.frozen(stacked, cut, path)
+    return registry.judge(rows.filter("part = 2"), spark.read.parquet(path), "window_id")
 
 
 _W = f"""{_E}, lim AS (SELECT (max(t) + 1 - 7200) // 3600 AS hi FROM e), w AS (SELECT e.*, unnest(range(greatest(0, CAST(ceil((t - 7199) / 3600.0) AS BIGINT)), least(t // 3600, hi) + 1)) AS window_id FROM e, lim)"""
