@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import random
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidewell.functions import scalar, timeaxis
-from tidewell.operators import detectors, effects, explain, intervals, lifecycle, metrics, quality, registry, windows
+from tidewell.operators import calls, detectors, effects, explain, intervals, lifecycle, metrics, quality, registry, windows
 from tidewell.operators.intervals import Interval
 from tidewell.sources import readers, sinks
 from tidewell.streaming import hopping
@@ -222,23 +224,38 @@ def test_detectors_find_the_outlier(spark):
     assert detectors.not_run(df, "m", "why").first().status == "NOT_RUN"
 
 
-def test_explanations_survive_bad_answers(spark):
-    answers = {"p1": 'Sure: ```json\n{"verdict": "yes"}\n```', "p2": "no object", "p3": '{"verdict": ', "p4": None}
+def test_calls_are_made_once_and_repaired_by_the_parse(spark, tmp_path):
+    ledger, log = str(tmp_path / "ledger"), tmp_path / "log"
+    log.mkdir()
 
     def client(prompt):
-        text = answers[prompt.split("\n")[0]]
-        if text is None:
+        (log / f"{hashlib.sha256(prompt.encode()).hexdigest()}-{uuid.uuid4().hex}").touch()
+        name, _, again = prompt.partition("\n")
+        if name == "down" or (name == "breaks" and again):
             raise OSError("down")
-        return text
-
-    prompts = spark.createDataFrame([(p,) for p in answers], "prompt string")
-    got = {r.prompt: r for r in explain.parsed(explain.explanations(prompts, client), "verdict string").collect()}
-    assert got["p1"].parse_success and got["p1"].parsed.verdict == "yes"
-    assert (got["p2"].call_status, got["p2"].parse_success) == ("NO_JSON", False)
-    assert not got["p3"].parse_success and got["p4"].call_status == "CALL_FAILED"
-    flags = prompts.limit(1).select(*[c.alias(n) for n, c in explain.penalties(F.lit("In this time the proof is that")).items()]).first()
+        return {"good": '```json\n{"explanation_type": "normal", "evidence_used": "x"}\n```', "list": "[1]", "": "{}"}.get(name, '{"explanation_type": "cyber_only"}' if again else '{"broken": ')
+
+    rows = [("good", 1), ("good", 2), ("down", 3), ("breaks", 4), ("mends", 5), ("list", 6), (None, 7)]
+    prompts = spark.createDataFrame(rows, "prompt string, answer int")
+    got = {r.prompt: r for r in calls.explanations(prompts, client, ledger=ledger, model="m").collect()}
+    assert {k: r.parse_status for k, r in got.items()} == {"good": "OK", "down": "FAILED_CALL_ERROR", "breaks": "FAILED_REPAIR_CALL_ERROR", "mends": "OK_REPAIRED", "list": "FAILED", None: "OK"}
+    assert got["good"].parsed.evidence_used == ["x"] and got["good"].parsed.confidence == "low" and got[None].parsed.explanation_type == "insufficient_evidence"
+    assert got["mends"].parsed.explanation_type == "cyber_only" and got["down"].error == "OSError: down" and got["breaks"].parsed is None
+    made = len(list(log.iterdir()))
+    assert made == 6 + 3
+    # what is in the ledger is not called again, but for what had failed; another model's answers are others
+    again = calls.explanations(prompts.unionByName(spark.createDataFrame([("new", 8)], "prompt string, answer int")), client, ledger=ledger, model="m")
+    assert sorted(r.parse_status for r in again.collect()) == sorted([*("OK",) * 3, "FAILED_CALL_ERROR", "FAILED_REPAIR_CALL_ERROR", "OK_REPAIRED", "OK_REPAIRED", "FAILED"])
+    assert len(list(log.iterdir())) == made + 1 + 1 + 2
+    assert {r.parse_status for r in calls.explanations(prompts, None).collect()} == {"SKIPPED_LLM_NOT_READY"}
+    assert calls.explanations(prompts.limit(0), client, ledger=str(tmp_path / "none")).count() == 0
+
+
+def test_penalties_and_parsing(spark):
+    prompts = spark.createDataFrame([("p1",)], "prompt string")
+    flags = prompts.limit(1).select(*[c.alias(n) for n, c in explain.penalties(F.lit("In this timeframe the proof is that exploitation was registered")).items()]).first()
     assert (flags.packet_claim_flag, flags.uses_old_asset_name_flag, flags.external_attacker_claim_flag) == (0, 0, 0)
-    said = explain.penalties(F.lower(F.lit("In this timeframe the PACKET of bess48")), {"unsupported_claim_flag": F.lit(True)})
+    said = explain.penalties(F.lower(F.lit("In this timeframe the PACKETS of bess48")), {"unsupported_claim_flag": F.lit(True)})
     assert [prompts.limit(1).select(said[n]).first()[0] for n in ("packet_claim_flag", "uses_old_asset_name_flag", "unsupported_claim_flag", "field_telemetry_claim_flag")] == [1, 1, 1, 0]
     broken = spark.createDataFrame([("{bad json}",), ('{"verdict": "x"}',), ("",)], "answer string")
     assert [r.parse_success for r in explain.parsed(broken, "verdict string").collect()] == [False, True, False]

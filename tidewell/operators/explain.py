@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import json_object_text
 from .intervals import Interval, inside, overlap_seconds
 
-#: What an explanation must not claim, each under its penalty; names of assets that are gone; fields of the glossary; expected timings.
+#: What an explanation must not claim, as whole words, each under its penalty; names of assets that are gone; fields of the glossary; expected timings.
 PENALTIES = {
-    "packet_claim_flag": r"(?i)packet|ieee\s*2030\.5|modbus|dnp3|mqtt|payload|frame|byte|register|protocol trace",
-    "field_telemetry_claim_flag": r"(?i)real\s+field|live\s+measurement|actual\s+telemetry|real\s+telemetry|real\s+sensor",
-    "external_attacker_claim_flag": r"(?i)hacker|malware|exploit|attacker|threat\s+actor|nation[\s-]state|ransomware|apt\s*\d",
+    "packet_claim_flag": r"(?i)\b(?:packets?|ieee\s*2030\.5|modbus|dnp3|mqtt|payloads?|frames?|bytes?|registers?|protocol traces?)\b",
+    "field_telemetry_claim_flag": r"(?i)\b(?:real\s+field|live\s+measurements?|actual\s+telemetry|real\s+telemetry|real\s+sensors?)\b",
+    "external_attacker_claim_flag": r"(?i)\b(?:hackers?|malware|exploit(?:s|ed)?|attackers?|threat\s+actors?|nation[\s-]states?|ransomware|apt\s*\d+)\b",
 }
 OLD_ASSETS = ("pv35", "pv60", "pv83", "bess48", "bess108")
 ASSETS = ("der_site_001", "pv_001", "bess_001", "pcc_001")
@@ -151,33 +149,6 @@ def timing(detections: DataFrame, scenarios: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("shared_s", shared).withColumn("timing_status", status)
 
 
-def explanations(prompts: DataFrame, client: Callable[[str], str], retries: int = 1, prompt: str = "prompt") -> DataFrame:
-    """Answers of a text client, called where the rows are; a failed call is a status, never an exception.
-
-    With no client at hand, pass a function that raises: rows then read ``CALL_FAILED``.
-    """
-    from pyspark.sql import types as T
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            answers, statuses = [], []
-            for text in batch[prompt]:
-                answer, status = None, "CALL_FAILED"
-                for attempt in range(1 + retries):
-                    try:
-                        answer = client(text if not attempt else f"{text}\nAnswer with one JSON object only.")
-                    except Exception:  # noqa: BLE001 - any client failure is a status
-                        continue
-                    status = "ANSWERED" if "{" in answer else "NO_JSON"
-                    if status == "ANSWERED":
-                        break
-                answers.append(answer)
-                statuses.append(status)
-            yield batch.assign(answer=answers, call_status=statuses)
-
-    return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("answer", T.StringType()), T.StructField("call_status", T.StringType())]))
-
-
 def parsed(answers: DataFrame, schema: str, answer: str = "answer") -> DataFrame:
     """``parsed`` (NULL where the outermost object is no JSON of the schema) and parse_success."""
     text = json_object_text(F.col(answer))

@@ -27,8 +27,13 @@ def rates(counts: DataFrame, digits: int = 6) -> DataFrame:
     return counts.withColumns({k: F.round(v, digits) for k, v in made.items()})
 
 
-def evaluate(scores: DataFrame, by: list[str], truth: Column, predicted: Column) -> DataFrame:
-    return rates(scores.groupBy(*by).agg(*confusion(truth, predicted)))
+def evaluate(scores: DataFrame, by: list[str], truth: Column, predicted: Column, both_classes: bool = False) -> DataFrame:
+    """Rates of each group; with ``both_classes`` a group that holds one class only has counts, but no rates."""
+    rated = rates(scores.groupBy(*by).agg(*confusion(truth, predicted)))
+    if not both_classes:
+        return rated
+    able = (F.col("tp") + F.col("fn") > 0) & (F.col("fp") + F.col("tn") > 0)
+    return rated.withColumns({c: F.when(able, F.col(c)) for c in ("precision", "recall", "f1", "accuracy", "balanced_accuracy")})
 
 
 def at_thresholds(scores: DataFrame, thresholds: DataFrame, score: str = "score", y: str = "y") -> DataFrame:

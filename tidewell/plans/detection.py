@@ -90,9 +90,10 @@ def curve_points(spark, d):
     return metrics.curve(_scores(spark, d), ["lang"]).withColumns({c: F.round(c, 6) for c in ("tpr", "fpr", "precision")})
 
 
-@_query(f"WITH {_S}, c AS (SELECT source, count(*) FILTER (y = 1 AND score >= 3000) AS tp, count(*) FILTER (y = 0 AND score >= 3000) AS fp, count(*) FILTER (y = 0 AND score < 3000) AS tn, count(*) FILTER (y = 1 AND score < 3000) AS fn FROM s GROUP BY 1) SELECT *, {_RATES} FROM c")
+@_query(f"WITH {_S}, c AS (SELECT source, count(*) FILTER (y = 1 AND score >= 3000) AS tp, count(*) FILTER (y = 0 AND score >= 3000) AS fp, count(*) FILTER (y = 0 AND score < 3000) AS tn, count(*) FILTER (y = 1 AND score < 3000) AS fn FROM s GROUP BY 1) SELECT source, tp, fp, tn, fn, {', '.join(f'CASE WHEN tp + fn > 0 AND fp + tn > 0 THEN {m} END AS {m}' for m in ('precision', 'recall', 'f1', 'accuracy', 'balanced_accuracy'))} FROM (SELECT *, {_RATES} FROM c)")
 def family_metrics(spark, d):
-    return metrics.evaluate(_scores(spark, d), ["source"], F.col("y") == 1, F.col("score") >= 3000)
+    """Rates of each family; one that holds a single class has none."""
+    return metrics.evaluate(_scores(spark, d), ["source"], F.col("y") == 1, F.col("score") >= 3000, both_classes=True)
 
 
 @_query(f"WITH {_S}, t AS (SELECT * FROM s WHERE doc_id % 2 = 1 AND source NOT IN (SELECT source FROM s WHERE doc_id % 5 = 0 AND source <> 'src0')), c AS (SELECT count(*) FILTER (y = 1 AND score >= 3000) AS tp, count(*) FILTER (y = 0 AND score >= 3000) AS fp, count(*) FILTER (y = 0 AND score < 3000) AS tn, count(*) FILTER (y = 1 AND score < 3000) AS fn FROM t) SELECT *, {_RATES} FROM c")
@@ -164,9 +165,9 @@ def dq_alignment(spark, d):
     return quality.alignment(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
 
 
-@_query(r"""SELECT conv_id, turn, regexp_matches(lower(text), 'packet|ieee\s*2030\.5|modbus|dnp3|mqtt|payload|frame|byte|register|protocol trace')::INT AS packet_claim_flag,
-regexp_matches(lower(text), 'real\s+field|live\s+measurement|actual\s+telemetry|real\s+telemetry|real\s+sensor')::INT AS field_telemetry_claim_flag,
-regexp_matches(lower(text), 'hacker|malware|exploit|attacker|threat\s+actor|nation[\s-]state|ransomware|apt\s*\d')::INT AS external_attacker_claim_flag,
+@_query(r"""SELECT conv_id, turn, regexp_matches(lower(text), '\b(packets?|ieee\s*2030\.5|modbus|dnp3|mqtt|payloads?|frames?|bytes?|registers?|protocol traces?)\b')::INT AS packet_claim_flag,
+regexp_matches(lower(text), '\b(real\s+field|live\s+measurements?|actual\s+telemetry|real\s+telemetry|real\s+sensors?)\b')::INT AS field_telemetry_claim_flag,
+regexp_matches(lower(text), '\b(hackers?|malware|exploit(s|ed)?|attackers?|threat\s+actors?|nation[\s-]states?|ransomware|apt\s*\d+)\b')::INT AS external_attacker_claim_flag,
 (contains(text, 'pv35') OR contains(text, 'pv60') OR contains(text, 'pv83') OR contains(text, 'bess48') OR contains(text, 'bess108'))::INT AS uses_old_asset_name_flag, (turn = 3)::INT AS unsupported_claim_flag FROM conversations WHERE text IS NOT NULL""")
 def regex_penalties(spark, d):
     rows = table(spark, d, "conversations").filter("text is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detectors, effects, explain, metrics, quality, registry, windows
+from ..operators import calls, detectors, effects, explain, metrics, quality, registry, windows
 from ..operators.intervals import settled
 from ..sources import sinks
 from ..sources.readers import table
@@ -161,3 +161,29 @@ def evidence_packets(spark, d):
 def component_profiles(spark, d):
     """Block means of each component's series; the unfinished last block is left out."""
     return windows.downsample(_events(spark, d).withColumnRenamed("event_type", "component"), "t", "value", 43_200, ["component"]).select("component", "block", F.round("mean", 6).alias("mean"), "n")
+
+
+def _stub(prompt: str) -> str:
+    """A deterministic client: what it answers, and whether only after a repair, depends on the length of the prompt."""
+    asked, _, again = prompt.partition("\n" + calls.REPAIR[:20])
+    turn = len(asked) % 9
+    if turn == 0 or (turn == 3 and again):
+        raise OSError("no answer")
+    if turn == 1 or (turn in (2, 3) and not again):
+        return "I cannot say." if turn == 1 else '{"explanation_type": "normal", '
+    if turn == 4:
+        return '["normal"]'
+    if turn == 5:
+        return '```json\n{"explanation_type": "alien", "primary_physical_signals": "pv_p_kw", "confidence": 3}\n```'
+    return 'Here: {"explanation_type": "cyber_only", "primary_physical_signals": ["a", "b"], "packet_level_claim_made": true, "confidence": "high"} as asked.'
+
+
+@_query("""WITH c AS (SELECT conv_id, turn, length(coalesce(text, '')) % 9 AS k FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'FAILED_CALL_ERROR' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'OK_REPAIRED' WHEN 3 THEN 'FAILED_REPAIR_CALL_ERROR' WHEN 4 THEN 'FAILED' ELSE 'OK' END AS parse_status, CASE WHEN k IN (0, 3) THEN 'OSError: no answer' END AS error,
+CASE WHEN k IN (0, 1, 3, 4) THEN NULL WHEN k = 5 THEN 'insufficient_evidence' ELSE 'cyber_only' END AS explanation_type, CASE WHEN k IN (0, 1, 3, 4) THEN NULL WHEN k = 5 THEN 'low' ELSE 'high' END AS confidence,
+CASE WHEN k IN (0, 1, 3, 4) THEN NULL WHEN k = 5 THEN 'pv_p_kw' ELSE 'a,b' END AS signals, CASE WHEN k IN (0, 1, 3, 4) THEN NULL ELSE k <> 5 END AS packet_claim FROM c""")
+def called_explanations(spark, d):
+    """Every turn as a prompt of a text client: parsed, repaired once where the parse fails, with failures as statuses."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    made, p = calls.explanations(rows, _stub, model="stub"), F.col("parsed")
+    return made.select("conv_id", "turn", "parse_status", "error", p["explanation_type"].alias("explanation_type"), p["confidence"].alias("confidence"), F.array_join(p["primary_physical_signals"], ",").alias("signals"), p["packet_level_claim_made"].alias("packet_claim"))
