@@ -77,7 +77,11 @@ def test_lifecycles(spark):
     times = lifecycle.stage_times(rows, "id", "lifecycle_stage", "stage_time_s", ["DER_CONTROL_CREATED", "DER_CONTROL_APPLIED", "SECURITY_BLOCKED_COMMAND"]).orderBy("id").collect()
     assert tuple(times[0])[1:] == (100, 109, None) and tuple(times[1])[1:] == (100, None, 104)
     days = spark.createDataFrame([(0,), (1,)], "d long")
-    assert [r.time_s for r in lifecycle.schedule(days, "d", [1, 2]).orderBy("time_s").collect()] == [3600, 7200, 90000, 93600]
+    counts = {r.routine: r["count"] for r in lifecycle.routines(days, "d").groupBy("routine").count().collect()}
+    assert counts == {"command": 16, "storage": 4, "metering": 192, "status": 48}
+    assert [r.time_s for r in lifecycle.routines(days, "d", {"x": [3600, 7200]}).orderBy("time_s").collect()] == [3600, 7200, 90000, 93600]
+    reading = lifecycle.meter_readings(spark.createDataFrame([("pcc_001", 100, 5.0, 1.0)], "a string, t long, p double, q double"), "a", "t", "p", "q", {"label_anomaly": F.lit(1)}).first()
+    assert (reading.command_accept_time_ms, reading.label_anomaly, reading.total_delay_s, reading.applied_q_kvar, len(reading.message_mrid)) == (100_070, 1, 0.045, 1.0, 36)
 
 
 EFFECTS = "variable string, effect_order int, type string, magnitude double, unit string, direction string, shape string, ramp_s int, start_s long, end_s long"
@@ -311,7 +315,8 @@ def test_sources_and_sinks(spark, tmp_path):
     table = spark.createDataFrame([("f", i, v) for i, v in enumerate(lines)], "source_path string, line int, value string")
     objects = {(r.object, r.key): r.value for r in readers.network_objects(table).collect()}
     assert objects == {("PVSystem.PV1", "bus1"): "634", ("PVSystem.PV1", "kva"): "500", ("PVSystem.PV1", "pf"): "0.98", ("PVSystem.PV1", "kv"): "[4.16 0.48]", ("Storage.B1", "kwh"): "200", ("Storage.B1", "kw"): "50"}
-    assert readers.rated({"a": 1.0, "b": 2.0}, ("yaml", {"a": 3.0, "b": None}), ("dss", {"a": 4.0})) == {"a": (4.0, "dss"), "b": (2.0, "default")}
+    large = {r.path.rsplit("/", 1)[1]: (r.digest is None, r.status) for r in readers.fingerprints(spark, str(tmp_path / "docs"), most=30).collect()}
+    assert large == {"one.json": (True, "TOO_LARGE"), "two.json": (False, "OK")}
     out = str(tmp_path / "table")
     sinks.append_aligned(df.select("a"), out)
     sinks.append_aligned(df.select("a", "c"), out)

@@ -126,6 +126,13 @@ def overall_score(checks: list[Column], faults: list[Column], parsed: Column, we
     return F.round(F.when(parsed, F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean - less))).otherwise(0.0), digits)
 
 
+def score_matrix(rows: DataFrame, by: list[str], checks: list[str], faults: list[str], parsed: str, digits: int = 6) -> DataFrame:
+    """(by, n, the mean of each check and fault, parse_rate, mean_score): a heat map of checks; the score is the mean over what parsed, NULL where nothing did."""
+    score = overall_score([F.col(c) for c in checks], [F.col(c) for c in faults], F.col(parsed), digits=12)
+    means = [F.round(F.avg(c), digits).alias(c) for c in (*checks, *faults)]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *means, F.round(F.avg(F.col(parsed).cast("int")), digits).alias("parse_rate"), F.round(F.avg(F.when(F.col(parsed), score)), digits).alias("mean_score"))
+
+
 def signal_evidence(detections: DataFrame, telemetry: DataFrame, signals: list[str], bucket: int, top: int = 6, threshold: float = 0.01) -> DataFrame:
     """The ``top`` signals by spread inside each detection's window, with their statistics and direction.
 

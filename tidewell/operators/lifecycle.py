@@ -48,11 +48,6 @@ def burst(commands: DataFrame, key: str, time: str, copies: Column, apart: int)
     return rows.withColumn(key, F.concat(F.col(key).cast("string"), F.lit("_burst"), F.col("burst").cast("string"))).withColumn(time, F.col(time) + F.col("burst") * apart)
 
 
-def schedule(days: DataFrame, day: str, hours: list[int], name: str = "time_s") -> DataFrame:
-    """Each day once for each hour of a routine."""
-    return days.withColumn(name, F.explode(F.array(*[F.col(day) * 86_400 + h * 3_600 for h in hours])))
-
-
 def statuses(kind: Column) -> dict[str, Column]:
     """Authorisation, integrity, availability, delivery and outcome by lifecycle kind."""
     return {
@@ -69,16 +64,14 @@ def latencies(key: Column, delayed: Column, extra_s: float = 10.0) -> dict[str,
 
     Draws are normal, from hashes of the key, so that a command has the same latencies in every run.
     """
-    from .telemetry import noise
-
     # Mean and spread of each part, its floor; for normal and for delayed commands.
     normal = (("network", 50.0, 15.0, 5.0), ("processing", 20.0, 5.0, 5.0), ("queue", 5.0, 2.0, 0.5))
     slow = (("network", 8000.0, 2000.0, 100.0), ("processing", 40.0, 20.0, 10.0), ("queue", 500.0, 100.0, 50.0))
     out, total = {}, F.lit(0.0)
     for i, ((name, mean, spread, floor), (_, mean2, spread2, floor2)) in enumerate(zip(normal, slow, strict=True)):
-        drawn = F.when(delayed, mean2 + noise(key, 300 + i, spread2)).otherwise(mean + noise(key, 200 + i, spread))
-        out[f"{name}_latency_ms"] = F.greatest(drawn, F.when(delayed, floor2).otherwise(floor))
-        total = total + drawn
+        part = F.when(delayed, mean2 + spread2 * drawn(key, 300 + i)).otherwise(mean + spread * drawn(key, 200 + i))
+        out[f"{name}_latency_ms"] = F.greatest(part, F.when(delayed, floor2).otherwise(floor))
+        total = total + part
     return out | {"total_delay_s": F.when(delayed, extra_s).otherwise(0.0) + total / 1000}
 
 
@@ -122,3 +115,51 @@ def stage_at(kind: Column, t: Column, start: Column, ramp: Column, applied: Colu
     physical = F.when(t - start >= ramp, "physical_event_observed").otherwise("monitoring_pre_event")
     both = F.when(t < applied, "command_pipeline").when(t < start + ramp + 1, "command_applied").otherwise("physical_effect_active")
     return F.when(kind == "normal", "normal_monitoring").when(kind == "physical_only", physical).when(kind == "cyber_only", "cyber_event_active").otherwise(both)
+
+
+def drawn(key: Column, seed: int) -> Column:
+    """A standard normal number out of the MD5 of (seed, key), by the Box-Muller transform."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+    part = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 1) / 4294967297.0
+    return F.sqrt(-2 * F.log(part(1))) * F.cos(2 * F.pi() * part(9))
+
+
+def message_id(*parts: Column) -> Column:
+    """A UUID that depends on its parts alone, so that a row has the same one in every run."""
+    h = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+#: Routine rows of a day, as seconds after midnight; command hours, storage at two, meters every quarter, status every hour.
+ROUTINES = {"command": [h * 3600 for h in range(6, 20, 2)] + [20 * 3600], "storage": [11 * 3600, 18 * 3600], "metering": list(range(0, 86_400, 900)), "status": list(range(0, 86_400, 3600))}
+
+
+def routines(days: DataFrame, day: str, kinds: dict[str, list[int]] | None = None) -> DataFrame:
+    """``days`` once for each second of each routine: ``routine`` and ``time_s``."""
+    def routine(name: str, at: list[int]) -> Column:
+        return F.transform(F.array(*map(F.lit, at)), lambda s: F.struct(F.lit(name).alias("routine"), (F.col(day) * 86_400 + s).cast("long").alias("time_s")))
+
+    each = [routine(name, at) for name, at in (kinds or ROUTINES).items()]
+    return days.select("*", F.inline(F.concat(*each)))
+
+
+#: Milliseconds after the event of a meter reading's stages; statuses and names of one.
+READING = {"sent": 0, "recv": 60, "accept": 70, "apply": 80, "response": 90, "expire": 300_000}
+READING_CONSTANTS = {
+    "asset_type": "PCC", "destination_system_id": "DERMS-001", "source_role": "DER_Client", "destination_role": "DERMS", "command_type": "meter_reading", "authn_status": "passed", "authz_status": "passed", "integrity_status": "passed",
+    "availability_status": "normal", "confidentiality_status": "passed", "delivery_status": "delivered", "communication_outcome": "success", "cia_dimension": "none", "message_type": "DER_METER_READING", "cyber_event_category": "metering", "lifecycle_stage": "DER_METER_READING",
+    "related_physical_variable": "pcc_p_kw", "scenario_id": "metering_background",
+}
+READING_NUMBERS = {"target_pf": 1.0, "applied_pf": 1.0, "delay_s": 0.0, "network_latency_ms": 30.0, "processing_latency_ms": 10.0, "queue_latency_ms": 5.0, "total_delay_s": 0.045}
+READING_FLAGS = ("retry_count", "timeout_flag", "duplicate_flag", "stale_command_flag", "replay_flag", "blocked_flag", "mismatch_flag", "label_anomaly", "label_cyber_anomaly", "label_physical_anomaly", "lifecycle_order", "is_control_event", "is_status_event", "is_security_event")
+
+
+def meter_readings(rows: DataFrame, asset: str, time: str, p: str, q: str, overrides: dict[str, Column] | None = None) -> DataFrame:
+    """One reading of a meter for each row; ``overrides`` (such as a scenario's labels) replace what a background reading says."""
+    ident = message_id(F.col(asset), F.col(time))
+    made = {"message_mrid": ident, "session_id": F.substring(ident, 1, 8), "asset_id": F.col(asset), "source_system_id": F.concat(F.lit("DER-"), F.col(asset)), "time_s": F.col(time), "is_monitoring_event": F.lit(1)}
+    made |= {f"command_{stage}_time_ms": F.col(time) * 1000 + ms for stage, ms in READING.items()}
+    made |= {f"{side}_{unit}": F.col(c).cast("double") for side in ("target", "applied") for unit, c in (("p_kw", p), ("q_kvar", q))}
+    made |= {k: F.lit(v) for k, v in (READING_CONSTANTS | READING_NUMBERS).items()} | {k: F.lit(0) for k in READING_FLAGS}
+    made |= overrides or {}
+    return rows.select(*[c.alias(name) for name, c in made.items()])

@@ -208,3 +208,16 @@ def judge(rows: DataFrame, models: DataFrame, key: str, digits: int = 6) -> Data
     able = scored.select(key, "model_name", F.round("score", digits).alias("score"), F.coalesce(F.col("score") >= F.col("threshold") - 1e-9, F.lit(False)).cast("int").alias("y_pred"), F.lit(None).cast("string").alias("failure_reason"))
     lost = models.filter("failure_reason is not null").select("model_name", "failure_reason").distinct()
     return able.unionByName(lost, allowMissingColumns=True)
+
+
+def attempted(spark, models: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(model_name, status, failure_reason, scored): each model run in turn, its failure caught; a missing library is NOT_RUN, anything else FAILED."""
+    rows = []
+    for name, run in models.items():
+        try:
+            rows.append((name, "PASS", None, run().count()))
+        except ImportError as e:
+            rows.append((name, "NOT_RUN", str(e), None))
+        except Exception as e:  # noqa: BLE001 - one model's failure must not end the others
+            rows.append((name, "FAILED", f"{type(e).__name__}: {e}", None))
+    return spark.createDataFrame(rows, "model_name string, status string, failure_reason string, scored bigint")

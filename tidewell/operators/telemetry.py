@@ -148,10 +148,10 @@ def charge_series(df: DataFrame, site: Site, by: list[str], power: str = "bess_p
     return df.join(levels, [*by, "time_s"])
 
 
-def profile(spark, seconds: int, site: Site | None = None, step: int = 1, base: str = "2024-01-01 00:00:00", noisy: bool = True) -> DataFrame:
-    """The clean table but for the state of charge: time axis, weather, dispatch and electrical columns."""
+def profile(spark, seconds: int, site: Site | None = None, step: int = 1, base: str = "2024-01-01 00:00:00", noisy: bool = True, axis: DataFrame | None = None) -> DataFrame:
+    """The clean table but for the state of charge: time axis (every ``step`` of ``seconds``, or the ``time_s`` of ``axis``), weather, dispatch and electrical columns."""
     site, t = site or Site(), F.col("time_s")
-    df = spine(spark, seconds, step).withColumn("irradiance_pu", irradiance(t))
+    df = (spine(spark, seconds, step) if axis is None else axis.select("time_s")).withColumn("irradiance_pu", irradiance(t))
     df = clouds(df) if noisy else df
     df = df.withColumns({
         "timestamp_utc": iso(t, base), "temperature_c": temperature(t, spread=0.5 * noisy), "load_kw": load(t, spread=3.0 * noisy),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detectors, effects, explain, metrics, quality, windows
+from ..operators import detectors, effects, explain, metrics, quality, registry, windows
 from ..sources.readers import table
 from .timeseries import _E, _events
 
@@ -96,11 +96,13 @@ def family_metrics(spark, d):
     return metrics.evaluate(_scores(spark, d), ["source"], F.col("y") == 1, F.col("score") >= 3000, both_classes=True)
 
 
-@_query(f"WITH {_S}, t AS (SELECT * FROM s WHERE doc_id % 2 = 1 AND source NOT IN (SELECT source FROM s WHERE doc_id % 5 = 0 AND source <> 'src0')), c AS (SELECT count(*) FILTER (y = 1 AND score >= 3000) AS tp, count(*) FILTER (y = 0 AND score >= 3000) AS fp, count(*) FILTER (y = 0 AND score < 3000) AS tn, count(*) FILTER (y = 1 AND score < 3000) AS fn FROM t) SELECT *, {_RATES} FROM c")
+@_query(f"WITH {_S}, h AS (SELECT *, ('0x' || substr(md5(source), 1, 8))::BIGINT % 2 AS fold FROM s WHERE source <> 'src0'), t AS (SELECT * FROM h x WHERE source NOT IN (SELECT source FROM h WHERE fold <> x.fold)), c AS (SELECT fold, count(*) FILTER (y = 1 AND score >= 3000) AS tp, count(*) FILTER (y = 0 AND score >= 3000) AS fp, count(*) FILTER (y = 0 AND score < 3000) AS tn, count(*) FILTER (y = 1 AND score < 3000) AS fn FROM t GROUP BY 1) SELECT *, {_RATES} FROM c")
 def unseen_group_metrics(spark, d):
-    rows = _scores(spark, d)
-    test = metrics.unseen_groups(rows.filter("doc_id % 2 = 1"), rows.filter("doc_id % 5 = 0 and source <> 'src0'"), "source")
-    return metrics.evaluate(test, [], F.col("y") == 1, F.col("score") >= 3000)
+    """Two folds of sources, each judged as groups that the other has not seen; the background source is in neither."""
+    fold = F.conv(F.substring(F.md5("source"), 1, 8), 16, 10).cast("long") % 2
+    rows = _scores(spark, d).withColumn("fold", fold)
+    parts = [metrics.unseen_groups(rows.filter(F.col("fold") == k), rows.filter(F.col("fold") == 1 - k), "source", ["src0"]) for k in (0, 1)]
+    return metrics.evaluate(parts[0].unionByName(parts[1]), ["fold"], F.col("y") == 1, F.col("score") >= 3000)
 
 
 _P = f"""{_S}, p AS (SELECT doc_id AS window_id, y AS y_true, m.name, (m.v >= m.cut)::INT AS y_pred, round(least(1, m.v / (2 * m.cut)), 6) AS score FROM s, LATERAL (VALUES ('length', score, 3000.0), ('commas', s2, 20.0), ('stops', s3, 50.0)) m(name, v, cut))"""
@@ -271,6 +273,16 @@ def stacked_scores(spark, d):
     return made.select("doc_id", "y", F.round("stacked", 4).alias("stacked"))
 
 
-@_query("SELECT * FROM (VALUES ('ocsvm', 'NOT_RUN', 'library missing'), ('ttm', 'NOT_RUN', 'library missing')) t(model_name, status, failure_reason)")
+@_query(f"""WITH {_E}, n AS (SELECT count(*) AS n FROM e) SELECT 'robust_z' AS model_name, 'PASS' AS status, NULL::VARCHAR AS failure_reason, n AS scored FROM n UNION ALL SELECT 'standard_z', 'PASS', NULL, n FROM n UNION ALL SELECT 'ocsvm', 'NOT_RUN', 'No module named ''a_kernel_library''', NULL UNION ALL SELECT 'flat', 'FAILED', 'ValueError: no scale', NULL""")
 def not_run_rows(spark, d):
-    return detectors.not_run(spark, "ocsvm", "library missing").unionByName(detectors.not_run(spark, "ttm", "library missing"))
+    """Models fitted and run one by one: a missing library and any other failure leave a row that says so."""
+    rows = _events(spark, d).select("event_id", "value", (F.col("t") % 3600).cast("double").alias("phase"))
+    z = lambda name: lambda: registry.scores(rows, registry.z_models(rows, ["value", "phase"]).filter(F.col("model_name") == name), ["event_id"])
+
+    def missing():
+        import a_kernel_library  # noqa: F401
+
+    def broken():
+        raise ValueError("no scale")
+
+    return registry.attempted(spark, {"robust_z": z("robust_z"), "standard_z": z("standard_z"), "ocsvm": missing, "flat": broken})
\ No newline at end of file

@@ -29,11 +29,6 @@ def _query(sql: str):
     return register
 
 
-def _lines(spark, text: str, source: str = "a") -> DataFrame:
-    """The lines of a text with their places."""
-    return spark.range(1).select(F.posexplode(F.split(F.lit(text), "\n")).alias("line", "value")).withColumn("source_path", F.lit(source))
-
-
 @_query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_totalprice > 100000")
 def csv_round_trip(spark, d):
     """Written as CSV with a header, read again with declared types and only three columns."""
@@ -82,12 +77,12 @@ def json_bundles(spark, d):
     return found.select("r_name", F.inline("nations"))
 
 
-@_query("SELECT 'a' AS model, o_orderkey, o_totalprice AS score, NULL::DOUBLE AS threshold FROM orders WHERE o_orderkey % 10 = 1 UNION ALL SELECT 'b', o_orderkey, o_totalprice / 2, 5.0 FROM orders WHERE o_orderkey % 10 = 2")
+@_query("SELECT 'a' AS model, o_orderkey, o_totalprice AS score, NULL::DOUBLE AS threshold FROM orders UNION ALL SELECT 'b', o_orderkey, o_totalprice / 2, 5.0 FROM orders")
 def appended_scores(spark, d):
     """Scores appended a model at a time; a column that only later ones have reads as NULL."""
     path, rows = sinks.scratch(spark, "scores"), table(spark, d, "orders")
-    sinks.write_table(rows.filter("o_orderkey % 10 = 1").select(F.lit("a").alias("model"), "o_orderkey", F.col("o_totalprice").alias("score")), path)
-    sinks.append_aligned(rows.filter("o_orderkey % 10 = 2").select(F.lit("b").alias("model"), "o_orderkey", (F.col("o_totalprice") / 2).alias("score"), F.lit(5.0).alias("threshold")), path)
+    sinks.write_table(rows.select(F.lit("a").alias("model"), "o_orderkey", F.col("o_totalprice").alias("score")), path)
+    sinks.append_aligned(rows.select(F.lit("b").alias("model"), "o_orderkey", (F.col("o_totalprice") / 2).alias("score"), F.lit(5.0).alias("threshold")), path)
     return sinks.read_aligned(spark, path).select("model", "o_orderkey", "score", "threshold")
 
 
@@ -106,44 +101,38 @@ def markdown_reports(spark, d):
     return table(spark, d, "nation").groupBy("n_regionkey").agg(sinks.markdown_lines("n_nationkey", ["n_nationkey", "n_name"]).alias("report"))
 
 
-_SCRIPT = """! ratings of the site
-New PVSystem.pv1 phases=3 kVA=110 ! rated
-~ Pmpp=100 irradiance=1.0
-New Storage.bess1 kVA=55
-~ kWrated=50 kWhrated=200 %reserve=10
-More enabled=yes
-set mode=daily"""
+#: Lines of a supplier's model script and settings: (place, text before the number, multiplier, text behind it).
+_SCRIPT = ((1, "! ratings of site ", 1, ""), (2, "New PVSystem.pv", 1, " phases=3 kVA=110 ! rated"), (3, "~ Pmpp=", 10, " irradiance=1.0"), (4, "New Storage.bess", 1, " kVA=55"), (5, "~ kWrated=", 5, " %reserve=10"), (6, "More kWhrated=", 7, " enabled=yes"), (7, "set mode=daily", 0, ""))
+_YAML = ((1, "# site ", 1, ""), (2, 'site: "north', 1, '"'), (3, "pv:", 0, ""), (4, "  kva: ", 12, "   # upper"), (5, "  kw: 90", 0, ""), (6, "bess:", 0, ""), (7, "  soc_min: '", 1, "'"))
 
 
-@_query("""SELECT * FROM (VALUES ('PVSystem.pv1', 'phases', '3'), ('PVSystem.pv1', 'kva', '110'), ('PVSystem.pv1', 'pmpp', '100'), ('PVSystem.pv1', 'irradiance', '1.0'), ('Storage.bess1', 'kva', '55'),
-('Storage.bess1', 'kwrated', '50'), ('Storage.bess1', 'kwhrated', '200'), ('Storage.bess1', '%reserve', '10'), ('Storage.bess1', 'enabled', 'yes')) t(object, "key", "value")""")
-def script_ratings(spark, d):
-    """Objects and settings of a model script, by line."""
-    return readers.network_objects(_lines(spark, _SCRIPT)).select("object", "key", "value")
+def _texts(spark, d: str, lines: tuple) -> DataFrame:
+    """The lines of each supplier's file."""
+    k = F.col("s_suppkey")
+    each = F.array(*[F.struct(F.lit(i).alias("line"), F.concat(F.lit(before), F.when(F.lit(m) > 0, (k * m).cast("string")).otherwise(""), F.lit(behind)).alias("value")) for i, before, m, behind in lines])
+    return table(spark, d, "supplier").select(k.cast("string").alias("source_path"), F.inline(each))
 
 
-_YAML = """# site
-site: "north"
-pv:
-  kva: 120   # upper
-  kw: 90
-bess:
-  kva: 60
-  soc_min: '12'"""
+@_query("""WITH k AS (SELECT s_suppkey AS n FROM supplier) SELECT n::VARCHAR AS site, u.* FROM k, LATERAL (VALUES ('PVSystem.pv' || n, 'phases', '3'), ('PVSystem.pv' || n, 'kva', '110'), ('PVSystem.pv' || n, 'pmpp', (n * 10)::VARCHAR), ('PVSystem.pv' || n, 'irradiance', '1.0'), ('Storage.bess' || n, 'kva', '55'),
+('Storage.bess' || n, 'kwrated', (n * 5)::VARCHAR), ('Storage.bess' || n, 'kwhrated', (n * 7)::VARCHAR), ('Storage.bess' || n, '%reserve', '10'), ('Storage.bess' || n, 'enabled', 'yes')) u(object, "key", "value")""")
+def script_ratings(spark, d):
+    """Objects and settings of each supplier's model script, by line."""
+    return readers.network_objects(_texts(spark, d, _SCRIPT)).select(F.col("source_path").alias("site"), "object", "key", "value")
 
 
-@_query("SELECT * FROM (VALUES (NULL, 'site', 'north'), ('pv', 'kva', '120'), ('pv', 'kw', '90'), ('bess', 'kva', '60'), ('bess', 'soc_min', '12')) t(section, \"key\", \"value\")")
+@_query("""WITH k AS (SELECT s_suppkey AS n FROM supplier) SELECT n::VARCHAR AS name, u.* FROM k, LATERAL (VALUES (NULL, 'site', 'north' || n), ('pv', 'kva', (n * 12)::VARCHAR), ('pv', 'kw', '90'), ('bess', 'soc_min', n::VARCHAR)) u(section, "key", "value")""")
 def yaml_settings(spark, d):
-    return readers.settings(_lines(spark, _YAML), "line").select("section", "key", "value")
+    return readers.settings(_texts(spark, d, _YAML), "line").select(F.col("source_path").alias("name"), "section", "key", "value")
 
 
-@_query("SELECT * FROM (VALUES ('pv_kva', '110', 'script'), ('pv_kw', '90', 'yaml'), ('bess_kva', '55', 'script'), ('bess_soc_min', '12', 'yaml'), ('bess_kwh', '200', 'default')) t(\"key\", \"value\", source)")
+@_query("""WITH k AS (SELECT s_suppkey AS n FROM supplier) SELECT n::VARCHAR AS name, u.* FROM k, LATERAL (VALUES ('pv_kva', '110', 'script'), ('pv_kw', '90', 'yaml'), ('bess_kva', '55', 'script'), ('bess_soc_min', n::VARCHAR, 'yaml'), ('bess_kwh', '200', 'default')) u("key", "value", source)""")
 def rating_priority(spark, d):
-    """Defaults, then YAML, then the script; each setting with the source that decided it."""
-    yaml = readers.settings(_lines(spark, _YAML), "line").filter("section is not null").select(F.concat_ws("_", "section", "key").alias("key"), "value", F.lit("yaml").alias("source"))
-    script = readers.network_objects(_lines(spark, _SCRIPT)).filter("key = 'kva'").select(F.concat(F.regexp_extract("object", r"\.([a-z]+)", 1), F.lit("_kva")).alias("key"), "value", F.lit("script").alias("source"))
-    defaults = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"), F.lit("default").alias("source")) for k, v in (("pv_kva", "100"), ("bess_kva", "50"), ("bess_kwh", "200"))])))
-    return readers.ratings(defaults.unionByName(yaml).unionByName(script), ["default", "yaml", "script"])
+    """Defaults, then YAML, then the script of each supplier; each setting with the source that decided it."""
+    yaml = readers.settings(_texts(spark, d, _YAML), "line").filter("section is not null").select(F.col("source_path").alias("name"), F.concat_ws("_", "section", "key").alias("key"), "value", F.lit("yaml").alias("source"))
+    script = readers.network_objects(_texts(spark, d, _SCRIPT)).filter("key = 'kva'").select(F.col("source_path").alias("name"), F.concat(F.regexp_extract("object", r"\.([a-z]+)", 1), F.lit("_kva")).alias("key"), "value", F.lit("script").alias("source"))
+    known = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"), F.lit("default").alias("source")) for k, v in (("pv_kva", "100"), ("bess_kva", "50"), ("bess_kwh", "200"))])
+    defaults = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("name"), F.inline(known))
+    return readers.ratings(defaults.unionByName(yaml).unionByName(script), ["default", "yaml", "script"], ["name"])
 
 
 @_query("SELECT r_name AS name, CASE WHEN r_name = 'AMERICA' THEN 'americas' WHEN r_name LIKE 'MIDDLE%' THEN 'middle' ELSE 'other' END AS kind, length(r_name)::BIGINT + 1 AS length, sha256(r_name || chr(10)) AS digest FROM region WHERE r_name <> 'ASIA'")
@@ -250,10 +239,10 @@ def aligned_tables(spark, d):
     return quality.equal_on(rows, other, "k", ["v"])
 
 
-@_query("SELECT n_name, r_name FROM nation RIGHT JOIN region ON n_regionkey = r_regionkey AND n_nationkey < 5")
+@_query("SELECT s_suppkey, c_custkey FROM supplier RIGHT JOIN customer ON s_suppkey = c_custkey")
 def join_right_outer(spark, d):
-    left = table(spark, d, "nation").filter("n_nationkey < 5")
-    return left.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "right").select("n_name", "r_name")
+    """Every customer, with the supplier of the same number where there is one."""
+    return table(spark, d, "supplier").join(table(spark, d, "customer"), F.col("s_suppkey") == F.col("c_custkey"), "right").select("s_suppkey", "c_custkey")
 
 
 @_query("WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders) SELECT o_orderpriority, o_orderkey FROM r WHERE k = 1 ORDER BY o_orderkey LIMIT 3")

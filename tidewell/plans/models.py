@@ -143,14 +143,15 @@ def causality_suite(spark, d):
     return quality.causality_suite(rows, log, "scenario_id", 604_800)
 
 
-@_query(f"""WITH {_E}, d AS (SELECT k AS detection_id, k * 86400 AS s, k * 86400 + 3599 AS x, ['normal', 'cyber_only'][k % 2 + 1] AS kind FROM range(0, 30) r(k)), j AS (SELECT detection_id, kind, event_type, value, event_id, t FROM d LEFT JOIN e ON t BETWEEN s AND x)
+@_query(f"""WITH {_E}, d AS (SELECT k AS detection_id, k * 86400 AS s, k * 86400 + 3599 AS x, ['normal', 'cyber_only'][k % 2 + 1] AS kind FROM (SELECT unnest(range(0, max(t) // 86400 + 1)) AS k FROM e)), j AS (SELECT detection_id, kind, event_type, value, event_id, t FROM d LEFT JOIN e ON t BETWEEN s AND x)
 SELECT detection_id, kind, CASE kind WHEN 'normal' THEN 'No anomaly. Normal monitoring.' ELSE 'Cyber flags active but no physical effect.' END AS timing, round(avg(value), 4) AS mean, round(avg((event_type = 'error')::INT), 4) AS cyber, count(value) AS points FROM j GROUP BY detection_id, kind""")
 def evidence_packets(spark, d):
     """One nested document a detection: what it is, its signals, its cyber evidence and what both say; read back out of the JSON."""
     rows = _events(spark, d)
     aligned = rows.select(F.col("t").alias("time_s"), F.col("event_type").alias("cyber_state"), F.col("event_type").alias("cyber_lifecycle_stage"), (F.col("event_type") == "error").cast("int").alias("cyber_anomaly_active"), "value")
     kind = F.when(F.col("id") % 2 == 0, "normal").otherwise("cyber_only")
-    hits = spark.range(30).select(F.col("id").alias("detection_id"), (F.col("id") * 86_400).alias("window_start_s"), (F.col("id") * 86_400 + 3599).alias("window_end_s"), kind.alias("scenario_class"))
+    days = (rows.agg(F.max("t")).first()[0] or 0) // 86_400 + 1
+    hits = spark.range(days).select(F.col("id").alias("detection_id"), (F.col("id") * 86_400).alias("window_start_s"), (F.col("id") * 86_400 + 3599).alias("window_end_s"), kind.alias("scenario_class"))
     made = explain.packets(hits, explain.signal_evidence(hits, aligned, ["value"], 3600), explain.cyber_evidence(hits, aligned, [], 3600))
     get = lambda path: F.get_json_object("packet", path)
     return made.select("detection_id", get("$.detection.scenario_class").alias("kind"), get("$.expected_vs_actual.timing_relationship_observed").alias("timing"), F.round(get("$.physical_evidence[0].mean").cast("double"), 4).alias("mean"),

@@ -25,8 +25,13 @@ def _query(sql: str):
 _NUMBERS = ("irradiance_pu", "temperature_c", "load_kw", "pv_p_kw", "bess_p_kw", "pcc_p_kw", "pcc_q_kvar", "pcc_v_a_pu", "pcc_i_a_amp", "feeder_head_p_kw", "line_loading_max_percent")
 
 
-def _profile_sql(seconds: int, step: int) -> str:
-    return f"""b AS (SELECT t AS time_s, t % 86400 AS tod, t // 86400 AS day FROM range(0, {seconds}, {step}) r(t)),
+def _axis(spark, d: str, step: int) -> DataFrame:
+    """The steps in which the log has events."""
+    return _events(spark, d).select((F.floor(F.col("t") / step) * step).alias("time_s")).distinct()
+
+
+def _profile_sql(step: int) -> str:
+    return f"""{_E}, b AS (SELECT DISTINCT t // {step} * {step} AS time_s, t // {step} * {step} % 86400 AS tod, t // {step} * {step} // 86400 AS day FROM e),
 s AS (SELECT *, CASE WHEN tod BETWEEN 21600 AND 64800 THEN sin(pi() * (tod - 21600) / 43200.0) ELSE 0 END * [0.92, 0.85, 0.97, 0.78, 0.90, 0.95, 0.82][day % 7 + 1] AS irradiance_pu,
 least(45.0, greatest(-5.0, [15.0, 12.0, 18.0, 10.0, 16.0, 20.0, 14.0][day % 7 + 1] + 8 * sin(pi() * (tod / 86400.0 - 0.25)))) AS temperature_c,
 least(160.0, greatest(20.0, CASE WHEN day % 7 >= 5 THEN 55.0 ELSE 80.0 END + 40 * least(1.0, greatest(0.0, sin(pi() * (tod - 21600) / 14400.0))) + 50 * least(1.0, greatest(0.0, sin(pi() * (tod - 54000) / 18000.0))))) AS load_kw FROM b),
@@ -35,57 +40,57 @@ q AS (SELECT *, load_kw - pv_p_kw - bess_p_kw AS pcc_p_kw, least(1.1, greatest(0
 c AS (SELECT *, v AS pcc_v_a_pu, least(500.0, abs(pcc_p_kw) / (sqrt(3) * v * 0.48 + 1e-9) * 1000) AS pcc_i_a_amp, least(150.0, abs(pcc_p_kw) / (sqrt(3) * v * 0.48 + 1e-9) * 1000 / 200.0 * 100.0) AS line_loading_max_percent FROM q)"""
 
 
-@_query(f"WITH {_profile_sql(604_800, 300)} SELECT time_s, {', '.join(f'round({n}, 6) AS {n}' for n in _NUMBERS)}, (CASE WHEN v < 0.97 THEN 1 ELSE 0 END) AS capacitor_status, strftime(TIMESTAMP '2024-01-01' + to_seconds(time_s), '%Y-%m-%dT%H:%M:%SZ') AS timestamp_utc FROM c")
+@_query(f"WITH {_profile_sql(300)} SELECT time_s, {', '.join(f'round({n}, 6) AS {n}' for n in _NUMBERS)}, (CASE WHEN v < 0.97 THEN 1 ELSE 0 END) AS capacitor_status, strftime(TIMESTAMP '2024-01-01' + to_seconds(time_s), '%Y-%m-%dT%H:%M:%SZ') AS timestamp_utc FROM c")
 def site_profile(spark, d):
-    """A week of one site every five minutes: weather, load, dispatch and the electrical model."""
-    made = telemetry.profile(spark, 604_800, step=300, noisy=False)
+    """One site in each five minutes that have events: weather, load, dispatch and the electrical model."""
+    made = telemetry.profile(spark, 0, axis=_axis(spark, d, 300), noisy=False)
     return made.select("time_s", *[F.round(n, 6).alias(n) for n in _NUMBERS], "capacitor_status", "timestamp_utc")
 
 
-@_query(f"""WITH RECURSIVE {_profile_sql(86_400, 60)}, n AS (SELECT time_s, bess_p_kw, row_number() OVER (ORDER BY time_s) AS i FROM c),
+@_query(f"""WITH RECURSIVE {_profile_sql(300)}, n AS (SELECT time_s, bess_p_kw, row_number() OVER (ORDER BY time_s) AS i FROM c),
 l AS (SELECT 0::BIGINT AS i, -1::BIGINT AS time_s, NULL::DOUBLE AS soc, 50.0::DOUBLE AS x UNION ALL
 SELECT n.i, n.time_s, l.x, least(90.0, greatest(10.0, least(90.0, greatest(10.0, l.x + 100 * CASE WHEN bess_p_kw < 0 THEN -bess_p_kw * 0.95 ELSE -bess_p_kw / 0.95 END / 3600 / 200.0)) - 100 * 0.0001 / 3600)) FROM l JOIN n ON n.i = l.i + 1)
 SELECT time_s, round(soc, 6) AS bess_soc_percent FROM l WHERE i > 0""")
 def site_charge(spark, d):
-    """State of charge before each step of a day."""
-    rows = telemetry.profile(spark, 86_400, step=60, noisy=False).select("time_s", "bess_p_kw").withColumn("site", F.lit("a"))
+    """State of charge before each five minutes that have events."""
+    rows = telemetry.profile(spark, 0, axis=_axis(spark, d, 300), noisy=False).select("time_s", "bess_p_kw").withColumn("site", F.lit("a"))
     return telemetry.charge_series(rows, telemetry.Site(), ["site"]).select("time_s", F.round("bess_soc_percent", 6).alias("bess_soc_percent"))
 
 
-#: (id, effect, start, end, size, size2, delay): every effect once on one day.
+#: (id, effect, start, end, size, size2, delay): every effect once on the first day.
 _FX = (("a", "irradiance_drop", 40_000, 41_000, 0.5, 0.0, 0), ("b", "load_step", 42_000, 43_000, 40.0, 0.0, 0), ("c", "delayed_limit", 44_000, 45_200, 10.0, 0.0, 600), ("d", "voltage_sag", 46_000, 47_000, 0.1, 0.0, 0), ("e", "wrong_direction", 48_000, 49_000, 20.0, 0.0, 0),
        ("f", "soc_violation", 50_000, 51_000, 0.0, 0.0, 0), ("g", "oscillation", 51_000, 51_600, 0.0, 0.0, 0), ("h", "wrong_setpoint", 52_000, 52_600, 5.0, 60.0, 0), ("i", "stale_setpoint", 53_000, 53_600, 12.0, 0.0, 0))
 
 
-@_query(f"""WITH {_profile_sql(86_400, 60)}, f(id, effect, s, e, size, size2, delay) AS (VALUES {', '.join(map(str, _FX))}),
+@_query(f"""WITH {_profile_sql(60)}, f(id, effect, s, e, size, size2, delay) AS (VALUES {', '.join(map(str, _FX))}),
 j AS (SELECT c.*, f.* EXCLUDE (s), s AS fs FROM c LEFT JOIN f ON time_s >= s AND time_s < e AND (effect <> 'delayed_limit' OR time_s >= s + delay)),
 k AS (SELECT *, CASE WHEN effect = 'irradiance_drop' THEN irradiance_pu * size * 100 ELSE pv_p_kw END AS available,
 CASE WHEN effect = 'irradiance_drop' THEN pv_p_kw WHEN effect IN ('delayed_limit', 'wrong_setpoint', 'stale_setpoint') THEN size WHEN effect = 'oscillation' THEN 100 * CASE WHEN ((time_s - fs) // 5) % 2 = 0 THEN 0.8 ELSE 0.2 END END AS wanted FROM j),
 m AS (SELECT *, CASE WHEN wanted IS NULL THEN pv_p_kw ELSE least(wanted, available) END AS pv2, CASE WHEN effect = 'wrong_direction' THEN -size WHEN effect = 'soc_violation' THEN 50.0 ELSE bess_p_kw END AS bess2,
 CASE WHEN effect = 'load_step' THEN pcc_p_kw + size ELSE pcc_p_kw END AS pcc2, CASE WHEN effect = 'voltage_sag' THEN least(1.15, greatest(0.5, v - size)) ELSE v END AS v2 FROM k)
-SELECT time_s, coalesce(id, 'clean_baseline') AS physical_scenario_id, coalesce(effect, 'none') AS physical_effect_type, round(pv2, 6) AS pv_p_kw, round(greatest(available - pv2, 0), 6) AS pv_curtailment_kw, round(bess2, 6) AS bess_p_kw, round(v2, 6) AS pcc_voltage_mean_pu,
+SELECT time_s, coalesce(id, 'clean_baseline') AS physical_scenario_id, coalesce(effect, 'none') AS physical_effect_type, round(pv2, 6) AS pv_p_kw, round(greatest(available - pv2, 0), 6) AS pv_curtailment_kw, round(bess2, 6) AS bess_p_kw, round(v2, 8) AS pcc_voltage_mean_pu,
 round(CASE WHEN effect = 'load_step' THEN least(500.0, abs(pcc2) / (sqrt(3) * v2 * 0.48 + 1e-9) * 1000) WHEN effect = 'voltage_sag' THEN least(800.0, pcc_i_a_amp / v2) ELSE pcc_i_a_amp END, 6) AS pcc_i_a_amp,
-round(CASE WHEN effect = 'wrong_setpoint' THEN size2 WHEN effect = 'delayed_limit' THEN size ELSE pv_p_kw END, 6) AS pv_commanded_p_kw, round(pcc2 - pcc_p_kw, 6) AS delta_pcc_p_kw, round(v2 - v, 6) AS delta_pcc_v_a_pu, round(pv2 - pv_p_kw, 6) AS delta_pv_p_kw,
+round(CASE WHEN effect = 'wrong_setpoint' THEN size2 WHEN effect = 'delayed_limit' THEN size ELSE pv_p_kw END, 6) AS pv_commanded_p_kw, round(pcc2 - pcc_p_kw, 6) AS delta_pcc_p_kw, round(v2 - v, 8) AS delta_pcc_v_a_pu, round(pv2 - pv_p_kw, 6) AS delta_pv_p_kw,
 abs(pv2 - pv_p_kw) > 0.01 AS moved FROM m""")
 def site_attacked(spark, d):
-    """A day under every effect, and its residuals against the clean day."""
-    clean = telemetry.profile(spark, 86_400, step=60, noisy=False)
+    """Minutes with events under every effect, and their residuals against the clean ones."""
+    clean = telemetry.profile(spark, 0, axis=_axis(spark, d, 60), noisy=False)
     fx = spark.createDataFrame(_FX, "scenario_id string, effect string, start_s long, end_s long, size double, size2 double, delay_s long")
     attacked = telemetry.disturb(clean, fx)
     made = telemetry.residuals(clean, attacked, ["pcc_p_kw", "pcc_v_a_pu", "pv_p_kw"], context=["physical_scenario_id", "physical_effect_type", "pv_curtailment_kw", "bess_p_kw", "pcc_voltage_mean_pu", "pcc_i_a_amp", "pv_commanded_p_kw"])
     made = made.join(attacked.select("time_s", "pv_p_kw"), "time_s")
-    return made.select("time_s", "physical_scenario_id", "physical_effect_type", *[F.round(c, 6).alias(c) for c in ("pv_p_kw", "pv_curtailment_kw", "bess_p_kw", "pcc_voltage_mean_pu", "pcc_i_a_amp", "pv_commanded_p_kw", "delta_pcc_p_kw", "delta_pcc_v_a_pu", "delta_pv_p_kw")], (F.abs("delta_pv_p_kw") > 0.01).alias("moved"))
+    return made.select("time_s", "physical_scenario_id", "physical_effect_type", *[F.round(c, 8 if "pcc_v" in c else 6).alias(c) for c in ("pv_p_kw", "pv_curtailment_kw", "bess_p_kw", "pcc_voltage_mean_pu", "pcc_i_a_amp", "pv_commanded_p_kw", "delta_pcc_p_kw", "delta_pcc_v_a_pu", "delta_pv_p_kw")], (F.abs("delta_pv_p_kw") > 0.01).alias("moved"))
 
 
-@_query(f"""WITH {_profile_sql(604_800, 300)}, r(check_name, violations, severity) AS (SELECT * FROM (SELECT 'row_count', abs(count(*) - 2016)::BIGINT, 'FAIL' FROM c UNION ALL SELECT 'unique_time_s', count(*) - count(DISTINCT time_s), 'FAIL' FROM c UNION ALL
-SELECT 'no_gaps', count(*) FILTER (x - time_s <> 300), 'FAIL' FROM (SELECT time_s, lead(time_s) OVER (ORDER BY time_s) AS x FROM c) UNION ALL SELECT 'start_timestamp', 0, 'FAIL' UNION ALL SELECT 'end_timestamp', 0, 'FAIL' UNION ALL
+@_query(f"""WITH {_profile_sql(300)}, r(check_name, violations, severity) AS (SELECT * FROM (SELECT 'row_count', abs(count(*) - 2016)::BIGINT, 'FAIL' FROM c UNION ALL SELECT 'unique_time_s', count(*) - count(DISTINCT time_s), 'FAIL' FROM c UNION ALL
+SELECT 'no_gaps', count(*) FILTER (x - time_s <> 300), 'FAIL' FROM (SELECT time_s, lead(time_s) OVER (ORDER BY time_s) AS x FROM c) UNION ALL SELECT 'start_timestamp', (min(time_s) <> 0)::BIGINT, 'FAIL' FROM c UNION ALL SELECT 'end_timestamp', (max(time_s) <> 604500)::BIGINT, 'FAIL' FROM c UNION ALL
 SELECT 'has_time_s', 0, 'FAIL' UNION ALL SELECT 'has_bess_soc_percent', 1, 'FAIL' UNION ALL SELECT 'pv_not_exceed_available', 0, 'FAIL' UNION ALL SELECT 'pv_apparent_power_limit', count(*) FILTER (pv_p_kw > 90.5), 'FAIL' FROM c UNION ALL
 SELECT 'bess_apparent_power_limit', count(*) FILTER (abs(bess_p_kw) > 30.5), 'FAIL' FROM c UNION ALL SELECT 'voltage_plausible', count(*) FILTER (v < 0.85 OR v > 1.15), 'WARN' FROM c UNION ALL SELECT 'voltage_unbalance', 0, 'FAIL' UNION ALL
 SELECT 'no_generic_rating', 0, 'FAIL' UNION ALL SELECT 'methods_allowed', count(*) FILTER (time_s % 7 = 0), 'FAIL' FROM c) t)
 SELECT check_name, violations, CASE WHEN violations = 0 THEN 'PASS' ELSE severity END AS status FROM r""")
 def physics_suite(spark, d):
-    """Every physical check on a week of telemetry whose ratings are set too low and whose methods are partly unknown."""
-    rows = telemetry.profile(spark, 604_800, step=300, noisy=False, base="2024-01-01 00:00:00").withColumns({"generation_method": F.when(F.col("time_s") % 7 == 0, "guess").otherwise("surrogate"), "pv_s_rated_kva": F.lit(110.0)})
+    """Every physical check on telemetry whose ratings are set too low, whose axis has gaps and whose methods are partly unknown."""
+    rows = telemetry.profile(spark, 0, axis=_axis(spark, d, 300), noisy=False, base="2024-01-01 00:00:00").withColumns({"generation_method": F.when(F.col("time_s") % 7 == 0, "guess").otherwise("surrogate"), "pv_s_rated_kva": F.lit(110.0)})
     site = telemetry.Site(pv_kva=90.0, storage_kva=30.0)
     return quality.physics_suite(rows, site, 2016, 300, ("2024-01-01T00:00:00", "2024-01-07T23:55:00"), ["time_s", "bess_soc_percent"], ["surrogate"])
 
@@ -187,7 +192,7 @@ def expected_and_observed(spark, d):
                                        F.floor((start + end) / 2).alias("peak_s"), said["observed_behavior_summary"].alias("observed"), said["expected_vs_observed_difference"].alias("difference"))
 
 
-@_query(f"""WITH {_E}, d AS (SELECT k AS detection_id, k * 86400 AS s, k * 86400 + 3599 AS x FROM range(0, 40) r(k)),
+@_query(f"""WITH {_E}, d AS (SELECT k AS detection_id, k * 86400 AS s, k * 86400 + 3599 AS x FROM (SELECT unnest(range(0, max(t) // 86400 + 11)) AS k FROM e)),
 j AS (SELECT d.detection_id, event_type, user_id % 3 AS u, (event_type = 'error')::INT AS a, (value > 80)::INT AS b, (value < 0)::INT AS r FROM d JOIN e ON t BETWEEN s AND x),
 g AS (SELECT detection_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS states, string_agg(DISTINCT 's' || u, ',' ORDER BY 's' || u) AS stages, round(avg(a), 4) AS cyber_fraction, round(avg(b), 4) AS blocked_flag_fraction, max(b) > 0 AS blocked_flag_seen, max(r) > 0 AS replay_flag_seen FROM j GROUP BY 1)
 SELECT d.detection_id, states, stages, cyber_fraction, blocked_flag_fraction, blocked_flag_seen, replay_flag_seen, states IS NOT NULL AS cyber_evidence_available FROM d LEFT JOIN g ON g.detection_id = d.detection_id""")
@@ -195,7 +200,8 @@ def cyber_windows(spark, d):
     """States, stages and flags seen in each detection's window; windows beyond the log have no evidence."""
     aligned = _events(spark, d).select(F.col("t").alias("time_s"), F.col("event_type").alias("cyber_state"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("cyber_lifecycle_stage"), (F.col("event_type") == "error").cast("int").alias("cyber_anomaly_active"),
                                        (F.col("value") > 80).cast("int").alias("blocked_flag"), (F.col("value") < 0).cast("int").alias("replay_flag"))
-    hits = spark.range(40).select(F.col("id").alias("detection_id"), (F.col("id") * 86_400).alias("window_start_s"), (F.col("id") * 86_400 + 3599).alias("window_end_s"))
+    days = (_events(spark, d).agg(F.max("t")).first()[0] or 0) // 86_400 + 11
+    hits = spark.range(days).select(F.col("id").alias("detection_id"), (F.col("id") * 86_400).alias("window_start_s"), (F.col("id") * 86_400 + 3599).alias("window_end_s"))
     made = explain.cyber_evidence(hits, aligned, ["blocked_flag", "replay_flag"], 3600)
     text = lambda c: F.when(F.col(c).isNotNull(), F.array_join(c, ","))
     return made.select("detection_id", text("cyber_states_seen").alias("states"), text("lifecycle_stages_seen").alias("stages"), "cyber_fraction", "blocked_flag_fraction", "blocked_flag_seen", "replay_flag_seen", "cyber_evidence_available")
@@ -247,11 +253,11 @@ def gate_overall(spark, d):
     return quality.gates(rows, ["k"], ["figures"])
 
 
-@_query(f"""WITH {_SC} SELECT scenario_id, greatest(0, start_time_s - greatest(600, (1.5 * duration_s)::BIGINT)) AS slice_start_s, least(604799, e + greatest(600, (1.5 * duration_s)::BIGINT)) AS slice_end_s, round(ramp_s / 90.0 * 100)::BIGINT AS percent,
-CASE WHEN ramp_s / 90.0 >= 0.8 THEN 'good' WHEN ramp_s / 90.0 >= 0.5 THEN 'fair' ELSE 'poor' END AS level FROM sd WHERE duration_s % 2 = 0""")
+@_query(f"""WITH {_SC} SELECT scenario_id, greatest(0, start_time_s - greatest(600, floor(1.5 * duration_s)::BIGINT)) AS slice_start_s, least(604799, e + greatest(600, floor(1.5 * duration_s)::BIGINT)) AS slice_end_s, round(ramp_s / 90.0 * 100)::BIGINT AS percent,
+CASE WHEN ramp_s / 90.0 >= 0.8 THEN 'good' WHEN ramp_s / 90.0 >= 0.5 THEN 'fair' ELSE 'poor' END AS level FROM sd""")
 def viewer_slices(spark, d):
     """Padded slices for charts, and scores as percents with their colour level."""
-    rows = _scenarios(spark, d).filter("duration_s % 2 = 0")
+    rows = _scenarios(spark, d)
     end, share = F.col("start_time_s") + F.col("duration_s") - 1, F.col("ramp_s") / 90.0
     low, high = explain.padded(F.col("start_time_s"), end, F.col("duration_s"))
     return rows.select("scenario_id", low.alias("slice_start_s"), high.alias("slice_end_s"), *[x.alias(n) for n, x in explain.scorecard(share).items()])

@@ -222,12 +222,12 @@ def point_stamping(spark, d):
     return intervals.stamp(spark.range(0, end, 60).withColumnRenamed("id", "time_s"), events, "t", {k: F.col("event_type") == k for k in _KINDS}, 60)
 
 
-@_query(f"""WITH {_C}, d AS (SELECT k AS detection_id, k * 3600 AS s, k * 3600 + 7199 AS f FROM (SELECT unnest(range(0, 718)) AS k))
+@_query(f"""WITH {_C}, d AS (SELECT k AS detection_id, k * 3600 AS s, k * 3600 + 7199 AS f FROM (SELECT unnest(range(0, (max(t) + 1 - 7200) // 3600 + 1)) AS k FROM e))
 SELECT detection_id, anchor_id, least(f, window_end_s) - greatest(s, window_start_s) + 1 AS shared_s FROM d JOIN c ON s <= window_end_s AND f >= window_start_s""")
 def detection_overlap_seconds(spark, d):
-    # a detection for each full window of the events, and for the 718 of the SQL at least
+    # a detection for each full window of the events
     end = (_events(spark, d).agg(F.max("t")).first()[0] or -1) + 1
-    hits = spark.range(max(718, (end - 7200) // 3600 + 1)).select(F.col("id").alias("detection_id"), (F.col("id") * 3600).alias("s"), (F.col("id") * 3600 + 7199).alias("f"))
+    hits = spark.range(max(0, (end - 7200) // 3600 + 1)).select(F.col("id").alias("detection_id"), (F.col("id") * 3600).alias("s"), (F.col("id") * 3600 + 7199).alias("f"))
     left = hits.withColumn("b", F.explode(F.sequence(F.floor(F.col("s") / 3600), F.floor(F.col("f") / 3600))))
     right = _context(spark, d).withColumn("b", F.explode(F.sequence(F.floor(F.col("window_start_s") / 3600), F.floor(F.col("window_end_s") / 3600))))
     shared = intervals.overlap_seconds(F.col("s"), F.col("f"), F.col("window_start_s"), F.col("window_end_s"))
@@ -303,8 +303,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY std DESC NULL
 def topk_signals(spark, d):
     rows = _events(spark, d).select("t", "event_id", F.col("value").alias("amount"), F.get_json_object("props", "$.k").cast("double").alias("k"), F.col("user_id").cast("double").alias("user"))
     met = intervals.inside(rows, "t", _context(spark, d), Interval("window_start_s", "window_end_s", True), 3600)
-    long = met.unpivot(["anchor_id"], ["amount", "k", "user"], "signal", "v")
-    made = long.groupBy("anchor_id", "signal").agg(F.count("*").alias("points"), F.round(F.stddev_samp("v"), 6).alias("std"), F.round(F.max("v") - F.min("v"), 6).alias("spread"))
+    # summed wide and turned afterwards: the joined rows are not copied for each signal
+    each = lambda v: F.struct(F.count("*").alias("points"), F.round(F.stddev_samp(v), 6).alias("std"), F.round(F.max(v) - F.min(v), 6).alias("spread")).alias(v)
+    made = met.groupBy("anchor_id").agg(*[each(v) for v in ("amount", "k", "user")]).unpivot(["anchor_id"], ["amount", "k", "user"], "signal", "v").select("anchor_id", "signal", "v.*")
     rank = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc_nulls_last("std"), "signal"))
     return made.withColumn("rank", rank.cast("long")).filter("rank <= 2")
 

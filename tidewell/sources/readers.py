@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,10 +73,14 @@ def files(spark: SparkSession, path: str, suffixes: list[str], skip: list[str] |
     return found.filter(keep)
 
 
-def fingerprints(spark: SparkSession, path: str, head: int = 4 << 20) -> DataFrame:
-    """(path, length, digest): SHA-256 of the first bytes of each file."""
+def fingerprints(spark: SparkSession, path: str, head: int = 4 << 20, most: int = 256 << 20) -> DataFrame:
+    """(path, length, digest, status): SHA-256 of the first bytes of each file.
+
+    A file is one value, so the content of those over ``most`` bytes is not read: they have no digest and are ``TOO_LARGE``.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.select("path", "length", F.sha2(F.substring("content", 1, head), 256).alias("digest"))
+    read = found.filter(F.col("length") <= most).select("path", "length", F.sha2(F.substring("content", 1, head), 256).alias("digest"), F.lit("OK").alias("status"))
+    return read.unionByName(found.filter(F.col("length") > most).select("path", "length", F.lit(None).cast("string").alias("digest"), F.lit("TOO_LARGE").alias("status")))
 
 
 def network_objects(lines: DataFrame, text: str = "value", order: str = "line", by: str = "source_path") -> DataFrame:
@@ -97,21 +99,13 @@ def network_objects(lines: DataFrame, text: str = "value", order: str = "line",
     return rows.select(by, "object", pairs.alias("_p")).select(by, "object", F.lower(F.trim(F.substring_index("_p", "=", 1))).alias("key"), F.trim(F.regexp_extract("_p", r"=\s*(.*)$", 1)).alias("value"))
 
 
-def rated(defaults: dict[str, float], *layers: tuple[str, dict[str, float | None]]) -> dict[str, tuple[float, str]]:
-    """Each setting with the source that decided it; later layers win where they have a value."""
-    out = {k: (v, "default") for k, v in defaults.items()}
-    for name, layer in layers:
-        out |= {k: (v, name) for k, v in layer.items() if v is not None}
-    return out
-
-
-def ratings(layers: DataFrame, order: list[str], source: str = "source", key: str = "key", value: str = "value") -> DataFrame:
-    """(key, value, source) of settings: of the sources in ``order``, the last one that has a value decides."""
+def ratings(layers: DataFrame, order: list[str], by: list[str] | None = None, source: str = "source", key: str = "key", value: str = "value") -> DataFrame:
+    """(by, key, value, source) of settings: of the sources in ``order``, the last one that has a value decides."""
     place = F.lit(None).cast("int")
     for i, name in enumerate(order):
         place = F.when(F.col(source) == name, i).otherwise(place)
     rows = layers.withColumn("_p", place).filter(F.col("_p").isNotNull() & F.col(value).isNotNull())
-    return rows.groupBy(key).agg(F.max_by(value, "_p").alias(value), F.max_by(source, "_p").alias(source))
+    return rows.groupBy(*(by or []), key).agg(F.max_by(value, "_p").alias(value), F.max_by(source, "_p").alias(source))
 
 
 def settings(lines: DataFrame, order: str, text: str = "value", by: str = "source_path") -> DataFrame:
@@ -148,9 +142,3 @@ def window_rows(windows: DataFrame, features: list[str], split: str | None = Non
         raise ValueError("no clean and normal window to train on")
     x = F.array(*[F.coalesce(F.col(f).cast(kind), F.lit(0.0).cast(kind)) for f in features])
     return rows.select(*[c for c in windows.columns if c not in features], x.alias("x"))
-
-
-def config(path: str) -> dict:
-    """A JSON settings file, read on the driver."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
