@@ -206,7 +206,7 @@ def test_audit_and_rollup(spark):
     assert {r.check_name: (r.violations, r.status) for r in checks.collect()} == {"row_count": (0, "PASS"), "unique_k": (1, "FAIL"), "not_null_v": (1, "FAIL"), "range_k": (1, "WARN")}
     assert quality.rollup(checks).first().overall == "FAIL"
     assert quality.missing_columns(df, ["k", "x"]) == ["x"] and quality.first_present(df, ["x", "v"]) == "v"
-    names = quality.leakage(spark.createDataFrame([("label_mean",), ("pv_std",)], "feature string"), spark.createDataFrame([("label",)], "word string"))
+    names = quality.denied_names(spark.createDataFrame([("label_mean",), ("pv_std",)], "feature string"), ["label"])
     assert [r.feature for r in names.collect()] == ["label_mean"]
 
 
