@@ -252,6 +252,13 @@ def test_codes_leave_out_no_link():
     assert not (left_out & linked).any() and left_out.mean() > 0.9 * (1 - linked.mean())
 
 
+def test_thresholds_that_need_too_many_orders_are_refused():
+    assert [lshforest.orders_for(p) for p in (100, 85, 80)] == [1, 16, 23]
+    for percent in (60, 0):
+        with pytest.raises(ValueError, match="orders"):
+            lshforest.orders_for(percent)
+
+
 def test_stages_keep_columns_of_any_name(spark):
     """Names that operators use themselves neither stop a stage nor lose their values."""
     text = "the quick brown fox jumps over the lazy dog and runs away again "

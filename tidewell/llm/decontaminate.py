@@ -125,7 +125,8 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", w
     """The item pieces, at most ``2 * block_words`` words (in expectation half) at a time."""
     items = benchmark.select(F.col(item_id).cast("string"), F.col(text)).dropna()
     most = max(1, block_words // 4)
-    pieces = items.mapInArrow(lambda x: _pieces(x, window, most), "item string, words binary, n bigint, whole boolean")
+    # written, so that items are cut into words once, not once a block
+    pieces = written(items.mapInArrow(lambda x: _pieces(x, window, most), "item string, words binary, n bigint, whole boolean"), "pieces")
     total = pieces.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // block_words))
     placed = pieces.withColumn("part", F.pmod(F.xxhash64("item", "words"), F.lit(parts)))

@@ -51,9 +51,12 @@ def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
 
 
 def orders_for(percent: int) -> int:
-    """As many orders as the threshold needs: 16 for 85, 23 for 80."""
+    """As many orders as the threshold needs: 16 for 85, 23 for 80; raises where that is more than ``MOST`` (under 64 percent)."""
     share = (percent / 100) ** DEPTH
-    return 1 if share >= 1 else min(MOST, int(np.ceil(np.log(MISSED) / np.log(1 - share))))
+    orders = 1 if share >= 1 else int(np.ceil(np.log(MISSED) / np.log(1 - share))) if share > 0 else MOST + 1
+    if orders > MOST:
+        raise ValueError(f"{percent} percent needs more than {MOST} orders of {DEPTH} coordinates")
+    return orders
 
 
 def least_equal(percent: int) -> int:
