@@ -195,3 +195,23 @@ def alignment_suite(aligned: DataFrame, log: DataFrame, manifest: DataFrame, sec
     found = [run_checks(aligned, checks), run_checks(swept, sides), run_checks(strange, [Check("log_ids_in_manifest", F.count("*"))]), run_checks(ids, [Check("manifest_scenarios", F.abs(F.count("*") - scenarios), "WARN")]),
              run_checks(unseen, [Check("scenarios_represented", F.count("*"), "WARN")])]
     return reduce(DataFrame.unionByName, found)
+
+
+def claim_case(rows: DataFrame, by: list[str], method: str, resolved: str, surrogate: str, allowed: list[str]) -> DataFrame:
+    """(by, resolved_rows, surrogate_rows, unknown_methods, claim_case, status): what may be claimed of rows by how they came about.
+
+    C: all of them resolved; B: some; A: none. Rows of other methods count for neither; methods outside ``allowed`` fail the group.
+    """
+    m = F.col(method)
+    sums = rows.groupBy(*by).agg(F.count_if(m == resolved).alias("resolved_rows"), F.count_if(m == surrogate).alias("surrogate_rows"), F.count_distinct(F.when(~m.isin(allowed), m)).alias("unknown_methods"))
+    case = F.when((F.col("resolved_rows") > 0) & (F.col("surrogate_rows") == 0), "C").when(F.col("resolved_rows") > 0, "B").otherwise("A")
+    return sums.withColumns({"claim_case": case, "status": F.when(F.col("unknown_methods") > 0, "FAIL").otherwise("PASS")})
+
+
+def file_checks(found: DataFrame, expected: DataFrame, name: str = "name", length: str = "length", least: str = "least", soft: str = "soft") -> DataFrame:
+    """(name, exists, length, status) of expected files: one that is absent or shorter than its ``least`` bytes fails, or warns where it is ``soft``."""
+    held = found.groupBy(name).agg(F.max(length).alias("_length"))
+    joined = expected.join(held, name, "left")
+    bad = F.col("_length").isNull() | (F.col("_length") < F.col(least))
+    status = F.when(~bad, "PASS").when(F.col(soft), "WARN").otherwise("FAIL")
+    return joined.select(name, F.col("_length").isNotNull().alias("exists"), F.coalesce("_length", F.lit(0)).alias("length"), status.alias("status"))

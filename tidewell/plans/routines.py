@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bundles, explain, intervals, lifecycle, scenarios, windows
+from ..operators import bundles, explain, intervals, lifecycle, quality, scenarios, telemetry, windows
 from ..operators.intervals import Interval
+from ..sources import readers, sinks
 from ..sources.readers import table
 from .ingest import _ROWS, _read
 from .site import _KINDS, _SC, _scenarios
@@ -131,3 +132,59 @@ def viewer_records(spark, d):
     rows = _events(spark, d).groupBy(F.col("event_type").alias("component"), F.floor(F.col("t") / 21_600).alias("block")).agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
     records = explain.series(rows, ["component"], "block", ["mean", "n"])
     return records.select("component", F.posexplode(F.arrays_zip("block", "mean", "n")).alias("point", "z")).select("component", "z.block", "z.mean", "z.n", F.col("point").cast("long").alias("point"))
+
+
+@_query("""WITH m AS (SELECT o_custkey % 7 AS site, CASE WHEN o_custkey % 7 = 0 THEN 'resolved' WHEN o_custkey % 7 = 1 THEN 'surrogate' WHEN o_orderkey % 9 = 0 AND o_custkey % 7 = 3 THEN 'guess ' || o_orderkey % 4 WHEN o_orderkey % 2 = 0 THEN 'resolved' ELSE 'surrogate' END AS method FROM orders),
+g AS (SELECT site, count(*) FILTER (method = 'resolved') AS resolved_rows, count(*) FILTER (method = 'surrogate') AS surrogate_rows, count(DISTINCT method) FILTER (method NOT IN ('resolved', 'surrogate')) AS unknown_methods FROM m GROUP BY 1)
+SELECT *, CASE WHEN resolved_rows > 0 AND surrogate_rows = 0 THEN 'C' WHEN resolved_rows > 0 THEN 'B' ELSE 'A' END AS claim_case, CASE WHEN unknown_methods > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM g""")
+def claim_cases(spark, d):
+    """What may be claimed of each site's rows, by how many of them were resolved."""
+    c, k = F.col("o_custkey") % 7, F.col("o_orderkey")
+    method = F.when(c == 0, "resolved").when(c == 1, "surrogate").when((k % 9 == 0) & (c == 3), F.concat(F.lit("guess "), (k % 4).cast("string"))).when(k % 2 == 0, "resolved").otherwise("surrogate")
+    rows = table(spark, d, "orders").select(c.alias("site"), method.alias("method"))
+    return quality.claim_case(rows, ["site"], "method", "resolved", "surrogate", ["resolved", "surrogate"])
+
+
+@_query("""WITH x AS (SELECT s_suppkey::VARCHAR AS name, CASE WHEN s_suppkey % 5 <> 0 THEN length(s_name) + 1 END AS n, 11 + s_suppkey % 3 AS least, s_suppkey % 2 = 0 AS soft FROM supplier)
+SELECT name, n IS NOT NULL AS exists, coalesce(n, 0)::BIGINT AS length, CASE WHEN n >= least THEN 'PASS' WHEN soft THEN 'WARN' ELSE 'FAIL' END AS status FROM x""")
+def expected_files(spark, d):
+    """A file a supplier is expected: some are absent, some too short, and of those some only warn."""
+    path, rows, k = sinks.scratch(spark, "expected"), table(spark, d, "supplier"), F.col("s_suppkey")
+    sinks.write_text_files(rows.filter(k % 5 != 0).select((k % 8).alias("folder"), k.cast("string").alias("name"), F.col("s_name").alias("value")), path)
+    found = readers.files(spark, path, [".txt"]).select(F.regexp_extract("path", "name=([0-9]+)", 1).alias("name"), "length")
+    expected = rows.select(k.cast("string").alias("name"), (11 + k % 3).alias("least"), (k % 2 == 0).alias("soft"))
+    return quality.file_checks(found, expected)
+
+
+@_query(f"""WITH {_E}, v AS (SELECT user_id, floor(value) AS value FROM e), w AS (SELECT user_id, max(abs(value)) AS p, round(avg(value), 3) AS a FROM v GROUP BY 1), k AS (SELECT *, {list(_KINDS)}[user_id % 4 + 1] AS kind FROM w)
+SELECT user_id AS scenario_id, kind AS scenario_class, CASE kind WHEN 'normal' THEN 'baseline behaviour' WHEN 'cyber_only' THEN 'event log without physical change' WHEN 'physical_only' THEN 'physical change without command' ELSE 'command and physical change together' END AS focus,
+'active from ' || user_id * 100 || ' s to ' || user_id * 100 + 299 || ' s' AS timing, CASE WHEN p <= 110 THEN 'pass' ELSE 'fail' END AS power_status, round(a, 2) AS actual_p FROM k""")
+def context_packets(spark, d):
+    """A nested document a scenario - its class, timing, constraint checks and physical evidence - read back out of the JSON."""
+    v = F.floor("value").cast("double")
+    columns = {f"{k}_{s}": x for s in ("p_kw", "q_kvar", "voltage_pu", "soc_percent") for k, x in (("baseline", v - 1), ("actual", v), ("residual", F.lit(1.0)))}
+    rows = _events(spark, d).select(F.col("user_id").alias("scenario_id"), *[x.alias(n) for n, x in columns.items()])
+    k = F.col("scenario_id")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (k % 4 + 1).cast("int"))
+    about = rows.select("scenario_id").distinct().select("scenario_id", kind.alias("scenario_class"), F.lit("x").alias("scenario_family"), (k * 100).cast("long").alias("start_time_s"), F.lit(300).cast("long").alias("duration_s"))
+    made = scenarios.packets(about, scenarios.constraint_checks(rows), scenarios.physical_evidence(rows))
+    get = lambda path: F.get_json_object("packet", path)
+    return made.select("scenario_id", get("$.scenario_class").alias("scenario_class"), get("$.focus").alias("focus"), get("$.timing").alias("timing"), get("$.constraint_checks[0].status").alias("power_status"), F.round(get("$.physical_evidence[0].actual").cast("double"), 2).alias("actual_p"))
+
+
+@_query(f"""WITH {_E}, h AS (SELECT t // 7200 AS block, 1 + (avg(value) FILTER (event_type = 'view') - 50) / 1000 AS a, 1 + (avg(value) FILTER (event_type = 'click') - 50) / 1000 AS b, 1 + (avg(value) FILTER (event_type = 'error') - 50) / 1000 AS c FROM e GROUP BY 1), m AS (SELECT *, (a + b + c) / 3 AS mean FROM h WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL),
+s AS (SELECT *, greatest(abs(a - mean), abs(b - mean), abs(c - mean)) AS spread FROM m) SELECT block, round(spread, 9) AS unbalance, CASE WHEN spread >= 0.03 THEN 'critical' WHEN spread >= 0.02 THEN 'warning' WHEN spread >= 0.012 THEN 'caution' ELSE 'normal' END AS level FROM s""")
+def unbalance_levels(spark, d):
+    """How far three phases lie apart in each block of two hours, and the level of it."""
+    phase = lambda kind: 1 + (F.avg(F.when(F.col("event_type") == kind, F.col("value"))) - 50) / 1000
+    made = _events(spark, d).groupBy(F.floor(F.col("t") / 7200).alias("block")).agg(*[phase(k).alias(f"pcc_v_{p}_pu") for p, k in (("a", "view"), ("b", "click"), ("c", "error"))]).dropna()
+    return telemetry.with_voltages(made).select("block", F.round("pcc_voltage_unbalance_pu", 9).alias("unbalance"), F.col("voltage_unbalance_status").alias("level"))
+
+
+@_query(f"""WITH {_E}, s AS (SELECT user_id, t AS sent, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS effect FROM e) SELECT least(23, (effect - sent) // 3600) AS bin, count(*) AS n, min(effect - sent) AS least_s, max(effect - sent) AS most_s FROM s WHERE effect IS NOT NULL GROUP BY 1""")
+def onset_histogram(spark, d):
+    """Seconds from each command to the next one of its user, in bins of an hour, the last one open."""
+    from pyspark.sql import Window
+
+    pairs = _events(spark, d).withColumn("effect", F.lead("t").over(Window.partitionBy("user_id").orderBy("t", "event_id"))).filter("effect is not null").select((F.col("effect") - F.col("t")).alias("s"))
+    return pairs.groupBy(F.least(F.lit(23), F.floor(F.col("s") / 3600)).alias("bin")).agg(F.count("*").alias("n"), F.min("s").alias("least_s"), F.max("s").alias("most_s"))
