@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .metrics import exact_percentiles
 
 MAD_SCALE = 1.4826
@@ -126,6 +127,7 @@ def score_rows(df: DataFrame, features: list[str], score, name: str = "score") -
 
     from pyspark.sql import types as T
 
+    ship(df.sparkSession)
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
