@@ -103,7 +103,8 @@ def markdown_reports(spark, d):
 
 #: Lines of a supplier's model script and settings: (place, text before the number, multiplier, text behind it).
 _SCRIPT = ((1, "! ratings of site ", 1, ""), (2, "New PVSystem.pv", 1, " phases=3 kVA=110 ! rated"), (3, "~ Pmpp=", 10, " irradiance=1.0"), (4, "New Storage.bess", 1, " kVA=55"), (5, "~ kWrated=", 5, " %reserve=10"), (6, "More kWhrated=", 7, " enabled=yes"), (7, "set mode=daily", 0, ""))
-_YAML = ((1, "# site ", 1, ""), (2, 'site: "north', 1, '"'), (3, "pv:", 0, ""), (4, "  kva: ", 12, "   # upper"), (5, "  kw: 90", 0, ""), (6, "bess:", 0, ""), (7, "  soc_min: '", 1, "'"))
+_YAML = ((1, "# site ", 1, ""), (2, 'site: "north', 1, '"'), (3, "pv:", 0, ""), (4, "  kva: ", 12, "   # upper"), (5, "  kw: 90", 0, ""), (6, "bess:", 0, ""), (7, "  soc_min: '", 1, "'"),
+         (8, "limits:", 0, ""), (9, "  pcc:", 0, ""), (10, "    low: -", 3, ""), (11, "    phases:", 0, ""), (12, "    - a", 1, "  # first"), (13, '    - "b"', 0, ""), (14, "  names:", 0, ""), (15, "    - n", 2, ""), (16, "last: yes", 0, ""))
 
 
 def _texts(spark, d: str, lines: tuple) -> DataFrame:
@@ -120,15 +121,16 @@ def script_ratings(spark, d):
     return readers.network_objects(_texts(spark, d, _SCRIPT)).select(F.col("source_path").alias("site"), "object", "key", "value")
 
 
-@_query("""WITH k AS (SELECT s_suppkey AS n FROM supplier) SELECT n::VARCHAR AS name, u.* FROM k, LATERAL (VALUES (NULL, 'site', 'north' || n), ('pv', 'kva', (n * 12)::VARCHAR), ('pv', 'kw', '90'), ('bess', 'soc_min', n::VARCHAR)) u(section, "key", "value")""")
+@_query("""WITH k AS (SELECT s_suppkey AS n FROM supplier) SELECT n::VARCHAR AS name, u.* FROM k, LATERAL (VALUES (NULL, 'site', 'north' || n), ('pv', 'kva', (n * 12)::VARCHAR), ('pv', 'kw', '90'), ('bess', 'soc_min', n::VARCHAR), ('limits.pcc', 'low', '-' || n * 3), ('limits.pcc.phases', '0', 'a' || n), ('limits.pcc.phases', '1', 'b'), ('limits.names', '0', 'n' || n * 2), (NULL, 'last', 'yes')) u(section, "key", "value")""")
 def yaml_settings(spark, d):
+    """Settings of each supplier's file, with sections in sections and lists."""
     return readers.settings(_texts(spark, d, _YAML), "line").select(F.col("source_path").alias("name"), "section", "key", "value")
 
 
 @_query("""WITH k AS (SELECT s_suppkey AS n FROM supplier) SELECT n::VARCHAR AS name, u.* FROM k, LATERAL (VALUES ('pv_kva', '110', 'script'), ('pv_kw', '90', 'yaml'), ('bess_kva', '55', 'script'), ('bess_soc_min', n::VARCHAR, 'yaml'), ('bess_kwh', '200', 'default')) u("key", "value", source)""")
 def rating_priority(spark, d):
     """Defaults, then YAML, then the script of each supplier; each setting with the source that decided it."""
-    yaml = readers.settings(_texts(spark, d, _YAML), "line").filter("section is not null").select(F.col("source_path").alias("name"), F.concat_ws("_", "section", "key").alias("key"), "value", F.lit("yaml").alias("source"))
+    yaml = readers.settings(_texts(spark, d, _YAML), "line").filter("section in ('pv', 'bess')").select(F.col("source_path").alias("name"), F.concat_ws("_", "section", "key").alias("key"), "value", F.lit("yaml").alias("source"))
     script = readers.network_objects(_texts(spark, d, _SCRIPT)).filter("key = 'kva'").select(F.col("source_path").alias("name"), F.concat(F.regexp_extract("object", r"\.([a-z]+)", 1), F.lit("_kva")).alias("key"), "value", F.lit("script").alias("source"))
     known = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"), F.lit("default").alias("source")) for k, v in (("pv_kva", "100"), ("bess_kva", "50"), ("bess_kwh", "200"))])
     defaults = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("name"), F.inline(known))

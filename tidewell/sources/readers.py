@@ -109,17 +109,35 @@ def ratings(layers: DataFrame, order: list[str], by: list[str] | None = None, so
 
 
 def settings(lines: DataFrame, order: str, text: str = "value", by: str = "source_path") -> DataFrame:
-    """(by, section, key, value) of plain YAML settings: ``key: value`` lines below sections, comments and quotes dropped."""
+    """(by, section, key, value) of YAML settings: ``key: value`` pairs and lists of plain values below sections of any depth.
+
+    A section is the path of the keys above, joined by dots (NULL at the top); an item of a list has its place as key. Comments
+    and quotes are dropped; lists of mappings, anchors and texts over several lines are not read. A file is one
+    document, walked with a stack of its open sections.
+    """
     from pyspark.sql import Window
 
     clean = F.regexp_replace(F.col(text), r"(^|\s)#.*$", "")
-    head = F.nullif(F.regexp_extract(clean, r"^(\w+):\s*$", 1), F.lit(""))
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumns({"_t": clean, "_h": head}).withColumn("section", F.last("_h", True).over(w))
-    pair = r"^(\s*)([\w.]+):\s+[\"']?(.*?)[\"']?\s*$"
-    rows = rows.filter(F.col("_t").rlike(pair))
-    nested = F.regexp_extract("_t", pair, 1) != ""
-    return rows.select(by, F.when(nested, F.col("section")).alias("section"), F.regexp_extract("_t", pair, 2).alias("key"), F.regexp_extract("_t", pair, 3).alias("value"))
+    pair, bare = r"^\s*([\w.%-]+):(?:\s+(.*?))?\s*$", r"^\s*-\s+(.*?)\s*$"
+    plain = lambda x: F.regexp_replace(x, r"""^["']|["']$""", "")
+    item = clean.rlike(bare)
+    value = F.when(item, F.regexp_extract(clean, bare, 1)).otherwise(F.regexp_extract(clean, pair, 2))
+    key = F.when(~item, F.regexp_extract(clean, pair, 1))
+    line = F.struct(F.col(order).alias("place"), F.length(F.regexp_extract(clean, "^ *", 0)).alias("indent"), key.alias("key"), plain(value).alias("value"), (~item & (value == "")).alias("opens"))
+    held = lines.filter(item | clean.rlike(pair)).groupBy(by).agg(F.array_sort(F.collect_list(line)).alias("_x"))
+    place = dict(lines.dtypes)[order]
+    stack, rows = F.array().cast("array<struct<indent:int,key:string>>"), F.array().cast(f"array<struct<place:{place},section:string,key:string,value:string>>")
+
+    def step(s: Column, x: Column) -> Column:
+        # an item may stand as far in as the key of its list
+        above = F.filter(s["stack"], lambda e: (e["indent"] < x["indent"]) | (x["key"].isNull() & (e["indent"] == x["indent"])))
+        section = F.array_join(F.transform(above, lambda e: e["key"]), ".")
+        one = F.struct(x["place"].alias("place"), F.nullif(section, F.lit("")).alias("section"), x["key"].alias("key"), x["value"].alias("value"))
+        return F.when(x["opens"], F.struct(F.concat(above, F.array(F.struct(x["indent"].alias("indent"), x["key"].alias("key")))).alias("stack"), s["rows"].alias("rows"))).otherwise(F.struct(above.alias("stack"), F.concat(s["rows"], F.array(one)).alias("rows")))
+
+    found = held.select(by, F.inline(F.aggregate("_x", F.struct(stack.alias("stack"), rows.alias("rows")), step, lambda s: s["rows"])))
+    nth = F.row_number().over(Window.partitionBy(by, "section", F.col("key").isNull()).orderBy("place")) - 1
+    return found.select(by, "section", F.coalesce("key", nth.cast("string")).alias("key"), "value")
 
 
 def classified(found: DataFrame, words: dict[str, list[str]], path: str = "path") -> DataFrame:
