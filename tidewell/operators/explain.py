@@ -91,6 +91,14 @@ def cyber_evidence(detections: DataFrame, aligned: DataFrame, flags: list[str],
     return out.withColumn("cyber_evidence_available", F.col("cyber_fraction").isNotNull())
 
 
+def compact(signals: DataFrame, cyber: DataFrame, flags: list[str], top: int = 4, key: str = "detection_id") -> DataFrame:
+    """(key, signals, active_flags): what fits a short prompt - the names of the ``top`` signals, best first, and of the flags that were ever up."""
+    best = signals.filter(F.col("rank") <= top).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "signal"))), lambda x: x["signal"]).alias("signals"))
+    up = cyber.select(key, F.array_compact(F.array(*[F.when(F.col(f"{f}_seen"), F.lit(f)) for f in flags])).alias("active_flags"))
+    none = F.array().cast("array<string>")
+    return up.join(best, key, "left").select(key, F.coalesce("signals", none).alias("signals"), F.coalesce("active_flags", none).alias("active_flags"))
+
+
 #: The sentences of expected and observed behaviour by class.
 DIFFERENCES = {
     "normal": ("Expected normal — no significant deviation observed.", "No anomaly. Normal monitoring."),

@@ -188,3 +188,18 @@ def onset_histogram(spark, d):
 
     pairs = _events(spark, d).withColumn("effect", F.lead("t").over(Window.partitionBy("user_id").orderBy("t", "event_id"))).filter("effect is not null").select((F.col("effect") - F.col("t")).alias("s"))
     return pairs.groupBy(F.least(F.lit(23), F.floor(F.col("s") / 3600)).alias("bin")).agg(F.count("*").alias("n"), F.min("s").alias("least_s"), F.max("s").alias("most_s"))
+
+
+@_query(f"""WITH {_E}, d AS (SELECT unnest(range(0, max(t) // 86400 + 1)) AS k FROM e), r AS (SELECT k, e.* FROM d LEFT JOIN e ON t BETWEEN k * 86400 AND k * 86400 + 1799),
+g AS (SELECT k, 'amount' AS signal, stddev_samp(value) AS std FROM r WHERE event_id IS NOT NULL GROUP BY 1 UNION ALL SELECT k, 'phase', stddev_samp((t % 3600)::DOUBLE) FROM r WHERE event_id IS NOT NULL GROUP BY 1 UNION ALL SELECT k, 'user', stddev_samp(user_id::DOUBLE) FROM r WHERE event_id IS NOT NULL GROUP BY 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY std DESC NULLS LAST, signal) AS rank FROM g), s AS (SELECT k, string_agg(signal, ',' ORDER BY rank) AS signals FROM n WHERE rank <= 2 GROUP BY 1)
+SELECT k AS detection_id, coalesce(any_value(signals), '') AS signals, concat_ws(',', CASE WHEN bool_or(event_type = 'error') THEN 'blocked_flag' END, CASE WHEN bool_or(value > 150) THEN 'mismatch_flag' END, CASE WHEN bool_or(event_type = 'purchase') THEN 'replay_flag' END) AS active_flags FROM r LEFT JOIN s USING (k) GROUP BY 1""")
+def compact_evidence(spark, d):
+    """The most variable signals and the flags that were up in the first half hour of each day; a window without events has neither."""
+    rows = _events(spark, d).select(F.col("t").alias("time_s"), F.col("value").alias("amount"), (F.col("t") % 3600).cast("double").alias("phase"), F.col("user_id").cast("double").alias("user"), F.col("event_type").alias("cyber_state"), F.col("event_type").alias("cyber_lifecycle_stage"),
+                                    (F.col("event_type") == "error").cast("int").alias("blocked_flag"), (F.col("value") > 150).cast("int").alias("mismatch_flag"), (F.col("event_type") == "purchase").cast("int").alias("replay_flag"), F.lit(1).alias("cyber_anomaly_active"))
+    days = (rows.agg(F.max("time_s")).first()[0] or 0) // 86_400 + 1
+    hits = spark.range(days).select(F.col("id").alias("detection_id"), (F.col("id") * 86_400).alias("window_start_s"), (F.col("id") * 86_400 + 1799).alias("window_end_s"))
+    flags = ["blocked_flag", "mismatch_flag", "replay_flag"]
+    made = explain.compact(explain.signal_evidence(hits, rows, ["amount", "phase", "user"], 3600), explain.cyber_evidence(hits, rows, flags, 3600), flags, 2)
+    return made.select("detection_id", F.array_join("signals", ",").alias("signals"), F.array_join("active_flags", ",").alias("active_flags"))
