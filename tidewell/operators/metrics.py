@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .intervals import settled
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -164,7 +166,8 @@ def _running(rows: DataFrame, by: list[str], score: str, sums: list[str], down:
     from exact extremes, so a task that runs again finds the same ones.
     """
     v = F.col(score).cast("double")
-    keys, placed = list(by), rows
+    # written: every pass below reads the distinct scores, not what they were made from
+    keys, placed = list(by), settled(rows, "scores")
     for name in ("_a", "_b"):
         ends = placed.groupBy(*keys).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
         placed = _joined(placed, ends, keys).withColumn(name, _place(v, F.col("_low"), F.col("_high"), bins)).drop("_low", "_high")
