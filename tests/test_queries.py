@@ -60,3 +60,18 @@ def test_detections_go_on_with_the_events(spark, tmp_path):
     later.write.parquet(str(tmp_path / "events.parquet"))
     found = catalog.QUERIES["detection_overlap_seconds"](spark, str(tmp_path))
     assert found.agg(F.max("detection_id")).first()[0] > 718
+
+
+def test_signal_directions_of_rows_of_one_second(spark, tmp_path):
+    """The first and the last second of a window hold several events; the one with the least id counts, wherever it is read."""
+    duckdb = pytest.importorskip("duckdb")
+    stamp = F.expr("timestamp_micros(unix_micros(timestamp'2024-01-01 00:00:00') + (id div 8 * 86400 + (id % 8 div 4) * 60) * 1000000 + id)")
+    value = F.when(F.col("id") % 8 < 4, F.lit(50.0)).otherwise(F.element_at(F.array(*map(F.lit, (40.0, 60.0, 45.0, 70.0))), (F.col("id") % 4 + 1).cast("int")) + F.col("id") % 16)
+    value = F.when(F.col("id") % 8 == 3, 100.0).otherwise(value)
+    rows = spark.range(64).select(F.col("id").alias("event_id"), stamp.cast("timestamp_ntz").alias("ts"), (F.col("id") % 5).alias("user_id"), F.lit("view").alias("event_type"), value.alias("value"), F.lit("{}").alias("props"))
+    rows.repartitionByRange(5, F.desc("event_id")).sortWithinPartitions(F.desc("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create table events as select * from '{tmp_path}/events.parquet/*.parquet' order by event_id")
+    theirs = con.execute("select detection_id, signal, direction from (" + catalog.SQL["signal_directions"] + ")").fetchall()
+    ours = [(r.detection_id, r.signal, r.direction) for r in catalog.QUERIES["signal_directions"](spark, str(tmp_path)).collect()]
+    assert sorted(ours) == sorted(theirs) and {x[2] for x in theirs} >= {"increase", "decrease"}

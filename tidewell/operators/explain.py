@@ -141,13 +141,17 @@ def score_matrix(rows: DataFrame, by: list[str], checks: list[str], faults: list
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *means, F.round(F.avg(F.col(parsed).cast("int")), digits).alias("parse_rate"), F.round(F.avg(F.when(F.col(parsed), score)), digits).alias("mean_score"))
 
 
-def signal_evidence(detections: DataFrame, telemetry: DataFrame, signals: list[str], bucket: int, top: int = 6, threshold: float = 0.01) -> DataFrame:
+def signal_evidence(detections: DataFrame, telemetry: DataFrame, signals: list[str], bucket: int, top: int = 6, threshold: float = 0.01, order: str | None = None) -> DataFrame:
     """The ``top`` signals by spread inside each detection's window, with their statistics and direction.
 
-    detections: detection_id, window_start_s, window_end_s; telemetry: time_s and the signals.
+    detections: detection_id, window_start_s, window_end_s; telemetry: time_s, the signals and ``order``, a column that
+    no two rows of a second share. The first and last value are of the first and last second that has one; of
+    several rows there, the least by ``order`` counts, or without it the least value.
     """
-    rows = inside(telemetry.select("time_s", *signals), "time_s", detections.select("detection_id", "window_start_s", "window_end_s"), Interval("window_start_s", "window_end_s", True), bucket)
-    made = [x for s in signals for x in (F.min(s).alias(f"{s}|min"), F.max(s).alias(f"{s}|max"), F.avg(s).alias(f"{s}|mean"), F.stddev_samp(s).alias(f"{s}|std"), F.min_by(s, "time_s").alias(f"{s}|first"), F.max_by(s, "time_s").alias(f"{s}|last"))]
+    held, tie = ([], lambda s: s) if order is None else ([F.col(order).alias("_order")], lambda s: "_order")
+    end = lambda s, time: F.min_by(s, F.when(F.col(s).isNotNull(), F.struct(time, tie(s))))
+    rows = inside(telemetry.select("time_s", *signals, *held), "time_s", detections.select("detection_id", "window_start_s", "window_end_s"), Interval("window_start_s", "window_end_s", True), bucket)
+    made = [x for s in signals for x in (F.min(s).alias(f"{s}|min"), F.max(s).alias(f"{s}|max"), F.avg(s).alias(f"{s}|mean"), F.stddev_samp(s).alias(f"{s}|std"), end(s, F.col("time_s")).alias(f"{s}|first"), end(s, -F.col("time_s")).alias(f"{s}|last"))]
     wide = rows.groupBy("detection_id").agg(F.count("*").alias("points"), *made)
     each = F.array(*[F.struct(F.lit(s).alias("signal"), *[F.col(f"`{s}|{m}`").alias(m) for m in ("min", "max", "mean", "std", "first", "last")]) for s in signals])
     long = wide.select("detection_id", "points", F.inline(each)).withColumn("delta", F.col("last") - F.col("first"))

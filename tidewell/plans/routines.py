@@ -79,10 +79,10 @@ f AS (SELECT detection_id, round(avg(bad), 4) AS active_fraction FROM r GROUP BY
 SELECT detection_id, rank::INT AS rank, signal, round(std, 6) AS std, CASE WHEN delta > 0.01 THEN 'increase' WHEN delta < -0.01 THEN 'decrease' ELSE 'stable' END AS direction, active_fraction FROM k JOIN f USING (detection_id)""")
 def signal_directions(spark, d):
     """Signals of the first two hours of each day, most variable first, with their direction and the share of the window that is active."""
-    rows = _events(spark, d).select(F.col("t").alias("time_s"), F.col("value").alias("amount"), (F.col("t") % 3600).cast("double").alias("phase"), (F.col("event_type") == "error").cast("int").alias("bad"))
+    rows = _events(spark, d).select("event_id", F.col("t").alias("time_s"), F.col("value").alias("amount"), (F.col("t") % 3600).cast("double").alias("phase"), (F.col("event_type") == "error").cast("int").alias("bad"))
     days = (rows.agg(F.max("time_s")).first()[0] or 0) // 86_400 + 1
     hits = spark.range(days).select(F.col("id").alias("detection_id"), (F.col("id") * 86_400).alias("window_start_s"), (F.col("id") * 86_400 + 7199).alias("window_end_s"))
-    made = explain.signal_evidence(hits, rows, ["amount", "phase"], 7200)
+    made = explain.signal_evidence(hits, rows, ["amount", "phase"], 7200, order="event_id")
     active = intervals.inside(rows, "time_s", hits, Interval("window_start_s", "window_end_s", True), 7200).groupBy("detection_id").agg(F.round(F.avg("bad"), 4).alias("active_fraction"))
     return made.join(active, "detection_id").select("detection_id", "rank", "signal", F.round("std", 6).alias("std"), "direction", "active_fraction")
 
