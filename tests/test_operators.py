@@ -473,3 +473,21 @@ def test_registry_equals_numpy(spark):
     both = {(r.id, r.model_name): r.score for r in registry.scores(df, chosen.drop("threshold").unionByName(stacked), ["id"]).collect()}
     assert min(both[i, "stacked"] for i in range(380, 400)) > max(both[i, "stacked"] for i in range(0, 380))
     assert registry.forest_models(train.limit(0), features, "id", grid).filter("failure_reason is null").count() == 0
+
+
+def test_percentiles_of_groups_do_not_bring_a_group_to_a_task(spark, monkeypatch):
+    """Of what two passes shuffle, no task reads more than bins: the rows stay where they are read."""
+    monkeypatch.setattr(metrics, "REST", 50)
+    frame, plans = type(spark.range(0)), []
+    collect = frame.collect
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(frame, "collect", seen)
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 20_011).cast("double").alias("v"))
+    got = metrics.percentiles_by(rows, ["g"], "v", [50], bins=16)
+    joins = [p for p in plans if "Join Inner" in p]
+    assert joins and all("strategy=broadcast" in p for p in joins)
+    assert sorted((r.g, r.percentiles[0]) for r in got.toLocalIterator()) == [(k, float(np.percentile([i * 7919 % 20_011 for i in range(k, 20_000, 2)], 50))) for k in (0, 1)]

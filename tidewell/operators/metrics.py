@@ -109,7 +109,8 @@ def _percentiles(long: DataFrame, percents: list[float], bins: int) -> list[tupl
         cells = long.sparkSession.createDataFrame([(i, *c[:3]) for i, c in enumerate(left)], schema)
         v = F.col("v")
         part = v if sum(c[4] for c in left) <= REST else _place(v, F.col("low"), F.col("high"), bins)
-        inside = rows.join(cells, "g").filter(v.between(F.col("low"), F.col("high")))
+        # the cells are as few as the groups: they go to the rows, which a join by group would bring to a task a group
+        inside = rows.join(F.broadcast(cells), "g").filter(v.between(F.col("low"), F.col("high")))
         todo, before = [], [c[3] for c in left]
         for r in sorted(inside.groupBy("i", part.alias("part")).agg(*sums).collect(), key=lambda r: (r["i"], r["low"])):
             todo.append((left[r["i"]][0], r["low"], r["high"], before[r["i"]], r["n"]))
