@@ -75,3 +75,18 @@ def test_signal_directions_of_rows_of_one_second(spark, tmp_path):
     theirs = con.execute("select detection_id, signal, direction from (" + catalog.SQL["signal_directions"] + ")").fetchall()
     ours = [(r.detection_id, r.signal, r.direction) for r in catalog.QUERIES["signal_directions"](spark, str(tmp_path)).collect()]
     assert sorted(ours) == sorted(theirs) and {x[2] for x in theirs} >= {"increase", "decrease"}
+
+
+def test_median_deviation_does_not_bring_a_group_to_a_task(spark, monkeypatch):
+    """Medians are a row a group: they go to the rows."""
+    frame, plans = type(spark.range(0)), []
+    collect = frame.collect
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(frame, "collect", seen)
+    catalog.QUERIES["median_deviation"](spark, str(DATA))
+    joins = [line for p in plans for line in p.splitlines() if "Join Inner" in line]
+    assert joins and all("strategy=broadcast" in line for line in joins)

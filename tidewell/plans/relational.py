@@ -137,7 +137,7 @@ def exact_quantiles(spark, d):
 def median_deviation(spark, d):
     rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity")
     m = metrics.percentiles_by(rows, ["l_returnflag"], "l_quantity", [50]).select("l_returnflag", F.col("percentiles")[0].alias("med"))
-    away = rows.join(m, "l_returnflag").withColumn("away", F.abs(F.col("l_quantity") - F.col("med")))
+    away = rows.join(F.broadcast(m), "l_returnflag").withColumn("away", F.abs(F.col("l_quantity") - F.col("med")))
     return metrics.percentiles_by(away, ["l_returnflag", "med"], "away", [50]).select("l_returnflag", "med", F.col("percentiles")[0].alias("mad"))
 
 
