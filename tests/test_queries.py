@@ -90,3 +90,23 @@ def test_median_deviation_does_not_bring_a_group_to_a_task(spark, monkeypatch):
     catalog.QUERIES["median_deviation"](spark, str(DATA))
     joins = [line for p in plans for line in p.splitlines() if "Join Inner" in line]
     assert joins and all("strategy=broadcast" in line for line in joins)
+
+
+def test_json_lines_are_written_by_several_tasks(spark, monkeypatch, tmp_path):
+    """Ranges of orders are files of their own, and the last order of a customer is still the one that counts."""
+    from tidewell.plans import exchange
+
+    orders = spark.range(60_000).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7 % 501).alias("o_custkey"))
+    orders.repartition(3, F.hash("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(exchange.sinks, "scratch", lambda spark, name: str(tmp_path / name))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "50k")
+    try:
+        got = {r.o_custkey: (r.o_orderkey, r.turn) for r in catalog.QUERIES["json_lines_last"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    last = {k * 7 % 501: k for k in range(60_000)}
+    assert got == {c: (k, k % 7) for c, k in last.items()}
+    assert len(list((tmp_path / "lines").glob("part-*.json"))) > 1

@@ -59,10 +59,10 @@ def padded_export(spark, d):
 
 @_query("SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, max(o_orderkey) % 7 AS turn FROM orders GROUP BY 1")
 def json_lines_last(spark, d):
-    """JSON lines, of which the last one with a key counts."""
+    """JSON lines, of which the last one with a key counts: files by ranges of the order's key, so that paths are in its order, too."""
     path = sinks.scratch(spark, "lines")
     rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 7).alias("turn"))
-    sinks.write_json_lines(rows.repartition(1).sortWithinPartitions("o_orderkey"), path)
+    sinks.write_json_lines(rows.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey"), path)
     return readers.json_lines(spark, path, "o_custkey", "o_custkey bigint, o_orderkey bigint, turn bigint")
 
 
