@@ -491,3 +491,25 @@ def test_percentiles_of_groups_do_not_bring_a_group_to_a_task(spark, monkeypatch
     joins = [p for p in plans if "Join Inner" in p]
     assert joins and all("strategy=broadcast" in p for p in joins)
     assert sorted((r.g, r.percentiles[0]) for r in got.toLocalIterator()) == [(k, float(np.percentile([i * 7919 % 20_011 for i in range(k, 20_000, 2)], 50))) for k in (0, 1)]
+
+
+def test_text_files_are_written_by_several_tasks(spark, tmp_path):
+    """Files are few bytes and many; adaptive execution would leave them to one task. Names and lines are those of Spark's writer."""
+    rows = spark.createDataFrame([(i % 3, f"n{i}", f"t{i}") for i in range(60)] + [(1, "a/b:c=d%e f'é", "x"), (1, "a/b:c=d%e f'é", "y"), (None, None, None), (2, "", "é")], "folder int, name string, value string")
+    sinks.write_text_files(rows, str(tmp_path / "ours"))
+    rows.write.partitionBy("folder", "name").text(str(tmp_path / "sparks"))
+
+    def held(root):
+        found = {}
+        for f in sorted((tmp_path / root).rglob("*.txt")):
+            found.setdefault(str(f.parent.relative_to(tmp_path / root)), []).extend(f.read_text(encoding="utf-8").split("\n")[:-1])
+        return {k: sorted(v) for k, v in found.items()}
+
+    assert held("ours") == held("sparks") and len(held("ours")) == 63
+    group = f"g{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "files")
+    sinks.write_text_files(rows, str(tmp_path / "again"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 4 * spark.sparkContext.defaultParallelism

@@ -62,9 +62,20 @@ def xml_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path).select(F.from_xml("value", schema).alias("_d")).select("_d.*")
 
 
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    """Files at any depth. They are listed here, by a few tasks a core; else each folder would be a task, for every folder above it."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    finally:
+        spark.conf.set(key, before)
+
+
 def files(spark: SparkSession, path: str, suffixes: list[str], skip: list[str] | None = None, content: bool = False) -> DataFrame:
     """(path, length, modificationTime[, content]) of files with a suffix, outside the folders to skip."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    found = _binary(spark, path)
     if not content:
         found = found.drop("content")
     keep = F.lower("path").rlike("(?:" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
@@ -78,7 +89,7 @@ def fingerprints(spark: SparkSession, path: str, head: int = 4 << 20, most: int
 
     A file is one value, so the content of those over ``most`` bytes is not read: they have no digest and are ``TOO_LARGE``.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    found = _binary(spark, path)
     read = found.filter(F.col("length") <= most).select("path", "length", F.sha2(F.substring("content", 1, head), 256).alias("digest"), F.lit("OK").alias("status"))
     return read.unionByName(found.filter(F.col("length") > most).select("path", "length", F.lit(None).cast("string").alias("digest"), F.lit("TOO_LARGE").alias("status")))
 

@@ -45,8 +45,39 @@ def write_text(df: DataFrame, path: str) -> None:
 
 
 def write_text_files(df: DataFrame, path: str, by: tuple[str, str] = ("folder", "name"), text: str = "value") -> None:
-    """Texts in files by two columns: ``path/folder=.../name=.../``."""
-    df.select(*by, text).repartition(*by).write.mode("overwrite").partitionBy(*by).text(path)
+    """Texts in files by two columns: ``path/folder=.../name=.../``; rows of one file are its lines.
+
+    What takes time is the number of files, which adaptive execution doesn't see: it would leave small texts to one task, so
+    the number of tasks is stated. In a folder that all mount (``file``), tasks write files themselves: Spark's writer runs
+    ``chmod`` for each of them. Elsewhere Spark writes them, and each task moves its own (the committer's second algorithm).
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = df.select(*[F.col(c).cast("string").alias(c) for c in by], text).repartition(tasks, *by)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    if root.getScheme() != "file":
+        rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*by).text(path)
+        return
+    folder = root.getPath()
+
+    def write(part) -> None:
+        import itertools
+        import os
+        import re
+        import uuid
+
+        # as Spark escapes values in paths; a file stands under its name once it is whole, so that a task may run again
+        safe = lambda v: re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", v or "") or "__HIVE_DEFAULT_PARTITION__"
+        for key, same in itertools.groupby(part, lambda r: (r[0], r[1])):
+            place = os.path.join(folder, *[f"{c}={safe(v)}" for c, v in zip(by, key, strict=True)])
+            os.makedirs(place, exist_ok=True)
+            made = os.path.join(place, f".{uuid.uuid4().hex}")
+            with open(made, "w", encoding="utf-8", newline="") as out:
+                out.writelines(f"{r[2] or ''}\n" for r in same)
+            os.replace(made, os.path.join(place, "part-00000.txt"))
+
+    rows.sortWithinPartitions(*by).foreachPartition(write)
 
 
 def document(*columns: str | Column) -> Column:
