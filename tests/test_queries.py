@@ -110,3 +110,9 @@ def test_json_lines_are_written_by_several_tasks(spark, monkeypatch, tmp_path):
     last = {k * 7 % 501: k for k in range(60_000)}
     assert got == {c: (k, k % 7) for c, k in last.items()}
     assert len(list((tmp_path / "lines").glob("part-*.json"))) > 1
+
+
+def test_bundle_violations_judge_scenarios_once(spark):
+    """What is returned reads the judged scenarios from a table; no scenario is taken out of its document again."""
+    found = catalog.QUERIES["bundle_violations"](spark, str(DATA))
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()

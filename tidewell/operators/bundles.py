@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import sinks
 from .effects import ALIASES, BOUNDS
 
 # Vocabularies of bundles, and the sentences they must hold.
@@ -221,7 +222,10 @@ def violations(bundles: DataFrame) -> DataFrame:
 
     Scenarios of a bundle that lacks a required field are not judged.
     """
-    rows = judged_scenarios(scenarios(bundles))
+    spark, path = bundles.sparkSession, sinks.scratch(bundles.sparkSession, "judged")
+    # judged once: the bundles' sums and the scenarios' own faults both read the table
+    sinks.write_table(judged_scenarios(scenarios(bundles)).select("bundle_id", "place", "scenario_id", "scenario_class", "start_time_s", "repairs", "faults"), path)
+    rows = spark.read.parquet(path)
     whole = judged(bundles, rows)
     of_bundles = whole.select("bundle_id", F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("scenario_id"), F.inline("faults"))
     of_rows = rows.join(whole.filter("complete").select("bundle_id"), "bundle_id", "left_semi").select("bundle_id", "place", "scenario_id", F.inline("faults"))
