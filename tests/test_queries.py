@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
-from tidewell.plans import catalog
+from tidewell.plans import catalog, ingest
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -116,3 +117,25 @@ def test_bundle_violations_judge_scenarios_once(spark):
     """What is returned reads the judged scenarios from a table; no scenario is taken out of its document again."""
     found = catalog.QUERIES["bundle_violations"](spark, str(DATA))
     assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_of_bundles_are_made_by_compiled_code(spark, capsys):
+    """Java leaves a method of over 8,000 bytes of code to its interpreter."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code before it runs
+    try:
+        ingest._documents(spark, str(DATA)).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_bundle_status_parses_a_document_once_a_side(spark):
+    """Rules read columns: none parses a scenario's context again, and kinds are asked for once a field."""
+    most = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = catalog.QUERIES["bundle_status"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", most)
+    assert plan.count("parseJson") == 2 and plan.count("schemaOfVariant(") < 60

@@ -4,6 +4,8 @@ A document is parsed to a VARIANT, so one that is broken, or that has a text whe
 is a row with a reported fault, never a NULL that passes for an absent field. A row for each scenario
 carries its faults and repairs; what concerns a whole bundle (counts of classes, days, repeated ids) is
 one partial aggregate by bundle. The work is column expressions; nothing is looped over on the driver.
+The fields of an object leave its VARIANT in one cast, and what later rules read often is a column of a
+step before them: a path or a kind asked for in each rule would build a VARIANT or a schema each time.
 
 Defined results: a null or broken document is an ``invalid_json`` fault; a bundle without a required
 field is judged for nothing else; a scenario that is not an object has a fault of its own and no fields;
@@ -41,15 +43,22 @@ PER_DAY = 4
 _FAULT = "array<struct<rule:string,severity:string,detail:string>>"
 _NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 _EFFECT = "variable", "effect_type", "unit", "direction", "shape"
+_LABELS = "label_anomaly", "label_cyber_anomaly", "label_physical_anomaly"
+_CLAIMS = "event_level_only", "packet_level_protocol_compliance_claimed"
 
 
 def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def _of_kind(kind: Column, *kinds: str) -> Column:
+    """Is it one of the kinds? False where there is none."""
+    return F.coalesce(reduce(lambda a, k: a | kind.startswith(k), kinds[1:], kind.startswith(kinds[0])), F.lit(False))
+
+
 def _is(v: Column, *kinds: str) -> Column:
     """Is the VARIANT of one of the kinds? False where it is absent."""
-    return F.coalesce(reduce(lambda a, k: a | _kind(v).startswith(k), kinds[1:], _kind(v).startswith(kinds[0])), F.lit(False))
+    return _of_kind(_kind(v), *kinds)
 
 
 def _at(v: Column, name: str) -> Column:
@@ -57,18 +66,22 @@ def _at(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def _text(v: Column, name: str) -> Column:
-    """The field if it is a text, else NULL."""
-    return F.when(_is(_at(v, name), "STRING"), F.try_variant_get(v, f"$.{name}", "string"))
+def _struct(*names: str) -> str:
+    return f"struct<{', '.join(f'{n}:variant' for n in names)}>"
+
 
+def _fields(v: Column, *names: str) -> Column:
+    """The fields in one cast, each as ``_at`` has it; NULL where the VARIANT is no object."""
+    return F.try_variant_get(v, "$", _struct(*names))
 
-def _number(v: Column, name: str) -> Column:
-    return F.when(_is(_at(v, name), *_NUMBERS), F.try_variant_get(v, f"$.{name}", "double"))
 
+def _text(v: Column, kind: Column | None = None) -> Column:
+    """The VARIANT if it is a text, else NULL."""
+    return F.when(_of_kind(_kind(v) if kind is None else kind, "STRING"), F.try_variant_get(v, "$", "string"))
 
-def _items(v: Column) -> Column:
-    """The elements of an array, none of anything else."""
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+def _number(v: Column, kind: Column | None = None) -> Column:
+    return F.when(_of_kind(_kind(v) if kind is None else kind, *_NUMBERS), F.try_variant_get(v, "$", "double"))
 
 
 def parsed(documents: DataFrame, bundle: str = "bundle_id", text: str = "doc") -> DataFrame:
@@ -79,31 +92,40 @@ def parsed(documents: DataFrame, bundle: str = "bundle_id", text: str = "doc") -
 def scenarios(bundles: DataFrame) -> DataFrame:
     """A row for each scenario of the parsed bundles, repaired: old names and missing fields filled, effect names and signs normalised.
 
-    ``repairs`` lists what was done; ``faults`` the fields of a wrong kind, which read as NULL.
+    ``repairs`` lists what was done; ``faults`` the fields of a wrong kind, which read as NULL; ``claims`` has the VARIANTs of two fields of the context.
     """
-    rows = bundles.select("bundle_id", F.when(_is(F.col("v"), "OBJECT"), _text(F.col("v"), "author_model")).alias("author_model"), F.posexplode(_items(_at(F.col("v"), "scenarios"))).alias("place", "s"))
-    s = F.col("s")
-    here = lambda name: _at(s, name).isNotNull()
-    asset = F.when(here("target_asset_id"), _text(s, "target_asset_id")).otherwise(_text(s, "affected_asset"))
+    v = F.col("v")
+    rows = bundles.select("bundle_id", _text(_at(v, "author_model")).alias("author_model"), F.posexplode(F.try_variant_get(v, "$.scenarios", "array<variant>")).alias("place", "s"))
+    plain = ("scenario_id", "scenario_class", "scenario_family", "target_asset_id", "target_component", "start_time_s", "duration_s", "cyber_physical_type", "affected_asset", "scenario_name", "safety_note")
+    s, f = F.col("s"), lambda name: F.col("f")[name]
+    rows = rows.withColumn("f", _fields(s, *plain, "physical_effects", "cyber_context", "labels"))
+    rows = rows.withColumns({
+        **{f"_{c}": _kind(f(c)) for c in plain}, "_other": F.when(F.col("f").isNull(), F.to_json(s)), "claims": _fields(f("cyber_context"), *_CLAIMS), "_labels": _fields(f("labels"), *_LABELS),
+        "_effects": F.try_variant_get(f("physical_effects"), "$", f"array<{_struct(*_EFFECT, 'magnitude', 'ramp_seconds')}>"),
+    }).drop("s")
+    here = lambda name: f(name).isNotNull()
+    c = F.col
+    rows = rows.withColumns({x: (_number if x in ("start_time_s", "duration_s") else _text)(f(x), c(f"_{x}")) for x in plain} | {x: _number(c("_labels")[x]) for x in _LABELS})
+    of_kind = lambda name, *kinds: _of_kind(F.col(f"_{name}"), *kinds)
+    whole = F.col("f").isNotNull()
+    asset = F.when(here("target_asset_id"), c("target_asset_id")).otherwise(c("affected_asset"))
     component = F.lit("der_site")
     for known, kind in ASSETS.items():
         component = F.when(asset == known, kind).otherwise(component)
-    name = F.coalesce(_text(s, "scenario_id"), F.lit("?"))
-    read = F.transform(_items(_at(s, "physical_effects")), lambda e: F.struct(*[_text(e, c).alias(c) for c in _EFFECT], _number(e, "magnitude").alias("magnitude"), F.coalesce(_number(e, "ramp_seconds").cast("long"), F.lit(0)).alias("ramp_seconds"), _is(e, "OBJECT").alias("whole")))
-    kinds = (("scenario_id", ("STRING",)), ("scenario_class", ("STRING",)), ("scenario_family", ("STRING",)), ("target_asset_id", ("STRING",)), ("target_component", ("STRING",)), ("start_time_s", _NUMBERS), ("duration_s", _NUMBERS),
-             ("physical_effects", ("ARRAY",)), ("cyber_context", ("OBJECT",)), ("labels", ("OBJECT",)))
-    wrong = [F.when(~_is(s, "OBJECT"), _fault("type_scenario", F.to_json(s)))]
-    wrong += [F.when(here(c) & ~_is(_at(s, c), *of), _fault(f"type_{c}", F.to_json(_at(s, c)))) for c, of in kinds]
+    name = F.coalesce("scenario_id", F.lit("?"))
+    read = F.transform(F.coalesce("_effects", F.array().cast(f"array<{_struct(*_EFFECT, 'magnitude', 'ramp_seconds')}>")), lambda e: F.struct(*[_text(e[c]).alias(c) for c in _EFFECT], _number(e["magnitude"]).alias("magnitude"), F.coalesce(_number(e["ramp_seconds"]).cast("long"), F.lit(0)).alias("ramp_seconds"), e.isNotNull().alias("whole")))
+    right = {**{x: of_kind(x, "STRING") for x in plain[:5]}, **{x: of_kind(x, *_NUMBERS) for x in plain[5:7]}, "physical_effects": c("_effects").isNotNull(), "cyber_context": c("claims").isNotNull(), "labels": c("_labels").isNotNull()}
+    wrong = [F.when(~whole, _fault("type_scenario", c("_other"))), *[F.when(here(x) & ~ok, _fault(f"type_{x}", F.to_json(f(x)))) for x, ok in right.items()]]
     rows = rows.select(
-        "bundle_id", "author_model", "place", _is(s, "OBJECT").alias("whole"), _text(s, "scenario_id").alias("scenario_id"),
-        F.when(here("scenario_name"), _text(s, "scenario_name")).otherwise(F.replace(name, F.lit("_"), F.lit(" "))).alias("scenario_name"),
-        _text(s, "scenario_family").alias("scenario_family"), F.when(here("scenario_class"), _text(s, "scenario_class")).otherwise(_text(s, "cyber_physical_type")).alias("scenario_class"),
-        asset.alias("target_asset_id"), F.when(here("target_component"), _text(s, "target_component")).otherwise(component).alias("target_component"),
-        _number(s, "start_time_s").alias("start_time_s"), _number(s, "duration_s").alias("duration_s"), (_is(_at(s, "start_time_s"), "BIGINT") & _is(_at(s, "duration_s"), "BIGINT")).alias("whole_seconds"),
-        F.when(here("safety_note"), _text(s, "safety_note")).otherwise(F.lit(SAFETY_NOTE)).alias("safety_note"),
-        *[_number(_at(s, "labels"), c).alias(c) for c in ("label_anomaly", "label_cyber_anomaly", "label_physical_anomaly")], F.to_json(_at(s, "cyber_context")).alias("cyber_context"),
+        "bundle_id", "author_model", "place", whole.alias("whole"), "scenario_id",
+        F.when(here("scenario_name"), c("scenario_name")).otherwise(F.replace(name, F.lit("_"), F.lit(" "))).alias("scenario_name"),
+        "scenario_family", F.when(here("scenario_class"), c("scenario_class")).otherwise(c("cyber_physical_type")).alias("scenario_class"),
+        asset.alias("target_asset_id"), F.when(here("target_component"), c("target_component")).otherwise(component).alias("target_component"),
+        "start_time_s", "duration_s", (of_kind("start_time_s", "BIGINT") & of_kind("duration_s", "BIGINT")).alias("whole_seconds"),
+        F.when(here("safety_note"), c("safety_note")).otherwise(F.lit(SAFETY_NOTE)).alias("safety_note"),
+        *_LABELS, F.to_json(f("cyber_context")).alias("cyber_context"), "claims",
         read.alias("read"), F.array_compact(F.array(*wrong)).cast(_FAULT).alias("faults"),
-        *[here(c).alias(f"_{c}") for c in ("scenario_class", "cyber_physical_type", "target_asset_id", "affected_asset", "scenario_name", "target_component", "safety_note")],
+        *[here(x).alias(f"_{x}") for x in ("scenario_class", "cyber_physical_type", "target_asset_id", "affected_asset", "scenario_name", "target_component", "safety_note")],
     )
     lowered = lambda e: (e["magnitude"] < 0) & e["direction"].isin("increase", "decrease")
     done = {
@@ -141,13 +163,13 @@ def judged_scenarios(rows: DataFrame) -> DataFrame:
     """Scenario rows with all their ``faults``."""
     c = F.col
     n, kind = F.size("physical_effects"), c("scenario_class")
-    labels = [c(x) for x in ("label_anomaly", "label_cyber_anomaly", "label_physical_anomaly")]
-    context = F.try_parse_json("cyber_context")
-    pattern = c("scenario_id").rlike(r"^zdl_(chatgpt|claude|gemini|grok|other)_[a-z0-9_]+_[0-9]{3}$")
+    labels, (events, packets) = [c(x) for x in _LABELS], [c("claims")[x] for x in _CLAIMS]
+    rows = rows.withColumns({"_pattern": c("scenario_id").rlike(r"^zdl_(chatgpt|claude|gemini|grok|other)_[a-z0-9_]+_[0-9]{3}$"), "_context": F.lower("cyber_context")})
+    pattern = c("_pattern")
     end = c("start_time_s") + c("duration_s") - 1
     false = F.lit(False)
-    is_true = lambda name: F.coalesce(F.try_variant_get(context, f"$.{name}", "boolean"), false) & _is(_at(context, name), "BOOLEAN")
-    is_false = lambda name: ~F.coalesce(F.try_variant_get(context, f"$.{name}", "boolean"), F.lit(True)) & _is(_at(context, name), "BOOLEAN")
+    is_true = lambda v: F.coalesce(F.try_variant_get(v, "$", "boolean"), false) & _is(v, "BOOLEAN")
+    is_false = lambda v: ~F.coalesce(F.try_variant_get(v, "$", "boolean"), F.lit(True)) & _is(v, "BOOLEAN")
     of_kind = lambda *k: F.coalesce(kind.isin(*k), false)
     rules = [
         ("id_pattern", ~pattern, c("scenario_id")), ("id_author", F.coalesce(pattern & (c("author_model") != "") & (F.regexp_extract("scenario_id", r"^zdl_([a-z]+)_", 1) != c("author_model")), false), c("scenario_id")),
@@ -155,12 +177,12 @@ def judged_scenarios(rows: DataFrame) -> DataFrame:
         ("forbidden_asset", F.coalesce(c("target_asset_id").isin(*FORBIDDEN_ASSETS), false), c("target_asset_id")), ("asset", ~c("target_asset_id").isin(*ASSETS, *FORBIDDEN_ASSETS), c("target_asset_id")),
         ("component", ~c("target_component").isin(*COMPONENTS), c("target_component")), ("start_range", ~c("start_time_s").between(0, WEEK - 1), c("start_time_s")), ("duration_range", ~c("duration_s").between(60, 1800), c("duration_s")),
         ("end_range", c("whole_seconds") & (end >= WEEK), end),
-        *[(f"missing_{name}", c(name).isNull(), F.lit(None).cast("string")) for name in ("label_anomaly", "label_cyber_anomaly", "label_physical_anomaly")],
+        *[(f"missing_{name}", c(name).isNull(), F.lit(None).cast("string")) for name in _LABELS],
         ("cyber_only_effects", of_kind("cyber_only") & (n > 0), n), ("normal_effects", of_kind("normal") & (n > 0), n),
         ("normal_labels", of_kind("normal") & ~F.coalesce((labels[0] == 0) & (labels[1] == 0) & (labels[2] == 0), false), F.concat_ws(",", *[x.cast("int").cast("string") for x in labels])),
         ("physical_without_effects", of_kind("physical_only", "cyber_physical") & (n == 0), kind),
-        ("event_level_only", ~is_true("event_level_only"), F.to_json(_at(context, "event_level_only"))), ("packet_claim", ~is_false("packet_level_protocol_compliance_claimed"), F.to_json(_at(context, "packet_level_protocol_compliance_claimed"))),
-        ("forbidden_word", F.coalesce(_has_word(F.lower("cyber_context")), false), c("cyber_context")),
+        ("event_level_only", ~is_true(events), F.to_json(events)), ("packet_claim", ~is_false(packets), F.to_json(packets)),
+        ("forbidden_word", F.coalesce(_has_word(c("_context")), false), c("cyber_context")),
     ]
 
     def of_effect(e: Column) -> Column:
@@ -176,7 +198,7 @@ def judged_scenarios(rows: DataFrame) -> DataFrame:
         ])
 
     own = F.when(c("whole"), F.concat(_broken(rules), F.flatten(F.transform("physical_effects", of_effect)))).otherwise(F.array().cast(_FAULT))
-    return rows.withColumn("faults", F.concat("faults", own))
+    return rows.withColumn("faults", F.concat("faults", own)).drop("_pattern", "_context")
 
 
 def judged(bundles: DataFrame, rows: DataFrame | None = None) -> DataFrame:
@@ -186,19 +208,24 @@ def judged(bundles: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """
     rows = judged_scenarios(scenarios(bundles)) if rows is None else rows
     v = F.col("v")
-    said = F.when(_at(v, "project_compatibility_statement").isNotNull(), _text(v, "project_compatibility_statement")).otherwise(_text(v, "compatibility_statement"))
-    renamed = _at(v, "project_compatibility_statement").isNull() & _at(v, "compatibility_statement").isNotNull()
-    whole = _is(v, "OBJECT")
-    lacking = [(f"missing_{f}", _at(v, f).isNull(), F.lit(None).cast("string")) for f in ("dataset_id", "author_model", "generation_purpose")]
-    lacking += [("missing_project_compatibility_statement", _at(v, "project_compatibility_statement").isNull() & _at(v, "compatibility_statement").isNull(), F.lit(None).cast("string")), ("missing_scenarios", _at(v, "scenarios").isNull(), F.lit(None).cast("string")),
-                ("type_scenarios", _at(v, "scenarios").isNotNull() & ~_is(_at(v, "scenarios"), "ARRAY"), _kind(_at(v, "scenarios")))]
+    top = ("dataset_id", "author_model", "generation_purpose", "project_compatibility_statement", "compatibility_statement")
+    f = lambda name: F.col("f")[name]
+    # an array casts to one, whatever its elements are; the scenarios themselves are not read here
+    bundles = bundles.withColumns({"f": _fields(v, *top), "listed": F.try_variant_get(v, "$.scenarios", "array<boolean>").isNotNull()})
+    said = F.when(f(top[3]).isNotNull(), _text(f(top[3]))).otherwise(_text(f(top[4])))
+    renamed = f(top[3]).isNull() & f(top[4]).isNotNull()
+    whole, there = F.col("f").isNotNull(), F.col("listed") | _at(v, "scenarios").isNotNull()
+    lacking = [(f"missing_{name}", f(name).isNull(), F.lit(None).cast("string")) for name in top[:3]]
+    lacking += [("missing_project_compatibility_statement", f(top[3]).isNull() & f(top[4]).isNull(), F.lit(None).cast("string")), ("missing_scenarios", ~there, F.lit(None).cast("string")),
+                ("type_scenarios", ~F.col("listed") & there, _kind(_at(v, "scenarios")))]
     first = F.when(v.isNull(), F.array(_fault("invalid_json", F.lit(None))).cast(_FAULT)).when(~whole, F.array(_fault("type_bundle", _kind(v))).cast(_FAULT)).otherwise(_broken(lacking))
-    own = bundles.select("bundle_id", first.alias("first"), _text(v, "author_model").alias("author_model"), _text(v, "generation_purpose").alias("purpose"), said.alias("said"), (whole & renamed).alias("renamed"))
-    error = lambda severity: F.sum(F.size(F.filter("faults", lambda f: f["severity"] == severity)))
+    own = bundles.select("bundle_id", first.alias("first"), _text(f("author_model")).alias("author_model"), _text(f("generation_purpose")).alias("purpose"), said.alias("said"), (whole & renamed).alias("renamed"))
+    of = lambda severity: F.size(F.filter("faults", lambda x: x["severity"] == severity))
     day = F.floor(F.col("start_time_s") / DAY)
-    sums = rows.groupBy("bundle_id").agg(
-        F.count(F.lit(1)).alias("scenarios"), error("ERROR").alias("bad"), error("WARN").alias("warned"), F.sum(F.size("repairs")).alias("mended"),
-        (F.count("scenario_id") - F.count_distinct("scenario_id")).alias("again"), *[F.count_if(F.col("scenario_class") == k).alias(f"_{k}") for k in CLASSES], *[F.count_if(day == d).alias(f"_day{d}") for d in range(7)],
+    counts = rows.select("bundle_id", "scenario_id", "scenario_class", day.alias("day"), of("ERROR").alias("bad"), of("WARN").alias("warned"), F.size("repairs").alias("mended"))
+    sums = counts.groupBy("bundle_id").agg(
+        F.count(F.lit(1)).alias("scenarios"), *[F.sum(x).alias(x) for x in ("bad", "warned", "mended")],
+        (F.count("scenario_id") - F.count_distinct("scenario_id")).alias("again"), *[F.count_if(F.col("scenario_class") == k).alias(f"_{k}") for k in CLASSES], *[F.count_if(F.col("day") == d).alias(f"_day{d}") for d in range(7)],
     )
     counted = [c for c in sums.columns if c != "bundle_id"]
     both = own.join(sums, "bundle_id", "left").fillna(0, counted)
@@ -254,9 +281,9 @@ def accepted(bundles: DataFrame) -> DataFrame:
     effect = lambda e: F.struct(*[e[c].alias(c) for c in (*_EFFECT, "magnitude", "ramp_seconds")])
     fields = ("scenario_id", "scenario_name", "scenario_family", "scenario_class", "target_asset_id", "target_component", "safety_note")
     scenario = F.struct("place", *fields, F.col("start_time_s").cast("long").alias("start_time_s"), F.col("duration_s").cast("long").alias("duration_s"), F.transform("physical_effects", effect).alias("physical_effects"), F.try_parse_json("cyber_context").alias("cyber_context"),
-                        F.struct(*[F.col(c).cast("int").alias(c) for c in ("label_anomaly", "label_cyber_anomaly", "label_physical_anomaly")]).alias("labels"))
+                        F.struct(*[F.col(c).cast("int").alias(c) for c in _LABELS]).alias("labels"))
     held = rows.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("place", F.to_json(scenario.dropFields("place")).alias("s")))).alias("all"))
     v = F.col("v")
-    top = F.to_json(F.struct(*[_text(v, c).alias(c) for c in ("dataset_id", "author_model", "generation_purpose")], F.lit(COMPATIBILITY).alias("project_compatibility_statement")))
+    top = F.to_json(F.struct(*[_text(_at(v, c)).alias(c) for c in ("dataset_id", "author_model", "generation_purpose")], F.lit(COMPATIBILITY).alias("project_compatibility_statement")))
     doc = F.concat(F.substr(top, F.lit(1), F.length(top) - 1), F.lit(',"scenarios":['), F.array_join(F.transform("all", lambda x: x["s"]), ","), F.lit("]}"))
     return bundles.join(whole, "bundle_id").join(held, "bundle_id").select("bundle_id", doc.alias("doc"))

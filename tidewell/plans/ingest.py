@@ -29,8 +29,11 @@ _AUTHORS = ["chatgpt", "claude", "gemini", "grok", "other"]
 
 def _documents(spark, d: str) -> DataFrame:
     """(bundle_id, doc): sixteen orders are the scenarios of a bundle; one scenario in ten and one bundle in five has a fault."""
-    k = F.col("o_orderkey")
-    b, i, f = F.floor(k / 16), k % 16, k * 7919 % 300
+    # what the texts read again and again is a column of a step of its own: Java leaves a method of over 8,000 bytes of code uncompiled
+    key = F.col("o_orderkey")
+    orders = table(spark, d, "orders").select(key.alias("k"), F.floor(key / 16).alias("b"), (key % 16).alias("i"), (key * 7919 % 300).alias("f"))
+    orders = orders.filter((F.col("b") * 31 % 40 != 4) | (F.col("i") != 15))
+    k, b, i, f = (F.col(x) for x in "kbif")
     pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
     quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
 
@@ -44,7 +47,6 @@ def _documents(spark, d: str) -> DataFrame:
             out = F.when(f == fault, value if isinstance(value, Column) else F.lit(value)).otherwise(out)
         return out
 
-    author = F.when(b * 31 % 40 == 5, "someone").otherwise(pick(_AUTHORS, b % 5))
     ident = F.concat(F.lit("zdl_"), either({1: pick(_AUTHORS, (b + 1) % 5)}, pick(_AUTHORS, b % 5)), F.lit("_case_"), F.lpad(F.when((b * 31 % 40 == 8) & (i == 1), 0).otherwise(i).cast("string"), 3, "0"))
     physical = i >= 8
     effect = F.concat(
@@ -64,16 +66,17 @@ def _documents(spark, d: str) -> DataFrame:
         field("safety_note", either({10: none}, F.lit('"s"'))), field("labels", labels), field("physical_effects", effects), field("cyber_context", context),
     ]
     scenario = F.when(f == 24, F.lit('"text"')).otherwise(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
-    rows = table(spark, d, "orders").select(b.alias("b"), i.alias("i"), author.alias("author"), scenario.alias("s")).filter((b * 31 % 40 != 4) | (i != 15))
-    held = rows.groupBy("b", "author").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), ",").alias("all"))
-    g = F.col("b") * 31 % 40
+    rows = orders.select("b", "i", scenario.alias("s"))
+    held = rows.groupBy("b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), ",").alias("all"))
+    g = b * 31 % 40
+    author = F.when(g == 5, "someone").otherwise(pick(_AUTHORS, b % 5))
     said = F.when(g == 3, "something else").otherwise(bundles.COMPATIBILITY)
     top = [
-        F.lit('"dataset_id":"d"'), field("author_model", quoted(F.col("author"))), F.when(g != 1, field("generation_purpose", F.when(g == 6, '"other"').otherwise(f'"{bundles.PURPOSE}"'))),
+        F.lit('"dataset_id":"d"'), field("author_model", quoted(author)), F.when(g != 1, field("generation_purpose", F.when(g == 6, '"other"').otherwise(f'"{bundles.PURPOSE}"'))),
         F.concat(F.when(g == 2, '"compatibility_statement":"').otherwise('"project_compatibility_statement":"'), said, F.lit('"')), field("scenarios", F.when(g == 7, F.lit('{"all":"gone"}')).otherwise(F.concat(F.lit("["), F.col("all"), F.lit("]")))),
     ]
     doc = F.concat(F.lit("{"), F.concat_ws(",", *top), F.when(g == 0, F.lit("")).otherwise(F.lit("}")))
-    return held.select(F.col("b").alias("bundle_id"), doc.alias("doc"))
+    return held.select(b.alias("bundle_id"), doc.alias("doc"))
 
 
 def _read(spark, d: str) -> DataFrame:
